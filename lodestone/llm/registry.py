@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, substring_dedup
 
 
 def queries() -> dict:
-    return {"op7_wu_manber_decontamination": decontaminate.op7_wu_manber_decontamination}
+    return {
+        "op3_suffix_tree_dedup": substring_dedup.op3_suffix_tree_dedup,
+        "op7_wu_manber_decontamination": decontaminate.op7_wu_manber_decontamination,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op7_wu_manber_decontamination": decontaminate.OP7_SQL}
+    return {"op3_suffix_tree_dedup": substring_dedup.OP3_SQL, "op7_wu_manber_decontamination": decontaminate.OP7_SQL}
