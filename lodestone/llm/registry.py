@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, substring_dedup
+from . import decontaminate, ngram_join, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op3_suffix_tree_dedup": substring_dedup.op3_suffix_tree_dedup,
+        "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
         "op7_wu_manber_decontamination": decontaminate.op7_wu_manber_decontamination,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_suffix_tree_dedup": substring_dedup.OP3_SQL, "op7_wu_manber_decontamination": decontaminate.OP7_SQL}
+    return {"op3_suffix_tree_dedup": substring_dedup.OP3_SQL, "op6_ngram_jaccard_join": ngram_join.OP6_SQL, "op7_wu_manber_decontamination": decontaminate.OP7_SQL}
