@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, substring_dedup
+from . import decontaminate, ngram_join, packing, substring_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_suffix_tree_dedup": substring_dedup.op3_suffix_tree_dedup,
         "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
         "op7_wu_manber_decontamination": decontaminate.op7_wu_manber_decontamination,
+        "op9_genetic_packing": packing.op9_genetic_packing,
     }
 
 
