@@ -163,6 +163,15 @@ def shared_dir(spark) -> str | None:
 
 
 def cut(df):
-    """The frame with its lineage cut, written to the cluster's shared checkpoint folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The frame with its lineage cut, written to the cluster's shared checkpoint folder.
+
+    A checkpointed frame keeps the size estimate of the plan it came from, which joins multiply; over the
+    turns of a loop it becomes a number of many thousand digits. The frame is therefore built anew on the
+    checkpointed rows, with no estimate; adaptive execution goes by the sizes it measures.
+    """
+    from pyspark.sql import DataFrame
+
+    spark = df.sparkSession
+    shared_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)

@@ -9,9 +9,11 @@ therefore leaves every partner at least one signature in common:
   tokens of a class weigh p - 1. There are as many frequent classes as an eighth of the tokens, so
   combinations stay few; documents of about the same size (bands) use the same classes.
 
-Candidates are verified exactly, on whole sets. Groups are never expanded into all pairs: below a
-signature every document is first paired with the smallest of about its size, components are formed,
-and only pairs that remain in different components are verified. Sets that are equal are one node from
+Candidates are verified exactly, on whole sets. Groups are never expanded into all pairs: every
+document is first paired with one leader (the smallest it meets of about its size), then with a few
+drawn leaders of other components. After that, all pairs below a signature that are in different
+components are bounded by histograms, in blocks, and verified where the bound allows the similarity.
+Skipping pairs inside a component loses nothing. Sets that are equal are one node from
 the start, by a 128-bit sum.
 """
 
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _bytes as B
 from .components import connected
@@ -241,8 +243,8 @@ def _leaders(n: np.ndarray, begin: np.ndarray) -> np.ndarray:
         start |= fresh
 
 
-def _meet():
-    """Below each signature of a partition: pairs with the leaders (kind 2), and the larger runs (kind 3), each set of members once."""
+def _meet(parts: int):
+    """Below each signature of a partition: every document's smallest leader (kind 2), and the runs, each set of members once (kind 3, dealt by run)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -274,26 +276,46 @@ def _meet():
         if not len(sig):
             return
         begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        lead = _leaders(n, begin)
-        a, b = ids, ids[lead]
-        pair = np.unique(np.stack([np.maximum(a, b)[a != b], np.minimum(a, b)[a != b]]), axis=1)
-        for k in range(0, pair.shape[1], 1 << 18):
-            yield _rows([(0, 2, B.pack(pair[0, k : k + (1 << 18)], pair[1, k : k + (1 << 18)]))])
         length = np.diff(np.append(begin, len(sig)))
+        lead = _leaders(n, begin)
+        led = np.flatnonzero(lead != np.arange(len(lead)))
+        led = led[np.lexsort((ids[lead[led]], n[lead[led]], ids[led]))]
+        led = led[np.concatenate([[True], ids[led][1:] != ids[led][:-1]])] if len(led) else led
+        for k in range(0, len(led), 1 << 18):
+            some = led[k : k + (1 << 18)]
+            yield _rows([(0, 2, B.pack(ids[some], ids[lead[some]], n[lead[some]]))])
         total = np.add.reduceat(B.splitmix(ids.view(B.U64)), begin) + length.astype(B.U64)
-        _, one = np.unique(np.where(length > 2, total, B.U64(0)), return_index=True)
-        one = one[length[one] > 2]
-        name = np.repeat(total, length)
-        chosen = np.zeros(len(begin), bool)
-        chosen[one] = True
-        inside = np.repeat(chosen, length)
-        name, ids, n = name[inside].view(np.int64), ids[inside], n[inside]
-        for k in range(0, len(ids), 1 << 18):
-            yield _rows([(0, 3, B.pack(name[k : k + (1 << 18)], ids[k : k + (1 << 18)], n[k : k + (1 << 18)]))])
+        far = (length == 1) | ((length == 2) & (4 * n[begin + length - 1] > 5 * n[begin]))
+        _, one = np.unique(np.where(far, B.U64(0), total), return_index=True)
+        one = one[~far[one]]
+        part = (total[one] % B.U64(parts)).astype(np.int64)
+        one = one[np.argsort(part, kind="stable")]
+        edge = np.searchsorted(np.sort(part), np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(edge)).tolist():
+            runs = one[edge[p] : edge[p + 1]]
+            size = length[runs]
+            at = np.arange(int(size.sum())) + np.repeat(begin[runs] - np.cumsum(size) + size, size)
+            yield _rows([(p, 3, B.pack(total[runs], B.shrink(size), ids[at], B.shrink(n[at])))])
 
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each run of a partition once, as rows."""
+    seen: set[int] = set()
+    for batch in batches:
+        for blob in batch.column("blob"):
+            name, size, ids, n = B.unpack(blob.as_py())
+            size = size.astype(np.int64)
+            new = np.array([x not in seen for x in name.tolist()], bool)
+            seen.update(name.tolist())
+            keep = np.repeat(new, size)
+            name = np.repeat(name, size)[keep].view(np.int64)
+            ids, n = ids[keep], n[keep].astype(np.int64)
+            for k in range(0, len(ids), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]) for x in (name, ids, n)], ["run", "doc_id", "n"])
+
+
 def _open(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,23 +359,121 @@ def _overlap(least: int):
     return run
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> DataFrame:
-    """The pairs u, v whose sets are similar enough; only the texts of documents in pairs are read into sets.
+def _near(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """doc_id, text of the documents in ends (id), and of a few others.
 
     Which documents those are goes to the scan as a bitmap of at most 2**20 words of 64 bits, a bound
-    that holds whatever the input; the joins on ids decide exactly.
+    that holds whatever the input; a join on ids decides exactly afterwards.
     """
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 26))
-    one = lambda c: F.expr(f"shiftleft(1L, cast(pmod({c}, 64) as int))")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("id"))
-    words = ends.select(spot("id").alias("s")).groupBy(F.expr("s div 64").alias("word")).agg(F.bit_or(one("s")).alias("bits"))
+    one = F.expr("shiftleft(1L, cast(pmod(s, 64) as int))")
+    words = ends.select(spot("id").alias("s")).groupBy(F.expr("s div 64").alias("word")).agg(F.bit_or(one).alias("bits"))
     near = docs.select("doc_id", "text").withColumn("s", spot("doc_id")).withColumn("w", F.expr("s div 64"))
-    near = near.join(F.broadcast(words), F.col("w") == F.col("word")).where(F.col("bits").bitwiseAND(one("s")) != 0)
-    sets = near.select("doc_id", "text").mapInArrow(_sets(width), "doc_id long, tokens binary")
+    near = near.join(F.broadcast(words), F.col("w") == F.col("word")).where(F.col("bits").bitwiseAND(one) != 0)
+    return near.select("doc_id", "text")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> DataFrame:
+    """The pairs u, v whose sets are similar enough; only the texts of documents in pairs are read into sets."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("id"))
+    sets = _near(docs, ends).mapInArrow(_sets(width), "doc_id long, tokens binary")
     a, b = sets.toDF("u", "a"), sets.toDF("v", "b")
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_overlap(least), "u long, v long")
 
 
+def _members(runs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The members, with their components, of runs that hold more than one component; major: the component with most."""
+    member = B.cut(runs.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("run", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")))
+    sized = member.groupBy("run", "comp").agg(F.count("*").alias("c"))
+    major = B.cut(sized.groupBy("run").agg(F.count("*").alias("k"), F.max_by("comp", F.struct("c", "comp")).alias("major")).where("k > 1"))
+    return B.cut(member.join(major, "run").select("run", "doc_id", "n", "comp", "major"))
+
+
+_CLOSE = "5 * x.n >= 4 * y.n and 5 * y.n >= 4 * x.n and x.comp <> y.comp"
+_ENDS = ["greatest(x.doc_id, y.doc_id) as u", "least(x.doc_id, y.doc_id) as v"]
+
+
+def _leading(member: DataFrame, leaders: int = 3) -> DataFrame:
+    """At most ``leaders`` pairs for each document: with documents of other components, drawn by hash, that lead runs of its."""
+    draws = [F.min_by(F.struct("doc_id", "n", "comp"), F.xxhash64("doc_id", F.lit(k))) for k in range(leaders)]
+    lead = B.cut(member.groupBy("run").agg(F.array(*draws).alias("y")))
+    met = member.join(lead, "run").select(F.struct("doc_id", "n", "comp").alias("x"), "run", F.posexplode("y").alias("k", "y"))
+    met = met.where("5 * x.n >= 4 * y.n and 5 * y.n >= 4 * x.n and x.comp <> y.comp")
+    one = met.groupBy("x.doc_id", "k").agg(F.min_by(F.struct("x", "y"), F.xxhash64("run", "k")).alias("p"))
+    return one.select("p.x", "p.y").selectExpr("greatest(x.doc_id, y.doc_id) as u", "least(x.doc_id, y.doc_id) as v").distinct()
+
+
+def _histograms(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in B.text_slices(batch.column("text")):
+                key, doc = shingles(data, offsets, width)
+                counts = np.bincount(doc * 256 + (key >> B.U64(32)).astype(np.int64) % 256, minlength=(hi - lo) * 256).reshape(-1, 256)
+                counts[counts.max(axis=1) > 65535] = 65535  # bounds nothing, excludes nothing
+                rows = [x.tobytes() for x in counts.astype(np.uint16)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(rows, pa.binary())], ["doc_id", "histogram"])
+
+    return run
+
+
+def _bounded(least: int):
+    """Of units (rows sorted by unit, then side), the pairs of both sides whose histograms allow the similarity."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        unit, side, ids, n, comp, major = (rows.column(c).to_numpy() for c in ("unit", "side", "doc_id", "n", "comp", "major"))
+        table = np.frombuffer(b"".join(rows.column("histogram").to_pylist()), np.uint16).reshape(-1, 256)
+        u, v = [], []
+        edge = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]]))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            m = a + int((side[a:b] == 0).sum())
+            ys = np.arange(m, b)
+            for x in range(a, m):
+                fit = (comp[ys] != comp[x]) & ((comp[ys] == major[ys]) | (ids[x] > ids[ys])) & (5 * n[ys] >= 4 * n[x]) & (5 * n[x] >= 4 * n[ys])
+                y = ys[fit]
+                most = np.minimum(table[y], table[x]).sum(axis=1, dtype=np.int64)
+                y = y[(100 + least) * most >= least * (n[x] + n[y])]
+                u.append(np.maximum(ids[y], ids[x]))
+                v.append(np.minimum(ids[y], ids[x]))
+        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
+        pair = np.unique(np.stack([u, v]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new]).combine_chunks()
+            unit = held.column("unit").to_numpy()
+            last = int(np.flatnonzero(unit != unit[-1])[-1]) + 1 if len(unit) and (unit != unit[-1]).any() else 0
+            if last:
+                yield pairs(held.slice(0, last).combine_chunks())
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield pairs(held.combine_chunks())
+
+    return run
+
+
+def _apart(docs: DataFrame, member: DataFrame, width: int, least: int, block: int = 1024) -> DataFrame:
+    """All pairs below a signature in different components, but those that an exact bound excludes.
+
+    The documents outside a run's largest component are its queries, and all its members are the rows;
+    both are dealt in blocks, and a unit of work is one block against one block, so that a large run is
+    many units. The bound on an overlap is the sum of the smaller counts of two histograms of 256 buckets.
+    """
+    n = B.parts(docs.sparkSession)
+    needed = _near(docs, member.select(F.col("doc_id").alias("id"))).mapInArrow(_histograms(width), "doc_id long, histogram binary")
+    size = B.cut(member.groupBy("run").agg(F.ceil(F.count("*") / block).cast("int").alias("ys"), F.ceil(F.count_if(F.expr("comp <> major")) / block).cast("int").alias("xs")))
+    rows = member.join(size, "run").join(needed, "doc_id")
+    spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c)).cast("int")
+    x = rows.where("comp <> major").withColumn("i", dealt("xs")).withColumn("j", spread("ys")).withColumn("side", F.lit(0))
+    y = rows.withColumn("j", dealt("ys")).withColumn("i", spread("xs")).withColumn("side", F.lit(1))
+    unit = x.unionByName(y).select(F.xxhash64("run", "i", "j").alias("unit"), "side", "doc_id", "n", "comp", "major", "histogram")
+    unit = unit.repartition(n, "unit").sortWithinPartitions("unit", "side", "doc_id")
+    return unit.mapInArrow(_bounded(least), "u long, v long").distinct()
+
+
 def similar_components(docs: DataFrame, width: int = 5, least: int = 80, sketch_bits: int = 24) -> DataFrame:
     """Components of documents whose sets of ``width``-word shingles have a Jaccard similarity of at least ``least`` per cent.
 
@@ -370,31 +490,24 @@ def similar_components(docs: DataFrame, width: int = 5, least: int = 80, sketch_
     named = docs.where("doc_id is not null")
     shared = spark.sparkContext.broadcast(_sketch(named, width, sketch_bits))
     index = named.mapInArrow(_index(width, least, n, shared), "part int, kind int, blob binary")
-    index = B.cut(index.repartitionById(n, F.col("part")).mapInArrow(_meet(), "part int, kind int, blob binary"))
+    index = B.cut(index.repartitionById(n, F.col("part")).mapInArrow(_meet(n), "part int, kind int, blob binary"))
 
     meta = _rows_of(index, 1, "doc_id", "n", "one", "two")
     full = meta.where("n > 0")
     chief = B.cut(full.groupBy("n", "one", "two").agg(F.min("doc_id").alias("v"), F.count("*").alias("c")).where("c > 1"))
     equal = full.join(chief, ["n", "one", "two"]).where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
 
-    led = B.cut(_rows_of(index, 2, "u", "v").distinct())
-    first = B.cut(_verified(named, led, width, least).unionByName(equal))
-    comp = B.cut(connected(first))
-
-    runs = _rows_of(index, 3, "run", "doc_id", "n").distinct()
-    member = B.cut(runs.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("run", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")))
-    sized = member.groupBy("run", "comp").agg(F.count("*").alias("c"))
-    major = B.cut(sized.groupBy("run").agg(F.count("*").alias("k"), F.max_by("comp", F.struct("c", "comp")).alias("major")).where("k > 1"))
-    mixed = B.cut(member.join(major, "run").select("run", "doc_id", "n", "comp", "major"))
-    x, y = mixed.where("comp <> major").alias("x"), mixed.alias("y")
-    close = (F.col("x.comp") != F.col("y.comp")) & (5 * F.col("x.n") >= 4 * F.col("y.n")) & (5 * F.col("y.n") >= 4 * F.col("x.n"))
-    once = (F.col("y.comp") == F.col("y.major")) | (F.col("x.doc_id") > F.col("y.doc_id"))
-    rest = x.join(y, (F.col("x.run") == F.col("y.run")) & close & once)
-    rest = rest.select(F.greatest("x.doc_id", "y.doc_id").alias("u"), F.least("x.doc_id", "y.doc_id").alias("v")).distinct()
-    rest = B.cut(rest.join(led, ["u", "v"], "left_anti"))
-    second = B.cut(_verified(named, rest, width, least))
-    if not second.isEmpty():
-        comp = B.cut(connected(second.unionByName(comp.toDF("u", "v"))))
+    led = _rows_of(index, 2, "u", "v", "n").groupBy("u").agg(F.min(F.struct("n", "v")).alias("s"))
+    led = B.cut(led.select(F.greatest("u", "s.v").alias("u"), F.least("u", "s.v").alias("v")).distinct())
+    links = _verified(named, led, width, least).unionByName(equal)
+    comp = B.cut(connected(links))
+    tried = led
+    runs = B.cut(index.where("kind = 3").repartitionById(n, F.col("part")).select("blob").mapInArrow(_runs, "run long, doc_id long, n long"))
+    pairs = B.cut(_leading(_members(runs, comp)).join(led, ["u", "v"], "left_anti"))
+    comp = B.cut(connected(_verified(named, pairs, width, least).unionByName(comp.toDF("u", "v"))))
+    rest = _apart(named, _members(runs, comp), width, least).join(led, ["u", "v"], "left_anti")
+    rest = B.cut(rest.join(pairs, ["u", "v"], "left_anti"))
+    comp = B.cut(connected(_verified(named, rest, width, least).unionByName(comp.toDF("u", "v"))))
 
     whole = meta.select("doc_id", F.col("n").alias("n_shingles"))
     lone = docs.where("doc_id is null").mapInArrow(_sizes(width), "doc_id long, n_shingles long")
