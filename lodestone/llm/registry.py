@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, packing, substring_dedup
+from . import decontaminate, ngram_join, packing, ppm, substring_dedup
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
         "op7_wu_manber_decontamination": decontaminate.op7_wu_manber_decontamination,
         "op9_genetic_packing": packing.op9_genetic_packing,
+        "op10_ppm_scoring": ppm.op10_ppm_scoring,
     }
 
 
