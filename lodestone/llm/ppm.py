@@ -348,7 +348,7 @@ def _score(order: int, parts: int, tokens: int, distinct: int, ends: int):
     return run
 
 
-def score_documents(docs: DataFrame, held_out, order: int = 5) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, order: int = 6) -> DataFrame:
     """log10 probabilities of documents under a PPM model learned from those where ``held_out`` (a boolean Column) is not true.
 
     Returns for each row of docs doc_id, held_out, n_tokens (words and the end), n_known (of these, seen
