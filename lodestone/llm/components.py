@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._bytes import cut
+from ._bytes import cut_small as cut
 
 
 def connected(links: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -281,9 +281,12 @@ def _meet(parts: int):
         led = np.flatnonzero(lead != np.arange(len(lead)))
         led = led[np.lexsort((ids[lead[led]], n[lead[led]], ids[led]))]
         led = led[np.concatenate([[True], ids[led][1:] != ids[led][:-1]])] if len(led) else led
-        for k in range(0, len(led), 1 << 18):
-            some = led[k : k + (1 << 18)]
-            yield _rows([(0, 2, B.pack(ids[some], ids[lead[some]], n[lead[some]]))])
+        part = (B.splitmix(ids[led].view(B.U64)) % B.U64(parts)).astype(np.int64)
+        led = led[np.argsort(part, kind="stable")]
+        edge = np.searchsorted(np.sort(part), np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(edge)).tolist():
+            some = led[edge[p] : edge[p + 1]]
+            yield _rows([(p, 2, B.pack(ids[some], ids[lead[some]], B.shrink(n[lead[some]])))])
         total = np.add.reduceat(B.splitmix(ids.view(B.U64)), begin) + length.astype(B.U64)
         far = (length == 1) | ((length == 2) & (4 * n[begin + length - 1] > 5 * n[begin]))
         _, one = np.unique(np.where(far, B.U64(0), total), return_index=True)
@@ -300,6 +303,18 @@ def _meet(parts: int):
     return run
 
 
+def _first_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document of a partition with the smallest of its leaders, as a pair."""
+    held = [B.unpack(blob.as_py()) for batch in batches for blob in batch.column("blob")]
+    if held:
+        ids, lead, n = (np.concatenate([x[k].astype(np.int64) for x in held]) for k in range(3))
+        order = np.lexsort((lead, n, ids))
+        ids, lead = ids[order], lead[order]
+        first = np.concatenate([[True], ids[1:] != ids[:-1]])
+        ids, lead = ids[first], lead[first]
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids, lead)), pa.array(np.minimum(ids, lead))], ["u", "v"])
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each run of a partition once, as rows."""
     seen: set[int] = set()
@@ -383,10 +398,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> Data
 
 def _members(runs: DataFrame, comp: DataFrame) -> DataFrame:
     """The members, with their components, of runs that hold more than one component; major: the component with most."""
-    member = B.cut(runs.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("run", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")))
+    member = B.cut_small(runs.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("run", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")))
     sized = member.groupBy("run", "comp").agg(F.count("*").alias("c"))
-    major = B.cut(sized.groupBy("run").agg(F.count("*").alias("k"), F.max_by("comp", F.struct("c", "comp")).alias("major")).where("k > 1"))
-    return B.cut(member.join(major, "run").select("run", "doc_id", "n", "comp", "major"))
+    major = B.cut_small(sized.groupBy("run").agg(F.count("*").alias("k"), F.max_by("comp", F.struct("c", "comp")).alias("major")).where("k > 1"))
+    return B.cut_small(member.join(major, "run").select("run", "doc_id", "n", "comp", "major"))
 
 
 _CLOSE = "5 * x.n >= 4 * y.n and 5 * y.n >= 4 * x.n and x.comp <> y.comp"
@@ -396,7 +411,7 @@ _ENDS = ["greatest(x.doc_id, y.doc_id) as u", "least(x.doc_id, y.doc_id) as v"]
 def _leading(member: DataFrame, leaders: int = 3) -> DataFrame:
     """At most ``leaders`` pairs for each document: with documents of other components, drawn by hash, that lead runs of its."""
     draws = [F.min_by(F.struct("doc_id", "n", "comp"), F.xxhash64("doc_id", F.lit(k))) for k in range(leaders)]
-    lead = B.cut(member.groupBy("run").agg(F.array(*draws).alias("y")))
+    lead = B.cut_small(member.groupBy("run").agg(F.array(*draws).alias("y")))
     met = member.join(lead, "run").select(F.struct("doc_id", "n", "comp").alias("x"), "run", F.posexplode("y").alias("k", "y"))
     met = met.where("5 * x.n >= 4 * y.n and 5 * y.n >= 4 * x.n and x.comp <> y.comp")
     one = met.groupBy("x.doc_id", "k").agg(F.min_by(F.struct("x", "y"), F.xxhash64("run", "k")).alias("p"))
@@ -422,6 +437,7 @@ def _bounded(least: int):
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         unit, side, ids, n, comp, major = (rows.column(c).to_numpy() for c in ("unit", "side", "doc_id", "n", "comp", "major"))
         table = np.frombuffer(b"".join(rows.column("histogram").to_pylist()), np.uint16).reshape(-1, 256)
+        run, runs = rows.column("run").to_pylist(), rows.column("runs").to_pylist()
         u, v = [], []
         edge = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]]))
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -432,6 +448,9 @@ def _bounded(least: int):
                 y = ys[fit]
                 most = np.minimum(table[y], table[x]).sum(axis=1, dtype=np.int64)
                 y = y[(100 + least) * most >= least * (n[x] + n[y])]
+                if len(y):  # a pair counts below the first of the runs that it shares
+                    mine = set(runs[x])
+                    y = y[[next(r for r in runs[k] if r in mine) == run[x] for k in y.tolist()]]
                 u.append(np.maximum(ids[y], ids[x]))
                 v.append(np.minimum(ids[y], ids[x]))
         u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
@@ -463,13 +482,14 @@ def _apart(docs: DataFrame, member: DataFrame, width: int, least: int, block: in
     """
     n = B.parts(docs.sparkSession)
     needed = _near(docs, member.select(F.col("doc_id").alias("id"))).mapInArrow(_histograms(width), "doc_id long, histogram binary")
-    size = B.cut(member.groupBy("run").agg(F.ceil(F.count("*") / block).cast("int").alias("ys"), F.ceil(F.count_if(F.expr("comp <> major")) / block).cast("int").alias("xs")))
-    rows = member.join(size, "run").join(needed, "doc_id")
+    size = B.cut_small(member.groupBy("run").agg(F.ceil(F.count("*") / block).cast("int").alias("ys"), F.ceil(F.count_if(F.expr("comp <> major")) / block).cast("int").alias("xs")))
+    of = member.groupBy("doc_id").agg(F.sort_array(F.collect_set("run")).alias("runs"))
+    rows = member.join(size, "run").join(needed.join(of, "doc_id"), "doc_id")
     spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     dealt = lambda c: F.pmod(F.xxhash64("doc_id"), F.col(c)).cast("int")
     x = rows.where("comp <> major").withColumn("i", dealt("xs")).withColumn("j", spread("ys")).withColumn("side", F.lit(0))
     y = rows.withColumn("j", dealt("ys")).withColumn("i", spread("xs")).withColumn("side", F.lit(1))
-    unit = x.unionByName(y).select(F.xxhash64("run", "i", "j").alias("unit"), "side", "doc_id", "n", "comp", "major", "histogram")
+    unit = x.unionByName(y).select(F.xxhash64("run", "i", "j").alias("unit"), "side", "run", "runs", "doc_id", "n", "comp", "major", "histogram")
     unit = unit.repartition(n, "unit").sortWithinPartitions("unit", "side", "doc_id")
     return unit.mapInArrow(_bounded(least), "u long, v long").distinct()
 
@@ -494,20 +514,20 @@ def similar_components(docs: DataFrame, width: int = 5, least: int = 80, sketch_
 
     meta = _rows_of(index, 1, "doc_id", "n", "one", "two")
     full = meta.where("n > 0")
-    chief = B.cut(full.groupBy("n", "one", "two").agg(F.min("doc_id").alias("v"), F.count("*").alias("c")).where("c > 1"))
+    chief = B.cut_small(full.groupBy("n", "one", "two").agg(F.min("doc_id").alias("v"), F.count("*").alias("c")).where("c > 1"))
     equal = full.join(chief, ["n", "one", "two"]).where("doc_id <> v").select(F.col("doc_id").alias("u"), "v")
 
-    led = _rows_of(index, 2, "u", "v", "n").groupBy("u").agg(F.min(F.struct("n", "v")).alias("s"))
-    led = B.cut(led.select(F.greatest("u", "s.v").alias("u"), F.least("u", "s.v").alias("v")).distinct())
+    dealt = lambda kind: index.where(F.col("kind") == kind).repartitionById(n, F.col("part")).select("blob")
+    led = B.cut_small(dealt(2).mapInArrow(_first_leaders, "u long, v long").distinct())
     links = _verified(named, led, width, least).unionByName(equal)
-    comp = B.cut(connected(links))
+    comp = B.cut_small(connected(links))
     tried = led
-    runs = B.cut(index.where("kind = 3").repartitionById(n, F.col("part")).select("blob").mapInArrow(_runs, "run long, doc_id long, n long"))
-    pairs = B.cut(_leading(_members(runs, comp)).join(led, ["u", "v"], "left_anti"))
-    comp = B.cut(connected(_verified(named, pairs, width, least).unionByName(comp.toDF("u", "v"))))
+    runs = B.cut_small(dealt(3).mapInArrow(_runs, "run long, doc_id long, n long"))
+    pairs = B.cut_small(_leading(_members(runs, comp)).join(led, ["u", "v"], "left_anti"))
+    comp = B.cut_small(connected(_verified(named, pairs, width, least).unionByName(comp.toDF("u", "v"))))
     rest = _apart(named, _members(runs, comp), width, least).join(led, ["u", "v"], "left_anti")
-    rest = B.cut(rest.join(pairs, ["u", "v"], "left_anti"))
-    comp = B.cut(connected(_verified(named, rest, width, least).unionByName(comp.toDF("u", "v"))))
+    rest = B.cut_small(rest.join(pairs, ["u", "v"], "left_anti"))
+    comp = B.cut_small(connected(_verified(named, rest, width, least).unionByName(comp.toDF("u", "v"))))
 
     whole = meta.select("doc_id", F.col("n").alias("n_shingles"))
     lone = docs.where("doc_id is null").mapInArrow(_sizes(width), "doc_id long, n_shingles long")
