@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, packing, ppm, substring_dedup
+from . import decontaminate, ngram_join, packing, ppm, sharding, substring_dedup, url_reputation
 
 
 def queries() -> dict:
     return {
         "op3_suffix_tree_dedup": substring_dedup.op3_suffix_tree_dedup,
+        "op5_host_reputation": url_reputation.op5_host_reputation,
         "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
         "op7_wu_manber_decontamination": decontaminate.op7_wu_manber_decontamination,
+        "op8_bounded_ring": sharding.op8_bounded_ring,
         "op9_genetic_packing": packing.op9_genetic_packing,
         "op10_ppm_scoring": ppm.op10_ppm_scoring,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_suffix_tree_dedup": substring_dedup.OP3_SQL, "op6_ngram_jaccard_join": ngram_join.OP6_SQL, "op7_wu_manber_decontamination": decontaminate.OP7_SQL}
+    return {
+        "op3_suffix_tree_dedup": substring_dedup.OP3_SQL,
+        "op5_host_reputation": url_reputation.OP5_SQL,
+        "op6_ngram_jaccard_join": ngram_join.OP6_SQL,
+        "op7_wu_manber_decontamination": decontaminate.OP7_SQL,
+    }
