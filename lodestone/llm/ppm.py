@@ -4,7 +4,8 @@ The model is a trie of byte contexts up to ``order``, with the counts of the sym
 A symbol is coded in the longest context seen in training. By estimation D, of n occurrences there of d
 distinct symbols, a symbol that came c times has (2c - 1) / 2n, and d / 2n is the escape, which is paid
 where the symbol has not followed; the next shorter context is then tried with the symbols of the longer
-one excluded. Below order 0 the bytes that are left are equally likely. A document is its words, A-Z lower-cased, joined by one space, and an end symbol.
+one excluded. Updates are exclusive too: below ``order``, a symbol counts once for each longer context
+that it has followed, as if it were added only where the longer context did not have it yet. Below order 0 the bytes that are left are equally likely. A document is its words, A-Z lower-cased, joined by one space, and an end symbol.
 
 The trie is never in one place. It is divided by the last two bytes of the context, so that a part holds
 whole chains of contexts of order 2 and more; the counts of orders 1 and 0 (65,792 numbers) go to every
@@ -125,12 +126,8 @@ class Order:
         self.distinct = np.diff(np.append(begin, len(key)))
 
     def shorter(self, order: int) -> Order:
-        """The same counts by contexts of one byte less."""
-        key = self.key & B.U64((1 << 8 * (order + 1)) - 1)
-        by = np.argsort(key, kind="stable")
-        key, count = key[by], self.count[by]
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        return Order(key[begin], np.add.reduceat(count, begin) if len(begin) else count)
+        """Contexts of one byte less; a symbol counts once for each longer context that it has followed."""
+        return Order(*np.unique(self.key & B.U64((1 << 8 * (order + 1)) - 1), return_counts=True))
 
     def excluded(self, longer: Order, order: int) -> np.ndarray:
         """For each context of ``longer``: the occurrences, in its suffix of this order, of the symbols that follow it."""
@@ -143,7 +140,7 @@ def code_lengths(unique: np.ndarray, count: np.ndarray, pairs: np.ndarray, order
     """log10 of the probability of each (context, symbol) in unique.
 
     unique and count are complete for the last two context bytes that occur among them; pairs[c, s]
-    counts symbol s after byte c over the whole of training.
+    is the number of contexts of order 2 that end with byte c and that symbol s has followed in training.
     """
     seen = count > 0
     top = Order(unique[seen], count[seen])
@@ -152,7 +149,7 @@ def code_lengths(unique: np.ndarray, count: np.ndarray, pairs: np.ndarray, order
         tables[k] = tables[k + 1].shorter(k)
     c, s = np.nonzero(pairs)
     tables[1] = Order((c * 256 + s).astype(B.U64), pairs[c, s])
-    zero = pairs.sum(axis=0)
+    zero = (pairs > 0).sum(axis=0)
     tables[0] = Order(np.flatnonzero(zero).astype(B.U64), zero[zero > 0])
     out = np.zeros(len(unique))
     left = np.arange(len(unique))
@@ -235,12 +232,10 @@ def _steps(sorted_keys: np.ndarray) -> np.ndarray:
 
 def _ask(order: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = np.zeros(65536, np.int64)
         for batch in batches:
             for name, blob in zip(batch.column("batch").to_pylist(), batch.column("blob"), strict=True):
                 b = Batch(blob.as_py(), order, parts)
                 (gram, gram_n), (word, word_n) = b.asks()
-                np.add.at(pairs, (gram & B.U64(0xFFFF)).astype(np.int64), gram_n)
                 (go, ge), (wo, we) = b.by_part(gram, word)
                 rows = []
                 for p in range(parts):
@@ -250,8 +245,6 @@ def _ask(order: int, parts: int):
                 ends = int((~b.test).sum())
                 rows.append((name % parts, 1, name, B.pack(np.array([ends], np.int64))))
                 yield _rows(rows)
-        each = 65536 // SLICES
-        yield _rows([(k % parts, 2, k, B.pack(B.shrink(pairs[k * each : (k + 1) * each]))) for k in range(SLICES)])
 
     return run
 
@@ -265,23 +258,35 @@ _ASKED = "part int, kind int, name long, blob binary"
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a part: training tokens and distinct ones among its words, ends of documents, and sums of its slices of the pair counts."""
-    tokens, ends, words, slices = 0, 0, [], {}
+    """Of a part: training tokens, distinct ones and ends (slice -1), and its contexts of order 2 by last byte and symbol, in slices."""
+    tokens, ends, words, three = 0, 0, [], []
     for batch in batches:
-        for kind, name, blob in zip(batch.column("kind").to_pylist(), batch.column("name").to_pylist(), batch.column("blob"), strict=True):
+        for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
             arrays = B.unpack(blob.as_py())
             if kind == 0:
-                word, n = np.cumsum(arrays[2], dtype=B.U64), arrays[3].astype(np.int64)
+                gram, word, n = np.cumsum(arrays[0], dtype=B.U64), np.cumsum(arrays[2], dtype=B.U64), arrays[3].astype(np.int64)
                 tokens += int(n.sum())
                 words.append(word[n > 0])
-            elif kind == 1:
-                ends += int(arrays[0][0])
+                three.append(np.unique(gram[arrays[1] > 0] & B.U64(0xFFFFFF)))
             else:
-                slices[name] = slices.get(name, 0) + arrays[0].astype(np.int64)
+                ends += int(arrays[0][0])
     distinct = len(np.unique(np.concatenate(words))) if words else 0
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([-1, *slices], pa.int64()), pa.array([[tokens, distinct, ends], *[x.tolist() for x in slices.values()]], pa.list_(pa.int64()))], ["slice", "n"]
-    )
+    three = np.unique(np.concatenate(three)) if three else np.zeros(0, B.U64)
+    pairs = np.bincount((three & B.U64(0xFFFF)).astype(np.int64), minlength=65536).reshape(SLICES, -1)
+    rows = [(-1, B.pack(np.array([tokens, distinct, ends], np.int64))), *[(k, B.pack(x)) for k, x in enumerate(pairs) if x.any()]]
+    name, blob = zip(*rows, strict=True)
+    yield pa.RecordBatch.from_arrays([pa.array(name, pa.int32()), pa.array(blob, pa.binary())], ["slice", "blob"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of each slice's arrays."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, blob in zip(batch.column("slice").to_pylist(), batch.column("blob"), strict=True):
+            (x,) = B.unpack(blob.as_py())
+            sums[k] = sums[k] + x if k in sums else x
+    for k, x in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([B.pack(x)], pa.binary())], ["slice", "blob"])
 
 
 def _answer(shared, order: int):
@@ -348,7 +353,7 @@ def _score(order: int, parts: int, tokens: int, distinct: int, ends: int):
     return run
 
 
-def score_documents(docs: DataFrame, held_out, order: int = 6) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, order: int = 5) -> DataFrame:
     """log10 probabilities of documents under a PPM model learned from those where ``held_out`` (a boolean Column) is not true.
 
     Returns for each row of docs doc_id, held_out, n_tokens (words and the end), n_known (of these, seen
@@ -364,14 +369,11 @@ def score_documents(docs: DataFrame, held_out, order: int = 6) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     batches = B.cut(rows.mapInArrow(_batches, "batch long, blob binary"))
     asked = B.cut(batches.mapInArrow(_ask(order, n), _ASKED).repartitionById(n, F.col("part")))
-    tokens, distinct, pairs = np.zeros(3, np.int64), 0, np.zeros((SLICES, 65536 // SLICES), np.int64)
-    for row in asked.mapInArrow(_totals, "slice long, n array<long>").toLocalIterator():
-        if row.slice < 0:
-            tokens += row.n
-        else:
-            pairs[row.slice] = row.n
-    ends = int(tokens[2])
-    train, distinct = int(tokens[0]) + ends, int(tokens[1]) + (ends > 0)
+    sums = asked.mapInArrow(_totals, "slice int, blob binary").repartitionById(SLICES + 1, F.col("slice") + 1).mapInArrow(_added, "slice int, blob binary")
+    sums = {row.slice: B.unpack(row.blob)[0] for row in sums.collect()}  # SLICES + 1 rows of bounded size
+    tokens, distinct, ends = sums.get(-1, np.zeros(3, np.int64)).tolist()
+    train, distinct = tokens + ends, distinct + (ends > 0)
+    pairs = np.stack([sums.get(k, np.zeros(65536 // SLICES, np.int64)) for k in range(SLICES)])
     shared = docs.sparkSession.sparkContext.broadcast(pairs.reshape(256, 256))
     answers = asked.mapInArrow(_answer(shared, order), _ASKED)
     texts = batches.select(F.lit(0).alias("part"), F.lit(1).alias("kind"), F.col("batch").alias("name"), "blob")

@@ -24,10 +24,12 @@ def brute(rows, held, order):
         if not h:
             b = body(t)
             for i in range(order, len(b)):
-                for k in range(order + 1):
-                    after[b[i - k : i]][b[i]] += 1
+                after[b[i - order : i]][b[i]] += 1
             counts.update([*words(t), "\n"])
             n += len(words(t)) + 1
+    for k in range(order - 1, -1, -1):
+        for longer in [x for x in after if len(x) == k + 1]:
+            after[longer[1:]].update(after[longer].keys())
     out = []
     for (i, t), h in zip(rows, held, strict=True):
         b, score = body(t), 0.0
