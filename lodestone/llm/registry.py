@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, ngram_join, packing, ppm, sharding, substring_dedup, url_reputation
+from . import ann, decontaminate, language, ngram_join, packing, ppm, sharding, substring_dedup, url_reputation
 
 
 def queries() -> dict:
     return {
         "op1_one_bit_neighbours": ann.op1_one_bit_neighbours,
+        "op2_hyperdimensional_language": language.op2_hyperdimensional_language,
         "op3_suffix_tree_dedup": substring_dedup.op3_suffix_tree_dedup,
         "op5_host_reputation": url_reputation.op5_host_reputation,
         "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
