@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, language, ngram_join, packing, ppm, sharding, substring_dedup, url_reputation
+from . import ann, decontaminate, language, ngram_join, packing, ppm, sharding, substring_dedup, toxicity, url_reputation
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_one_bit_neighbours": ann.op1_one_bit_neighbours,
         "op2_hyperdimensional_language": language.op2_hyperdimensional_language,
         "op3_suffix_tree_dedup": substring_dedup.op3_suffix_tree_dedup,
+        "op4_boosted_toxicity": toxicity.op4_boosted_toxicity,
         "op5_host_reputation": url_reputation.op5_host_reputation,
         "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
         "op7_wu_manber_decontamination": decontaminate.op7_wu_manber_decontamination,
@@ -22,6 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op3_suffix_tree_dedup": substring_dedup.OP3_SQL,
+        "op4_boosted_toxicity": toxicity.op4_boosted_toxicity,
         "op5_host_reputation": url_reputation.OP5_SQL,
         "op6_ngram_jaccard_join": ngram_join.OP6_SQL,
         "op7_wu_manber_decontamination": decontaminate.OP7_SQL,
