@@ -151,7 +151,7 @@ class Patterns:
         return np.cumsum(cover)[:-1] > 0, items
 
 
-def _scan(items, width: int, last: bool):
+def _scan(items, width: int, last: bool, keep: list[str], text: bool):
     """One block of items over the documents; what earlier blocks hit comes in and goes out with the text."""
     tables: list[Patterns] = []
 
@@ -168,12 +168,12 @@ def _scan(items, width: int, last: bool):
                 if before:
                     hit |= np.frombuffer(b"".join(before["hit"].slice(lo, hi - lo).to_pylist()), bool)
                     mine = [x + y for x, y in zip(before["items"].slice(lo, hi - lo).to_pylist(), mine, strict=True)]
-                docs = batch.column("doc_id").slice(lo, hi - lo)
+                docs, kept = batch.column("doc_id").slice(lo, hi - lo), [batch.column(c).slice(lo, hi - lo) for c in keep]
                 if not last:
                     bits = hit.tobytes()
                     cover = [bits[x:y] for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [docs, batch.column("text").slice(lo, hi - lo), pa.array(cover, pa.binary()), pa.array(mine, pa.list_(pa.string()))], ["doc_id", "text", "hit", "items"]
+                        [docs, batch.column("text").slice(lo, hi - lo), *kept, pa.array(cover, pa.binary()), pa.array(mine, pa.list_(pa.string()))], ["doc_id", "text", *keep, "hit", "items"]
                     )
                     continue
                 total = np.concatenate([[0], np.cumsum(hit)])
@@ -188,8 +188,10 @@ def _scan(items, width: int, last: bool):
                         pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in mine], pa.string()),
                         pa.array(mine, pa.list_(pa.string())),
                         pa.array(n_hit > 0),
+                        *([batch.column("text").slice(lo, hi - lo)] if text else []),
+                        *kept,
                     ],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated"],
+                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated", *["text"] * text, *keep],
                 )
 
     return run
@@ -208,12 +210,12 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list, bool
     yield block, True
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 8 << 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """Which words of each document lie inside an occurrence of a window of a benchmark item.
 
     docs: doc_id, text (other columns are ignored); benchmark: item_id, text. Returns for each row of
-    docs doc_id, n_words, n_hit, n_items, items_sha256, items (array of item ids as strings) and
-    contaminated; no shuffle, one pass over the texts.
+    docs doc_id, n_words, n_hit, n_items, items_sha256, items (array of item ids as strings),
+    contaminated and the ``keep`` columns, but those with a name of a result column; no shuffle, one pass over the texts.
 
     What is broadcast is bounded: items go out in blocks of ``block_bytes`` of item text (or one item).
     A benchmark of one block takes one pass; each further block takes another pass, which adds to what
@@ -222,12 +224,18 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block
     items and documents each count for themselves; equal item ids are reported as often as they occur.
     An empty benchmark hits nothing.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select("doc_id", "text")
+    result = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated", "hit")
+    text, keep = "text" in keep, [c for c in dict.fromkeys(keep) if c not in (*result, "text")]
+    found = docs.select("doc_id", "text", *keep)
+    kinds = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema}
     context = docs.sparkSession.sparkContext
     for items, last in _blocks(benchmark, block_bytes):
-        schema = "n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean" if last else "text string, hit binary, items array<string>"
-        found = found.mapInArrow(_scan(context.broadcast(items), width, last), f"doc_id {kind}, {schema}")
+        mine = "n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean"
+        if last:
+            schema = [kinds["doc_id"], mine, *[kinds["text"]] * text, *[kinds[c] for c in keep]]
+        else:
+            schema = [kinds["doc_id"], kinds["text"], *[kinds[c] for c in keep], "hit binary, items array<string>"]
+        found = found.mapInArrow(_scan(context.broadcast(items), width, last, keep, text), ", ".join(schema))
         found = found if last else B.cut(found)
     return found
 
