@@ -1,15 +1,294 @@
-"""Every query of the engine by name, and SQL that gives the same rows."""
+"""Every query of the engine by name. Each takes (spark, sf_dir); ``oracles`` has SQL that gives the same rows.
+
+The carriers are the synthetic tables, so lexicons here are of their vocabulary; the rules are the same.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from ..functions import chunking, text as X
+from ..operators import answers, dialogue, documents, retrieval, rules
+from . import oracles
+
+# The carriers' lexicons.
+ROUTES = {"alpha": ["tion", "the and", "ing"], "beta": ["que", "les", "eau"], "gamma": ["sch", "keit", "der "], "delta": ["ción", "ara", "mente"]}
+NODES = {"first": ["the", "and", "of the"], "second": ["der", "die", "in die"], "third": ["les", "que", "de la"], "fourth": ["que", "los", "de la"]}
+BONUS = {"third": ["eau", "ette"]}
+STEPS = {"first": 2, "second": 1, "third": 3}
+OFFENSIVE = ["the|and|le", "und|der"]
+AGREE, NEXT, STOP = ["the", "in", "et", "le"], ["tion", "eau", "ung"], ["ingly", "eux", "heit"]
+WORDS, PHRASES = ["that it."], ["and the", "de la", "in der"]
+PORTAL = "https://ththan.example.com"
+CATEGORIES = {"x": ["thnt", "edou", "erst"], "y": ["aux", "onen"], "z": ["tzst", "ción"]}
+ROLES = {"user": "Customer", "assistant": "Assistant", "system": "Service"}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def doc_quality_filter(spark, d):
+    """Pages without stubs, with their document type."""
+    from ..sources.readers import keep_content
+
+    p = keep_content(read(spark, d, "pages").withColumn("clean", X.clean_html("html")), "html", "clean")
+    return p.select("page_id", F.length("clean").cast("long").alias("n_chars"), X.document_type("url").alias("doc_type"))
+
+
+def html_clean(spark, d):
+    clean = X.clean_html("html")
+    return read(spark, d, "pages").select("page_id", F.length(clean).cast("long").alias("n_chars"), F.md5(clean).alias("md5"))
+
+
+def content_dedup_first(spark, d):
+    return documents.first_of_equal(read(spark, d, "documents"), "text", ["doc_id"]).select("doc_id", "source")
+
+
+def basic_normalize(spark, d):
+    out = X.normalize_basic("text")
+    return read(spark, d, "documents").select("doc_id", F.length(out).cast("long").alias("n_chars"), F.md5(out).alias("md5"))
+
+
+def _split(spark, d):
+    made = read(spark, d, "documents").select("doc_id", "lang", "source", chunking.split("text").alias("c"))
+    return made.select("doc_id", "lang", "source", F.size("c").cast("long").alias("chunk_count"), F.posexplode("c").alias("i", "chunk")).withColumn("chunk_index", F.col("i").cast("long"))
+
+
+def split_text_chunks(spark, d):
+    return _split(spark, d).select("doc_id", "chunk_index", "chunk_count", F.length("chunk").cast("long").alias("n_chars"), F.md5("chunk").alias("md5"))
+
+
+def chunk_prefix_and_ids(spark, d):
+    body = F.concat(F.lit("[Документ: "), "source", F.lit(" | Раздел: "), "lang", F.lit("]\n\n"), X.strip("text"))
+    doc = read(spark, d, "documents").withColumn("body", body)
+    return doc.select("doc_id", F.md5("body").alias("md5"), X.chunk_id("docs", "doc_id", F.lit(0), "body").alias("chunk_id"))
+
+
+def chunk_category_stats(spark, d):
+    df = read(spark, d, "documents").select(F.col("source").alias("category"), "text", X.image_links("text").alias("images"))
+    return documents.chunk_statistics(df)
+
+
+def structured_chunks(spark, d):
+    """Chunks of documents as instructions, or statutes where the language is German."""
+    df = read(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.lit("").alias("url"), F.col("lang").alias("category"), F.when(F.col("lang") == "de", "legislation").otherwise("instruction").alias("doc_type"), "text")
+    return chunking.chunks(df).groupBy("category", "doc_type").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("docs"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+def keyword_route(spark, d):
+    top = rules.best("text", ROUTES)
+    return read(spark, d, "conversations").select("conv_id", "turn", top.getField("name").alias("category"), F.coalesce(top.getField("score"), F.lit(0)).cast("long").alias("score"))
+
+
+def graph_node_match(spark, d):
+    top = rules.graph_node("text", NODES, BONUS)
+    return read(spark, d, "conversations").select("conv_id", "turn", top.getField("name").alias("node"), top.getField("score").alias("score"))
+
+
+def guardrail_flags(spark, d):
+    g = rules.guardrail("text", OFFENSIVE)
+    return read(spark, d, "conversations").select("conv_id", "turn", g.getField("is_blocked").alias("is_blocked"), g.getField("reason").alias("reason"))
+
+
+def _flags(spark, d):
+    lex = {"offensive": ["zzz"], "words": WORDS, "phrases": PHRASES, "agree": AGREE, "next": NEXT, "stop": STOP, "nodes": NODES, "bonus": BONUS}
+    return dialogue.flags(read(spark, d, "conversations"), "text", lex)
+
+
+def trigger_flags(spark, d):
+    return _flags(spark, d).select("conv_id", "turn", "escalate", "agree", "next", "stop")
+
+
+def term_expand(spark, d):
+    terms = {"the": "definite article", "der": "männlicher Artikel", "les": "article défini pluriel", "of the": "genitive"}
+    out = X.expand_terms("text", terms)
+    return read(spark, d, "conversations").select("conv_id", "turn", F.size(X.present_terms("text", terms)).cast("long").alias("terms"), F.length(out).cast("long").alias("n_chars"), F.md5(out).alias("md5"))
+
+
+def canonical_url(spark, d):
+    return read(spark, d, "pages").select("page_id", X.canonical_url("url", PORTAL).alias("url"))
+
+
+def extract_urls(spark, d):
+    said = F.concat(F.lit("see ["), F.col("page_id").cast("string"), F.lit("]("), "url", F.lit(") and "), "url", F.lit(". or http://x.example/"), F.col("page_id").cast("string"), F.lit(", too"))
+    return read(spark, d, "pages").select("page_id", F.array_join(X.urls(said), " ").alias("urls"))
+
+
+def image_links(spark, d):
+    said = F.concat(F.lit("![a](img/"), F.col("page_id").cast("string"), F.lit(".png) <IMG alt='x' src='"), "url", F.lit("'> ![b](data:1) <img src=\"img/"), F.col("page_id").cast("string"), F.lit('.png">'))
+    return read(spark, d, "pages").select("page_id", F.array_join(X.image_links(said), " ").alias("images"))
+
+
+def _asked(spark, d):
+    return read(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def dense_topk(spark, d):
+    return retrieval.dense(_asked(spark, d), read(spark, d, "embeddings"), "query_id", "vec_id", "embedding", 5).select("query_id", "vec_id", "score", "rank")
+
+
+def dense_threshold_filter(spark, d):
+    """A label is filtered before the search, scores below a threshold are dropped."""
+    points = read(spark, d, "embeddings").where("label = 3")
+    return retrieval.dense(_asked(spark, d), points, "query_id", "vec_id", "embedding", 24, threshold=0.1).select("query_id", "vec_id", "score", "rank")
+
+
+def vector_norms(spark, d):
+    v = read(spark, d, "embeddings")
+    return v.select("vec_id", F.size("embedding").cast("long").alias("dimension"), F.round(X.norm("embedding"), 6).alias("norm"), F.round(X.l2_normalized("embedding")[0], 6).alias("first"))
+
+
+def bm25_topk(spark, d):
+    hits = retrieval.bm25(read(spark, d, "documents"), read(spark, d, "benchmark"), "doc_id", "item_id", k=5)
+    return hits.select("item_id", "doc_id", "score", "rank")
+
+
+def _hybrid(spark, d, k=8):
+    docs, items = read(spark, d, "documents"), read(spark, d, "benchmark")
+    lists = [retrieval.bm25(docs, items, "doc_id", "item_id", k=k, b=b) for b in (0.75, 0.0)]
+    return retrieval.fuse(lists, "item_id", "doc_id", k)
+
+
+def hybrid_rrf_topk(spark, d):
+    """Two sparse rankings, with and without length normalisation, fused."""
+    return _hybrid(spark, d).select("item_id", "doc_id", "score", "rank")
+
+
+def _final(spark, d):
+    hits = _hybrid(spark, d).join(read(spark, d, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    hits = hits.withColumn("wanted", F.when(F.col("item_id") % 3 == 0, "fr").when(F.col("item_id") % 3 == 1, "en"))
+    boost = F.when(F.lower("text").contains("tion"), 0.5).otherwise(0.0)
+    return retrieval.boost_and_filter(hits, "item_id", boost, "lang", "wanted", 4)
+
+
+def hybrid_boost_postfilter_fallback(spark, d):
+    return _final(spark, d).select("item_id", "doc_id", "score", "final_rank", "fell_back")
+
+
+def context_listagg(spark, d):
+    got = answers.context(_final(spark, d).withColumn("text", F.substring("text", 1, 500)), "item_id", "final_rank", "source", "lang", "text")
+    return got.select("item_id", F.md5("context").alias("md5"))
+
+
+def citation_dedup(spark, d):
+    p = read(spark, d, "pages").select("page_id", F.regexp_extract("url", "example[.]([a-z]+)", 1).alias("query"), F.regexp_extract("url", "://([^/]+)", 1).alias("host"))
+    return answers.citations(p, "query", "host", "page_id").select("query", "host", "page_id")
+
+
+def recent_history(spark, d):
+    return answers.history(read(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "back")
+
+
+def context_relevance(spark, d):
+    """Do two longer words of a message occur in the one before it?"""
+    c = read(spark, d, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return c.select("conv_id", "turn", rules.relevant("text", "before").alias("relevant"))
+
+
+def least_loaded_agent(spark, d):
+    load = answers.least_loaded(read(spark, d, "supplier"), read(spark, d, "lineitem"), "s_suppkey", "l_suppkey")
+    return load.withColumn("place", F.row_number().over(Window.orderBy("active_chats", "s_suppkey")).cast("long"))
+
+
+def workflow_replay(spark, d):
+    return dialogue.replay(_flags(spark, d), "conv_id", "turn", STEPS)
+
+
+def token_stream_assemble(spark, d):
+    return dialogue.assembled(dialogue.token_events(read(spark, d, "conversations"), "conv_id", "turn", "text"), "conv_id", "turn").select("conv_id", "turn", "n_tokens", F.md5("all_text").alias("md5"))
+
+
+def cache_lookup_ttl(spark, d):
+    """Events as requests: each type and user asks the same; the first answer of a day is cached for an hour."""
+    e = read(spark, d, "events").withColumn("message", F.concat("event_type", F.lit(" "), F.col("user_id").cast("string")))
+    first = e.groupBy("message").agg(F.min("ts").alias("at"), F.min_by("event_id", "ts").cast("string").alias("answer"))
+    cache = first.select(F.md5(F.lower(F.trim("message"))).alias("cache_key"), "answer", F.expr("at + interval 1 hour").alias("expires_at"))
+    return answers.cached(e, cache, "message", "ts").select("event_id", "hit", "answer")
+
+
+def dataset_profile(spark, d):
+    return documents.profile(read(spark, d, "documents"), "text", "lang")
+
+
+def latency_percentiles(spark, d):
+    return documents.latency(read(spark, d, "events"), "value", "event_type")
+
+
+def enum_display(spark, d):
+    shown = F.create_map(*[F.lit(v) for p in ROLES.items() for v in p])
+    return read(spark, d, "conversations").select("conv_id", "turn", F.coalesce(shown[F.col("role")], F.col("role")).alias("role_display"))
+
+
+def qa_pass_summary(spark, d):
+    p = read(spark, d, "pages").select("page_id", F.col("html").alias("answer"), F.array("url").alias("urls"), (F.col("page_id") % 7 == 0).cast("int").alias("missing"))
+    checked = documents.checks(p, "http://blog", "spam")
+    return checked.agg(F.count("*").alias("total"), F.count_if("passed").alias("passed"), F.countDistinct(F.col("urls")[0]).alias("distinct_urls"), F.sum("off_portal").alias("off_portal"), F.sum("mentions").alias("mentions"))
+
+
+def text_category(spark, d):
+    return read(spark, d, "documents").select("doc_id", rules.category("text", CATEGORIES).alias("category"))
+
+
+def message_validation(spark, d):
+    return read(spark, d, "conversations").select("conv_id", "turn", rules.valid_message("text").alias("valid"))
+
+
+def state_update(spark, d):
+    """Chats (customers) after a batch of partial updates (their orders' totals)."""
+    old = read(spark, d, "customer").select("c_custkey", "c_mktsegment", F.round("c_acctbal", 2).alias("c_acctbal"))
+    new = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.max("o_totalprice"), 2).alias("c_acctbal"))
+    return answers.updated(old, new, "c_custkey")
+
+
+def upsert_by_id(spark, d):
+    """The table after an upsert of the French documents with new sources."""
+    docs = read(spark, d, "documents").select("doc_id", "lang", "source")
+    new = docs.where("lang = 'fr'").withColumn("source", F.lit("new"))
+    return docs.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
+
+
+def answer_repair(spark, d):
+    """Links to unknown addresses lose them; short answers get the first lines of the source."""
+    p = read(spark, d, "pages")
+    said = F.concat(F.lit("A ["), F.col("page_id").cast("string"), F.lit("]("), "url", F.lit(") and [x](http://unknown.example/y).")) 
+    fixed = answers.known_links(said, F.array("url"))
+    short = F.when(F.col("page_id") % 2 == 0, F.lit("  no ")).otherwise(fixed)
+    return p.select("page_id", F.when(answers.invalid_answer(short), answers.fallback_answer(F.concat(F.lit("\n \na\n"), "url", F.lit("\nb\nc\nd\ne\nf")))).otherwise(short).alias("answer"))
+
+
+def model_output_clean(spark, d):
+    said = F.concat(F.lit("```text\nnoise\nSearch_Query:  "), F.col("item_id").cast("string"), F.lit(" x \nmore\n```"))
+    return read(spark, d, "benchmark").select("item_id", X.clean_model_output(said).alias("marked"), X.strip_query_prefix(X.clean_model_output(F.concat(F.lit("\n\n plain "), F.col("item_id").cast("string"), F.lit(" \nz")))).alias("plain"))
+
+
+def first_documents(spark, d):
+    """The first ten documents in source order."""
+    return read(spark, d, "documents").orderBy("doc_id").limit(10).select("doc_id", "source")
+
+
+def preferred_model(spark, d):
+    return documents.first_preferred(read(spark, d, "part").select("p_brand").distinct(), "p_brand", ["#9", "#55", "#4"])
+
+
+_NAMES = [
+    "doc_quality_filter", "html_clean", "content_dedup_first", "basic_normalize", "split_text_chunks", "chunk_prefix_and_ids", "chunk_category_stats", "structured_chunks", "keyword_route", "graph_node_match",
+    "guardrail_flags", "trigger_flags", "term_expand", "canonical_url", "extract_urls", "image_links", "dense_topk", "dense_threshold_filter", "vector_norms", "bm25_topk", "hybrid_rrf_topk",
+    "hybrid_boost_postfilter_fallback", "context_listagg", "citation_dedup", "recent_history", "context_relevance", "least_loaded_agent", "workflow_replay", "token_stream_assemble", "cache_lookup_ttl",
+    "dataset_profile", "latency_percentiles", "enum_display", "qa_pass_summary", "text_category", "message_validation", "state_update", "upsert_by_id", "answer_repair", "model_output_clean", "first_documents", "preferred_model",
+]
+
 
-def entry(spark, sf_dir):
-    return spark.range(1)
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 top-5 chunks of the first benchmark item."""
+    chunks = _split(spark, sf_dir).select(F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk"), F.col("chunk").alias("text"))
+    item = read(spark, sf_dir, "benchmark").orderBy("item_id").limit(1)
+    return retrieval.bm25(chunks, item, "chunk", "item_id", k=5).select("item_id", "chunk", "score", "rank")
 
 
 def queries() -> dict:
-    return {}
+    return {n: globals()[n] for n in _NAMES}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return oracles.sql()
