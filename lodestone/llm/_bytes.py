@@ -1,6 +1,6 @@
 """Vectorised UTF-8 text handling shared by the operators of this subpackage.
 
-Texts arrive as Arrow string columns. They are processed in slices of a few megabytes so that the
+Texts arrive as Arrow string columns. They are processed in slices of about a megabyte so that the
 numpy temporaries (about 8 bytes for each byte of text) stay small whatever the batch holds; one
 document is never divided, so a single very long text makes one larger slice.
 """
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 

@@ -61,11 +61,12 @@ def _count(width: int, bits: int):
     """Counts of hashed shingles over a task, as blobs of equal parts of the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, np.uint32)
+        table = np.zeros(1 << bits, np.uint16)  # a task's counts stop at the type's largest
         for batch in batches:
             for _lo, _hi, data, offsets in B.text_slices(batch.column("text")):
                 key, _doc = shingles(data, offsets, width)
-                np.add.at(table, (key >> B.U64(64 - bits)).astype(np.int64), np.uint32(1))
+                at, n = np.unique((key >> B.U64(64 - bits)).astype(np.int32 if bits < 32 else np.int64), return_counts=True)
+                table[at] = np.minimum(table[at] + n, 65535)
         each = len(table) // SKETCH_PARTS
         for k in range(SKETCH_PARTS):
             part = table[k * each : (k + 1) * each]
