@@ -438,7 +438,9 @@ def _bounded(least: int):
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         unit, side, ids, n, comp, major = (rows.column(c).to_numpy() for c in ("unit", "side", "doc_id", "n", "comp", "major"))
         table = np.frombuffer(b"".join(rows.column("histogram").to_pylist()), np.uint16).reshape(-1, 256)
-        run, runs = rows.column("run").to_pylist(), rows.column("runs").to_pylist()
+        run, runs = rows.column("run").to_numpy(), rows.column("runs").combine_chunks()
+        runs = runs if isinstance(runs, pa.Array) else runs.chunk(0)
+        of, start = runs.flatten().to_numpy(), np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy())])
         u, v = [], []
         edge = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]]))
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -450,8 +452,8 @@ def _bounded(least: int):
                 most = np.minimum(table[y], table[x]).sum(axis=1, dtype=np.int64)
                 y = y[(100 + least) * most >= least * (n[x] + n[y])]
                 if len(y):  # a pair counts below the first of the runs that it shares
-                    mine = set(runs[x])
-                    y = y[[next(r for r in runs[k] if r in mine) == run[x] for k in y.tolist()]]
+                    mine = set(of[start[x] : start[x + 1]].tolist())
+                    y = y[[next(r for r in of[start[k] : start[k + 1]].tolist() if r in mine) == run[x] for k in y.tolist()]]
                 u.append(np.maximum(ids[y], ids[x]))
                 v.append(np.minimum(ids[y], ids[x]))
         u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
