@@ -96,8 +96,11 @@ def union(*sources: DataFrame) -> DataFrame:
 def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of files that are a JSON document, an array of them, or one to a line; what is no object is dropped."""
     whole = spark.read.text(path, wholetext=True).select(X.strip("value").alias("v"))
-    array = F.from_json("v", f"array<string>")
-    one = F.when(F.col("v").startswith("["), array).when(F.try_parse_json("v").isNotNull(), F.array("v")).otherwise(F.split("v", r"\r?\n"))
+    array = F.from_json("v", "array<string>")
+    lines = F.split("v", r"\r?\n")
+    whole_line = lambda x: x.startswith("{") & F.try_parse_json(x).isNotNull()
+    by_line = F.coalesce(whole_line(F.element_at(lines, 1)) | whole_line(F.element_at(lines, -1)), F.lit(False))
+    one = F.when(F.col("v").startswith("["), array).when(by_line, lines).otherwise(F.array("v"))
     rows = whole.select(F.explode(one).alias("r")).where(X.strip("r").startswith("{"))
     return rows.select(F.from_json("r", schema).alias("r")).where("r is not null").select("r.*")
 
