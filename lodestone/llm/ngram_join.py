@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import _bytes as B
 from .components import connected
 
+#: A signature that more documents of one chunk share than this is dealt to several partitions.
+HEAVY = 64
 CHUNK_BYTES = 8 << 20
 SKETCH_PARTS = 64
 #: Frequent tokens: counted more than this many times the mean count (and 64).
@@ -166,7 +168,7 @@ def signatures(key: np.ndarray, doc: np.ndarray, rows: int, table: np.ndarray, f
     return np.concatenate([key[good], *more]), np.concatenate([doc[good], *where])
 
 
-def _index(width: int, least: int, parts: int, shared):
+def _index(width: int, least: int, parts: int, shared, heavy_from: int, chunk_bytes: int):
     """What a chunk gives: every document's size and set sum (part -1 - k), and the signatures of one document of each set, dealt by hash."""
 
     def flush(held, metas) -> Iterator[pa.RecordBatch]:
@@ -184,17 +186,25 @@ def _index(width: int, least: int, parts: int, shared):
         who = rank[who]  # documents by id, so that ids make short differences
         ids_by, n_by = ids[by], n[by]
         part = (sig % B.U64(parts)).astype(np.int64)
-        order = np.lexsort((who, part))
-        edge = np.searchsorted(part[order], np.arange(parts + 1))
         rows = [(int(ids[0]) % parts, 1, B.pack(ids, n, one, two))]
-        for p in np.flatnonzero(np.diff(edge)).tolist():
-            at = order[edge[p] : edge[p + 1]]
-            docs, counts = np.unique(who[at], return_counts=True)
-            base = ids_by[docs]
-            rows.append((p, 0, B.pack(sig[at], base[:1], B.shrink(np.diff(base)), B.shrink(n_by[docs]), B.shrink(counts))))
-            if len(rows) >= 64:
-                yield _rows(rows)
-                rows = []
+        # what many documents of this chunk share is dealt by chunk as well; the home partition gets a mark, one document
+        unique, back, times = np.unique(sig, return_inverse=True, return_counts=True)
+        often = (times > heavy_from)[back]
+        salt = B.splitmix(ids_by[:1].view(B.U64) + B.U64(len(sig)))
+        spread = (B.splitmix(sig ^ salt) % B.U64(parts)).astype(np.int64)
+        heavy = np.flatnonzero(often)
+        first = heavy[np.unique(back[heavy], return_index=True)[1]]
+        for kind, at_all, to in ((0, np.flatnonzero(~often), part), (4, heavy, spread), (5, first, part)):
+            order = at_all[np.lexsort((who[at_all], to[at_all]))]
+            edge = np.searchsorted(to[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(edge)).tolist():
+                at = order[edge[p] : edge[p + 1]]
+                docs, counts = np.unique(who[at], return_counts=True)
+                base = ids_by[docs]
+                rows.append((p, kind, B.pack(sig[at], base[:1], B.shrink(np.diff(base)), B.shrink(n_by[docs]), B.shrink(counts))))
+                if len(rows) >= 64:
+                    yield _rows(rows)
+                    rows = []
         if rows:
             yield _rows(rows)
 
@@ -217,7 +227,7 @@ def _index(width: int, least: int, parts: int, shared):
                 metas.append((ids[lo:hi], n, *sums))
                 base += rows
                 size += len(data)
-                if size >= CHUNK_BYTES:
+                if size >= chunk_bytes:
                     yield from flush(held, metas)
                     held, metas, size, base = [], [], 0, 0
         if metas:
@@ -245,10 +255,15 @@ def _leaders(n: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def _meet(parts: int):
-    """Below each signature of a partition: every document's smallest leader (kind 2), and the runs, each set of members once (kind 3, dealt by run)."""
+    """Below each signature of a partition: every document's smallest leader (kind 2), and the runs (kind 3, dealt by run, each set of members once).
+
+    Signatures of kind 4 are frequent ones, of which this partition has the documents of some chunks only;
+    those of kind 5 are marks, one document a chunk, that tell their home partition so. Their runs are
+    named by the signature (kind 6), so that the parts of one run meet again as rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held: dict[int, list] = {0: [], 4: [], 5: []}
         for batch in batches:
             for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
                 if kind == 1:
@@ -257,53 +272,68 @@ def _meet(parts: int):
                 sig, base, step, n, counts = B.unpack(blob.as_py())
                 ids = np.cumsum(np.concatenate([base, step.astype(np.int64)]))
                 counts = counts.astype(np.int64)
-                held.append((sig, np.repeat(ids, counts), np.repeat(n.astype(np.int64), counts)))
-        if not held:
-            return
-        sig, ids, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        del held
-        order = np.argsort(sig)
-        sig = sig[order]
-        more = np.zeros(len(sig), bool)
-        more[1:] = sig[1:] == sig[:-1]
-        more[:-1] |= more[1:]
-        order, sig = order[more], sig[more]
-        ids, n = ids[order], n[order]
-        order = np.lexsort((ids, n, sig))
-        sig, ids, n = sig[order], ids[order], n[order]
-        fresh = np.ones(len(sig), bool)
-        fresh[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
-        sig, ids, n = sig[fresh], ids[fresh], n[fresh]
-        if not len(sig):
-            return
-        begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        length = np.diff(np.append(begin, len(sig)))
-        lead = _leaders(n, begin)
-        led = np.flatnonzero(lead != np.arange(len(lead)))
-        led = led[np.lexsort((ids[lead[led]], n[lead[led]], ids[led]))]
-        led = led[np.concatenate([[True], ids[led][1:] != ids[led][:-1]])] if len(led) else led
-        part = (B.splitmix(ids[led].view(B.U64)) % B.U64(parts)).astype(np.int64)
-        led = led[np.argsort(part, kind="stable")]
-        edge = np.searchsorted(np.sort(part), np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(edge)).tolist():
-            some = led[edge[p] : edge[p + 1]]
-            yield _rows([(p, 2, B.pack(ids[some], ids[lead[some]], B.shrink(n[lead[some]])))])
-        total = np.add.reduceat(B.splitmix(ids.view(B.U64)), begin) + length.astype(B.U64)
-        far = (length == 1) | ((length == 2) & (4 * n[begin + length - 1] > 5 * n[begin]))
-        _, one = np.unique(np.where(far, B.U64(0), total), return_index=True)
-        one = one[~far[one]]
-        part = (total[one] % B.U64(parts)).astype(np.int64)
-        one = one[np.argsort(part, kind="stable")]
-        edge = np.searchsorted(np.sort(part), np.arange(parts + 1))
-        for p in np.flatnonzero(np.diff(edge)).tolist():
-            runs = one[edge[p] : edge[p + 1]]
-            size = length[runs]
-            at = np.arange(int(size.sum())) + np.repeat(begin[runs] - np.cumsum(size) + size, size)
-            yield _rows([(p, 3, B.pack(total[runs], B.shrink(size), ids[at], B.shrink(n[at])))])
+                held[kind].append((sig, np.repeat(ids, counts), np.repeat(n.astype(np.int64), counts), np.full(len(sig), kind, np.int8)))
+        marked = np.unique(np.concatenate([x[0] for x in held[5]])) if held[5] else np.zeros(0, B.U64)
+        for own in (held[0] + held[5], held[4]):
+            if own:
+                yield from _runs_below(*(np.concatenate(x) for x in zip(*own, strict=True)), marked, parts)
+                own.clear()
 
     return run
 
 
+def _runs_below(sig, ids, n, kind, marked, parts: int) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(sig)
+    sig = sig[order]
+    more = np.zeros(len(sig), bool)
+    more[1:] = sig[1:] == sig[:-1]
+    more[:-1] |= more[1:]
+    if len(marked):  # a lone document still belongs to a run whose rest is elsewhere
+        more |= _in(marked, sig)
+    order, sig = order[more], sig[more]
+    ids, n, kind = ids[order], n[order], kind[order]
+    order = np.lexsort((kind, ids, n, sig))
+    sig, ids, n, kind = sig[order], ids[order], n[order], kind[order]
+    fresh = np.ones(len(sig), bool)
+    fresh[1:] = (sig[1:] != sig[:-1]) | (ids[1:] != ids[:-1])
+    sig, ids, n, kind = sig[fresh], ids[fresh], n[fresh], kind[fresh]
+    if not len(sig):
+        return
+    begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+    length = np.diff(np.append(begin, len(sig)))
+    lead = _leaders(n, begin)
+    led = np.flatnonzero(lead != np.arange(len(lead)))
+    led = led[np.lexsort((ids[lead[led]], n[lead[led]], ids[led]))]
+    led = led[np.concatenate([[True], ids[led][1:] != ids[led][:-1]])] if len(led) else led
+    part = (B.splitmix(ids[led].view(B.U64)) % B.U64(parts)).astype(np.int64)
+    led = led[np.argsort(part, kind="stable")]
+    edge = np.searchsorted(np.sort(part), np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(edge)).tolist():
+        some = led[edge[p] : edge[p + 1]]
+        yield _rows([(p, 2, B.pack(ids[some], ids[lead[some]], B.shrink(n[lead[some]])))])
+    shared = _in(marked, sig[begin]) | (kind[begin] == 4)
+    total = np.add.reduceat(B.splitmix(ids.view(B.U64)), begin) + length.astype(B.U64)
+    far = (length == 1) | ((length == 2) & (4 * n[begin + length - 1] > 5 * n[begin])) | shared
+    _, one = np.unique(np.where(far, B.U64(0), total), return_index=True)
+    one = one[~far[one]]
+    part = (total[one] % B.U64(parts)).astype(np.int64)
+    one = one[np.argsort(part, kind="stable")]
+    edge = np.searchsorted(np.sort(part), np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(edge)).tolist():
+        runs = one[edge[p] : edge[p + 1]]
+        size = length[runs]
+        at = np.arange(int(size.sum())) + np.repeat(begin[runs] - np.cumsum(size) + size, size)
+        yield _rows([(p, 3, B.pack(total[runs], B.shrink(size), ids[at], B.shrink(n[at])))])
+    at = np.flatnonzero(np.repeat(shared, length) & (kind != 5))
+    for k in range(0, len(at), 1 << 16):
+        some = at[k : k + (1 << 16)]
+        yield _rows([(0, 6, B.pack(sig[some], ids[some], B.shrink(n[some])))])
+
+
+def _in(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys if len(table) else np.zeros(len(keys), bool)
+
+
 def _first_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each document of a partition with the smallest of its leaders, as a pair."""
     held = [B.unpack(blob.as_py()) for batch in batches for blob in batch.column("blob")]
@@ -497,7 +527,7 @@ def _apart(docs: DataFrame, member: DataFrame, width: int, least: int, block: in
     return unit.mapInArrow(_bounded(least), "u long, v long").distinct()
 
 
-def similar_components(docs: DataFrame, width: int = 5, least: int = 80, sketch_bits: int = 24) -> DataFrame:
+def similar_components(docs: DataFrame, width: int = 5, least: int = 80, sketch_bits: int = 24, heavy: int = HEAVY, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Components of documents whose sets of ``width``-word shingles have a Jaccard similarity of at least ``least`` per cent.
 
     Lower-cases A-Z; words are runs of bytes other than 0x20 and 0x09-0x0D. Returns for each row of docs
@@ -512,7 +542,7 @@ def similar_components(docs: DataFrame, width: int = 5, least: int = 80, sketch_
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = docs.where("doc_id is not null")
     shared = spark.sparkContext.broadcast(_sketch(named, width, sketch_bits))
-    index = named.mapInArrow(_index(width, least, n, shared), "part int, kind int, blob binary")
+    index = named.mapInArrow(_index(width, least, n, shared, heavy, chunk_bytes), "part int, kind int, blob binary")
     index = B.cut(index.repartitionById(n, F.col("part")).mapInArrow(_meet(n), "part int, kind int, blob binary"))
 
     meta = _rows_of(index, 1, "doc_id", "n", "one", "two")
@@ -525,7 +555,7 @@ def similar_components(docs: DataFrame, width: int = 5, least: int = 80, sketch_
     links = _verified(named, led, width, least).unionByName(equal)
     comp = B.cut_small(connected(links))
     tried = led
-    runs = B.cut_small(dealt(3).mapInArrow(_runs, "run long, doc_id long, n long"))
+    runs = B.cut_small(dealt(3).mapInArrow(_runs, "run long, doc_id long, n long").unionByName(_rows_of(index, 6, "run", "doc_id", "n").distinct()))
     pairs = B.cut_small(_leading(_members(runs, comp)).join(led, ["u", "v"], "left_anti"))
     comp = B.cut_small(connected(_verified(named, pairs, width, least).unionByName(comp.toDF("u", "v"))))
     rest = _apart(named, _members(runs, comp), width, least).join(led, ["u", "v"], "left_anti")

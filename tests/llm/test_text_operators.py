@@ -55,6 +55,14 @@ def test_ngram_join_with_frequent_tokens(spark, monkeypatch):
     assert sorted(map(key, got)) == sorted(map(key, brute.components(rows, 5, 80)))
 
 
+def test_ngram_join_with_signatures_dealt_by_chunk(spark):
+    """Everything that two documents of a chunk share is dealt by chunk, in small chunks, in worker processes too."""
+    rows = near_copies(4)
+    rows = [(i, t) for i, t in rows if t is None or len(t) < 4000]
+    got = ngram_join.similar_components(corpus.frame(spark, rows), heavy=1, chunk_bytes=2000).collect()
+    assert sorted(map(key, got)) == sorted(map(key, brute.components(rows, 5, 80)))
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.similar_components(corpus.frame(spark, [])).count() == 0
 
