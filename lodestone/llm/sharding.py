@@ -45,10 +45,9 @@ def assign(docs: DataFrame, shards: int = 24, points: int = 64) -> DataFrame:
     Returns doc_id, size (UTF-8 bytes of the text and 8), text_crc32, law (``rows``), shard, slot (gapless
     from 0 in each shard) and grown_shard (null: loads, not the id alone, decide).
 
-    The place on the ring is a hash of doc_id; rows with null or repeated ids also differ by a hash of the
-    text, and are ranked one after the other where that is the same too. Null text has 0 bytes and the
-    crc32 of nothing. An empty table gives no rows. The rank within a cell is deterministic up to rows
-    that are equal in id and text.
+    The place on the ring is a hash of doc_id; rows that repeat an id have the same place and are ranked one
+    after the other, by text. Rows without id are placed by a hash of their text and of where the scan finds
+    them. Null text has 0 bytes and the crc32 of nothing. An empty table gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
