@@ -47,6 +47,31 @@ def split_text(text: str | None, size: int = SIZE, overlap: int = OVERLAP, separ
     return out
 
 
+def split_recursive(text: str | None, size: int = 1200, overlap: int = 200, separators: tuple[str, ...] = ("\n\n", "\n", ". ", "? ", "! ", " ", "")) -> list[str]:
+    """Pieces of at most ``size`` characters, divided at the first separator that occurs, the next within what is still too long; neighbours share up to ``overlap`` characters of whole parts."""
+    text = text or ""
+    if len(text) <= size:
+        return [text.strip()] if text.strip() else []
+    sep = next(s for s in separators if s in text)
+    rest = separators[separators.index(sep) + 1 :]
+    parts = text.split(sep) if sep else list(text)
+    parts = [p + sep for p in parts[:-1]] + parts[-1:] if sep else parts
+    out: list[str] = []
+    held: list[str] = []
+    for part in parts:
+        if held and sum(map(len, held)) + len(part) > size:
+            out.append("".join(held))
+            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(part) > size):
+                held.pop(0)
+        if len(part) > size:
+            out += split_recursive(part, size, overlap, rest or ("",))
+            held = []
+        else:
+            held.append(part)
+    out.append("".join(held))
+    return [p for p in map(str.strip, out) if p]
+
+
 def split_table(table: str, size: int = SIZE) -> list[str]:
     """A markdown table in pieces of whole rows that each repeat the two head lines; short ones as they are."""
     lines = [x for x in map(str.strip, table.splitlines()) if x]

@@ -217,3 +217,28 @@ def l2_normalized(v) -> Column:
 def tokens(c) -> Column:
     """Runs of letters and digits, lower-cased."""
     return F.regexp_extract_all(F.lower(col(c)), F.lit(r"[\p{L}\p{N}]+"), 0)
+
+
+def rewrite_links(c, portal: str) -> Column:
+    """Markdown links and bare knowledge-base addresses in a text, each in its canonical form; null is empty."""
+    text = F.coalesce(col(c), F.lit(""))
+    linked = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\]\((https?://[^)]+)\)"), 1))
+    out = F.aggregate(linked, text, lambda s, u: F.replace(s, F.concat(F.lit("]("), u, F.lit(")")), F.concat(F.lit("]("), canonical_url(u, portal), F.lit(")"))))
+    host = re.escape(portal.split("://")[1])
+    # longer addresses first, so that none is replaced inside another
+    bare = F.array_sort(F.array_distinct(F.regexp_extract_all(out, F.lit(rf"(?<!\]\()https?://{host}/knowledgebase[^\s)\]<>\"']+"), 0)), lambda a, b: F.length(b) - F.length(a))
+    return F.aggregate(bare, out, lambda s, u: F.replace(s, u, canonical_url(u, portal)))
+
+
+def snippet(c, n: int = 120) -> Column:
+    """The first characters on one line."""
+    return F.translate(F.substring(col(c), 1, n), "\n", " ")
+
+
+def hash_embedding(c, dimension: int = 256) -> Column:
+    """A deterministic dense vector of a text: tokens hashed into ``dimension`` signed buckets, at unit length; no token gives zeros."""
+    hashed = F.transform(tokens(c), lambda t: F.xxhash64(t))
+    bucket = lambda h: F.pmod(h, F.lit(dimension)).cast("int")
+    pairs = F.transform(hashed, lambda h: F.struct(bucket(h).alias("b"), F.when(F.shiftrightunsigned(h, 40).bitwiseAND(1) == 1, 1.0).otherwise(-1.0).alias("s")))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(pairs, lambda p: p["b"] == i), F.lit(0.0), lambda a, p: a + p["s"]))
+    return l2_normalized(vector)

@@ -72,3 +72,22 @@ def updated(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     n = new.select(key, *[F.col(c).alias(f"__{c}") for c in old.columns if c != key and c in new.columns])
     met = old.join(n, key, "full_outer")
     return met.select(key, *[F.coalesce(f"__{c}", c).alias(c) if c in new.columns else F.col(c) for c in old.columns if c != key])
+
+
+def prompt(question, past, found) -> Column:
+    """What goes to a model: history (if any), context and question, each under its heading."""
+    part = lambda head, c: F.when(F.coalesce(col(c), F.lit("")) != "", F.concat(F.lit(f"### {head}\n"), col(c)))
+    return F.concat_ws("\n\n", part("History", past), part("Context", found), part("Question", question))
+
+
+def node_context(node) -> Column:
+    """A workflow node (struct with title, channel, fee, law_references, deadlines, workflow_steps, effects) as text; empty parts are left out."""
+    n = col(node)
+    line = lambda head, f: F.when(F.coalesce(n.getField(f), F.lit("")) != "", F.concat(F.lit(f"{head}: "), n.getField(f)))
+    items = lambda head, f: F.when(F.size(n.getField(f)) > 0, F.concat(F.lit(f"{head}:\n- "), F.array_join(n.getField(f), "\n- ")))
+    return F.concat_ws("\n", F.concat(F.lit("## "), n.getField("title")), line("Channel", "channel"), line("Fee", "fee"), items("Law", "law_references"), items("Deadlines", "deadlines"), items("Steps", "workflow_steps"), line("Effects", "effects"))
+
+
+def with_roles(messages: DataFrame, users: DataFrame, author: str, user: str, role: str) -> DataFrame:
+    """Messages with their authors' roles; messages of unknown authors are left out. AQE broadcasts users where they are few."""
+    return messages.join(users.select(F.col(user).alias("__u"), role), F.col(author) == F.col("__u")).drop("__u")

@@ -271,11 +271,34 @@ def preferred_model(spark, d):
     return documents.first_preferred(read(spark, d, "part").select("p_brand").distinct(), "p_brand", ["#9", "#55", "#4"])
 
 
+def link_rewrite(spark, d):
+    said = F.concat(F.lit("a [x]("), "url", F.lit(f") b {PORTAL}/knowledgebase/article/12?z c [y](http://{PORTAL[8:]}/q)"))
+    return read(spark, d, "pages").select("page_id", X.rewrite_links(said, PORTAL).alias("text"))
+
+
+def prompt_assembly(spark, d):
+    """Each message with the one before it as history."""
+    c = read(spark, d, "conversations").withColumn("past", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return c.select("conv_id", "turn", F.md5(answers.prompt("text", "past", X.snippet("text"))).alias("md5"))
+
+
+def author_roles(spark, d):
+    """Orders as messages with their customers' segments as roles."""
+    met = answers.with_roles(read(spark, d, "orders"), read(spark, d, "customer"), "o_custkey", "c_custkey", "c_mktsegment")
+    return met.groupBy("c_mktsegment").agg(F.count("*").alias("messages"))
+
+
+def hash_embeddings(spark, d):
+    v = X.hash_embedding("text", 32)
+    return read(spark, d, "benchmark").select("item_id", F.size(v).cast("long").alias("dimension"), F.round(X.norm(v), 6).alias("norm"))
+
+
 _NAMES = [
     "doc_quality_filter", "html_clean", "content_dedup_first", "basic_normalize", "split_text_chunks", "chunk_prefix_and_ids", "chunk_category_stats", "structured_chunks", "keyword_route", "graph_node_match",
     "guardrail_flags", "trigger_flags", "term_expand", "canonical_url", "extract_urls", "image_links", "dense_topk", "dense_threshold_filter", "vector_norms", "bm25_topk", "hybrid_rrf_topk",
     "hybrid_boost_postfilter_fallback", "context_listagg", "citation_dedup", "recent_history", "context_relevance", "least_loaded_agent", "workflow_replay", "token_stream_assemble", "cache_lookup_ttl",
     "dataset_profile", "latency_percentiles", "enum_display", "qa_pass_summary", "text_category", "message_validation", "state_update", "upsert_by_id", "answer_repair", "model_output_clean", "first_documents", "preferred_model",
+    "link_rewrite", "prompt_assembly", "author_roles", "hash_embeddings",
 ]
 
 

@@ -161,5 +161,10 @@ def sql() -> dict[str, str]:
         "answer_repair": "WITH a AS (SELECT page_id, url, 'A [' || page_id || '](' || url || ') and x.' AS fixed FROM pages) SELECT page_id, CASE WHEN page_id % 2 = 0 OR length(fixed) < 20 THEN 'a' || chr(10) || url || chr(10) || 'b' || chr(10) || 'c' || chr(10) || 'd' || chr(10) || 'e' ELSE fixed END AS answer FROM a",
         "model_output_clean": "SELECT item_id, 'search_query: ' || item_id || ' x' AS marked, 'plain ' || item_id AS plain FROM benchmark",
         "first_documents": "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 10",
+        "link_rewrite": f"SELECT page_id, 'a [x](' || regexp_replace(url, '^http://{C.PORTAL[8:]}', '{C.PORTAL}') || ') b {C.PORTAL}/knowledgebase/article/details/ais/12 c [y]({C.PORTAL}/q)' AS text FROM pages",
+        "prompt_assembly": """WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS past FROM conversations)
+          SELECT conv_id, turn, md5(CASE WHEN past <> '' THEN '### History' || chr(10) || past || chr(10) || chr(10) ELSE '' END || '### Context' || chr(10) || translate(substr(text, 1, 120), chr(10), ' ') || chr(10) || chr(10) || '### Question' || chr(10) || text) AS md5 FROM c""",
+        "author_roles": "SELECT c_mktsegment, count(*) AS messages FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
+        "hash_embeddings": "SELECT item_id, 32::BIGINT AS dimension, 1.0::DOUBLE AS norm FROM benchmark",
         "preferred_model": "SELECT p_brand FROM (SELECT DISTINCT p_brand, CASE WHEN contains(p_brand, '#9') THEN 0 WHEN contains(p_brand, '#55') THEN 1 WHEN contains(p_brand, '#4') THEN 2 END AS r FROM part) WHERE r IS NOT NULL ORDER BY r, p_brand LIMIT 1",
     }

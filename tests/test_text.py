@@ -117,3 +117,20 @@ def test_articles_and_statutes():
     law = {"title": "L", "category": "legislation", "text": "преамбула\nСтатья 1. Первая\nкоротко\nСтатья 2. Вторая\n1. " + "а " * 300 + "\n2. " + "б " * 300}
     assert [c["section"] for c in K.chunk_statute(law)] == ["Статья 1. Первая", "Статья 2. Вторая | Пункт 1. а а а а а а", "Статья 2. Вторая | Пункт 2. б б б б б б"]
     assert [c["section"] for c in K.chunk_statute({"title": "L", "category": "x", "text": "нет статей"})] == ["L | Часть 1"]
+
+
+def test_recursive_splitter():
+    text = ("Слово за словом. " * 30 + "\n\n") * 8 + "x" * 3000
+    pieces = K.split_recursive(text, 400, 80)
+    assert all(0 < len(p) <= 400 for p in pieces) and K.split_recursive(" ") == [] and K.split_recursive("a\n\nb") == ["a\n\nb"]
+    assert set("".join(pieces)) - {" "} == set(text) - {" ", "\n"}
+    words = [f"w{i}" for i in range(300)]
+    joined = " ".join(K.split_recursive(" ".join(words), 100, 20)).split()
+    assert list(dict.fromkeys(joined)) == words
+
+
+def test_node_context(spark):
+    from lodestone.operators import answers
+
+    node = F.struct(F.lit("T").alias("title"), F.lit("C").alias("channel"), F.lit("").alias("fee"), F.array(F.lit("l")).alias("law_references"), F.array().cast("array<string>").alias("deadlines"), F.array(F.lit("1"), F.lit("2")).alias("workflow_steps"), F.lit(None).cast("string").alias("effects"))
+    assert spark.range(1).select(answers.node_context(node).alias("x")).first().x == "## T\nChannel: C\nLaw:\n- l\nSteps:\n- 1\n- 2"
