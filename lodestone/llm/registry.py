@@ -23,7 +23,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op3_suffix_tree_dedup": substring_dedup.OP3_SQL,
-        "op4_boosted_toxicity": toxicity.op4_boosted_toxicity,
         "op5_host_reputation": url_reputation.OP5_SQL,
         "op6_ngram_jaccard_join": ngram_join.OP6_SQL,
         "op7_wu_manber_decontamination": decontaminate.OP7_SQL,
