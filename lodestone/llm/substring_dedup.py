@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import _bytes as B
 
 MAX_PREFIX = 6
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 _STEP = B.U64(0xD6E8FEB86659FD93)
 
 
@@ -160,12 +160,15 @@ def _deal(width: int, n: int, shared):
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         key, code, ids, tags, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         late = _decide(key, ids)
         rows = []
         for home, blob in _marks(ids[late], tags[late], place[late], n):
             rows.append((home, home, blob))
-        key, code, ids, tags, place = (x[~late] for x in (key, code, ids, tags, place))
+        stay = ~late
+        key, code, ids, tags, place = key[stay], code[stay], ids[stay], tags[stay], place[stay]
         part = (B.splitmix(code) % B.U64(n)).astype(np.uint16 if n < 65536 else np.int64)
+        del code, late, stay
         order = np.argsort(part, kind="stable")
         begin, length = _runs(part[order])
         for a, m in zip(begin.tolist(), length.tolist(), strict=True):
