@@ -75,3 +75,12 @@ def test_nothing_to_learn_from(spark):
 def test_held_out_texts_beat_the_base(spark):
     got = ppm.op10_ppm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert got[0] > got[1]
+
+
+def test_contexts_have_six_bytes_unless_asked_otherwise(spark):
+    rows = corpus.rows(3, 24)
+    held = [(i or 0) % 3 == 0 for i, _ in rows]
+    got = ppm.score_documents(corpus.frame(spark, rows), F.coalesce(F.col("doc_id"), F.lit(0)) % 3 == 0).collect()
+    want = brute(rows, held, 6)
+    assert sum(r.score for r in got) == pytest.approx(sum(r[6] for r in want), rel=1e-5)
+    assert sum(r.score for r in got) != pytest.approx(sum(r[6] for r in brute(rows, held, 5)), rel=1e-4)
