@@ -14,6 +14,13 @@ def context(hits: DataFrame, query: str, order: str, title: str, section: str, t
     return rows.select(query, F.array_join(F.transform("s", lambda x: x["b"]), "\n\n").alias("context"))
 
 
+def cache_items(hits: DataFrame, query: str, order: str, keep: list[str], text: str, items: int = 6) -> DataFrame:
+    """What a chat keeps of each query's first hits: ``keep`` and the first 500 characters of the text."""
+    by = Window.partitionBy(query).orderBy(order)
+    first = hits.withColumn("__n", F.row_number().over(by)).where(F.col("__n") <= items)
+    return first.select(query, order, *keep, F.substring(text, 1, 500).alias(text))
+
+
 def citations(hits: DataFrame, query: str, url: str, order: str) -> DataFrame:
     """The first hit of each address of a query; those without address are left out."""
     by = Window.partitionBy(query, url).orderBy(order)

@@ -167,7 +167,7 @@ def hybrid_boost_postfilter_fallback(spark, d):
 
 
 def context_listagg(spark, d):
-    got = answers.context(_final(spark, d).withColumn("text", F.substring("text", 1, 500)), "item_id", "final_rank", "source", "lang", "text")
+    got = answers.context(_final(spark, d), "item_id", "final_rank", "source", "lang", "text")
     return got.select("item_id", F.md5("context").alias("md5"))
 
 
@@ -277,9 +277,9 @@ def link_rewrite(spark, d):
 
 
 def prompt_assembly(spark, d):
-    """Each message with the one before it as history."""
+    """Each message with the one before it as history and its own whole text as context."""
     c = read(spark, d, "conversations").withColumn("past", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
-    return c.select("conv_id", "turn", F.md5(answers.prompt("text", "past", X.snippet("text"))).alias("md5"))
+    return c.select("conv_id", "turn", F.md5(answers.prompt("text", "past", "text")).alias("md5"))
 
 
 def author_roles(spark, d):
