@@ -21,6 +21,7 @@ AGREE, NEXT, STOP = ["the", "in", "et", "le"], ["tion", "eau", "ung"], ["ingly",
 WORDS, PHRASES = ["that it."], ["and the", "de la", "in der"]
 PORTAL = "https://ththan.example.com"
 CATEGORIES = {"x": ["thnt", "edou", "erst"], "y": ["aux", "onen"], "z": ["tzst", "ción"]}
+TOP = 4  # hits that answer a question
 ROLES = {"user": "Customer", "assistant": "Assistant", "system": "Service"}
 
 
@@ -144,7 +145,8 @@ def bm25_topk(spark, d):
     return hits.select("item_id", "doc_id", "score", "rank")
 
 
-def _hybrid(spark, d, k=8):
+def _hybrid(spark, d, k=4 * TOP):
+    """Each list and the fused one hold four times the hits that are kept in the end."""
     docs, items = read(spark, d, "documents"), read(spark, d, "benchmark")
     lists = [retrieval.bm25(docs, items, "doc_id", "item_id", k=k, b=b) for b in (0.75, 0.0)]
     return retrieval.fuse(lists, "item_id", "doc_id", k)
@@ -159,7 +161,7 @@ def _final(spark, d):
     hits = _hybrid(spark, d).join(read(spark, d, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
     hits = hits.withColumn("wanted", F.when(F.col("item_id") % 3 == 0, "fr").when(F.col("item_id") % 3 == 1, "en"))
     boost = F.when(F.lower("text").contains("tion"), 0.5).otherwise(0.0)
-    return retrieval.boost_and_filter(hits, "item_id", boost, "lang", "wanted", 4)
+    return retrieval.boost_and_filter(hits, "item_id", boost, "lang", "wanted", TOP)
 
 
 def hybrid_boost_postfilter_fallback(spark, d):

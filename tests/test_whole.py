@@ -12,6 +12,15 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="needs the test tables")
 
 
+def duck(sql):
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"create view {f.split('.')[0]} as select * from '{SF}/{f}'")
+    return con.execute(sql)
+
+
 def md5(text):
     return hashlib.md5(text.encode()).hexdigest()
 
@@ -42,3 +51,12 @@ def test_only_cache_items_are_cut(spark):
     hits = spark.createDataFrame([(1, k, f"t{k}", "x" * 600) for k in range(1, 9)], "q int, rank int, title string, text string")
     got = answers.cache_items(hits, "q", "rank", ["title"], "text").orderBy("rank").collect()
     assert [(r.title, len(r.text)) for r in got] == [(f"t{k}", 500) for k in range(1, 7)]
+
+
+@pytest.mark.parametrize("name", ["hybrid_rrf_topk", "hybrid_boost_postfilter_fallback"])
+def test_four_times_the_kept_hits_are_fused(spark, name):
+    want = duck(catalog.oracle_sql()[name].replace("rank <= 8", "rank <= 16"))
+    columns = [c[0] for c in want.description]
+    text = lambda v: f"{v:.5f}" if isinstance(v, float) else str(v)
+    got = sorted(tuple(map(text, r)) for r in catalog.queries()[name](spark, SF).select(*columns).collect())
+    assert got == sorted(tuple(map(text, r)) for r in want.fetchall())
