@@ -67,7 +67,8 @@ def chunk_prefix_and_ids(spark, d):
 
 
 def chunk_category_stats(spark, d):
-    df = read(spark, d, "documents").select(F.col("source").alias("category"), "text", X.image_links("text").alias("images"))
+    """Chunks of the whole texts by source."""
+    df = _split(spark, d).select(F.col("source").alias("category"), F.col("chunk").alias("text"), X.image_links("chunk").alias("images"))
     return documents.chunk_statistics(df)
 
 

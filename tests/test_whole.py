@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from lodestone.functions.chunking import split_text
 from lodestone.operators import answers
 from lodestone.plans import catalog
 
@@ -60,3 +61,18 @@ def test_four_times_the_kept_hits_are_fused(spark, name):
     text = lambda v: f"{v:.5f}" if isinstance(v, float) else str(v)
     got = sorted(tuple(map(text, r)) for r in catalog.queries()[name](spark, SF).select(*columns).collect())
     assert got == sorted(tuple(map(text, r)) for r in want.fetchall())
+
+
+def test_chunks_are_counted_by_category(spark):
+    sql = f"SELECT source, count(*) FROM ({catalog.oracle_sql()['split_text_chunks']}) JOIN documents USING (doc_id) GROUP BY source"
+    got = {r.category: r.chunks for r in catalog.chunk_category_stats(spark, SF).collect()}
+    assert got == dict(duck(sql).fetchall()) and sum(got.values()) > catalog.read(spark, SF, "documents").count()
+
+
+def test_images_and_tables_are_counted_by_chunk(spark, tmp_path):
+    plain = "word " * 400
+    rows = [(1, f"{plain}![a](x.png)", "en", "s"), (2, f"a | b --- {plain}", "en", "s"), (3, "short", "en", "t"), (4, None, "en", "u")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.category: (r.chunks, r.with_images, r.with_tables) for r in catalog.chunk_category_stats(spark, str(tmp_path)).collect()}
+    whole = sum(len(split_text(t)) for _, t, _, s in rows if s == "s")
+    assert got == {"s": (whole, 1, 1), "t": (1, 0, 0)} and whole > 2
