@@ -527,20 +527,10 @@ def _apart(docs: DataFrame, member: DataFrame, width: int, least: int, block: in
     return unit.mapInArrow(_bounded(least), "u long, v long").distinct()
 
 
-def similar_components(docs: DataFrame, width: int = 5, least: int = 80, sketch_bits: int = 24, heavy: int = HEAVY, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Components of documents whose sets of ``width``-word shingles have a Jaccard similarity of at least ``least`` per cent.
-
-    Lower-cases A-Z; words are runs of bytes other than 0x20 and 0x09-0x0D. Returns for each row of docs
-    doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included).
-
-    Null and empty texts, and those without words, have no shingle and no link. A row without doc_id has
-    no link and no component. Rows that share a doc_id are one node: what links to any of their texts
-    links to it. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
+def _linked(named: DataFrame, width: int, least: int, sketch_bits: int, heavy: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's doc_id and n_shingles, and the components; rows that share a doc_id have the same text."""
+    spark = named.sparkSession
     n = B.parts(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = docs.where("doc_id is not null")
     shared = spark.sparkContext.broadcast(_sketch(named, width, sketch_bits))
     index = named.mapInArrow(_index(width, least, n, shared, heavy, chunk_bytes), "part int, kind int, blob binary")
     index = B.cut(index.repartitionById(n, F.col("part")).mapInArrow(_meet(n), "part int, kind int, blob binary"))
@@ -562,7 +552,32 @@ def similar_components(docs: DataFrame, width: int = 5, least: int = 80, sketch_
     rest = B.cut_small(rest.join(pairs, ["u", "v"], "left_anti"))
     comp = B.cut_small(connected(_verified(named, rest, width, least).unionByName(comp.toDF("u", "v"))))
 
-    whole = meta.select("doc_id", F.col("n").alias("n_shingles"))
+    return meta.select("doc_id", F.col("n").alias("n_shingles")), comp
+
+
+def similar_components(docs: DataFrame, width: int = 5, least: int = 80, sketch_bits: int = 24, heavy: int = HEAVY, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Components of documents whose sets of ``width``-word shingles have a Jaccard similarity of at least ``least`` per cent.
+
+    Lower-cases A-Z; words are runs of bytes other than 0x20 and 0x09-0x0D. Returns for each row of docs
+    doc_id, n_shingles and component_id (the smallest doc_id reachable by links, itself included).
+
+    Null and empty texts, and those without words, have no shingle and no link. A row without doc_id has
+    no link and no component. Rows that share a doc_id are one node: what links to any of their texts
+    links to it. An empty table gives no rows.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    named = docs.where("doc_id is not null")
+    again = B.cut_small(named.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id", F.lit(True).alias("again")))
+    if again.isEmpty():
+        whole, comp = _linked(named, width, least, sketch_bits, heavy, chunk_bytes)
+    else:  # texts are nodes of their own until they are linked
+        node = F.when(F.col("again"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+        texts = named.join(again, "doc_id", "left").select("doc_id", "text", "again", node.alias("node"))
+        of = B.cut_small(texts.where("again").select("node", F.col("doc_id").alias("id")).distinct())
+        whole, comp = _linked(texts.select(F.col("node").alias("doc_id"), "text"), width, least, sketch_bits, heavy, chunk_bytes)
+        named_by = lambda df, c: df.join(of.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("id", c)).drop("id")
+        whole = named_by(whole, "doc_id")
+        comp = B.cut_small(connected(named_by(named_by(comp, "node"), "component").select(F.col("node").alias("u"), F.col("component").alias("v"))))
     lone = docs.where("doc_id is null").mapInArrow(_sizes(width), "doc_id long, n_shingles long")
     return whole.unionByName(lone).join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
