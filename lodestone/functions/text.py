@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from . import lexicon
 
@@ -237,8 +240,16 @@ def snippet(c, n: int = 120) -> Column:
 
 def hash_embedding(c, dimension: int = 256) -> Column:
     """A deterministic dense vector of a text: tokens hashed into ``dimension`` signed buckets, at unit length; no token gives zeros."""
-    hashed = F.transform(tokens(c), lambda t: F.xxhash64(t))
-    bucket = lambda h: F.pmod(h, F.lit(dimension)).cast("int")
-    pairs = F.transform(hashed, lambda h: F.struct(bucket(h).alias("b"), F.when(F.shiftrightunsigned(h, 40).bitwiseAND(1) == 1, 1.0).otherwise(-1.0).alias("s")))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.aggregate(F.filter(pairs, lambda p: p["b"] == i), F.lit(0.0), lambda a, p: a + p["s"]))
-    return l2_normalized(vector)
+
+    @pandas_udf("array<double>")
+    def vector(hashes: pd.Series) -> pd.Series:
+        def one(h):
+            if h is None:
+                return None
+            h = np.asarray(h, np.int64)
+            v = np.bincount(h % dimension, np.where((h >> 40) & 1, 1.0, -1.0), dimension)
+            return v / (np.sqrt(v @ v) or 1.0)
+
+        return hashes.map(one)
+
+    return vector(F.transform(tokens(c), lambda t: F.xxhash64(t)))

@@ -292,8 +292,10 @@ def author_roles(spark, d):
 
 
 def hash_embeddings(spark, d):
-    v = X.hash_embedding("text", 32)
-    return read(spark, d, "benchmark").select("item_id", F.size(v).cast("long").alias("dimension"), F.round(X.norm(v), 6).alias("norm"))
+    """Dimension, norm and a digest of the components, in millionths, of each whole text's vector."""
+    v = read(spark, d, "documents").select("doc_id", X.hash_embedding("text").alias("v"))
+    digest = F.md5(F.array_join(F.transform("v", lambda x: F.round(x * 1000000).cast("long").cast("string")), ","))
+    return v.select("doc_id", F.size("v").cast("long").alias("dimension"), F.round(X.norm("v"), 6).alias("norm"), digest.alias("md5"))
 
 
 _NAMES = [

@@ -1,10 +1,13 @@
 """Queries over whole inputs: nothing is cut off before it is counted, ranked or joined."""
 
 import hashlib
+import math
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from lodestone.functions import text as X
 from lodestone.functions.chunking import split_text
 from lodestone.operators import answers
 from lodestone.plans import catalog
@@ -76,3 +79,16 @@ def test_images_and_tables_are_counted_by_chunk(spark, tmp_path):
     got = {r.category: (r.chunks, r.with_images, r.with_tables) for r in catalog.chunk_category_stats(spark, str(tmp_path)).collect()}
     whole = sum(len(split_text(t)) for _, t, _, s in rows if s == "s")
     assert got == {"s": (whole, 1, 1), "t": (1, 0, 0)} and whole > 2
+
+
+def test_hash_embeddings_of_all_documents(spark):
+    docs = catalog.read(spark, SF, "documents")
+    words = {r.doc_id: r.h for r in docs.select("doc_id", F.transform(X.tokens("text"), lambda t: F.xxhash64(t)).alias("h")).collect()}
+    want = {}
+    for i, hashes in words.items():
+        v = [0] * 256
+        for h in hashes:
+            v[h % 256] += 1 if (h % 2**64) >> 40 & 1 else -1
+        size = math.sqrt(sum(x * x for x in v))
+        want[i] = (256, 1.0, md5(",".join(str(int(math.copysign(math.floor(abs(x) / size * 1000000 + 0.5), x))) for x in v)))
+    assert {r.doc_id: (r.dimension, r.norm, r.md5) for r in catalog.hash_embeddings(spark, SF).collect()} == want
