@@ -154,7 +154,9 @@ def shared_dir(spark) -> str | None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-        if not where:
+        if not where and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not where:  # one process, as in tests: its own folder is shared
             import tempfile
 
             where = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
@@ -177,6 +179,21 @@ def cut(df):
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
+def cut_by(df, n: int, key: str):
+    """The frame dealt by ``key`` to n partitions and cut there; joins on the key do not move it again.
+
+    A checkpoint keeps the partitioning of a plan that is not adaptive, so the plan of this frame is not.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(n, key).checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def cut_small(df):
     """As ``cut``, for rows of a few numbers: an eighth of the shuffle partitions is enough for them."""
     return cut(df.coalesce(max(8, parts(df.sparkSession) // 8)))

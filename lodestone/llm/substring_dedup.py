@@ -1,16 +1,18 @@
 """Substring deduplication with prefix-partitioned suffix trees over words.
 
-Every word position of every text begins a suffix. The suffixes are divided by *variable-length
-prefixes*: a one-word prefix that would hold more than its share is extended by a word, and again,
-until each prefix's suffixes fit the memory of a task; prefixes are then dealt to partitions. A
-partition builds its subtrees cut at the depth that matters: leaves are suffixes, keyed by the hash of
-their first ``width`` words, and an internal node at that depth is a run of equal keys. The leaves
-below one node are the occurrences of one repeated sequence; all of them outside the document with the
-smallest id are marked, and marks that touch merge into the maximal repeated spans.
-
-Bounded groups: before the exchange each slice of the input keeps, below a node, only the leaves of
-its own smallest document, for the others are already decided. A passage that a third of all documents
-share thus sends one leaf a slice, whatever its count.
+Every word position of every text begins a suffix; suffixes are kept to the depth that decides, ``width``
+words. They are divided by *variable-length prefixes*: counts over all documents tell which one-word
+prefixes hold more leaves than a task should, those are extended by a word, and again, to the full depth
+if need be; prefixes are then dealt to groups of a bounded number of leaves, and a task builds the subtree
+of one group at a time: its suffixes sorted word by word, the common prefix of neighbours, and from these
+the internal nodes. The leaves below a node of depth ``width`` are the occurrences of one repeated
+sequence: all outside the document with the smallest id are marked, and marks that touch merge into
+the maximal repeated spans.
+
+Two things keep the exchange small. A chunk of the input first merges its own equal suffixes, so it sends
+one leaf for each distinct sequence, with its smallest document. And before any words are sent, chunks
+exchange short hashes of their leaves, only to leave out those that nobody else can have: no node of that
+depth lies above them. Hashes never decide that two sequences are equal; the words do, by their bytes.
 """
 
 from __future__ import annotations
@@ -20,242 +22,354 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _bytes as B
 
-MAX_PREFIX = 6
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
+#: Leaves that a task holds at a time, about; prefixes that may have more are extended.
+GROUP_LEAVES = 1 << 20
+#: Hashes that a task compares at a time, about.
+GROUP_HASHES = 1 << 22
 _STEP = B.U64(0xD6E8FEB86659FD93)
 
 
-def _suffixes(data, offsets, width: int, split: list[np.ndarray]):
-    """Of each suffix of at least ``width`` words: key, code of its variable-length prefix, document (row of the slice), first word."""
-    starts, ends, first = B.words(data, offsets)
-    hashes = B.hash_words(data, starts, ends)
-    counts = np.diff(first)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    place = np.arange(len(starts)) - first[doc]
-    whole = np.flatnonzero(place + width <= counts[doc])
-    key = np.zeros(len(whole), B.U64)
-    code = np.zeros(len(whole), B.U64)
-    open_ = np.arange(len(whole))
-    for j in range(width):
-        key *= _STEP
-        key += hashes[whole + j]
-        if len(open_):
-            code[open_] = key[open_]
-            table = split[j] if j < len(split) else None
-            if table is None or not len(table):
-                open_ = open_[:0]
-            else:
-                at = np.minimum(np.searchsorted(table, key[open_]), len(table) - 1)
-                open_ = open_[table[at] == key[open_]]
-    return B.splitmix(key), code, doc[whole], place[whole].astype(np.uint32)
-
-
-def _heavy(width: int, share: float):
-    """Of sampled texts: prefixes of 1 to MAX_PREFIX words with more than this share of a task's suffixes."""
+def _planes(x: np.ndarray) -> list[np.ndarray]:
+    """Non-negative integers as their bytes, place by place, which compress better apart."""
+    x = np.asarray(x).astype(B.U64)
+    top = int(x.max()) if len(x) else 0
+    return [(x >> B.U64(8 * k)).astype(np.uint8) for k in range(max(1, -(-top.bit_length() // 8)))]
+
+
+def _unplane(planes: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(planes[0]), np.int64)
+    for k, p in enumerate(planes):
+        out |= p.astype(np.int64) << (8 * k)
+    return out
+
+
+def _bundle(*columns: np.ndarray) -> bytes:
+    """Columns of non-negative integers as one blob."""
+    planes = [_planes(c) for c in columns]
+    return B.pack(np.array([len(p) for p in planes], np.uint8), *[a for p in planes for a in p], level=3)
+
+
+def _unbundle(blob: bytes) -> list[np.ndarray]:
+    sizes, *planes = B.unpack(blob)
+    at = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))]).tolist()
+    return [_unplane(planes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=0) if len(ascending) else ascending
+
+
+def _close(rows: list[pa.RecordBatch]) -> bytes:
+    table, sink = pa.Table.from_batches(rows).combine_chunks(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _spelled(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Words of these lengths, which stand in data one after the other, as a binary column."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+class Chunk:
+    """A chunk's documents, their words, and their suffixes of at least ``width`` words (of rows with a doc_id)."""
+
+    def __init__(self, blob: bytes, width: int):
+        self.rows = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
+        self.width = width
+        data, offsets, starts, ends, first, hashes, byte, word = [], [np.zeros(1, np.int64)], [], [], [np.zeros(1, np.int64)], [], 0, 0
+        for _lo, _hi, part, offs in B.text_slices(self.rows.column("text")):
+            s, e, f = B.words(part, offs)
+            hashes.append(_hash(part, s, e))
+            data.append(part)
+            starts.append(s + byte)
+            ends.append(e + byte)
+            offsets.append(offs[1:] + byte)
+            first.append(f[1:] + word)
+            byte, word = byte + len(part), word + len(s)
+        self.data, self.offsets, self.starts, self.ends, self.first, self.hashes = (np.concatenate(x) for x in (data, offsets, starts, ends, first, hashes))
+        counts = np.diff(self.first)
+        known = self.rows.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        at = np.arange(len(doc))
+        at = at[(at + width <= self.first[1:][doc]) & known[doc]]
+        self.at, self.ids = at, self.rows.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[doc[at]]
+
+    def prefix(self, at: np.ndarray, n: int, before: np.ndarray | None = None) -> np.ndarray:
+        """The code of the first n words of suffixes, from that of the first n - 1."""
+        return self.hashes[at + n - 1] if before is None else before * _STEP + self.hashes[at + n - 1]
+
+    def nodes(self) -> None:
+        """The suffixes in order of ``key``; equal ones, by their words, are a node of the chunk's own."""
+        key = np.zeros(len(self.at), B.U64)
+        for j in range(self.width):
+            key = self.prefix(self.at, j + 1, key)
+        key = B.splitmix(key)
+        code = _spelled(self.data[B.WORD_BLANK[self.data]], self.ends - self.starts).dictionary_encode()
+        self.words, self.dictionary = code.indices.to_numpy(), code.dictionary
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        unlike = self._unlike(order, same)
+        if unlike.any():  # equal hashes of unlike words: there the words tell the order
+            run = np.concatenate([[0], np.cumsum(~same)])
+            mixed = np.isin(run, run[1:][unlike])
+            own = order[mixed]
+            order[mixed] = own[np.lexsort((*[self.words[self.at[own] + j] for j in range(self.width - 1, -1, -1)], key[mixed]))]
+            unlike = self._unlike(order, same)
+        begin = np.concatenate([[True], ~same | unlike]) if len(key) else np.zeros(0, bool)
+        self.order, self.of = order, np.cumsum(begin) - 1
+        begin = np.flatnonzero(begin)
+        self.key, self.head = key[begin], self.at[order[begin]]
+        self.least = np.minimum.reduceat(self.ids[order], begin) if len(begin) else np.zeros(0, np.int64)
+
+    def _unlike(self, order: np.ndarray, same: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(same), bool)
+        pair = np.flatnonzero(same)
+        a, b = self.at[order[pair]], self.at[order[pair + 1]]
+        for j in range(self.width):
+            out[pair] |= self.words[a + j] != self.words[b + j]
+        return out
+
+    def asked(self, bits: int, groups: int):
+        """For each group of hashes: the nodes (their places, ascending) and their hashes, shortened to ``bits`` and divided by groups."""
+        short = self.key >> B.U64(64 - bits)
+        group = (short % B.U64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        edge = np.searchsorted(group[order], np.arange(groups + 1))
+        for g in np.flatnonzero(np.diff(edge)).tolist():
+            at = order[edge[g] : edge[g + 1]]
+            yield g, at, (short[at] // B.U64(groups)).astype(np.int64)
+
+
+def _hash(data, starts, ends) -> np.ndarray:
+    return B.hash_words(data, starts, ends)
+
+
+def _pack(width: int, share: float, chunk_bytes: int):
+    """Documents in chunks, with the counts of prefixes that hold more than ``share`` of a chunk's suffixes."""
+
+    def heavy(chunk: Chunk) -> bytes:
+        at, code, rows = chunk.at, None, []
+        least = share * len(at)
+        for n in range(1, width):
+            code = chunk.prefix(at, n, code)
+            values, back, counts = np.unique(code, return_inverse=True, return_counts=True)
+            often = counts > least
+            rows.append((np.full(int(often.sum()), n), values[often], counts[often]))
+            keep = often[back]
+            at, code = at[keep], code[keep]
+            if not len(at):
+                break
+        level, code, count = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64), np.zeros(0, B.U64), np.zeros(0, np.int64))
+        return B.pack(level.astype(np.uint8), code.astype(B.U64), B.shrink(count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies: list[dict[int, int]] = [{} for _ in range(MAX_PREFIX)]
-        total = 0
+        held, size, name = [], 0, TaskContext.get().partitionId() << 32
+
+        def out() -> pa.RecordBatch:
+            blob = _close(held)
+            chunk = Chunk(blob, width)
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(chunk.at)]), pa.array([heavy(chunk)], pa.binary()), pa.array([blob], pa.binary())], ["chunk", "n", "counts", "blob"])
+
         for batch in batches:
-            for _lo, _hi, data, offsets in B.text_slices(batch.column("text")):
-                starts, ends, first = B.words(data, offsets)
-                hashes = B.hash_words(data, starts, ends)
-                total += len(hashes)
-                key = np.zeros(len(hashes), B.U64)
-                for j in range(min(MAX_PREFIX, width)):
-                    n = len(hashes) - j
-                    if n <= 0:
-                        break
-                    key = key[:n] * _STEP + hashes[j:]
-                    values, counts = np.unique(key, return_counts=True)
-                    for v, c in zip(values[counts > share * n / 4].tolist(), counts[counts > share * n / 4].tolist(), strict=True):
-                        tallies[j][v] = tallies[j].get(v, 0) + c
-        rows = [(j, v - (1 << 64) if v >> 63 else v, c) for j, t in enumerate(tallies) for v, c in t.items() if c > share * total / 4]
-        rows.append((-1, 0, total))
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["level", "prefix", "n"])
+            for lo, hi, data, _offsets in B.text_slices(batch.column("text")):
+                held.append(batch.slice(lo, hi - lo))
+                size += len(data)
+                if size >= chunk_bytes:
+                    yield out()
+                    held, size, name = [], 0, name + 1
+        if held:
+            yield out()
+
+    return run
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column("counts"):
+            level, code, n = B.unpack(blob.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(level.astype(np.int32)), pa.array(code.view(np.int64)), pa.array(n.astype(np.int64))], ["level", "code", "n"])
+
+
+def _prefixes(homed: DataFrame, width: int, leaves: int) -> list[np.ndarray]:
+    """By length, the prefixes to extend: those that may have more than ``leaves`` leaves, an eighth of which the chunks may have left out."""
+    rows = homed.select("counts").mapInArrow(_counts, "level int, code long, n long").groupBy("level", "code").agg(F.sum("n").alias("n")).where(F.col("n") > leaves - leaves // 8)
+    found: list[list[int]] = [[] for _ in range(width)]
+    for row in rows.toLocalIterator():
+        found[row.level - 1].append(row.code)
+    return [np.sort(np.array(x, np.int64).view(B.U64)) for x in found]
+
+
+_DEALT = "part int, sub int, chunk long, blob binary"
+
+
+def _rows(rows: list[tuple], names: tuple[str, ...] = ("part", "sub", "chunk", "blob")) -> pa.RecordBatch:
+    kinds = {"part": pa.int32(), "sub": pa.int32(), "chunk": pa.int64(), "kept": pa.int64(), "blob": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[c]) for c, x in zip(names, zip(*rows, strict=True), strict=True)], list(names))
+
+
+def _ask(width: int, bits: int, n: int, subs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
+                chunk = Chunk(blob.as_py(), width)
+                chunk.nodes()
+                rows = [(g % n, g // n, name, _bundle(_steps(short))) for g, _at, short in chunk.asked(bits, n * subs)]
+                if rows:
+                    yield _rows(rows)
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], opened) -> Iterator[tuple[int, int, list[tuple]]]:
+    """(part, sub, [(chunk, opened blob)]) of rows sorted by part and sub, one group at a time."""
+    key, held = None, []
+    for batch in batches:
+        for part, sub, chunk, blob in zip(*[batch.column(c).to_pylist() for c in ("part", "sub", "chunk")], batch.column("blob"), strict=True):
+            if key != (part, sub):
+                if held:
+                    yield *key, held
+                key, held = (part, sub), []
+            held.append((chunk, opened(blob.as_py())))
+    if held:
+        yield *key, held
+
+
+def _reply(n: int):
+    """Of each group of hashes: which of a chunk's are another chunk's too, as bits in the order they came."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sub, held in _groups(batches, lambda b: np.cumsum(_unbundle(b)[0])):
+            every = np.sort(np.concatenate([x for _, x in held]))
+            twice = np.unique(every[1:][every[1:] == every[:-1]])
+            if not len(twice):
+                continue
+            rows = []
+            for chunk, own in held:
+                hit = twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own
+                if hit.any():
+                    rows.append((chunk, sub * n + part, int(hit.sum()), B.pack(np.packbits(hit))))
+            yield _rows(rows, ("chunk", "sub", "kept", "blob"))
 
     return run
 
 
-def _prefixes(docs: DataFrame, width: int, n: int, sample_docs: int) -> list[np.ndarray]:
-    """By length, the prefixes to extend. A bounded sample decides only how suffixes are dealt, never what is found."""
-    count = docs.count()
-    if not count:
-        return []
-    share = 1 / (4 * n)
-    tally: dict[tuple[int, int], int] = {}
-    sampled = docs.sample(fraction=min(1.0, sample_docs / count), seed=11).mapInArrow(_heavy(width, share), "level long, prefix long, n long")
-    for level, prefix, c in sampled.groupBy("level", "prefix").agg(F.sum("n").alias("n")).toLocalIterator():
-        tally[level, prefix] = c
-    total = tally.pop((-1, 0), 0)
-    out = [sorted(p % (1 << 64) for (j, p), c in tally.items() if j == level and c > share * total) for level in range(MAX_PREFIX)]
-    return [np.array(x, B.U64) for x in out]
-
-
-def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the runs of equal keys begin, and how long they are."""
-    begin = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
-    return begin, np.diff(np.append(begin, len(sorted_keys)))
-
-
-def _decide(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each leaf: is there one below the same node in a document with a smaller id?"""
-    order = np.argsort(key)
-    begin, length = _runs(key[order])
-    late = np.zeros(len(key), bool)
-    if len(begin):
-        least = np.repeat(np.minimum.reduceat(ids[order], begin), length)
-        late[order] = ids[order] > least
-    return late
-
-
-def _leaves(ids, tags, place) -> list[np.ndarray]:
-    """Leaves in order of document and place, as short arrays: one entry for each run of a document, then places by differences."""
-    begin = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]) | (place[1:] <= place[:-1])])) if len(ids) else np.zeros(0, np.int64)
-    step = place.astype(np.int64)
-    step[1:] -= place[:-1]
-    step[begin] = place[begin]
-    return [ids[begin], tags[begin], B.shrink(np.diff(np.append(begin, len(ids)))), B.shrink(step)]
-
-
-def _unleaf(ids, tags, counts, step) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    counts = counts.astype(np.int64)
-    total = np.cumsum(step.astype(np.int64))
-    begin = np.cumsum(counts) - counts
-    base = np.repeat(total[begin] - step[begin].astype(np.int64), counts) if len(counts) else total
-    return np.repeat(ids, counts), np.repeat(tags, counts), total - base
-
-
-def _home(ids: np.ndarray, n: int) -> np.ndarray:
-    """The partition of a document; ``_home_column`` is the same for Spark."""
-    return ids % 1000003 * 48271 % 2147483647 % n
-
-
-def _home_column(n: int):
-    known = F.pmod(F.pmod(F.pmod(F.col("doc_id"), F.lit(1000003)) * 48271, F.lit(2147483647)), F.lit(n))
-    return F.coalesce(known, F.pmod(F.monotonically_increasing_id(), F.lit(n))).cast("int")
-
-
-def _marks(ids, tags, place, n: int) -> Iterator[tuple[int, bytes]]:
-    """Marked leaves as a blob for each partition of documents."""
-    home = _home(ids, n)
-    order = np.lexsort((place, tags, ids, home))
-    begin, length = _runs(home[order])
-    for a, m in zip(begin.tolist(), length.tolist(), strict=True):
-        at = order[a : a + m]
-        yield int(home[at[0]]), B.pack(*_leaves(ids[at], tags[at], place[at]))
-
-
-def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    part, kind, blob = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], ["part", "kind", "blob"])
-
-
-def _deal(width: int, n: int, shared):
-    """Suffixes of each chunk of the input, dealt by prefix (kind -1); what the chunk itself decides goes along as marks (kind: their partition)."""
-
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        key, code, ids, tags, place = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        late = _decide(key, ids)
-        rows = []
-        for home, blob in _marks(ids[late], tags[late], place[late], n):
-            rows.append((home, home, blob))
-        stay = ~late
-        key, code, ids, tags, place = key[stay], code[stay], ids[stay], tags[stay], place[stay]
-        part = (B.splitmix(code) % B.U64(n)).astype(np.uint16 if n < 65536 else np.int64)
-        del code, late, stay
-        order = np.argsort(part, kind="stable")
-        begin, length = _runs(part[order])
-        for a, m in zip(begin.tolist(), length.tolist(), strict=True):
-            at = order[a : a + m]
-            rows.append((int(part[at[0]]), -1, B.pack(key[at], *_leaves(ids[at], tags[at], place[at]))))
+def _leaves(width: int, bits: int, hash_groups: int, n: int, subs: int, shared):
+    """The leaves that another chunk may have, dealt by prefix: words, smallest document, place among the chunk's nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = shared.value
+        for batch in batches:
+            for name, blob, replies in zip(batch.column("chunk").to_pylist(), batch.column("blob"), batch.column("replies"), strict=True):
+                if not replies.is_valid:
+                    continue
+                answers = {r["sub"]: r["blob"] for r in replies.as_py()}
+                chunk = Chunk(blob.as_py(), width)
+                chunk.nodes()
+                kept = np.zeros(len(chunk.key), bool)
+                for g, at, _short in chunk.asked(bits, hash_groups):
+                    if g in answers:
+                        kept[at] = np.unpackbits(B.unpack(answers[g])[0], count=len(at)).astype(bool)
+                yield from dealt(name, chunk, np.flatnonzero(kept), split)
+
+    def dealt(name: int, chunk: Chunk, node: np.ndarray, split: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        head = chunk.head[node]
+        code, open_, so_far = np.zeros(len(node), B.U64), np.arange(len(node)), None
+        for j, table in enumerate(split):
+            so_far = chunk.prefix(head[open_], j + 1, so_far)
+            code[open_] = so_far
+            more = table[np.minimum(np.searchsorted(table, so_far), len(table) - 1)] == so_far if len(table) else np.zeros(len(open_), bool)
+            open_, so_far = open_[more], so_far[more]
+            if not len(open_):
+                break
+        group = (B.splitmix(code) % B.U64(n * subs)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        edge = np.searchsorted(group[order], np.arange(n * subs + 1))
+        local, rows = np.zeros(len(chunk.dictionary), np.int32), []
+        for g in np.flatnonzero(np.diff(edge)).tolist():
+            at = order[edge[g] : edge[g + 1]]
+            words = chunk.words[head[at][None, :] + np.arange(chunk.width)[:, None]]  # a row for each depth
+            used = np.zeros(len(local), bool)
+            used[words.ravel()] = True
+            used = np.flatnonzero(used)
+            local[used] = np.arange(len(used), dtype=np.int32)
+            least = chunk.least[node[at]]
+            low = int(least.min())
+            numbers = _bundle(_steps(node[at]), (least.astype(B.U64) - np.int64(low).astype(B.U64)), local[words].ravel())
+            spelled = b" ".join(chunk.dictionary.take(pa.array(used)).to_pylist())
+            rows.append((g % n, g // n, name, B.pack(np.array([low], np.int64), np.frombuffer(numbers, np.uint8), np.frombuffer(spelled, np.uint8), level=3)))
             if len(rows) >= 64:
                 yield _rows(rows)
                 rows = []
         if rows:
             yield _rows(rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, held, size = shared.value, [], 0
-        for batch in batches:
-            known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            tags = batch.column("tag").to_numpy(zero_copy_only=False).astype(np.uint16)
-            for lo, _hi, data, offsets in B.text_slices(batch.column("text")):
-                key, code, doc, place = _suffixes(data, offsets, width, split)
-                doc = doc + lo
-                good = known[doc]
-                held.append((key[good], code[good], ids[doc[good]], tags[doc[good]], place[good]))
-                size += len(data)
-                if size >= CHUNK_BYTES:
-                    yield from flush(held)
-                    held, size = [], 0
-        if held:
-            yield from flush(held)
-
     return run
 
 
-def _decide_all(n: int):
-    """A partition's subtrees: marks for each partition of documents."""
+def subtree(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix order of rows of words, and where the leaves of each internal node of that depth (or lone leaves) begin in it."""
+    order = np.lexsort(words.T[::-1])
+    common = np.zeros(max(0, len(order) - 1), np.int64)  # the common prefix of neighbours
+    going = np.ones(len(common), bool)
+    for j in range(words.shape[1]):
+        going &= words[order[1:], j] == words[order[:-1], j]
+        common += going
+    return order, np.flatnonzero(np.concatenate([[True], common < depth])) if len(order) else np.zeros(0, np.int64)
+
+
+def _trees(width: int):
+    """The subtrees of a partition, one group at a time: marks for the chunks."""
+
+    def opened(blob: bytes) -> tuple:
+        low, numbers, spelled = B.unpack(blob)
+        node, least, words = _unbundle(numbers.tobytes())
+        starts, ends, _ = B.words(spelled, np.array([0, len(spelled)]))
+        return np.cumsum(node), least + low[0], words.astype(np.int32).reshape(width, -1), _spelled(spelled[B.WORD_BLANK[spelled]], ends - starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            rows = []
-            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob"), strict=True):
-                if kind >= 0:
-                    rows.append((kind, kind, blob.as_py()))
-                else:
-                    key, *leaves = B.unpack(blob.as_py())
-                    held.append((key, *_unleaf(*leaves)))
+        for _part, _sub, held in _groups(batches, opened):
+            code = pa.chunked_array([x[3] for _, x in held]).combine_chunks().dictionary_encode().indices.to_numpy()
+            base = np.cumsum([0] + [len(x[3]) for _, x in held]).tolist()
+            words = np.concatenate([code[b + x[2]] for b, (_, x) in zip(base[:-1], held, strict=True)], axis=1).T
+            least = np.concatenate([x[1] for _, x in held])
+            order, begin = subtree(words, width)
+            late = np.zeros(len(order), bool)
+            late[order] = least[order] > np.repeat(np.minimum.reduceat(least[order], begin), np.diff(np.append(begin, len(order))))
+            rows, at = [], 0
+            for chunk, (node, *_rest) in held:
+                mine = node[late[at : at + len(node)]]
+                at += len(node)
+                if len(mine):
+                    rows.append((chunk, _bundle(_steps(mine))))
             if rows:
-                yield _rows(rows)
-        if held:
-            key, ids, tags, place = (np.concatenate(x) for x in zip(*held, strict=True))
-            del held
-            late = _decide(key, ids)
-            rows = [(home, home, blob) for home, blob in _marks(ids[late], tags[late], place[late], n)]
-            for a in range(0, len(rows), 256):
-                yield _rows(rows[a : a + 256])
+                yield _rows(rows, ("chunk", "blob"))
 
     return run
 
 
 def _remove(width: int, keep: list[str], with_text: bool, with_spans: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        marks: tuple | None = None
         for batch in batches:
-            blobs = batch.column("__blob")
-            for blob in blobs.filter(blobs.is_valid()):
-                held.append(_unleaf(*B.unpack(blob.as_py())))
-            if blobs.null_count == 0:
-                continue
-            if marks is None:
-                ids, tags, place = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.int64))
-                order = np.lexsort((place, tags, ids))
-                marks = ids[order], tags[order].astype(np.int64), place[order]
-                held = []
-            batch = batch.filter(blobs.is_null())
-            known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            tags = batch.column("__tag").to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi, data, offsets in B.text_slices(batch.column("text")):
-                starts, ends, first = B.words(data, offsets)
-                cover = np.zeros(len(starts) + 1, np.int64)
-                a, b = np.searchsorted(marks[0], ids[lo:hi], "left"), np.searchsorted(marks[0], ids[lo:hi], "right")
-                for d in np.flatnonzero((b > a) & known[lo:hi]).tolist():
-                    own = marks[2][a[d] : b[d]][marks[1][a[d] : b[d]] == tags[lo + d]]
-                    np.add.at(cover, first[d] + own, 1)
-                    np.add.at(cover, np.minimum(first[d] + own + width, len(starts)), -1)
-                gone = np.cumsum(cover)[:-1] > 0
-                yield _kept(batch.slice(lo, hi - lo), data, offsets, starts, ends, first, gone)
+            for blob, marks in zip(batch.column("blob"), batch.column("marks"), strict=True):
+                chunk = Chunk(blob.as_py(), width)
+                chunk.nodes()
+                late = np.zeros(len(chunk.key), bool)
+                for mark in marks.as_py() or []:
+                    late[np.cumsum(_unbundle(mark)[0])] = True
+                leaf = late[chunk.of] | (chunk.ids[chunk.order] > chunk.least[chunk.of])
+                at = chunk.at[chunk.order[leaf]]
+                n = len(chunk.starts) + 1
+                gone = np.cumsum(np.bincount(at, minlength=n) - np.bincount(at + width, minlength=n))[:-1] > 0
+                yield _kept(chunk.rows, chunk.data, chunk.offsets, chunk.starts, chunk.ends, chunk.first, gone)
 
     def _kept(rows, data, offsets, starts, ends, first, gone) -> pa.RecordBatch:
         stay = np.flatnonzero(~gone)
@@ -302,7 +416,9 @@ def _remove(width: int, keep: list[str], with_text: bool, with_spans: bool, name
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, keep: tuple[str, ...] = (), with_text: bool = False, with_spans: bool = False, sample_docs: int = 4000) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, width: int = 13, keep: tuple[str, ...] = (), with_text: bool = False, with_spans: bool = False, leaves: int = GROUP_LEAVES, hashes: int = GROUP_HASHES, chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
     """Remove every word covered by a window of ``width`` words that also starts in a document with a smaller doc_id.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D; windows are judged on the input. Returns for
@@ -312,27 +428,40 @@ def remove_repeats(docs: DataFrame, width: int = 13, keep: tuple[str, ...] = (),
 
     Null and empty texts have no words. A row without doc_id is judged by no window and judges none. Rows
     that share a doc_id do not judge each other; each is judged by its own text. Equal sequences are told
-    by 64-bit hashes within the suffixes of one prefix. An empty table gives no rows.
+    by their words' bytes. An empty table gives no rows.
+
+    A task holds one chunk of ``chunk_bytes`` of text (or one document), about ``hashes`` hashes or the
+    subtree of about ``leaves`` leaves, whatever the input; a sequence that every chunk has brings one
+    leaf a chunk. The texts are moved once, to where the answers about their chunk will arrive.
     """
     spark = docs.sparkSession
     n = B.parts(spark)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text + ["spans"] * with_spans
     keep = [c for c in dict.fromkeys(keep) if c not in names]
-    tag = F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int")
-    doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    split = spark.sparkContext.broadcast(_prefixes(docs.select("text"), width, n, sample_docs))
-    dealt = docs.select(doc_id, "text", tag.alias("tag")).mapInArrow(_deal(width, n, split), "part int, kind int, blob binary")
-    marks = dealt.repartitionById(n, F.col("part")).mapInArrow(_decide_all(n), "part int, kind int, blob binary")
-    mine = [F.col(c) for c in keep if c != "text"] + ([F.col("text")] if "text" not in names else [])
-    own = docs.select(doc_id, *mine, tag.alias("__tag"))
-    own = own.withColumn("__part", _home_column(n)).withColumn("__blob", F.lit(None).cast("binary"))
-    fields = {f.name: f.dataType for f in own.schema}
-    lone = marks.select(*[(F.col("part") if c == "__part" else F.col("blob") if c == "__blob" else F.lit(None).cast(t)).alias(c) for c, t in fields.items()])
-    met = own.unionByName(lone).repartitionById(n, F.col("__part")).sortWithinPartitions(F.col("__blob").isNull())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in keep if c != "text"])
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"] + 1
+    share = min(1.0, leaves / (4 * size))  # of at most size / 2 suffixes, an eighth of ``leaves``
+    packed = rows.mapInArrow(_pack(width, share, chunk_bytes), "chunk long, n long, counts binary, blob binary")
+    homed = B.cut_by(packed, n, "chunk")
+    total = homed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    split = spark.sparkContext.broadcast(_prefixes(homed, width, leaves))
+
+    bits, hash_subs = min(64, size.bit_length() + 2), -(-max(1, total) // (n * hashes))
+    by_group = lambda df: df.repartitionById(n, F.col("part")).sortWithinPartitions("part", "sub")
+    asked = by_group(homed.select("chunk", "blob").mapInArrow(_ask(width, bits, n, hash_subs), _DEALT))
+    replies = B.cut(asked.mapInArrow(_reply(n), "chunk long, sub int, kept long, blob binary"))
+    left = replies.agg(F.coalesce(F.sum("kept"), F.lit(0)).alias("n")).first()["n"]
+    subs = -(-max(1, 2 * left) // (n * leaves))
+    replies = replies.groupBy("chunk").agg(F.collect_list(F.struct("sub", "blob")).alias("replies"))
+    met = homed.select("chunk", "blob").join(replies.hint("merge"), "chunk")
+    dealt = by_group(met.mapInArrow(_leaves(width, bits, n * hash_subs, n, subs, split), _DEALT))
+    marks = dealt.mapInArrow(_trees(width), "chunk long, blob binary").groupBy("chunk").agg(F.collect_list("blob").alias("marks"))
+
     kinds = {"n_words": "long", "n_removed": "long", "kept_sha256": "string", "kept_text": "string", "spans": "array<struct<first_word:long,n_words:long>>", "doc_id": "long"}
     kinds |= {c: docs.schema[c].dataType.simpleString() for c in keep}
     names = names + keep
-    return met.mapInArrow(_remove(width, keep, with_text, with_spans, names), ", ".join(f"`{c}` {kinds[c]}" for c in names))
+    whole = homed.select("chunk", "blob").join(marks.hint("merge"), "chunk", "left")
+    return whole.mapInArrow(_remove(width, keep, with_text, with_spans, names), ", ".join(f"`{c}` {kinds[c]}" for c in names))
 
 
 def op3_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
