@@ -22,43 +22,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _bytes as B
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Leaves that a task holds at a time, about; prefixes that may have more are extended.
-GROUP_LEAVES = 1 << 20
+GROUP_LEAVES = 1 << 19
 #: Hashes that a task compares at a time, about.
 GROUP_HASHES = 1 << 22
+#: Words of the codebook, and how often a word must come in a chunk to be counted for it.
+CODEBOOK, CODED_FROM = 1 << 18, 4
 _STEP = B.U64(0xD6E8FEB86659FD93)
 
 
 def _planes(x: np.ndarray) -> list[np.ndarray]:
     """Non-negative integers as their bytes, place by place, which compress better apart."""
-    x = np.asarray(x).astype(B.U64)
-    top = int(x.max()) if len(x) else 0
-    return [(x >> B.U64(8 * k)).astype(np.uint8) for k in range(max(1, -(-top.bit_length() // 8)))]
+    x = B.shrink(x)
+    places = x.view(np.uint8).reshape(len(x), x.itemsize)
+    return [np.ascontiguousarray(places[:, k]) for k in range(x.itemsize)]
 
 
 def _unplane(planes: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros(len(planes[0]), np.int64)
+    out = np.zeros((len(planes[0]), 8), np.uint8)
     for k, p in enumerate(planes):
-        out |= p.astype(np.int64) << (8 * k)
-    return out
+        out[:, k] = p
+    return out.view(np.int64).ravel()
 
 
-def _bundle(*columns: np.ndarray) -> bytes:
-    """Columns of non-negative integers as one blob."""
+def _bundle(*columns: np.ndarray, whole: tuple[np.ndarray, ...] = ()) -> bytes:
+    """Columns of non-negative integers, and arrays that stay as they are, as one blob."""
     planes = [_planes(c) for c in columns]
-    return B.pack(np.array([len(p) for p in planes], np.uint8), *[a for p in planes for a in p], level=3)
+    return B.pack(np.array([len(p) for p in planes], np.uint8), *whole, *[a for p in planes for a in p], level=3)
 
 
-def _unbundle(blob: bytes) -> list[np.ndarray]:
+def _unbundle(blob: bytes, whole: int = 0) -> list[np.ndarray]:
     sizes, *planes = B.unpack(blob)
+    kept, planes = planes[:whole], planes[whole:]
     at = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))]).tolist()
-    return [_unplane(planes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return [*kept, *[_unplane(planes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]]
+
+
+def _dealt(group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by group, and where each begins in it."""
+    order = np.argsort(group.astype(np.uint16) if groups < 65536 else group, kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(group.astype(np.int64), minlength=groups))])
+
+
+def _taken(words: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of some words of a binary column: their lengths, and their bytes one after the other."""
+    some = words.take(pa.array(at))
+    _, offsets, data = some.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(some) + 1, some.offset * 8)
+    return np.diff(offsets), np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
 
 
 def _steps(ascending: np.ndarray) -> np.ndarray:
@@ -106,14 +124,24 @@ class Chunk:
         """The code of the first n words of suffixes, from that of the first n - 1."""
         return self.hashes[at + n - 1] if before is None else before * _STEP + self.hashes[at + n - 1]
 
-    def nodes(self) -> None:
-        """The suffixes in order of ``key``; equal ones, by their words, are a node of the chunk's own."""
-        key = np.zeros(len(self.at), B.U64)
-        for j in range(self.width):
-            key = self.prefix(self.at, j + 1, key)
-        key = B.splitmix(key)
+    def spell(self) -> None:
+        """Each word's place in the chunk's dictionary of words."""
         code = _spelled(self.data[B.WORD_BLANK[self.data]], self.ends - self.starts).dictionary_encode()
         self.words, self.dictionary = code.indices.to_numpy(), code.dictionary
+
+    def whole(self) -> np.ndarray:
+        """The hashes of the suffixes."""
+        n = len(self.hashes) - self.width + 1
+        code = self.hashes[: max(0, n)].copy()
+        for j in range(1, self.width):
+            code *= _STEP
+            code += self.hashes[j : j + n]
+        return B.splitmix(code[self.at])
+
+    def nodes(self) -> None:
+        """The suffixes in order of ``key``; equal ones, by their words, are a node of the chunk's own."""
+        self.spell()
+        key = self.whole()
         order = np.argsort(key)
         key = key[order]
         same = key[1:] == key[:-1]
@@ -141,9 +169,7 @@ class Chunk:
     def asked(self, bits: int, groups: int):
         """For each group of hashes: the nodes (their places, ascending) and their hashes, shortened to ``bits`` and divided by groups."""
         short = self.key >> B.U64(64 - bits)
-        group = (short % B.U64(groups)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        edge = np.searchsorted(group[order], np.arange(groups + 1))
+        order, edge = _dealt(short % B.U64(groups), groups)
         for g in np.flatnonzero(np.diff(edge)).tolist():
             at = order[edge[g] : edge[g + 1]]
             yield g, at, (short[at] // B.U64(groups)).astype(np.int64)
@@ -154,13 +180,23 @@ def _hash(data, starts, ends) -> np.ndarray:
 
 
 def _pack(width: int, share: float, chunk_bytes: int):
-    """Documents in chunks, with the counts of prefixes that hold more than ``share`` of a chunk's suffixes."""
+    """Documents in chunks, with the counts of prefixes that hold more than ``share`` of a chunk's suffixes, and of common words."""
+
+    def common(chunk: Chunk) -> bytes:
+        chunk.spell()
+        count = np.bincount(chunk.words, minlength=len(chunk.dictionary)) if len(chunk.words) else np.zeros(0, np.int64)
+        often = np.flatnonzero(count >= CODED_FROM)
+        lengths, spelled = _taken(chunk.dictionary, often)
+        return _bundle(count[often], lengths, whole=(spelled,))
 
     def heavy(chunk: Chunk) -> bytes:
         at, code, rows = chunk.at, None, []
         least = share * len(at)
         for n in range(1, width):
             code = chunk.prefix(at, n, code)
+            bucket = (B.splitmix(code) >> B.U64(48)).astype(np.int32)  # what shares a bucket with few is no candidate
+            some = np.bincount(bucket, minlength=1 << 16)[bucket] > least
+            at, code = at[some], code[some]
             values, back, counts = np.unique(code, return_inverse=True, return_counts=True)
             often = counts > least
             rows.append((np.full(int(often.sum()), n), values[often], counts[often]))
@@ -177,7 +213,8 @@ def _pack(width: int, share: float, chunk_bytes: int):
         def out() -> pa.RecordBatch:
             blob = _close(held)
             chunk = Chunk(blob, width)
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(chunk.at)]), pa.array([heavy(chunk)], pa.binary()), pa.array([blob], pa.binary())], ["chunk", "n", "counts", "blob"])
+            columns = [pa.array([name]), pa.array([len(chunk.at)]), *[pa.array([x], pa.binary()) for x in (heavy(chunk), common(chunk), blob)]]
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "n", "counts", "words", "blob"])
 
         for batch in batches:
             for lo, hi, data, _offsets in B.text_slices(batch.column("text")):
@@ -193,10 +230,14 @@ def _pack(width: int, share: float, chunk_bytes: int):
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a task's chunks, added up where several are at hand."""
     for batch in batches:
-        for blob in batch.column("counts"):
-            level, code, n = B.unpack(blob.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(level.astype(np.int32)), pa.array(code.view(np.int64)), pa.array(n.astype(np.int64))], ["level", "code", "n"])
+        level, code, n = (np.concatenate(x) for x in zip(*[B.unpack(blob.as_py()) for blob in batch.column("counts")], strict=True))
+        order = np.lexsort((code, level))
+        level, code, n = level[order], code[order], n[order].astype(np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], (level[1:] != level[:-1]) | (code[1:] != code[:-1])])) if len(code) else np.zeros(0, np.int64)
+        n = np.add.reduceat(n, begin) if len(begin) else n
+        yield pa.RecordBatch.from_arrays([pa.array(level[begin].astype(np.int32)), pa.array(code[begin].view(np.int64)), pa.array(n)], ["level", "code", "n"])
 
 
 def _prefixes(homed: DataFrame, width: int, leaves: int) -> list[np.ndarray]:
@@ -208,6 +249,19 @@ def _prefixes(homed: DataFrame, width: int, leaves: int) -> list[np.ndarray]:
     return [np.sort(np.array(x, np.int64).view(B.U64)) for x in found]
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column("words"):
+            spelled, count, lengths = _unbundle(blob.as_py(), 1)
+            yield pa.RecordBatch.from_arrays([_spelled(spelled, lengths).cast(pa.binary()), pa.array(count)], ["word", "n"])
+
+
+def _codebook(homed: DataFrame, most: int) -> pa.Array:
+    """The ``most`` commonest words, commonest first: in the exchange a short number stands for them, others are spelled. Decides nothing else."""
+    rows = homed.select("words").mapInArrow(_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return pa.array([bytes(r.word) for r in rows.orderBy(F.desc("n"), "word").limit(most).select("word").toLocalIterator()], pa.large_binary())
+
+
 _DEALT = "part int, sub int, chunk long, blob binary"
 
 
@@ -266,7 +320,7 @@ def _leaves(width: int, bits: int, hash_groups: int, n: int, subs: int, shared):
     """The leaves that another chunk may have, dealt by prefix: words, smallest document, place among the chunk's nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = shared.value
+        split, book = shared.value
         for batch in batches:
             for name, blob, replies in zip(batch.column("chunk").to_pylist(), batch.column("blob"), batch.column("replies"), strict=True):
                 if not replies.is_valid:
@@ -278,9 +332,10 @@ def _leaves(width: int, bits: int, hash_groups: int, n: int, subs: int, shared):
                 for g, at, _short in chunk.asked(bits, hash_groups):
                     if g in answers:
                         kept[at] = np.unpackbits(B.unpack(answers[g])[0], count=len(at)).astype(bool)
-                yield from dealt(name, chunk, np.flatnonzero(kept), split)
+                coded = pc.index_in(chunk.dictionary, book).fill_null(-1).to_numpy(zero_copy_only=False)
+                yield from dealt(name, chunk, np.flatnonzero(kept), split, coded, len(book))
 
-    def dealt(name: int, chunk: Chunk, node: np.ndarray, split: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def dealt(name: int, chunk: Chunk, node: np.ndarray, split: list[np.ndarray], coded: np.ndarray, common: int) -> Iterator[pa.RecordBatch]:
         head = chunk.head[node]
         code, open_, so_far = np.zeros(len(node), B.U64), np.arange(len(node)), None
         for j, table in enumerate(split):
@@ -290,22 +345,18 @@ def _leaves(width: int, bits: int, hash_groups: int, n: int, subs: int, shared):
             open_, so_far = open_[more], so_far[more]
             if not len(open_):
                 break
-        group = (B.splitmix(code) % B.U64(n * subs)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        edge = np.searchsorted(group[order], np.arange(n * subs + 1))
-        local, rows = np.zeros(len(chunk.dictionary), np.int32), []
+        order, edge = _dealt(B.splitmix(code) % B.U64(n * subs), n * subs)
+        number, rare, rows = coded.astype(np.uint32), coded < 0, []
         for g in np.flatnonzero(np.diff(edge)).tolist():
             at = order[edge[g] : edge[g + 1]]
             words = chunk.words[head[at][None, :] + np.arange(chunk.width)[:, None]]  # a row for each depth
-            used = np.zeros(len(local), bool)
-            used[words.ravel()] = True
-            used = np.flatnonzero(used)
-            local[used] = np.arange(len(used), dtype=np.int32)
+            used = np.unique(words[rare[words]])
+            number[used] = common + np.arange(len(used), dtype=np.uint32)
             least = chunk.least[node[at]]
             low = int(least.min())
-            numbers = _bundle(_steps(node[at]), (least.astype(B.U64) - np.int64(low).astype(B.U64)), local[words].ravel())
-            spelled = b" ".join(chunk.dictionary.take(pa.array(used)).to_pylist())
-            rows.append((g % n, g // n, name, B.pack(np.array([low], np.int64), np.frombuffer(numbers, np.uint8), np.frombuffer(spelled, np.uint8), level=3)))
+            lengths, spelled = _taken(chunk.dictionary, used)
+            numbers = (_steps(node[at]), least.view(B.U64) - np.int64(low).view(B.U64), number[words].ravel(), lengths)
+            rows.append((g % n, g // n, name, _bundle(*numbers, whole=(np.array([low], np.int64), spelled))))
             if len(rows) >= 64:
                 yield _rows(rows)
                 rows = []
@@ -326,20 +377,24 @@ def subtree(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], common < depth])) if len(order) else np.zeros(0, np.int64)
 
 
-def _trees(width: int):
+def _trees(width: int, common: int):
     """The subtrees of a partition, one group at a time: marks for the chunks."""
 
     def opened(blob: bytes) -> tuple:
-        low, numbers, spelled = B.unpack(blob)
-        node, least, words = _unbundle(numbers.tobytes())
-        starts, ends, _ = B.words(spelled, np.array([0, len(spelled)]))
-        return np.cumsum(node), least + low[0], words.astype(np.int32).reshape(width, -1), _spelled(spelled[B.WORD_BLANK[spelled]], ends - starts)
+        low, spelled, node, least, words, lengths = _unbundle(blob, 2)
+        return np.cumsum(node), least + low[0], words.astype(np.int32).reshape(width, -1), _spelled(spelled, lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _part, _sub, held in _groups(batches, opened):
             code = pa.chunked_array([x[3] for _, x in held]).combine_chunks().dictionary_encode().indices.to_numpy()
             base = np.cumsum([0] + [len(x[3]) for _, x in held]).tolist()
-            words = np.concatenate([code[b + x[2]] for b, (_, x) in zip(base[:-1], held, strict=True)], axis=1).T
+            words = np.concatenate([x[2] for _, x in held], axis=1)
+            at = 0
+            for b, (_, x) in zip(base[:-1], held, strict=True):
+                own = words[:, at : at + x[2].shape[1]]
+                own[own >= common] = common + code[b + own[own >= common] - common]
+                at += x[2].shape[1]
+            words = words.T
             least = np.concatenate([x[1] for _, x in held])
             order, begin = subtree(words, width)
             late = np.zeros(len(order), bool)
@@ -440,22 +495,25 @@ def remove_repeats(
     keep = [c for c in dict.fromkeys(keep) if c not in names]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[c for c in keep if c != "text"])
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"] + 1
-    share = min(1.0, leaves / (4 * size))  # of at most size / 2 suffixes, an eighth of ``leaves``
-    packed = rows.mapInArrow(_pack(width, share, chunk_bytes), "chunk long, n long, counts binary, blob binary")
+    most = max(1, leaves // 2)  # of one prefix
+    share = min(1.0, most / (4 * size))  # of at most size / 2 suffixes, an eighth of that
+    packed = rows.mapInArrow(_pack(width, share, chunk_bytes), "chunk long, n long, counts binary, words binary, blob binary")
     homed = B.cut_by(packed, n, "chunk")
     total = homed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    split = spark.sparkContext.broadcast(_prefixes(homed, width, leaves))
+    book = _codebook(homed, CODEBOOK)
+    split = spark.sparkContext.broadcast((_prefixes(homed, width, most), book))
 
     bits, hash_subs = min(64, size.bit_length() + 2), -(-max(1, total) // (n * hashes))
-    by_group = lambda df: df.repartitionById(n, F.col("part")).sortWithinPartitions("part", "sub")
-    asked = by_group(homed.select("chunk", "blob").mapInArrow(_ask(width, bits, n, hash_subs), _DEALT))
+    by_group = lambda df, n: df.repartitionById(n, F.col("part")).sortWithinPartitions("part", "sub")
+    asked = by_group(homed.select("chunk", "blob").mapInArrow(_ask(width, bits, n, hash_subs), _DEALT), n)
     replies = B.cut(asked.mapInArrow(_reply(n), "chunk long, sub int, kept long, blob binary"))
     left = replies.agg(F.coalesce(F.sum("kept"), F.lit(0)).alias("n")).first()["n"]
-    subs = -(-max(1, 2 * left) // (n * leaves))
+    trees = min(n, -(-max(1, left) // leaves))  # fewer, larger groups repeat fewer words
+    subs = max(1, round(left / (trees * leaves)))
     replies = replies.groupBy("chunk").agg(F.collect_list(F.struct("sub", "blob")).alias("replies"))
     met = homed.select("chunk", "blob").join(replies.hint("merge"), "chunk")
-    dealt = by_group(met.mapInArrow(_leaves(width, bits, n * hash_subs, n, subs, split), _DEALT))
-    marks = dealt.mapInArrow(_trees(width), "chunk long, blob binary").groupBy("chunk").agg(F.collect_list("blob").alias("marks"))
+    dealt = by_group(met.mapInArrow(_leaves(width, bits, n * hash_subs, trees, subs, split), _DEALT), trees)
+    marks = dealt.mapInArrow(_trees(width, len(book)), "chunk long, blob binary").groupBy("chunk").agg(F.collect_list("blob").alias("marks"))
 
     kinds = {"n_words": "long", "n_removed": "long", "kept_sha256": "string", "kept_text": "string", "spans": "array<struct<first_word:long,n_words:long>>", "doc_id": "long"}
     kinds |= {c: docs.schema[c].dataType.simpleString() for c in keep}

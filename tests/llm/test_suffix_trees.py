@@ -19,7 +19,9 @@ def test_small_groups(spark, monkeypatch, hashes):
     """Chunks of a few documents, prefixes extended to the full depth, many groups; then all words hash alike."""
     if hashes == "alike":  # the module goes to the workers as it is here
         monkeypatch.setattr(substring_dedup.Chunk, "prefix", lambda self, at, n, before=None: np.zeros(len(at), np.uint64))
+        monkeypatch.setattr(substring_dedup.Chunk, "whole", lambda self: np.zeros(len(self.at), np.uint64))
         cloudpickle.register_pickle_by_value(substring_dedup)
+    monkeypatch.setattr(substring_dedup, "CODEBOOK", 20)  # most words are spelled
     try:
         rows = corpus.rows(5, 80)
         got = substring_dedup.remove_repeats(corpus.frame(spark, rows), 4, leaves=16, hashes=64, chunk_bytes=600).collect()
@@ -55,7 +57,7 @@ def test_counted_prefixes_bound_groups(spark):
     rows = [(i, " ".join(r.choices(["a", "b", "c", "d"], [8, 4, 2, 1], k=400))) for i in range(40)]
     docs = corpus.frame(spark, rows).select("doc_id", "text")
     size = sum(len(t) for _, t in rows)
-    homed = docs.mapInArrow(substring_dedup._pack(6, 500 / (4 * size), 3000), "chunk long, n long, counts binary, blob binary")
+    homed = docs.mapInArrow(substring_dedup._pack(6, 500 / (4 * size), 3000), "chunk long, n long, counts binary, words binary, blob binary")
     split = substring_dedup._prefixes(homed, 6, 500)
     assert len(split[0]) and len(split[1])
     found = {}
