@@ -5,11 +5,9 @@ its letters, each permuted by its place: rot^2(a) * rot(b) * c for n = 3. A docu
 its n-grams' vectors, a language's prototype bundles those of its training documents, and a document gets
 the language whose prototype has the largest cosine with its vector.
 
-Bundling is linear, so the inner product of a document with a prototype is the sum, over the document's
-n-grams, of the inner product of the n-gram's vector with the prototype. These are computed once for each
-n-gram of training and sent out as a table (languages x 2**18 at most), and no document vector is ever
-written out; its length, which all prototypes share, is taken at its expectation, as n-gram vectors are
-nearly orthogonal. The mean of the prototypes, which all languages share, is taken from each.
+A document's vector is written out, exactly, in slices of bounded size; a prototype is the sum of its training
+documents' vectors, which every task adds up for itself first. Only the prototypes (languages x dimensions)
+go to the driver and out again. The mean of the prototypes, which all languages share, is taken from each.
 """
 
 from __future__ import annotations
@@ -25,7 +23,10 @@ from . import _bytes as B
 
 SYMBOLS = 64
 GRAMS = SYMBOLS**3
+#: Documents and n-grams that are multiplied at a time.
+DOCS, SOME = 512, 4096
 _table: list[np.ndarray] = []
+_alpha: list[np.ndarray] = []
 
 
 def symbol(c: str) -> int:
@@ -66,21 +67,18 @@ def gram_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return both // GRAMS, both % GRAMS, count
 
 
-def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[str, np.ndarray] = {}
-    for batch in batches:
-        lang = np.array(batch.column("lang").to_pylist(), object)
-        for lo, hi, data, offsets in B.text_slices(batch.column("text")):
-            doc, gram, count = gram_counts(data, offsets)
-            for name in set(lang[lo:hi].tolist()):
-                own = lang[lo:hi][doc] == name
-                sums.setdefault(name, np.zeros(GRAMS, np.int64))
-                np.add.at(sums[name], gram[own], count[own])
-    for name, total in sums.items():
-        at = np.flatnonzero(total)
-        for a in range(0, len(at), 10_000):
-            some = at[a : a + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(some.astype(np.int32)), pa.array(total[some])], ["lang", "gram", "n"])
+def letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Does each document of a slice hold a letter? A mark without one is none."""
+    if not _alpha:
+        _alpha.append(np.array([not 0xD800 <= i < 0xE000 and chr(i).isalpha() for i in range(0x10000)]))
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    is_letter = _alpha[0][np.minimum(points, 0xFFFF)]
+    if (high := points > 0xFFFF).any():
+        for p in np.unique(points[high]).tolist():
+            is_letter[points == p] = chr(p).isalpha()
+    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    total = np.concatenate([[0], np.cumsum(is_letter)])
+    return total[lead[1:]] > total[lead[:-1]]
 
 
 def gram_vectors(grams: np.ndarray, dimensions: int, seed: int = 23) -> np.ndarray:
@@ -90,73 +88,101 @@ def gram_vectors(grams: np.ndarray, dimensions: int, seed: int = 23) -> np.ndarr
     return np.roll(letters, 2, axis=1)[a] * np.roll(letters, 1, axis=1)[b] * letters[c]
 
 
-class Profiles:
-    """languages, and for each language and n-gram the inner product with the prototype of unit length."""
-
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], dimensions: int):
-        self.languages = sorted(counts)
-        self.dimensions = dimensions
-        self.table = np.zeros((len(self.languages), GRAMS), np.float32)
-        if not counts:
-            return
-        share = np.zeros((len(self.languages), GRAMS), np.float32)
-        for i, name in enumerate(self.languages):
-            gram, n = counts[name]
-            share[i, gram] = n / max(1, n.sum())
-        used = np.flatnonzero(share.any(axis=0))
-        sums = np.zeros((len(self.languages), dimensions), np.float64)
-        for a in range(0, len(used), 4096):
-            sums += share[:, used[a : a + 4096]] @ gram_vectors(used[a : a + 4096], dimensions).astype(np.float32)
-        sums /= np.maximum(np.linalg.norm(sums, axis=1), 1e-12)[:, None]
-        if len(self.languages) > 1:
-            sums -= sums.mean(axis=0)
-            sums /= np.maximum(np.linalg.norm(sums, axis=1), 1e-12)[:, None]
-        for a in range(0, len(used), 4096):
-            self.table[:, used[a : a + 4096]] = sums.astype(np.float32) @ gram_vectors(used[a : a + 4096], dimensions).astype(np.float32).T
+def bundles(doc: np.ndarray, gram: np.ndarray, count: np.ndarray, n: int, dimensions: int) -> np.ndarray:
+    """The sums of each row's n-gram vectors (doc ascending, each n-gram of it once): integers, exactly."""
+    out = np.zeros((n, dimensions))
+    kind = np.float32 if len(count) == 0 or np.bincount(doc, weights=count).max() < 1 << 23 else np.float64
+    for lo in range(0, n, DOCS):
+        a, b = np.searchsorted(doc, [lo, lo + DOCS])
+        if a == b:
+            continue
+        row, own, times = doc[a:b] - lo, gram[a:b], count[a:b].astype(kind)
+        used, column = np.unique(own, return_inverse=True)
+        rows = min(DOCS, n - lo)
+        order = np.argsort(column, kind="stable")
+        edge = np.searchsorted(column[order], np.arange(0, len(used) + SOME, SOME))
+        for k, first in enumerate(range(0, len(used), SOME)):
+            at = order[edge[k] : edge[k + 1]]
+            vectors = gram_vectors(used[first : first + SOME], dimensions)
+            if 25 * len(at) > rows * len(vectors):
+                table = np.zeros((rows, len(vectors)), kind)
+                table[row[at], column[at] - first] = times[at]
+                out[lo : lo + rows] += table @ vectors.astype(kind)
+                continue
+            at = at[np.argsort(row[at], kind="stable")]  # few of each: row by row
+            for j in range(0, len(at), SOME):
+                some = at[j : j + SOME]
+                begin = np.flatnonzero(np.concatenate([[True], row[some][1:] != row[some][:-1]]))
+                out[lo + row[some][begin]] += np.add.reduceat(vectors[column[some] - first] * times[some, None], begin, axis=0)
+    return out
 
 
-def _predict(shared):
+def _learn(dimensions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, table, dimensions = shared.value
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
+            lang = np.array(batch.column("lang").to_pylist(), object)
             for lo, hi, data, offsets in B.text_slices(batch.column("text")):
                 doc, gram, count = gram_counts(data, offsets)
+                names, of = np.unique(lang[lo:hi].astype(str), return_inverse=True)
+                both, back = np.unique(of[doc] * GRAMS + gram, return_inverse=True)
+                own = bundles(both // GRAMS, both % GRAMS, np.bincount(back, weights=count, minlength=len(both)), len(names), dimensions)
+                for name, vector in zip(names.tolist(), own, strict=True):
+                    sums[name] = sums.get(name, 0) + vector
+        for name, vector in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(vector)], ["lang", "place", "n"])
+
+    return run
+
+
+def prototypes(sums: np.ndarray) -> np.ndarray:
+    """Bundled vectors of unit length, less what they share, of unit length again."""
+    unit = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)[:, None]
+    if len(unit) > 1:
+        unit = unit - unit.mean(axis=0)
+        unit /= np.maximum(np.linalg.norm(unit, axis=1), 1e-12)[:, None]
+    return unit
+
+
+def _predict(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, unit, dimensions = shared.value
+        for batch in batches:
+            for lo, hi, data, offsets in B.text_slices(batch.column("text")):
                 n = hi - lo
-                length = np.sqrt(np.bincount(doc, weights=count.astype(float) ** 2, minlength=n) * dimensions)
-                cosine = np.stack([np.bincount(doc, weights=table[k, gram] * count, minlength=n) for k in range(len(names))]) if names else np.full((1, n), -1.0)
-                cosine = cosine / np.maximum(length, 1e-12)
-                best = cosine.argmax(axis=0)
-                some = length > 0
-                pred = [names[b] if s and names else "und" for b, s in zip(best.tolist(), some.tolist(), strict=True)]
-                score = np.where(some, np.clip(cosine[best, np.arange(n)], 0, 1), 0.0) if names else np.zeros(n)
+                some = letters(data, offsets)
+                pred, score = ["und"] * n, np.zeros(n)
+                if names:
+                    own = bundles(*gram_counts(data, offsets), n, dimensions)
+                    cosine = own @ unit.T / np.maximum(np.linalg.norm(own, axis=1), 1e-12)[:, None]
+                    best = cosine.argmax(axis=1)
+                    pred = [names[b] if s else "und" for b, s in zip(best.tolist(), some.tolist(), strict=True)]
+                    score = np.where(some, np.clip(cosine[np.arange(n), best], 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, n) for c in batch.schema.names], pa.array(pred, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, training: DataFrame, dimensions: int = 1024, max_languages: int = 500, keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame, dimensions: int = 1024, keep: tuple[str, ...] = ()) -> DataFrame:
     """The language of every text of docs (doc_id, text), learned from training (text, lang).
 
     Returns doc_id, the ``keep`` columns of docs but those with a name of a result column, lang_pred (a
     learned lang value, or ``und`` where the text is null or has no letter, or nothing was learned) and
-    score (the cosine, 0 to 1). lang, source and doc_id are no inputs of a prediction.
+    score (the cosine of the document's vector and the language's prototype, 0 to 1). lang, source and
+    doc_id are no inputs of a prediction.
 
-    Training rows with null lang or text teach nothing; every other row counts, whole. More than
-    ``max_languages`` languages are an error: the tables that are sent out have languages x 2**18 entries.
-    Rows without or with equal doc_id are predicted each by itself; equal cosines go to the first language
-    in order. An empty table gives no rows.
+    Training rows with null lang or text teach nothing; every other row counts, whole. Marks without a
+    letter are no letter. Rows without or with equal doc_id are predicted each by itself; equal cosines go
+    to the first language in order. An empty table gives no rows. What a task or the driver holds is a
+    vector of ``dimensions`` numbers for each language.
     """
     spark = docs.sparkSession
-    learned = training.where("lang is not null and text is not null").select("text", "lang").mapInArrow(_learn, "lang string, gram int, n long")
-    rows = learned.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts: dict[str, tuple] = {}
-    if training.where("lang is not null").select("lang").distinct().limit(max_languages + 1).count() > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    table = rows.toPandas()  # bounded: languages x n-grams of SYMBOLS
-    for name, own in table.groupby("lang"):
-        counts[name] = own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.int64)
-    profiles = Profiles(counts, dimensions)
-    shared = spark.sparkContext.broadcast((profiles.languages, profiles.table, dimensions))
+    learned = training.where("lang is not null and text is not null").select("text", "lang").mapInArrow(_learn(dimensions), "lang string, place int, n double")
+    rows = learned.groupBy("lang", "place").agg(F.sum("n").alias("n")).toPandas()  # languages x dimensions
+    names = sorted(set(rows["lang"]))
+    sums = np.zeros((len(names), dimensions))
+    sums[np.searchsorted(names, rows["lang"]) if names else [], rows["place"]] = rows["n"]
+    shared = spark.sparkContext.broadcast((names, prototypes(sums), dimensions))
     columns = ["doc_id", *[c for c in dict.fromkeys(keep) if c not in ("doc_id", "text", "lang_pred", "score")]]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*columns, "text"])
     found = docs.select(*columns, "text").mapInArrow(_predict(shared), kinds + ", lang_pred string, score double")
