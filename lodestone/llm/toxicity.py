@@ -182,19 +182,22 @@ class Boosted:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing fit of y to score (pool adjacent violators)."""
-    order = np.argsort(score, kind="stable")
+    """Knots of the non-decreasing fit of y to score (pool adjacent violators); equal scores are one block from the start."""
+    values, of, times = np.unique(score, return_inverse=True, return_counts=True)
+    means = np.bincount(of, weights=y, minlength=len(values)) / np.maximum(times, 1)
     blocks: list[list[float]] = []
-    for s, v in zip(score[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([v, 1.0, s, s])
+    for s, v, n in zip(values.tolist(), means.tolist(), times.tolist(), strict=True):
+        blocks.append([v, n, s, s])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
             b, a = blocks.pop(), blocks.pop()
             blocks.append([(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2], b[3]])
-    x = [k for b in blocks for k in (b[2], b[3])]
-    return np.array(x), np.array([b[0] for b in blocks for _ in (0, 1)])
+    knots = [(x, b[0]) for b in blocks for x in dict.fromkeys((b[2], b[3]))]
+    return np.array([x for x, _ in knots]), np.array([v for _, v in knots])
 
 
 class Model:
+    """Lexicon, trees and calibration. A score is 0.98 of the calibrated value and 0.02 of the trees' own logistic one, which keeps the order within a step of the calibration."""
+
     def __init__(self, learned, trees: Boosted | None, knots):
         self.learned, self.trees, self.knots = learned, trees, knots
 
@@ -276,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, lexicon_word
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1) and predicted (1 from 0.5) of every text of docs (doc_id, text).
+    """doc_id, score (0 to 1; see ``Model``) and predicted (1 from 0.5) of every text of docs (doc_id, text).
 
     Null and empty texts have the features of no words and a score like any other. Rows without or with
     equal doc_id are scored each by itself. With nothing to learn from, every score is 0.5. An empty table

@@ -2,6 +2,7 @@ import os
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,15 @@ def test_toxicity_edges(spark):
     assert toxicity.score_toxicity(docs.where("false"), model).count() == 0
 
 
+def test_isotonic_of_equal_scores():
+    for y in ([0, 1, 0], [1, 0, 0], [0, 0, 1]):
+        x, v = toxicity.isotonic(np.array([1.0, 1, 1]), np.array(y, float))
+        assert x.tolist() == [1] and v.tolist() == pytest.approx([1 / 3])
+    x, v = toxicity.isotonic(np.array([3.0, 1, 2, 2]), np.array([1.0, 0, 1, 0]))
+    assert x.tolist() == [1, 2, 3] and v.tolist() == [0, 0.5, 1]
+    assert len(toxicity.isotonic(np.zeros(0), np.zeros(0))[0]) == 0
+
+
 @needs_tables
 def test_toxicity_held_out(spark):
     label = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
