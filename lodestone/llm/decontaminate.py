@@ -16,6 +16,7 @@ each with its own cursor, and one numpy step looks up and moves all cursors.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,7 +103,7 @@ class Patterns:
     def __init__(self, items: list[tuple[object, str]], width: int):
         seen: dict[bytes, int] = {}
         by_length: dict[int, dict[tuple[int, ...], set[int]]] = {}
-        self.items = [str(i) for i, _ in items]
+        self.items = [None if i is None else str(i) for i, _ in items]
         for k, (_, text) in enumerate(items):
             data = np.frombuffer((text or "").encode(), np.uint8)
             starts, ends, _first = B.words(data, np.array([0, len(data)]), WORD)
@@ -151,48 +152,83 @@ class Patterns:
         return np.cumsum(cover)[:-1] > 0, items
 
 
-def _scan(items, width: int, last: bool, keep: list[str], text: bool):
-    """One block of items over the documents; what earlier blocks hit comes in and goes out with the text."""
-    tables: list[Patterns] = []
+_built: dict[str, Patterns] = {}
+
+
+def _patterns(name: str, items, width: int) -> Patterns:
+    """A block's tables, built once in a worker; the worker keeps those of one block."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Patterns(items.value, width)
+    return _built[name]
+
+
+def _result(rows: pa.RecordBatch, first: np.ndarray, hit: np.ndarray, found: list[set[str]], text: bool, keep: list[str]) -> pa.RecordBatch:
+    total = np.concatenate([[0], np.cumsum(hit)])
+    n_hit = total[first[1:]] - total[first[:-1]]
+    mine = [sorted(x - {None}) for x in found]
+    out = {
+        "doc_id": rows.column("doc_id"),
+        "n_words": pa.array(np.diff(first)),
+        "n_hit": pa.array(n_hit),
+        "n_items": pa.array([len(x) for x in found], pa.int64()),
+        "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in mine], pa.string()),
+        "items": pa.array(mine, pa.list_(pa.string())),
+        "contaminated": pa.array(n_hit > 0),
+    }
+    out |= {c: rows.column(c) for c in ["text"] * text + keep}
+    return pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+
+def _scan(name: str, items, width: int, text: bool, keep: list[str]):
+    """The results of a benchmark of one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not tables:
-            tables.append(Patterns(items.value, width))
-        t = tables[0]
+        t = _patterns(name, items, width)
         for batch in batches:
-            before = {c: batch.column(c) for c in ("hit", "items") if c in batch.schema.names}
             for lo, hi, data, offsets in B.text_slices(batch.column("text")):
                 starts, ends, first = B.words(data, offsets, WORD)
                 hit, found = t.hits(data, starts, ends, first)
-                mine = [[t.items[i] for i in k] for k in found]
-                if before:
-                    hit |= np.frombuffer(b"".join(before["hit"].slice(lo, hi - lo).to_pylist()), bool)
-                    mine = [x + y for x, y in zip(before["items"].slice(lo, hi - lo).to_pylist(), mine, strict=True)]
-                docs, kept = batch.column("doc_id").slice(lo, hi - lo), [batch.column(c).slice(lo, hi - lo) for c in keep]
-                if not last:
-                    bits = hit.tobytes()
-                    cover = [bits[x:y] for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [docs, batch.column("text").slice(lo, hi - lo), *kept, pa.array(cover, pa.binary()), pa.array(mine, pa.list_(pa.string()))], ["doc_id", "text", *keep, "hit", "items"]
-                    )
-                    continue
-                total = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = total[first[1:]] - total[first[:-1]]
-                mine = [sorted(x) for x in mine]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        docs,
-                        pa.array(np.diff(first)),
-                        pa.array(n_hit),
-                        pa.array([len(x) for x in mine], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in mine], pa.string()),
-                        pa.array(mine, pa.list_(pa.string())),
-                        pa.array(n_hit > 0),
-                        *([batch.column("text").slice(lo, hi - lo)] if text else []),
-                        *kept,
-                    ],
-                    ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated", *["text"] * text, *keep],
-                )
+                yield _result(batch.slice(lo, hi - lo), first, hit, [{t.items[i] for i in k} for k in found], text, keep)
+
+    return run
+
+
+def _marks(name: str, items, width: int):
+    """Of one block of several: the rows that it hits, with the places and lengths of the runs of words hit, and the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _patterns(name, items, width)
+        for batch in batches:
+            for lo, _hi, data, offsets in B.text_slices(batch.column("text")):
+                starts, ends, first = B.words(data, offsets, WORD)
+                hit, found = t.hits(data, starts, ends, first)
+                rows = []
+                for i in (i for i, k in enumerate(found) if k):
+                    edge = np.diff(np.concatenate([[0], hit[first[i] : first[i + 1]].astype(np.int8), [0]]))
+                    runs = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)]).astype(np.int64)
+                    rows.append((batch.column("row")[lo + i].as_py(), runs.tobytes(), list({t.items[x] for x in found[i]})))
+                if rows:
+                    row, runs, ids = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(runs, pa.binary()), pa.array(ids, pa.list_(pa.string()))], ["row", "runs", "ids"])
+
+    return run
+
+
+def _together(text: bool, keep: list[str]):
+    """Rows with what all blocks marked in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in B.text_slices(batch.column("text")):
+                starts, _ends, first = B.words(data, offsets, WORD)
+                hit, found = np.zeros(len(starts), bool), []
+                for i, marks in enumerate(batch.column("marks").slice(lo, hi - lo).to_pylist()):
+                    found.append({x for m in marks or [] for x in m["ids"]})
+                    for m in marks or []:
+                        for a, b in np.frombuffer(m["runs"], np.int64).reshape(2, -1).T.tolist():
+                            hit[first[i] + a : first[i] + b] = True
+                yield _result(batch.slice(lo, hi - lo), first, hit, found, text, keep)
 
     return run
 
@@ -218,26 +254,31 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, block
     contaminated and the ``keep`` columns, but those with a name of a result column; no shuffle, one pass over the texts.
 
     What is broadcast is bounded: items go out in blocks of ``block_bytes`` of item text (or one item).
-    A benchmark of one block takes one pass; each further block takes another pass, which adds to what
-    the ones before it hit (kept with the texts in the shared checkpoint folder).
-    Null and empty texts have no words and no hits; an item without words occurs nowhere; repeated
-    items and documents each count for themselves; equal item ids are reported as often as they occur.
-    An empty benchmark hits nothing.
+    A benchmark of one block takes one pass. For several, the texts are dealt and written once, each block
+    passes over them and gives the marks of the rows that it hits, and these meet their rows.
+
+    Null and empty texts have no words and no hits; an item without words occurs nowhere. Items are told by
+    their ids: those that share an id are one item of several texts, and so are those without id, which
+    n_items counts but the list of ids leaves out. Repeated documents each count for themselves. An empty benchmark hits nothing.
     """
-    result = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated", "hit")
+    result = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated", "row", "marks")
     text, keep = "text" in keep, [c for c in dict.fromkeys(keep) if c not in (*result, "text")]
     found = docs.select("doc_id", "text", *keep)
     kinds = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema}
-    context = docs.sparkSession.sparkContext
+    mine = "n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean"
+    schema = ", ".join([kinds["doc_id"], mine, *[kinds["text"]] * text, *[kinds[c] for c in keep]])
+    context, n = docs.sparkSession.sparkContext, B.parts(docs.sparkSession)
+    rows = marks = None
     for items, last in _blocks(benchmark, block_bytes):
-        mine = "n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean"
-        if last:
-            schema = [kinds["doc_id"], mine, *[kinds["text"]] * text, *[kinds[c] for c in keep]]
-        else:
-            schema = [kinds["doc_id"], kinds["text"], *[kinds[c] for c in keep], "hit binary, items array<string>"]
-        found = found.mapInArrow(_scan(context.broadcast(items), width, last, keep, text), ", ".join(schema))
-        found = found if last else B.cut(found)
-    return found
+        shared, name = context.broadcast(items), uuid.uuid4().hex
+        if last and rows is None:
+            return found.mapInArrow(_scan(name, shared, width, text, keep), schema)
+        if rows is None:
+            rows = B.cut_by(found.withColumn("row", F.monotonically_increasing_id()), n, "row")
+        one = B.cut(rows.select("row", "text").mapInArrow(_marks(name, shared, width), "row long, runs binary, ids array<string>"))
+        marks = one if marks is None else marks.unionByName(one)
+    marks = marks.groupBy("row").agg(F.collect_list(F.struct("runs", "ids")).alias("marks"))
+    return rows.join(marks.hint("merge"), "row", "left").drop("row").mapInArrow(_together(text, keep), schema)
 
 
 def op7_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

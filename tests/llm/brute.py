@@ -76,6 +76,6 @@ def contamination(rows, items, width):
                 if own := windows.get(tuple(w[a : a + m])):
                     hit.update(range(a, a + m))
                     found |= own
-        names = sorted(str(k) for k in found)
-        out.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit)))
+        names = sorted({str(k) for k in found if k is not None})
+        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit)))
     return out

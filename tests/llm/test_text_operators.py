@@ -77,13 +77,27 @@ def test_decontamination(spark):
     r = random.Random(6)
     rows = corpus.rows(6, 60)
     texts = [t for _, t in rows if t and len(t) > 200]
-    items = [(k, " ".join(r.choice(texts).split()[3:20])) for k in range(12)] + [(50, "one"), (51, ""), (52, None), (53, "two  WORDS"), (53, "a, b; c"), (54, "not there at all")]
+    items = [(k, " ".join(r.choice(texts).split()[3:20])) for k in range(12)] + [(50, "one"), (51, ""), (52, None), (53, "two  WORDS"), (53, "a, b; c"), (53, "one a"), (54, "not there at all"), (None, "a b c"), (3, "two words")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = sorted(key(x) for x in brute.contamination(rows, [(k, t) for k, t in items], 10))
+    want = sorted(key(x) for x in brute.contamination(rows, items, 10))
     for block in (1 << 20, 200):  # one pass, then several
-        got = decontaminate.benchmark_hits(corpus.frame(spark, rows), bench, block_bytes=block, keep=("lang", "text", "n_words")).drop("items")
-        if block == 1 << 20:
-            assert sorted(key(x[:6]) for x in got.collect()) == want
-        else:
-            assert sorted((str(x.doc_id), x.n_hit, x.contaminated) for x in got.collect()) == sorted((str(x[0]), x[2], x[5]) for x in brute.contamination(rows, items, 10))
+        got = decontaminate.benchmark_hits(corpus.frame(spark, rows), bench, block_bytes=block, keep=("lang", "text", "n_words")).drop("items").collect()
+        assert sorted(key(x[:6]) for x in got) == want
+        assert {(x.doc_id, x.text) for x in got} == set(rows) and {x.lang for x in got} == {"en"}
     assert decontaminate.benchmark_hits(corpus.frame(spark, rows), bench.where("false")).where("contaminated").count() == 0
+
+
+def test_decontamination_is_its_sql(spark, tmp_path):
+    """Null and repeated item ids, items that hit the same texts."""
+    import duckdb
+
+    items = [(3, "the red fox"), (3, "a blue bird"), (None, "red fox runs"), (4, "bird sings"), (5, None), (11, "RED fox"), (None, "")]
+    docs = [(1, "See the red fox runs to a blue bird."), (2, "a Blue bird sings"), (3, None), (4, "fox red the"), (5, "red fox runs")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = decontaminate.op7_wu_manber_decontamination(spark, str(tmp_path))
+    for t in ("benchmark", "documents"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = duckdb.sql(f"SELECT {', '.join(got.columns)} FROM ({decontaminate.OP7_SQL})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert [r[3] for r in sorted(want)] == [3, 2, 0, 0, 2]
