@@ -6,6 +6,9 @@ differ by at most one and add up to all rows. At a virtual node the shard takes
 hash, as long as it has room, then rows that overflowed before; what is left continues clockwise. After
 two rounds every row has its place, and every shard exactly its load.
 
+A new shard takes its arcs, and every load falls by its share: rows that overflowed move with them, so more
+moves than from a ring without bounds, and far less than from dealing anew (see the test).
+
 The ring walk needs only the numbers of rows by arc (shards x points of them), folded by ``aggregate`` in
 one row. A row finds its place by its rank in its arc: arcs are ranked in cells of the ring, whose
 counts are summed, so that no window holds more than a cell.
@@ -15,13 +18,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from . import _bytes as B
+
 BITS = 40
 CELLS = 14  # of hash bits
+BLOCK = 48  # steps
 
 
 def _ring(spark: SparkSession, shards: int, points: int) -> DataFrame:
     """node (0.. clockwise), shard, at (the end of its arc), since (the end of the arc before)."""
-    nodes = spark.range(shards * points).select((F.col("id") % shards).cast("int").alias("shard"), F.shiftrightunsigned(F.xxhash64(F.lit("node"), "id"), 64 - BITS).alias("at"), "id")
+    shard, point = F.col("id") % shards, F.floor(F.col("id") / shards)  # a shard's points stay where they are when others come
+    nodes = spark.range(shards * points).select(shard.cast("int").alias("shard"), F.shiftrightunsigned(F.xxhash64(F.lit("node"), shard, point), 64 - BITS).alias("at"), "id")
     by = Window.orderBy("at", "id")
     return nodes.select((F.row_number().over(by) - 1).alias("node"), "shard", "at", F.lag("at").over(by).alias("since"))
 
@@ -53,6 +60,7 @@ def assign(docs: DataFrame, shards: int = 24, points: int = 64) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
     # without an id the text decides, and its place in the scan, so that equal texts spread
     rows = rows.withColumn("__h", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.xxhash64("text_crc32", F.monotonically_increasing_id())))
+    rows = B.cut(rows)  # a few numbers a row; counts and placement must see the same hashes, whatever is computed again
     rows = rows.withColumn("__at", F.shiftrightunsigned("__h", 64 - BITS)).withColumn("__cell", F.shiftrightunsigned("__at", BITS - CELLS).cast("int"))
     ring = _ring(spark, shards, points)
     # cells of the ring, cut at the nodes: a bounded table of where each begins and the arc it belongs to
@@ -77,7 +85,14 @@ def assign(docs: DataFrame, shards: int = 24, points: int = 64) -> DataFrame:
     load = f"transform(sequence(0, {shards - 1}), i -> cast(all div {shards} + if(i < all % {shards}, 1, 0) as long))"
     start = f"named_struct('room', {load}, 'carried', 0L, 'sent', 0L, 'taken', 0L, 'steps', cast(array() as array<struct<node:int,shard:int,home:long,slot:long,sent:long,guests:long,taken:long>>), 'load', {load})"
     again = "concat(x, transform(x, y -> named_struct('node', y.node, 'shard', y.shard, 'n', 0L)))"
-    steps = once.select(F.posexplode(F.expr(f"aggregate({again}, {start}, (s, x) -> {_STEP}).steps")).alias("turn", "s")).select("turn", "s.*")
+    # block by block, so that a step copies the records of its block only
+    block = f"transform(sequence(0, ({2 * shards * points} - 1) div {BLOCK}), b -> slice(y, b * {BLOCK} + 1, {BLOCK}))"
+    fresh = "named_struct('room', t.room, 'carried', t.carried, 'sent', t.sent, 'taken', t.taken, 'steps', slice(t.steps, 1, 0), 'load', t.load)"
+    within = f"aggregate(b, {fresh}, (s, x) -> {_STEP})"
+    joined = "named_struct('room', i.room, 'carried', i.carried, 'sent', i.sent, 'taken', i.taken, 'steps', concat(t.steps, i.steps), 'load', i.load)"
+    walked = f"aggregate(blocks, {start}, (t, b) -> aggregate(array({within}), t, (t, i) -> {joined})).steps"
+    blocks = once.select(F.expr(f"{again} as y"), "all").selectExpr(f"{block} as blocks", "all")
+    steps = blocks.select(F.posexplode(F.expr(walked)).alias("turn", "s")).select("turn", "s.*")
     first = steps.groupBy("node").agg(F.min_by(F.struct("shard", "home", "slot", "sent"), "turn").alias("f"))
     guests = steps.where("guests > 0").select("taken", "guests", F.col("shard").alias("gshard"), (F.col("slot") + F.col("home")).alias("gslot"))
     guests = guests.agg(F.sort_array(F.collect_list(F.struct("taken", "guests", "gshard", "gslot"))).alias("guests"))

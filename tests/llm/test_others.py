@@ -64,6 +64,13 @@ def test_sharding_is_the_ring_walk(spark):
     assert got == walk([(h, k) for k, h in hashes.items()], 24, 8, nodes, load)
 
 
+def test_a_new_shard_moves_few_rows(spark):
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    before, after = (sharding.assign(docs, shards=n).select("doc_id", F.col("shard").alias(f"s{n}")) for n in (24, 25))
+    moved = before.join(after, "doc_id").where("s24 <> s25").count() / 20000
+    assert 1 / 25 < moved < 0.25  # dealing by the id modulo the number of shards moves 0.96
+
+
 def test_url_parts_and_rules(spark):
     urls = [None, "", "no scheme", "http://A.Example.COM/en/71?x#y", "https://example.com#f", "x://h?q://z/", "http://b.net/de/1", "http://example.net/de/81", "https://q.org/es/", "http://spamcom/en/"]
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)] + [(None, "http://b.net/x", None, None)], "page_id long, url string, host string, rule string")
