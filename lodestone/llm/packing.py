@@ -314,18 +314,18 @@ def _epoch(capacity: int, generations: int, size: int, seed: int):
 
 _ISLANDS = pa.schema([("grp", pa.int64()), ("island", pa.int32()), ("lengths", pa.binary()), ("solutions", pa.binary()), ("elite", pa.binary()), ("bins", pa.int64()), ("cost", pa.float64())])
 _ISLANDS_DDL = "grp long, island int, lengths binary, solutions binary, elite binary, bins long, cost double"
-_ORDER = ["length", "doc_id", "piece", "start", "ids_crc32"]
+_ORDER = ["length", "doc_id", "piece", "start", "ids_crc32", "row"]
 
 
 def _sorted(frame: pd.DataFrame) -> pd.DataFrame:
-    return frame.sort_values(_ORDER, ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
+    return frame.sort_values(_ORDER, ascending=[False, True, True, True, True, True], kind="stable").reset_index(drop=True)
 
 
 def _evolved(pieces: DataFrame, capacity: int, group_pieces: int, islands: int, epochs: int, generations: int, seed: int) -> DataFrame:
-    """pieces with bin (a number within grp), grp and fill. Groups hold ``group_pieces`` on average, dealt by hash."""
+    """pieces with bin (a number within grp), grp and fill. Groups hold ``group_pieces`` on average, dealt by a hash of ``row``, so that equal pieces spread."""
     n = pieces.count()
     groups = max(1, -(-n // group_pieces))
-    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(seed)), F.lit(groups)))
+    pieces = pieces.withColumn("grp", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(groups)))
     wide = min(groups, max(1, B.parts(pieces.sparkSession)))
 
     def gather(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -366,14 +366,14 @@ def pack_documents(
     first evolution are pooled over all groups and evolved once more.
     """
     shape = dict(capacity=capacity, islands=islands, epochs=epochs, generations=generations)
-    cut = B.cut(token_pieces(docs, tokenizer, capacity))
+    cut = B.cut(token_pieces(docs, tokenizer, capacity).withColumn("row", F.monotonically_increasing_id()))  # the numbers hold once they are written
     whole = cut.where(F.col("length") == capacity).select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     first = B.cut(_evolved(cut.where(F.col("length") < capacity), group_pieces=group_pieces, seed=1, **shape))
     closed = first.where(F.col("fill") >= open_below * capacity).select(*cut.columns, (F.col("grp") * (1 << 32) + F.col("bin") + (1 << 61)).alias("sequence_id"))
     open_ = first.where(F.col("fill") < open_below * capacity).select(*cut.columns)
     second = _evolved(open_, group_pieces=group_pieces, seed=2, **shape)
     second = second.select(*cut.columns, (F.col("grp") * (1 << 32) + F.col("bin") + (1 << 62)).alias("sequence_id"))
-    by = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "piece", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    by = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "row").rowsBetween(Window.unboundedPreceding, -1)
     mixed = closed.unionByName(second).withColumn("offset", F.coalesce(F.sum("length").over(by), F.lit(0)).cast("long"))
     return mixed.unionByName(whole).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
