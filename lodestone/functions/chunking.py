@@ -17,7 +17,9 @@ SIZE, OVERLAP = 750, 120
 # Where a text may be cut, best first.
 SEPARATORS = ["\n\n", "\n- ", "\n* ", "\n1. ", "\n2. ", "\n3. ", "\n4. ", "\n5. ", "\n", ". ", ";\n", "; ", ", ", " "]
 # Words in a heading that let a section without images borrow the document's.
-INTERACTIVE = ["кнопк", "нажм", "экран", "форм", "интерфейс", "скриншот", "рисун"]
+INTERACTIVE = ["кнопк", "нажат", "вход", "окно", "шаг", "подать", "загруз", "интерфейс"]
+# A markdown table of a head, its rule and at least one row.
+TABLE = r"(\|[^\n]+\|\n\|[\s\-:|]+\|\n(?:\|[^\n]+\|\n?)+)"
 
 
 def _cut(text: str, start: int, size: int, separators: list[str]) -> int:
@@ -92,7 +94,7 @@ def split_table(table: str, size: int = SIZE) -> list[str]:
 
 _STEP = re.compile(r"\b(Шаг\s+\d+(?:\.\d+)?|Этап\s+\d+)", re.I)
 _HEADING = re.compile(r"(?:^|\n)(#{1,4})\s+(.+)")
-_TABLE = re.compile(r"(?:^\|.*\|[ \t]*\n)(?:^\|[-:| ]+\|[ \t]*\n)(?:^\|.*\|[ \t]*\n?)*", re.M)
+_TABLE = re.compile(TABLE)
 _PART = re.compile(r"(?:^|\n)(\d+\.\s)")
 _ARTICLE = re.compile(r"(?:^|\n)(Статья\s+\d+(?:\.\d+)*\.?[^\n]*)", re.I)
 _IMAGE = re.compile(r"!\[.*?\]\(([^\s)\"']+)\)")
@@ -133,7 +135,7 @@ def chunk_article(doc: dict, size: int = SIZE, overlap: int = OVERLAP) -> list[d
     text, out = doc.get("text") or "", []
     every = images_of(text)
     for where, body in list(_sections(text)) or [(doc["title"], text)]:
-        own = images_of(body) or (every[:2] if any(w in where.lower() for w in INTERACTIVE) else [])
+        own = images_of(body) or (every[:2] if any(w in where.split(" > ")[-1].lower() for w in INTERACTIVE) else [])
         table = _TABLE.search(body) if "|" in body and "---" in body else None
         if table:
             for piece in split_text(body[: table.start()], size, overlap):

@@ -19,6 +19,18 @@ LINES = {
     "registration": ("L6", "#14b8a6"), "legal": ("L7", "#7c3aed"), "services": ("L8", "#06b6d4"), None: ("L1", "#16a34a"),
 }
 
+# Names of the lines.
+LINE_NAMES = {
+    "L1": "Линия общей поддержки и навигации по Порталу Поставщиков",
+    "L2": "Линия технической поддержки (ЭЦП, КриптоПро, МЧД, ПО)",
+    "L3": "Линия котировочных сессий и мини-аукционов",
+    "L4": "Линия Каталога товаров, СТЕ и оферт",
+    "L5": "Линия электронного актирования и исполнения контрактов (УПД/ЕИС)",
+    "L6": "Линия регистрации, аккредитации и управления профилем",
+    "L7": "Линия правовой экспертизы (44-ФЗ / 223-ФЗ / ФАС)",
+    "L8": "Линия финансовых сервисов и гарантий",
+}
+
 # Keywords of the workflow nodes, in the order that breaks ties.
 NODES = {
     "fas_complaint_44fz": ["фас", "жалоба", "жалобу", "обжалование", "отклонение заявки", "необоснованно отклонили", "ст 105", "статья 105", "статья 106", "105 фз", "нарушение заказчика", "подать в фас"],
@@ -46,8 +58,14 @@ TERMS = {
     "РП": "руководство пользователя", "МСП": "субъекты малого и среднего предпринимательства", "NTP": "Network Time Protocol", "DDoS": "распределённая атака отказа в обслуживании", "ГК РФ": "Гражданский кодекс Российской Федерации",
 }
 
-# A document category's words, for categorising texts.
+# A document category's words, for categorising texts, in the order that breaks ties.
 CATEGORIES = {
+    "quotation_session": ["котировочная сессия", "котировочные сессии", "закупка по потребностям", "ценовое предложение", "подача оферты", "победитель котировочной сессии", "продление сессии", "снижение цены", "шаг снижения", "отзыв оферты"],
+    "ste_catalog": ["сте", "стандартная товарная единица", "оферта", "оферты", "каталог товаров", "ктру", "окпд2", "характеристики сте", "модерация сте", "прайс-лист", "загрузка yml", "yml-формат", "xsd-схема", "штрихкод"],
+    "contract_execution": ["электронное исполнение", "электронное актирование", "упд", "универсальный передаточный документ", "еис", "калуга астрал", "рдик", "приемка", "акт приемки", "подписание контракта", "счет на оплату", "структурированный документ", "интеграционный контроль"],
+    "ecp_mchd": ["криптопро", "cryptopro", "эцп", "электронная подпись", "сертификат", "рутокен", "rutoken", "токен", "мчд", "доверенность", "плагин", "браузер", "кэп", "укэп", "джакарта", "jacarta", "драйвер"],
+    "registration": ["регистрация", "аккредитация", "еруз", "еис", "госуслуги", "есиа", "личный кабинет", "авторизация", "вход", "создание профиля", "роли пользователя"],
+    "services": ["банковская гарантия", "независимая гарантия", "спецсчет", "специальный счет", "кредит", "факторинг", "страхование", "тариф", "оплата услуг", "депозит"],
     "44fz": ["44-фз", "44 фз", "44fz", "госзакупки", "государственный контракт", "нмцк", "реестр контрактов", "закупка с полки", "есклп", "нацрежим", "аукцион в электронной форме"],
     "223fz": ["223-фз", "223 фз", "223fz", "корпоративные закупки", "корп", "росатом", "интер рао", "россети", "русгидро", "ростех", "план закупки", "субъекты мсп"],
     "legislation": ["закон", "статья", "кодекс", "положение о закупках", "регламент", "фас", "жалоба"],

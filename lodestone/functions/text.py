@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.functions import pandas_udf
 
 from . import lexicon
+from .chunking import nfkc
 
 
 def col(c) -> Column:
@@ -43,8 +41,8 @@ def canonical_statutes(c, numbers=lexicon.STATUTES) -> Column:
 
 
 def normalize_basic(c) -> Column:
-    """Spaces, dashes, quotes and ё to their plain forms, marks squashed, white space single, statutes canonical (compatibility forms: see chunking.nfkc)."""
-    c = F.replace(col(c), F.lit("…"), F.lit("..."))
+    """Compatibility forms composed, spaces, dashes, quotes and ё to their plain forms, marks squashed, white space single, statutes canonical."""
+    c = F.replace(nfkc(col(c)), F.lit("…"), F.lit("..."))
     c = F.translate(c, "    –—−«»“”„ёЁ", "    ---\"\"\"\"\"еЕ")
     return canonical_statutes(strip(F.regexp_replace(squash_marks(c), r"(?U)\s+", " ")))
 
@@ -59,21 +57,31 @@ def present_terms(c, terms: dict[str, str] = lexicon.TERMS) -> Column:
 def expand_terms(c, terms: dict[str, str] = lexicon.TERMS) -> Column:
     """Each whole-word key becomes ``meaning (key as typed)``, in one pass: what is put in is not expanded again.
 
-    Keys are first taken out into private characters that carry their number, then all are put in.
+    Keys are first set between private characters that carry their number, where no shorter key is looked
+    for; then all are put in.
     """
     out = col(c)
     keys = sorted(terms, key=lambda k: (-len(k), k))
     for i, k in enumerate(keys):
-        out = F.regexp_replace(out, rf"(?iU)(?<!\w)({re.escape(k)})(?!\w)", f"{chr(0xE000 + i)}$1{chr(0xF000)}")
+        outside = f"(?![^{chr(0xE000)}-{chr(0xF000)}]*{chr(0xF000)})"
+        out = F.regexp_replace(out, rf"(?iU)(?<!\w)({re.escape(k)})(?!\w){outside}", f"{chr(0xE000 + i)}$1{chr(0xF000)}")
     for i, k in enumerate(keys):
         meaning = terms[k].replace("\\", "\\\\").replace("$", "\\$")
         out = F.regexp_replace(out, f"{chr(0xE000 + i)}([^{chr(0xF000)}]*){chr(0xF000)}", f"{meaning} ($1)")
     return out
 
 
-def search_query(c, terms: dict[str, str] = lexicon.TERMS) -> Column:
-    """The query as it goes to the search: normalised, expanded and marked."""
-    return F.concat(F.lit("search_query: "), expand_terms(normalize_basic(c), terms))
+def search_query(c, terms: dict[str, str] = lexicon.TERMS, model=None) -> Column:
+    """The query as it goes to the search: normalised, expanded and marked.
+
+    ``model`` (a function of Columns: the expanded query to a model's answer) may reword it; its answer is
+    cleaned, and an empty or null one is passed over.
+    """
+    own = F.concat(F.lit("search_query: "), expand_terms(normalize_basic(c), terms))
+    if model is None:
+        return own
+    said = strip(F.regexp_replace(clean_model_output(model(expand_terms(normalize_basic(c), terms))), r"(?U)\s+", " "))
+    return F.when(F.coalesce(strip(F.lower(said)), F.lit("")).isin("", "search_query:", "search_query"), own).otherwise(said)
 
 
 def strip_query_prefix(c) -> Column:
@@ -236,20 +244,3 @@ def rewrite_links(c, portal: str) -> Column:
 def snippet(c, n: int = 120) -> Column:
     """The first characters on one line."""
     return F.translate(F.substring(col(c), 1, n), "\n", " ")
-
-
-def hash_embedding(c, dimension: int = 256) -> Column:
-    """A deterministic dense vector of a text: tokens hashed into ``dimension`` signed buckets, at unit length; no token gives zeros."""
-
-    @pandas_udf("array<double>")
-    def vector(hashes: pd.Series) -> pd.Series:
-        def one(h):
-            if h is None:
-                return None
-            h = np.asarray(h, np.int64)
-            v = np.bincount(h % dimension, np.where((h >> 40) & 1, 1.0, -1.0), dimension)
-            return v / (np.sqrt(v @ v) or 1.0)
-
-        return hashes.map(one)
-
-    return vector(F.transform(tokens(c), lambda t: F.xxhash64(t)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import text as X
 from ..functions.text import col, strip
 
 
@@ -33,6 +34,17 @@ def history(messages: DataFrame, chat: str, order: str, first: int = 2, last: in
     return messages.withColumn("back", F.row_number().over(by).cast("long")).where(F.col("back").between(first, last))
 
 
+def plain_names(answer, banned: str, instead: str) -> Column:
+    """Words that begin with a banned name, in any case, become another name."""
+    return F.regexp_replace(col(answer), rf"(?iU){banned}\w*", instead)
+
+
+def sanitized(answer, valid, portal: str, banned: str, instead: str) -> Column:
+    """Banned names replaced, links canonical, and those that are then not among the valid ones (array, canonical too) down to their label."""
+    canonical = F.transform(col(valid), lambda u: X.canonical_url(u, portal))
+    return known_links(X.rewrite_links(plain_names(answer, banned, instead), portal), canonical)
+
+
 def known_links(answer, valid) -> Column:
     """Markdown links to addresses that are not in ``valid`` (array) become their label."""
     links = F.regexp_extract_all(col(answer), F.lit(r"\[[^\]]+\]\(https?://[^)]+\)"), 0)
@@ -56,6 +68,28 @@ def fallback_answer(text, lines: int = 6) -> Column:
     return F.array_join(F.slice(kept, 1, lines), "\n")
 
 
+def node_answer(node) -> Column:
+    """What a workflow node (struct with title, law_references, channel, fee, deadlines, workflow_steps) answers by itself; null without a node."""
+    n = col(node)
+    lines = lambda f, mark: F.array_join(F.transform(n.getField(f), mark), "\n")
+    parts = [
+        F.concat(F.lit("### "), n.getField("title")),
+        F.concat(F.lit("**Нормативное регулирование:** "), F.array_join(n.getField("law_references"), ", ")),
+        F.concat(F.lit("**Способ подачи:** "), n.getField("channel")),
+        F.concat(F.lit("**Стоимость:** "), n.getField("fee")),
+        F.concat(F.lit("**Регламентные сроки:**\n"), lines("deadlines", lambda d: F.concat(F.lit("• "), d))),
+        F.concat(F.lit("**Пошаговый порядок действий:**\n"), lines("workflow_steps", lambda s, i: F.concat(F.lit("**"), (i + 1).cast("string"), F.lit(".** "), s))),
+    ]
+    return F.when(n.isNotNull(), F.concat_ws("\n\n", *parts))
+
+
+def fallback(node, source_title, text) -> Column:
+    """The node's answer, else the first lines of the best hit under its title."""
+    lines = F.slice(F.filter(F.transform(F.split(F.coalesce(col(text), F.lit("")), "\n"), strip), lambda x: x != ""), 1, 6)
+    found = F.concat(F.lit("По вашему вопросу найдена официальная инструкция:\n\n📌 **"), col(source_title), F.lit("**\n\n"), F.array_join(lines, "\n\n"))
+    return F.coalesce(node_answer(node), F.when(col(text).isNotNull(), found))
+
+
 def offer_once(answer, offer: str) -> Column:
     return F.when(col(answer).contains(offer), col(answer)).otherwise(F.concat(col(answer), F.lit("\n\n" + offer)))
 
@@ -74,6 +108,14 @@ def least_loaded(agents: DataFrame, chats: DataFrame, agent: str, assigned: str)
     return agents.join(load, F.col(agent) == F.col("__a"), "left").select(agent, F.coalesce("__n", F.lit(0)).cast("long").alias("active_chats"))
 
 
+def assigned(agents: DataFrame, chats: DataFrame, agent: str, owner: str, spare: int = 0) -> DataFrame:
+    """The one agent who takes an escalated chat: the least loaded, by number among equals; without agents the spare one is created."""
+    first = least_loaded(agents, chats, agent, owner).orderBy("active_chats", agent).limit(1)
+    new = agents.sparkSession.createDataFrame([(spare, 0, True)], f"{agent} {agents.schema[agent].dataType.simpleString()}, active_chats long, created boolean")
+    both = first.withColumn("created", F.lit(False)).unionByName(new)
+    return both.orderBy("created").limit(1)
+
+
 def updated(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """State after a batch: new rows replace old ones by key, field by field where they are not null."""
     n = new.select(key, *[F.col(c).alias(f"__{c}") for c in old.columns if c != key and c in new.columns])

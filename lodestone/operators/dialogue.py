@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lexicon
+from ..functions.text import col
 from . import rules
 
 # What a message does: escalate, start, stop, step, finish, missing (the workflow has no steps), answer.
@@ -57,6 +58,18 @@ def replay(messages: DataFrame, chat: str, order: str, steps: dict[str, int]) ->
     return chats.select(chat, F.explode(F.expr(_FOLD).getField("log")).alias("l")).select(chat, "l.*")
 
 
+def step_reply(title, steps, step) -> Column:
+    """struct<reply, is_finished, next_step>: the text of the step (from 0) of a workflow with its progress; null steps are an unknown workflow."""
+    n, s = F.size(col(steps)), col(step).cast("int")
+    after = s + 1
+    go_on = F.when(after < n, "\n\nКогда будете готовы перейти к следующему действию, напишите **«Далее»** или **«Готово»**.").otherwise("\n\nЭто финальный шаг регламента. Напишите **«Завершить»** или задайте уточняющий вопрос.")
+    body = F.concat(F.lit("📋 **"), col(title), F.lit("** (Шаг "), after.cast("string"), F.lit(" из "), n.cast("string"), F.lit(")\n\n"), F.element_at(col(steps), after), go_on)
+    done = F.concat(F.lit("🎉 **Отлично! Все шаги процесса «"), col(title), F.lit("» успешно пройдены.**\nЕсли у вас есть ещё вопросы или нужно уточнить детали по какому-либо шагу, я готов помочь!"))
+    known, over = col(steps).isNotNull(), s >= n
+    reply = F.when(~known, "Данный процесс не найден в базе пошаговых инструкций.").when(over, done).otherwise(body)
+    return F.struct(reply.alias("reply"), (~known | over).alias("is_finished"), F.when(~known, s).when(over, n).otherwise(after).alias("next_step"))
+
+
 def advance(state: tuple, x, steps: dict[str, int]) -> tuple[tuple, str]:
     """One message: (active, step, suggested) and flags to the next state and the action. The stream's form of ``replay``."""
     active, step, suggested = state

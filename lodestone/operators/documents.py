@@ -29,6 +29,26 @@ def profile(df: DataFrame, text: str, group: str) -> DataFrame:
     return df.groupBy(group).agg(F.count("*").alias("rows"), F.count_if(n == 0).alias("empty"), F.count_if((n > 0) & (n < 50)).alias("short"), F.sum(n).cast("long").alias("chars"), F.round(F.avg(n), 6).alias("mean_chars"))
 
 
+def issues(df: DataFrame, key: str, title: str, text: str, raw: str, kinds: str) -> DataFrame:
+    """The data-quality report of articles: rows by issue (no_id, no_title, no_content, pdf_link_only, short), and by section type (array), commonest first."""
+    filled = lambda c: F.coalesce(X.strip(c), F.lit("")) != ""
+    pdf = F.coalesce(F.lower(raw).contains(".pdf"), F.lit(False)) & (F.length(F.coalesce(F.col(text), F.lit(""))) < 200)
+    marks = {"no_id": ~filled(key), "no_title": ~filled(title), "no_content": ~filled(text), "pdf_link_only": pdf, "short": filled(text) & (F.length(text) < 50)}
+    each = F.concat(F.array_compact(F.array(*[F.when(c, F.lit(f"issue:{n}")) for n, c in marks.items()])), F.transform(F.coalesce(F.col(kinds), F.array().cast("array<string>")), lambda t: F.concat(F.lit("section:"), t)))
+    return df.select(F.explode(each).alias("name")).groupBy("name").agg(F.count("*").alias("rows"))
+
+
+def largest(df: DataFrame, key: str, text: str, n: int = 10) -> DataFrame:
+    """The n longest texts, by key among equals."""
+    return df.select(key, F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("chars")).orderBy(F.desc("chars"), key).limit(n)
+
+
+def url_totals(df: DataFrame, url: str, status: str) -> DataFrame:
+    """Distinct addresses, how many answered 200 and 404, and the share of 200 in percent."""
+    one = df.where(F.coalesce(F.col(url), F.lit("")) != "").groupBy(url).agg(F.max(status).alias("s"))
+    return one.agg(F.count("*").alias("urls"), F.count_if(F.col("s") == 200).alias("ok"), F.count_if(F.col("s") == 404).alias("lost"), F.round(100 * F.count_if(F.col("s") == 200) / F.greatest(F.count("*"), F.lit(1)), 2).alias("percent"))
+
+
 def latency(df: DataFrame, value: str, group: str) -> DataFrame:
     """Exact mean, median, 95th percentile and minimum."""
     return df.groupBy(group).agg(

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import cosine, tokens
+from ..functions.text import tokens
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -18,45 +25,214 @@ def top(scored: DataFrame, query: str, score: str, tie: str, k: int, name: str =
     return scored.withColumn(name, F.row_number().over(by).cast("long")).where(F.col(name) <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, text: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75, stop_share: float | None = None) -> DataFrame:
+def _best(score: np.ndarray, hit: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of the k best of each query among the rows hit; equal scores, to 6 digits, go to the row first in order."""
+    found_q, found_r = [], []
+    rough = np.where(hit, np.floor(score * 1e6 + 0.5), -np.inf)
+    for q in range(len(score)):
+        some = np.flatnonzero(hit[q])
+        if len(some) > k:
+            floor = np.partition(rough[q][some], len(some) - k)[len(some) - k]
+            some = some[rough[q][some] >= floor]
+            some = some[np.lexsort((order[some], -rough[q][some]))[:k]]
+        found_q.append(np.full(len(some), q))
+        found_r.append(some)
+    return np.concatenate(found_q), np.concatenate(found_r)
+
+
+def _in_order(keys: pa.Array) -> np.ndarray:
+    """Each row's place among the keys."""
+    out = np.empty(len(keys), np.int64)
+    out[pc.array_sort_indices(keys).to_numpy()] = np.arange(len(keys))
+    return out
+
+
+def _blocks(rows: Iterator, size: Callable, block_bytes: int) -> Iterator[list]:
+    """Rows of a query set in blocks of so many bytes (or one row), one at a time on the driver."""
+    block, room = [], block_bytes
+    for row in rows:
+        if block and size(row) > room:
+            yield block
+            block, room = [], block_bytes
+        block.append(row)
+        room -= size(row)
+    if block:
+        yield block
+
+
+def _union(parts: list[DataFrame], empty: Callable[[], DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else empty()
+
+
+class _Asked:
+    """A block of queries as terms: for each term, the queries that have it and how often."""
+
+    def __init__(self, rows: list):
+        terms: dict[str, int] = {}
+        at, query, times = [], [], []
+        for q, row in enumerate(rows):
+            for term, n in Counter(row["t"] or []).items():
+                at.append(terms.setdefault(term, len(terms)))
+                query.append(q)
+                times.append(n)
+        order = np.argsort(at, kind="stable") if at else np.zeros(0, np.int64)
+        self.keys = [row["k"] for row in rows]
+        self.terms = pa.array(list(terms), pa.string())
+        self.query, self.times = np.array(query, np.int64)[order], np.array(times, float)[order]
+        self.begin = np.searchsorted(np.array(at, np.int64)[order], np.arange(len(terms) + 1))
+
+    def postings(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, tf) of a column of token lists, and the lists' lengths."""
+        length = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
+        term = pc.index_in(words.flatten(), self.terms)
+        known = term.is_valid().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(length)), length)[known]
+        n = max(1, len(self.terms))
+        pair, tf = np.unique(row * n + term.drop_null().to_numpy(), return_counts=True)
+        return pair // n, pair % n, tf, length
+
+
+def _statistics(shared):
+    """df of each asked term (place from 0), the number of rows (-1) and of tokens (-2) of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        for batch in batches:
+            _row, term, _tf, length = asked.postings(batch.column("t"))
+            at, n = np.unique(term, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2]]).astype(np.int32)), pa.array(np.concatenate([n, [len(length), length.sum()]]).astype(np.int64))], ["term", "n"])
+
+    return run
+
+
+def _scored(shared, k: int, k1: float, b: float, rows: int = 2048, queries: int = 512):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, idf, mean = shared.value
+        names = pa.array(asked.keys)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                row, term, tf, length = asked.postings(part.column("t"))
+                weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / mean))
+                row, term, weight = row[weight > 0], term[weight > 0], weight[weight > 0]
+                order = _in_order(part.column("k"))
+                n = asked.begin[term + 1] - asked.begin[term]
+                at = np.arange(int(n.sum())) + np.repeat(asked.begin[term] - np.cumsum(n) + n, n)
+                query, of, value = asked.query[at], np.repeat(row, n), np.repeat(weight, n) * asked.times[at]
+                for a in range(0, len(asked.keys), queries):
+                    some = (query >= a) & (query < a + queries)
+                    many = min(queries, len(asked.keys) - a)
+                    score = np.bincount((query[some] - a) * part.num_rows + of[some], weights=value[some], minlength=many * part.num_rows).reshape(many, -1)
+                    q, r = _best(score, score > 0, order, k)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q + a)), part.column("k").take(pa.array(r)), pa.array(score[q, r])], ["q", "k", "score"])
+
+    return run
+
+
+def bm25(
+    docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, text: str = "text", k: int = 10, k1: float = 1.2, b: float = 0.75, stop_share: float | None = None, block_bytes: int = 16 << 20
+) -> DataFrame:
     """query_key, doc_key, score, rank: the k best documents of each query.
 
-    Postings are built only for terms that some query has: the queries' terms are semi-joined before the
-    documents' postings are counted. Scores are rounded to 6 digits before they are ranked; equal scores go
-    to the smaller key. ``stop_share`` leaves out terms in more than that share of documents.
+    The queries are a stated set, taken to all documents in blocks of ``block_bytes`` of tokens. For each
+    block the documents are read twice: once for the statistics of the block's terms (a number a term goes
+    to the driver), once to score every document where it stands, against all queries. Only the k best of
+    a batch of rows go into an exchange, so the postings of a common word are never in one place.
+    Scores are rounded to 6 digits before they are ranked; equal scores go to the smaller key.
+    ``stop_share`` leaves out terms in more than that share of documents. Documents and queries without
+    tokens find nothing.
     """
-    words = docs.select(doc_key, tokens(text).alias("t"))
-    sizes = words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
-    asked = term_counts(queries, query_key, text).withColumnRenamed("tf", "qtf")
-    vocabulary = asked.select("term").distinct()
-    posts = words.select(doc_key, F.size("t").alias("len"), F.explode("t").alias("term")).join(vocabulary, "term", "left_semi").groupBy(doc_key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(sizes)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    if stop_share is not None:
-        idf = idf.where(F.col("df") <= stop_share * F.col("n"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scored = asked.join(idf, "term").join(posts, "term").groupBy(query_key, doc_key).agg(F.round(F.sum(F.col("qtf") * weight), 6).alias("score"))
-    return top(scored, query_key, "score", doc_key, k)
-
-
-def dense(queries: DataFrame, points: DataFrame, query_key: str, point_key: str, vector: str, k: int = 10, threshold: float | None = None, query_rows: int = 4096) -> DataFrame:
-    """query_key, point_key, score, rank by exact cosine.
-
-    The queries are a stated set, met by all points in blocks: at most ``query_rows`` are broadcast at a
-    time, and each block's ranking is limited to k before its exchange.
+    spark = docs.sparkSession
+    kinds = docs.schema[doc_key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
+    words = docs.select(F.col(doc_key).alias("k"), tokens(text).alias("t"))
+    asked_rows = queries.select(F.col(query_key).alias("k"), tokens(text).alias("t")).toLocalIterator()
+    parts = []
+    for rows in _blocks(asked_rows, lambda r: 64 + sum(len(x) + 24 for x in r["t"] or []), block_bytes):
+        asked = _Asked(rows)
+        if not len(asked.terms):
+            continue
+        counted = words.mapInArrow(_statistics(spark.sparkContext.broadcast(asked)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        n = {r.term: r.n for r in counted.collect()}  # one row an asked term
+        total, mean = n.get(-1, 0), n.get(-2, 0) / max(1, n.get(-1, 0))
+        df = np.array([n.get(i, 0) for i in range(len(asked.terms))], float)
+        idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
+        if stop_share is not None:
+            idf[df > stop_share * total] = 0
+        shared = spark.sparkContext.broadcast((asked, idf, mean or 1.0))
+        parts.append(words.mapInArrow(_scored(shared, k, k1, b), f"q {kinds[1]}, k {kinds[0]}, score double"))
+    found = _union(parts, lambda: spark.createDataFrame([], f"q {kinds[1]}, k {kinds[0]}, score double"))
+    found = found.select(F.col("q").alias(query_key), F.col("k").alias(doc_key), F.round("score", 6).alias("score"))
+    return top(found, query_key, "score", doc_key, k)
+
+
+def _cosines(shared, d: int, k: int, threshold: float | None, rows: int = 4096, queries: int = 512):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, q = shared.value
+        names = pa.array(keys)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                v = np.asarray(part.column("v").flatten(), np.float64).reshape(-1, d)
+                size = np.sqrt(np.einsum("ij,ij->i", v, v))
+                order = _in_order(part.column("k"))
+                for a in range(0, len(keys), queries):
+                    score = q[a : a + queries] @ (v / np.where(size > 0, size, 1)[:, None]).T
+                    hit = np.broadcast_to(size > 0, score.shape)
+                    hit = hit if threshold is None else hit & (np.floor(score * 1e6 + 0.5) / 1e6 >= threshold)
+                    at, r = _best(score, hit, order, k)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(at + a)), part.column("k").take(pa.array(r)), pa.array(score[at, r])], ["q", "k", "score"])
+
+    return run
+
+
+def dense(queries: DataFrame, points: DataFrame, query_key: str, point_key: str, vector: str, k: int = 10, threshold: float | None = None, block_bytes: int = 32 << 20) -> DataFrame:
+    """query_key, point_key, score, rank by exact cosine, rounded to 6 digits; equal scores go to the smaller key.
+
+    The queries are a stated set, met by all points in blocks of ``block_bytes`` of vectors, as a product
+    of matrices; the k best of a batch go into the exchange. Vectors that are null, zero, hold a null or
+    have another length than the first query's take no part.
     """
-    q = queries.select(query_key, F.col(vector).alias("__q"))
-    blocks = max(1, -(-q.count() // query_rows))
-    parts = None
-    for i in range(blocks):
-        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == i)
-        met = points.join(F.broadcast(block), F.lit(True))
-        score = F.round(cosine("__q", vector), 6)
-        met = met.select(query_key, point_key, score.alias("score"))
-        met = met if threshold is None else met.where(F.col("score") >= threshold)
-        best = top(met, query_key, "score", point_key, k)
-        parts = best if parts is None else parts.unionByName(best)
-    return parts
+    spark = points.sparkSession
+    kinds = points.schema[point_key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
+    sound = lambda df, key: df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where("size(v) > 0 and forall(v, x -> x is not null)")
+    parts, d = [], None
+    for rows in _blocks(sound(queries, query_key).toLocalIterator(), lambda r: 64 + 8 * len(r["v"]), block_bytes):
+        d = d or len(rows[0]["v"])
+        rows = [r for r in rows if len(r["v"]) == d and any(r["v"])]
+        if not rows:
+            continue
+        q = np.array([r["v"] for r in rows], float)
+        shared = spark.sparkContext.broadcast(([r["k"] for r in rows], q / np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]))
+        parts.append(sound(points, point_key).where(F.size("v") == d).mapInArrow(_cosines(shared, d, k, threshold), f"q {kinds[1]}, k {kinds[0]}, score double"))
+    found = _union(parts, lambda: spark.createDataFrame([], f"q {kinds[1]}, k {kinds[0]}, score double"))
+    found = found.select(F.col("q").alias(query_key), F.col("k").alias(point_key), F.round("score", 6).alias("score"))
+    return top(found, query_key, "score", point_key, k)
+
+
+def hybrid(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, text: str = "text", vector: str = "vector", k: int = 4) -> DataFrame:
+    """Dense and sparse lists of four times the k hits that are kept in the end, fused to as many."""
+    lists = [dense(queries, docs, query_key, doc_key, vector, 4 * k), bm25(docs, queries, doc_key, query_key, text, 4 * k)]
+    return fuse(lists, query_key, doc_key, 4 * k)
+
+
+def index_rows(chunks: DataFrame, key: str, text: str = "text", model=None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Chunks with what an index keeps of them: vector, sparse (map of term to BM25 weight without idf). See ``idf`` for the rest."""
+    from .embedding import embed
+
+    words = chunks.withColumn("__t", tokens(text))
+    mean = words.agg(F.coalesce(F.avg(F.size("__t")), F.lit(1.0)).alias("m")).first()["m"] or 1.0
+    tf = lambda t: F.size(F.filter("__t", lambda x: x == t))
+    weight = lambda t: tf(t) * (k1 + 1) / (tf(t) + k1 * (1 - b + b * F.size("__t") / F.lit(mean)))
+    terms = F.array_distinct("__t")
+    sparse = F.map_from_arrays(terms, F.transform(terms, weight))
+    return embed(words.withColumn("sparse", F.coalesce(sparse, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))).drop("__t"), text, "vector", model)
+
+
+def idf(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """term, df, idf over all chunks."""
+    words = chunks.select(F.explode(F.array_distinct(tokens(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n = chunks.count()
+    return words.withColumn("idf", F.round(F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6))
 
 
 def fuse(lists: list[DataFrame], query_key: str, doc_key: str, k: int, constant: int = 60, weights: list[float] | None = None) -> DataFrame:

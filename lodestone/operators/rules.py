@@ -40,7 +40,7 @@ def best(message, lists: dict[str, list[str]], weight=lambda w: 1, extra: dict[s
 
 
 def route(message, lists=lexicon.ROUTES, lines=lexicon.LINES) -> Column:
-    """struct<line, category_filter, badge_color, score> of a message; the legal category is resolved by the statute's number."""
+    """struct<line, name, category_filter, badge_color, score> of a message; the legal category is resolved by the statute's number."""
     text = F.lower(F.coalesce(col(message), F.lit("")))
     top = best(message, lists)
     legal = F.when(text.contains("44"), "44fz").when(text.contains("223"), "223fz").otherwise("legislation")
@@ -49,7 +49,8 @@ def route(message, lists=lexicon.ROUTES, lines=lexicon.LINES) -> Column:
     for k, (a, b) in lines.items():
         if k is not None:
             line, badge = F.when(name == k, a).otherwise(line), F.when(name == k, b).otherwise(badge)
-    return F.struct(line.alias("line"), F.when(name == "legal", legal).otherwise(name).alias("category_filter"), badge.alias("badge_color"), F.coalesce(top.getField("score"), F.lit(0).cast("long")).alias("score"))
+    names = F.create_map(*[F.lit(v) for p in lexicon.LINE_NAMES.items() for v in p])
+    return F.struct(line.alias("line"), names[line].alias("name"), F.when(name == "legal", legal).otherwise(name).alias("category_filter"), badge.alias("badge_color"), F.coalesce(top.getField("score"), F.lit(0).cast("long")).alias("score"))
 
 
 def graph_node(message, nodes=lexicon.NODES, bonus: dict[str, list[str]] | None = None) -> Column:

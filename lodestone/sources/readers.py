@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import importlib.util
 import io
-import re
 import zipfile
 from collections.abc import Callable
 from xml.etree import ElementTree
@@ -55,30 +55,44 @@ def docx_text(content: bytes) -> str:
 
 
 def pdf_text(content: bytes) -> str:
-    """The text of pages that have any, if a PDF library is installed."""
-    try:
-        from pypdf import PdfReader
-    except ImportError as e:
-        raise RuntimeError("reading PDF needs pypdf; pass an extractor") from e
+    """The text of pages that have any; needs pypdf."""
+    from pypdf import PdfReader
+
     return "\n".join(t for t in (p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages) if t.strip())
 
 
-def files(spark: SparkSession, path: str, base_url: str, extract: Callable[[bytes], str], legislation: bool = True) -> DataFrame:
-    """Binary files as documents: of equal contents the first by name; texts over 100 characters; failures are left out."""
+def extracted(spark: SparkSession, path: str, extract: Callable[[bytes], str]) -> DataFrame:
+    """Of equal files the first by name: file_name, sha, text, and the error of one that cannot be parsed.
 
-    @pandas_udf("string")
-    def run(x: pd.Series) -> pd.Series:
+    An extractor whose library is missing fails here, on the driver, before any file is read.
+    """
+    if extract is pdf_text and importlib.util.find_spec("pypdf") is None:
+        raise RuntimeError("reading PDF needs pypdf; pass an extractor")
+
+    @pandas_udf("struct<text:string,error:string>")
+    def run(x: pd.Series) -> pd.DataFrame:
         def one(content):
             try:
-                return extract(bytes(content))
-            except Exception:  # noqa: BLE001  a file that cannot be read has no text
-                return None
+                return extract(bytes(content)), None
+            except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError, EOFError) as e:
+                return None, f"{type(e).__name__}: {e}"
 
-        return x.map(one)
+        return pd.DataFrame([one(c) for c in x], columns=["text", "error"])
 
     df = spark.read.format("binaryFile").load(path).withColumn("file_name", F.regexp_extract("path", "[^/]+$", 0)).withColumn("sha", F.sha2("content", 256))
     first = F.row_number().over(Window.partitionBy("sha").orderBy("file_name"))
-    df = df.withColumn("n", first).where("n = 1").withColumn("text", X.strip(run("content"))).where("length(text) > 100")
+    return df.withColumn("n", first).where("n = 1").withColumn("r", run("content")).select("file_name", "sha", X.strip("r.text").alias("text"), "r.error")
+
+
+def rejects(spark: SparkSession, path: str, extract: Callable[[bytes], str]) -> DataFrame:
+    """Files without a document: file_name and why (the parser's error, or too little text)."""
+    df = extracted(spark, path, extract).where("text is null or length(text) <= 100")
+    return df.select("file_name", F.coalesce("error", F.lit("100 characters of text or fewer")).alias("reason"))
+
+
+def files(spark: SparkSession, path: str, base_url: str, extract: Callable[[bytes], str], legislation: bool = True) -> DataFrame:
+    """Binary files as documents: of equal contents the first by name; texts over 100 characters. ``rejects`` has the others."""
+    df = extracted(spark, path, extract).where("length(text) > 100")
     title = F.replace(F.regexp_replace("file_name", "[.][^.]*$", ""), F.lit("_"), F.lit(" "))
     kind = F.when(F.lower(title).rlike("регламент|фз"), "legislation").otherwise("instruction") if legislation else F.lit("instruction")
     return df.select("text", title.alias("title"), X.document_url("file_name", base_url).alias("url"), F.lit("official_docs").alias("category"), kind.alias("doc_type"), "file_name", F.col("file_name").alias("doc_id"))
@@ -110,3 +124,21 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     ext = F.lower(F.regexp_extract("path", "[.]([^./]+)$", 1))
     return df.groupBy(ext.alias("ext")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+def lookup(df: DataFrame, key: str, value) -> DataFrame:
+    """The rows with one key; the filter reaches the scan."""
+    return df.where(F.col(key) == F.lit(value))
+
+
+def inline(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
+    """Documents given in place: title, url, text."""
+    df = spark.createDataFrame(rows, "title string, url string, text string")
+    return df.select("text", "title", "url", F.lit("kb_article").alias("category"), X.document_type("title").alias("doc_type"), F.lit("").alias("file_name"), F.sha1("url").alias("doc_id"))
+
+
+def cleaned(spark: SparkSession, path: str) -> DataFrame:
+    """A cleaned knowledge base: a JSON array of documents, with an id by address and text."""
+    schema = "text string, title string, url string, doc_type string, category string, file_name string"
+    df = json_records(spark, path, schema).where("coalesce(text, '') <> ''")
+    return df.select("text", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("url", F.lit("")).alias("url"), "category", F.coalesce("doc_type", F.lit("instruction")).alias("doc_type"), "file_name", F.sha1(F.concat_ws("|", "url", "text")).alias("doc_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def check_vectors(df: DataFrame, column: str, dimension: int) -> DataFrame:
@@ -16,18 +16,50 @@ def create_index(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").partitionBy("category").parquet(path)
 
 
-def upsert(spark: SparkSession, chunks: DataFrame, path: str, key: str = "chunk_id") -> None:
-    """Adds chunks and replaces those with the same key; the same call again changes nothing.
+def merged(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The table after an upsert: new rows replace old ones by key. Of new rows with one key the last by ``order`` counts (any, without one)."""
+    if order is None:
+        last = new.dropDuplicates([key])
+    else:
+        last = new.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
+    return old.join(last.select(key), key, "left_anti").unionByName(last.select(*old.columns))
 
-    The union goes to a folder beside the index, which is then replaced, so a lost executor leaves the old
-    index whole.
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Ends an upsert whose driver was lost: where the index is gone, the finished one beside it, or the one set aside, takes its place."""
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at(path)):
+        for beside in (path + ".next", path + ".old"):
+            if fs.exists(at(beside + "/_SUCCESS")):
+                fs.rename(at(beside), at(path))
+                break
+
+
+def upsert(spark: SparkSession, chunks: DataFrame, path: str, key: str = "chunk_id", order: str | None = None) -> None:
+    """Adds chunks and replaces those with the same key; the same call again changes nothing. Creates the index where there is none.
+
+    The new index is written beside the old one, which is set aside before the new one takes its name and
+    deleted after that; at any moment one of them is whole, and ``recover`` (called first here) finds it.
     """
-    old = spark.read.parquet(path)
-    both = old.join(chunks.select(key), key, "left_anti").unionByName(chunks.select(*old.columns))
-    both.write.mode("overwrite").partitionBy("category").parquet(path + ".next")
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(path + ".next"), spark._jvm.org.apache.hadoop.fs.Path(path))
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    recover(spark, path)
+    if not fs.exists(at(path)):
+        create_index(merged(chunks.limit(0), chunks, key, order), path)
+        return
+    merged(spark.read.parquet(path), chunks, key, order).write.mode("overwrite").partitionBy("category").parquet(path + ".next")
+    fs.delete(at(path + ".old"), True)
+    fs.rename(at(path), at(path + ".old"))
+    fs.rename(at(path + ".next"), at(path))
+    fs.delete(at(path + ".old"), True)
+
+
+def require_rows(df: DataFrame, name: str) -> DataFrame:
+    """The same rows; an empty index is an error that says so."""
+    if df.isEmpty():
+        raise ValueError(f"{name} holds no points; index the documents first")
+    return df
 
 
 def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
