@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import chunking, text as X
-from ..operators import answers, dialogue, documents, retrieval, rules
-from . import oracles
+from ..operators import answers, dialogue, documents, embedding, retrieval, rules
+from . import fixtures, oracles
 
 # The carriers' lexicons.
 ROUTES = {"alpha": ["tion", "the and", "ing"], "beta": ["que", "les", "eau"], "gamma": ["sch", "keit", "der "], "delta": ["ción", "ara", "mente"]}
@@ -21,6 +21,7 @@ AGREE, NEXT, STOP = ["the", "in", "et", "le"], ["tion", "eau", "ung"], ["ingly",
 WORDS, PHRASES = ["that it."], ["and the", "de la", "in der"]
 PORTAL = "https://ththan.example.com"
 CATEGORIES = {"x": ["thnt", "edou", "erst"], "y": ["aux", "onen"], "z": ["tzst", "ción"]}
+TERMS = {"the": "definite article", "der": "männlicher Artikel", "les": "article défini pluriel", "of the": "genitive"}
 TOP = 4  # hits that answer a question
 ROLES = {"user": "Customer", "assistant": "Assistant", "system": "Service"}
 
@@ -60,10 +61,14 @@ def split_text_chunks(spark, d):
     return _split(spark, d).select("doc_id", "chunk_index", "chunk_count", F.length("chunk").cast("long").alias("n_chars"), F.md5("chunk").alias("md5"))
 
 
+def _structured(spark, d):
+    """Chunks of documents as instructions, or statutes where the language is German."""
+    df = read(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.lit("").alias("url"), F.col("lang").alias("category"), F.when(F.col("lang") == "de", "legislation").otherwise("instruction").alias("doc_type"), "text")
+    return chunking.chunks(df)
+
+
 def chunk_prefix_and_ids(spark, d):
-    body = F.concat(F.lit("[Документ: "), "source", F.lit(" | Раздел: "), "lang", F.lit("]\n\n"), X.strip("text"))
-    doc = read(spark, d, "documents").withColumn("body", body)
-    return doc.select("doc_id", F.md5("body").alias("md5"), X.chunk_id("docs", "doc_id", F.lit(0), "body").alias("chunk_id"))
+    return documents.with_ids(_structured(spark, d), "docs").select("doc_id", "chunk_index", F.md5("text").alias("md5"), "chunk_id")
 
 
 def chunk_category_stats(spark, d):
@@ -73,9 +78,7 @@ def chunk_category_stats(spark, d):
 
 
 def structured_chunks(spark, d):
-    """Chunks of documents as instructions, or statutes where the language is German."""
-    df = read(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.lit("").alias("url"), F.col("lang").alias("category"), F.when(F.col("lang") == "de", "legislation").otherwise("instruction").alias("doc_type"), "text")
-    return chunking.chunks(df).groupBy("category", "doc_type").agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("docs"), F.sum(F.length("text")).cast("long").alias("chars"))
+    return _structured(spark, d).select("doc_id", "chunk_index", "chunk_count", "section", "step_number", F.size("images").cast("long").alias("images"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"))
 
 
 def keyword_route(spark, d):
@@ -103,9 +106,8 @@ def trigger_flags(spark, d):
 
 
 def term_expand(spark, d):
-    terms = {"the": "definite article", "der": "männlicher Artikel", "les": "article défini pluriel", "of the": "genitive"}
-    out = X.expand_terms("text", terms)
-    return read(spark, d, "conversations").select("conv_id", "turn", F.size(X.present_terms("text", terms)).cast("long").alias("terms"), F.length(out).cast("long").alias("n_chars"), F.md5(out).alias("md5"))
+    out = X.expand_terms("text", TERMS)
+    return read(spark, d, "conversations").select("conv_id", "turn", F.size(X.present_terms("text", TERMS)).cast("long").alias("terms"), F.length(out).cast("long").alias("n_chars"), F.md5(out).alias("md5"))
 
 
 def canonical_url(spark, d):
@@ -146,15 +148,14 @@ def bm25_topk(spark, d):
     return hits.select("item_id", "doc_id", "score", "rank")
 
 
-def _hybrid(spark, d, k=4 * TOP):
-    """Each list and the fused one hold four times the hits that are kept in the end."""
-    docs, items = read(spark, d, "documents"), read(spark, d, "benchmark")
-    lists = [retrieval.bm25(docs, items, "doc_id", "item_id", k=k, b=b) for b in (0.75, 0.0)]
-    return retrieval.fuse(lists, "item_id", "doc_id", k)
+def _hybrid(spark, d):
+    """Dense and sparse; each list and the fused one hold four times the hits that are kept in the end."""
+    docs, items = (embedding.embed(read(spark, d, t).select(k, "text"), "text", "vector") for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    return retrieval.hybrid(docs, items, "doc_id", "item_id", "text", "vector", TOP)
 
 
 def hybrid_rrf_topk(spark, d):
-    """Two sparse rankings, with and without length normalisation, fused."""
+    """A dense and a sparse ranking, fused."""
     return _hybrid(spark, d).select("item_id", "doc_id", "score", "rank")
 
 
@@ -190,8 +191,12 @@ def context_relevance(spark, d):
 
 
 def least_loaded_agent(spark, d):
-    load = answers.least_loaded(read(spark, d, "supplier"), read(spark, d, "lineitem"), "s_suppkey", "l_suppkey")
-    return load.withColumn("place", F.row_number().over(Window.orderBy("active_chats", "s_suppkey")).cast("long"))
+    """Who takes an escalated chat."""
+    return answers.assigned(read(spark, d, "supplier"), read(spark, d, "lineitem"), "s_suppkey", "l_suppkey")
+
+
+def agent_loads(spark, d):
+    return answers.least_loaded(read(spark, d, "supplier"), read(spark, d, "lineitem"), "s_suppkey", "l_suppkey")
 
 
 def workflow_replay(spark, d):
@@ -245,10 +250,12 @@ def state_update(spark, d):
 
 
 def upsert_by_id(spark, d):
-    """The table after an upsert of the French documents with new sources."""
+    """The table after an upsert of the French documents, each twice, with new sources; the later one counts."""
+    from ..sources.writers import merged
+
     docs = read(spark, d, "documents").select("doc_id", "lang", "source")
-    new = docs.where("lang = 'fr'").withColumn("source", F.lit("new"))
-    return docs.join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new)
+    new = docs.where("lang = 'fr'").withColumn("at", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("source", F.concat(F.lit("new "), F.col("at").cast("string")))
+    return merged(docs, new, "doc_id", "at")
 
 
 def answer_repair(spark, d):
@@ -261,8 +268,17 @@ def answer_repair(spark, d):
 
 
 def model_output_clean(spark, d):
-    said = F.concat(F.lit("```text\nnoise\nSearch_Query:  "), F.col("item_id").cast("string"), F.lit(" x \nmore\n```"))
-    return read(spark, d, "benchmark").select("item_id", X.clean_model_output(said).alias("marked"), X.strip_query_prefix(X.clean_model_output(F.concat(F.lit("\n\n plain "), F.col("item_id").cast("string"), F.lit(" \nz")))).alias("plain"))
+    """Messages as answers of a model, in five shapes."""
+    kind, x = F.col("turn") % 5, F.col("text")
+    said = (
+        F.when(kind == 0, F.concat(F.lit("```text\nnoise\nSearch_Query:  "), x, F.lit(" \nmore\n```")))
+        .when(kind == 1, F.concat(F.lit("\n \n"), x, F.lit("\nsecond line")))
+        .when(kind == 2, F.concat(F.lit("```\n"), x, F.lit("\n```")))
+        .when(kind == 3, F.concat(F.lit("search_query: "), x))
+        .otherwise(F.lit(" \n "))
+    )
+    out = X.clean_model_output(said)
+    return read(spark, d, "conversations").select("conv_id", "turn", F.md5(out).alias("marked"), F.md5(X.strip_query_prefix(out)).alias("plain"))
 
 
 def first_documents(spark, d):
@@ -293,17 +309,28 @@ def author_roles(spark, d):
 
 def hash_embeddings(spark, d):
     """Dimension, norm and a digest of the components, in millionths, of each whole text's vector."""
-    v = read(spark, d, "documents").select("doc_id", X.hash_embedding("text").alias("v"))
+    v = embedding.embed(read(spark, d, "documents").select("doc_id", "text").where("text is not null"), "text", "v")
     digest = F.md5(F.array_join(F.transform("v", lambda x: F.round(x * 1000000).cast("long").cast("string")), ","))
     return v.select("doc_id", F.size("v").cast("long").alias("dimension"), F.round(X.norm("v"), 6).alias("norm"), digest.alias("md5"))
 
 
+def index_sparse_weights(spark, d):
+    """What an index keeps of each chunk: the number of its vector, terms and the sum of their weights."""
+    rows = retrieval.index_rows(read(spark, d, "documents").select("doc_id", "text").where("text is not null"), "doc_id")
+    total = F.aggregate(F.map_values("sparse"), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("doc_id", F.size("vector").cast("long").alias("dimension"), F.size("sparse").cast("long").alias("terms"), F.round(total, 4).alias("weight"))
+
+
+def term_idf(spark, d):
+    return retrieval.idf(read(spark, d, "documents"))
+
+
 _NAMES = [
     "doc_quality_filter", "html_clean", "content_dedup_first", "basic_normalize", "split_text_chunks", "chunk_prefix_and_ids", "chunk_category_stats", "structured_chunks", "keyword_route", "graph_node_match",
     "guardrail_flags", "trigger_flags", "term_expand", "canonical_url", "extract_urls", "image_links", "dense_topk", "dense_threshold_filter", "vector_norms", "bm25_topk", "hybrid_rrf_topk",
     "hybrid_boost_postfilter_fallback", "context_listagg", "citation_dedup", "recent_history", "context_relevance", "least_loaded_agent", "workflow_replay", "token_stream_assemble", "cache_lookup_ttl",
     "dataset_profile", "latency_percentiles", "enum_display", "qa_pass_summary", "text_category", "message_validation", "state_update", "upsert_by_id", "answer_repair", "model_output_clean", "first_documents", "preferred_model",
-    "link_rewrite", "prompt_assembly", "author_roles", "hash_embeddings",
+    "link_rewrite", "prompt_assembly", "author_roles", "hash_embeddings", "agent_loads", "index_sparse_weights", "term_idf",
 ]
 
 
@@ -315,8 +342,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {n: globals()[n] for n in _NAMES}
+    return {n: globals()[n] for n in _NAMES} | fixtures.queries()
 
 
 def oracle_sql() -> dict:
-    return oracles.sql()
+    return oracles.sql() | fixtures.oracle_sql()

@@ -1,0 +1,198 @@
+"""Queries over literal rows, for rules whose cases the synthetic tables do not hold. SQL states what must come out."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import chunking, text as X
+from ..operators import answers, dialogue, documents, rules
+
+STATUTE = ["по 44 фз", "44–ФЗ и 223фз", "пункт 63 - Фз.", "1444фз", "44 фзыв", "нет", ""]
+STEPS = ["Шаг 2. нажать", "сделайте ШАГ 2.1", "Этап  3", "шага нет", "перешаг 4", ""]
+SYMBOLS = ["a/b-c: «x»", "ok_1 (да), 2.5 %", "  ё Ё\t! ", "日本 x", ""]
+THINKING = ["мысли ...done thinking.  ответ ", "ответ без мыслей", "...done thinking.", ""]
+NORMAL = [("ﬁne  “x” …", 'fine "x" ...'), ("Ⅳ ёж — 44фз!!!", "IV еж - 44-ФЗ!"), ("１２３ ½", "123 1⁄2"), ("  а б  ", "а б"), ("???....", "?...")]
+EXPAND = [
+    ("Подписать УПД и мчд", "Подписать универсальный передаточный документ (УПД) и машиночитаемая доверенность (мчд)"),
+    ("упди", "упди"),
+    ("ПЭП, ЭП", "простая электронная подпись (ПЭП), электронная подпись (ЭП)"),
+]
+FILES = [("a_b.pdf", "https://p.example/docs/a%20b.pdf"), ("Файл 1.docx", "https://p.example/docs/%D0%A4%D0%B0%D0%B9%D0%BB%201.docx"), ("known.pdf", "https://k.example/1")]
+ROUTES = [
+    ("Не работает плагин криптопро", "L2", "Линия технической поддержки (ЭЦП, КриптоПро, МЧД, ПО)", "ecp_mchd", "#0284c7", 2),
+    ("как подать жалоба в фас по 223", "L7", "Линия правовой экспертизы (44-ФЗ / 223-ФЗ / ФАС)", "223fz", "#7c3aed", 2),
+    ("добрый день", "L1", "Линия общей поддержки и навигации по Порталу Поставщиков", None, "#16a34a", 0),
+]
+CATEGORY = [("Продление сессии и шаг снижения", "quotation_session"), ("кредит или депозит", "services"), ("загрузка yml, xsd-схема", "ste_catalog"), ("рутокен, укэп", "ecp_mchd"), ("пусто", None)]
+MESSAGES = [("дай оператора", False, True, False, False), ("оператор", True, False, False, False), ("да, давай", False, True, False, False), ("Готово", False, True, True, False), ("стоп", False, False, False, True), ("вот сука", True, False, False, False)]
+REPLIES = [
+    ("Жалоба", ["один", "два"], 0, False, 1, "📋 **Жалоба** (Шаг 1 из 2)\n\nодин\n\nКогда будете готовы перейти к следующему действию, напишите **«Далее»** или **«Готово»**."),
+    ("Жалоба", ["один", "два"], 1, False, 2, "📋 **Жалоба** (Шаг 2 из 2)\n\nдва\n\nЭто финальный шаг регламента. Напишите **«Завершить»** или задайте уточняющий вопрос."),
+    ("Жалоба", ["один", "два"], 2, True, 2, "🎉 **Отлично! Все шаги процесса «Жалоба» успешно пройдены.**\nЕсли у вас есть ещё вопросы или нужно уточнить детали по какому-либо шагу, я готов помочь!"),
+    ("Иное", None, 4, True, 4, "Данный процесс не найден в базе пошаговых инструкций."),
+]
+TOKENS = [(1, "а б", None, False), (2, "в", "сбой", False), (3, "г", None, True)]
+PORTAL = "https://p.example"
+SANITIZE = [
+    ("См. [статью](http://p.example/knowledgebase/article/12) и [чужое](https://x.example/a). Росэлторга нет.", "См. [статью](https://p.example/knowledgebase/article/details/ais/12) и чужое. Портал нет."),
+    ("росэлторг", "Портал"),
+]
+NODE = ("Жалоба", ["ст. 105"], "ЕИС", "бесплатно", ["5 дней", "10 дней"], ["написать", "подать"])
+NODE_TEXT = "### Жалоба\n\n**Нормативное регулирование:** ст. 105\n\n**Способ подачи:** ЕИС\n\n**Стоимость:** бесплатно\n\n**Регламентные сроки:**\n• 5 дней\n• 10 дней\n\n**Пошаговый порядок действий:**\n**1.** написать\n**2.** подать"
+ARTICLES = [("1", "Закон", "т" * 60, "<p>", ["a", "b"]), ("", " ", "к" * 10, "x.PDF", ["a"]), (None, "t", "", None, None), ("4", "t", None, "", [])]
+STATUSES = [("u1", 200), ("u1", 404), ("u2", 200), ("u3", 404), ("", 200), (None, 200), ("u4", 500)]
+TABLE = "| a | b |\n|---|---|\n" + "".join(f"| {k} | {'т' * 80} |\n" for k in range(12))
+GUIDE = f"Вступление к инструкции для всех.\n# Вход\nШаг 1. Откройте ![k](a.png) страницу.\n## Кнопка подачи\nТекст без картинок.\n## Прочее\nЕщё текст.\n{TABLE}После.\n# Итог\nКонец."
+LAW = "Преамбула.\nСтатья 1. Общее\nКоротко.\nСтатья 2. Порядок\n" + "".join(f"{k}. " + "слово " * 90 + "\n" for k in (1, 2))
+_HEAD = "| a | b |\n|---|---|"
+_ROWS = [f"| {k} | {'т' * 80} |" for k in range(12)]
+_PART = lambda k: (f"{k}. " + "слово " * 90).strip()
+#: doc_id, section, step, images, body
+CHUNKS = [
+    (1, "Введение", None, "", "Вступление к инструкции для всех."),
+    (1, "Вход", "Шаг 1", "a.png", "# Вход\nШаг 1. Откройте ![k](a.png) страницу."),
+    (1, "Вход > Кнопка подачи", None, "a.png", "## Кнопка подачи\nТекст без картинок."),
+    (1, "Вход > Прочее", None, "", "## Прочее\nЕщё текст."),
+    (1, "Вход > Прочее (Таблица)", None, "", "\n".join([_HEAD, *_ROWS[:8]])),
+    (1, "Вход > Прочее (Таблица)", None, "", "\n".join([_HEAD, *_ROWS[8:]])),
+    (1, "Вход > Прочее", None, "", "После."),
+    (1, "Итог", None, "", "# Итог\nКонец."),
+    (2, "Статья 1. Общее", None, "", "Статья 1. Общее\nКоротко."),
+    (2, "Статья 2. Порядок | Пункт 1. слово слово", None, "", _PART(1)),
+    (2, "Статья 2. Порядок | Пункт 2. слово слово", None, "", _PART(2)),
+]
+
+
+def _frame(spark, rows, schema: str):
+    return spark.createDataFrame([(i, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows)], "id long, " + schema)
+
+
+def statute_forms(spark, d):
+    return _frame(spark, STATUTE, "t string").select("id", X.canonical_statutes("t").alias("out"))
+
+
+def step_numbers(spark, d):
+    return _frame(spark, STEPS, "t string").select("id", X.step_number("t").alias("out"))
+
+
+def plain_symbols(spark, d):
+    return _frame(spark, SYMBOLS, "t string").select("id", X.plain_symbols("t").alias("out"))
+
+
+def after_thinking(spark, d):
+    return _frame(spark, THINKING, "t string").select("id", X.after_thinking("t").alias("out"))
+
+
+def full_normalize(spark, d):
+    return _frame(spark, [a for a, _ in NORMAL], "t string").select("id", X.normalize_basic("t").alias("out"))
+
+
+def default_expand(spark, d):
+    return _frame(spark, [a for a, _ in EXPAND], "t string").select("id", X.expand_terms("t").alias("out"))
+
+
+def document_urls(spark, d):
+    return _frame(spark, [a for a, _ in FILES], "t string").select("id", X.document_url("t", "https://p.example/docs/", {"known.pdf": "https://k.example/1"}).alias("out"))
+
+
+def default_route(spark, d):
+    return _frame(spark, [r[0] for r in ROUTES], "t string").select("id", rules.route("t").alias("r")).select("id", "r.line", "r.name", "r.category_filter", "r.badge_color", "r.score")
+
+
+def default_category(spark, d):
+    return _frame(spark, [a for a, _ in CATEGORY], "t string").select("id", rules.category("t").alias("out"))
+
+
+def default_triggers(spark, d):
+    return dialogue.flags(_frame(spark, [r[0] for r in MESSAGES], "t string"), "t").select("id", "escalate", "agree", "next", "stop")
+
+
+def step_replies(spark, d):
+    df = _frame(spark, [r[:3] for r in REPLIES], "title string, steps array<string>, step int")
+    return df.select("id", dialogue.step_reply("title", "steps", "step").alias("r")).select("id", "r.is_finished", F.col("r.next_step").cast("long").alias("next_step"), "r.reply")
+
+
+def failed_and_redirected_tokens(spark, d):
+    df = _frame(spark, TOKENS, "chat long, t string, failure string, moved boolean").withColumnRenamed("id", "turn")
+    return dialogue.token_events(df, "chat", "turn", "t", "failure", "moved").select("chat", F.col("id").alias("place"), "event", "token", "details")
+
+
+def answer_sanitize(spark, d):
+    df = _frame(spark, [a for a, _ in SANITIZE], "t string")
+    return df.select("id", answers.sanitized("t", F.array(F.lit(f"{PORTAL}/knowledgebase/article/12")), PORTAL, "росэлторг", "Портал").alias("out"))
+
+
+def node_fallback(spark, d):
+    shape = "struct<title:string,law_references:array<string>,channel:string,fee:string,deadlines:array<string>,workflow_steps:array<string>>"
+    df = _frame(spark, [(NODE, "T", "x"), (None, "T", " a \n\nb"), (None, None, None)], f"node {shape}, title string, text string")
+    return df.select("id", answers.fallback("node", "title", "text").alias("out"))
+
+
+def article_issues(spark, d):
+    return documents.issues(_frame(spark, ARTICLES, "key string, title string, text string, raw string, kinds array<string>"), "key", "title", "text", "raw", "kinds")
+
+
+def url_status_totals(spark, d):
+    return documents.url_totals(_frame(spark, STATUSES, "url string, status int"), "url", "status")
+
+
+def longest_documents(spark, d):
+    return documents.largest(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text")
+
+
+def guide_and_law_chunks(spark, d):
+    df = spark.createDataFrame([(1, "Руководство", "", "k", "instruction", GUIDE), (2, "ФЗ", "", "k", "legislation", LAW)], "doc_id long, title string, url string, category string, doc_type string, text string")
+    return chunking.chunks(df).select("doc_id", "chunk_index", "section", "step_number", F.array_join("images", " ").alias("images"), "text")
+
+
+def _text(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool | int):
+        return str(v).lower()
+    return "'" + v.replace("'", "''") + "'"
+
+
+def _values(rows, names: str) -> str:
+    """The rows as a table, numbered."""
+    return f"(VALUES {', '.join('(' + ', '.join(map(_text, (i, *r))) + ')' for i, r in enumerate(rows))}) AS v(id, {names})"
+
+
+def oracle_sql() -> dict[str, str]:
+    from .oracles import strip
+
+    given = lambda rows: f"FROM {_values([(r,) for r in rows], 't')}"
+    stated = lambda rows: f"SELECT id::BIGINT AS id, out {'FROM'} {_values([(b,) for _, b in rows], 'out')}"
+    edge, rest = "(^|[^\\p{L}\\p{N}_])", "([^\\p{L}\\p{N}_]|$)"
+    title = {1: "Руководство", 2: "ФЗ"}
+    chunk = [(i, sum(c[0] == i for c in CHUNKS[:k]), w, s, m, f"[Документ: {title[i]} | Раздел: {w} | Категория: k]\n\n{b}") for k, (i, w, s, m, b) in enumerate(CHUNKS)]
+    node = [(NODE_TEXT,), ("По вашему вопросу найдена официальная инструкция:\n\n📌 **T**\n\na\n\nb",), (None,)]
+    tokens = [
+        (1, 0, "NEW_TOKEN", "а ", None), (1, 1, "NEW_TOKEN", "б", None), (1, 2, "END_GENERATION", "а б", "Done"),
+        (2, 0, "NEW_TOKEN", "сбой", None), (2, 1, "END_GENERATION", "сбой", "Error"), (3, 0, "END_GENERATION", "", "redirected"),
+    ]
+    issues = [("issue:no_id", 2), ("issue:no_title", 1), ("issue:no_content", 2), ("issue:pdf_link_only", 1), ("issue:short", 1), ("section:a", 2), ("section:b", 1)]
+    return {
+        "statute_forms": f"SELECT id::BIGINT AS id, regexp_replace(t, '{edge}(44|223|63|135|149)[\\s]*[-–—]?[\\s]*(?i:фз){rest}', '\\1\\2-ФЗ\\3', 'g') AS out {given(STATUTE)}",
+        "step_numbers": f"SELECT id::BIGINT AS id, upper(substr(x, 1, 1)) || lower(substr(x, 2)) AS out FROM (SELECT id, nullif(regexp_extract(t, '(?i){edge}(Шаг\\s+\\d+(?:\\.\\d+)?|Этап\\s+\\d+)', 2), '') AS x {given(STEPS)})",
+        "plain_symbols": f"""SELECT id::BIGINT AS id, {strip("regexp_replace(regexp_replace(translate(t, '-/:_" + '"' + "()' || chr(39), '         '), '[^0-9A-Za-zА-Яа-яЁё .,]+', ' ', 'g'), ' +', ' ', 'g')")} AS out {given(SYMBOLS)}""",
+        "after_thinking": f"SELECT id::BIGINT AS id, CASE WHEN contains(t, '...done thinking.') THEN {strip('substr(t, strpos(t, chr(46) || chr(46) || chr(46) || chr(100)) + 17)')} ELSE t END AS out {given(THINKING)}",
+        "full_normalize": stated(NORMAL),
+        "default_expand": stated(EXPAND),
+        "document_urls": stated(FILES),
+        "default_route": f"SELECT id::BIGINT AS id, line, name, category_filter, badge_color, score::BIGINT AS score FROM {_values([r[1:] for r in ROUTES], 'line, name, category_filter, badge_color, score')}",
+        "default_category": stated(CATEGORY),
+        "default_triggers": f"SELECT id::BIGINT AS id, escalate, agree, next, stop FROM {_values([r[1:] for r in MESSAGES], 'escalate, agree, next, stop')}",
+        "step_replies": f"SELECT id::BIGINT AS id, is_finished, next_step::BIGINT AS next_step, reply FROM {_values([r[3:] for r in REPLIES], 'is_finished, next_step, reply')}",
+        "failed_and_redirected_tokens": f"SELECT chat::BIGINT AS chat, place::BIGINT AS place, event, token, details FROM {_values(tokens, 'chat, place, event, token, details')}",
+        "answer_sanitize": stated(SANITIZE),
+        "node_fallback": f"SELECT id::BIGINT AS id, out FROM {_values(node, 'out')}",
+        "article_issues": f"SELECT name, rows::BIGINT AS rows FROM {_values(issues, 'name, rows')}",
+        "url_status_totals": f"SELECT count(*) AS urls, count(*) FILTER (s = 200) AS ok, count(*) FILTER (s = 404) AS lost, round(100.0 * count(*) FILTER (s = 200) / count(*), 2) AS percent FROM (SELECT url, max(status) AS s FROM {_values(STATUSES, 'url, status')} WHERE url <> '' GROUP BY url)",
+        "longest_documents": "SELECT doc_id, length(coalesce(text, ''))::BIGINT AS chars FROM documents ORDER BY chars DESC, doc_id LIMIT 10",
+        "guide_and_law_chunks": f"SELECT doc_id::BIGINT AS doc_id, chunk_index::BIGINT AS chunk_index, section, step_number, images, text FROM {_values(chunk, 'doc_id, chunk_index, section, step_number, images, text')}",
+    }
+
+
+def queries() -> dict:
+    return {n: globals()[n] for n in oracle_sql()}

@@ -64,10 +64,19 @@ qt AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp
 mean AS (SELECT avg(len(t)) AS mean, count(*) AS n FROM dw),
 idf AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM dt GROUP BY term), mean)"""
 
+_BUCKET = "('0x' || substr(md5(term), 1, 8))::BIGINT % 256"
+_SIGNED = "CASE WHEN ('0x' || substr(md5(term), 9, 2))::BIGINT < 128 THEN 1 ELSE -1 END"
+_VECTORS = f"""
+dv AS (SELECT doc_id, {_BUCKET} AS b, sum({_SIGNED} * tf)::DOUBLE AS v FROM dt GROUP BY 1, 2), dn AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM dv GROUP BY 1),
+qv AS (SELECT item_id, {_BUCKET} AS b, sum({_SIGNED} * qtf)::DOUBLE AS v FROM qt GROUP BY 1, 2), qn AS (SELECT item_id, sqrt(sum(v * v)) AS n FROM qv GROUP BY 1)"""
+
 _HYBRID = (
-    _TERMS + "," + _bm25(8, 0.75, "r1") + "," + _bm25(8, 0.0, "r2") + """,
+    _TERMS + "," + _bm25(16, 0.75, "r1") + "," + _VECTORS + """,
+dots AS (SELECT item_id, doc_id, sum(qv.v * dv.v) AS s FROM qv JOIN dv USING (b) GROUP BY 1, 2),
+r2_s AS (SELECT qn.item_id, dn.doc_id, round(coalesce(s, 0) / (qn.n * dn.n), 6) AS score FROM qn CROSS JOIN dn LEFT JOIN dots ON dots.item_id = qn.item_id AND dots.doc_id = dn.doc_id WHERE qn.n > 0 AND dn.n > 0),
+r2 AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r2_s QUALIFY rank <= 16),
 f0 AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) GROUP BY 1, 2),
-f AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f0 QUALIFY rank <= 8)"""
+f AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f0 QUALIFY rank <= 16)"""
 )
 _FINAL = (
     _HYBRID + """,
@@ -77,6 +86,15 @@ y AS (SELECT item_id, doc_id, score, text, lang, source, NOT anyfit AS fell_back
   row_number() OVER (PARTITION BY item_id ORDER BY round(score + CASE WHEN contains(lower(text), 'tion') THEN 0.5 ELSE 0 END, 6) DESC, rank) AS final_rank FROM x WHERE fits OR NOT anyfit QUALIFY final_rank <= 4)"""
 )
 
+#: Chunks of documents without headings, tables and articles, as the structured chunkers make them.
+_STRUCTURED = """
+sp AS (SELECT d.doc_id, d.source, d.lang, c.chunk, c.chunk_index FROM c JOIN documents d USING (doc_id)),
+st AS (SELECT doc_id, lang, chunk_index, source || ' | Часть ' || (chunk_index + 1) AS section, chunk FROM sp WHERE lang = 'de'
+  UNION ALL SELECT sp.doc_id, sp.lang, chunk_index, sp.source || ' (Часть ' || (chunk_index + 1) || ')', chunk FROM sp JOIN documents d USING (doc_id) WHERE sp.lang IS DISTINCT FROM 'de' AND length(d.text) > 870
+  UNION ALL SELECT doc_id, lang, 0, source, body FROM (SELECT doc_id, lang, source, text, %s AS body FROM documents) WHERE lang IS DISTINCT FROM 'de' AND length(text) <= 870 AND body <> ''),
+sc AS (SELECT doc_id, chunk_index, count(*) OVER (PARTITION BY doc_id) AS chunk_count, section, '[Документ: ' || coalesce(d.source, '') || ' | Раздел: ' || section || ' | Категория: ' || coalesce(st.lang, '') || ']' || chr(10) || chr(10) || chunk AS text
+  FROM st JOIN documents d USING (doc_id))""" % strip("coalesce(text, '')")
+
 
 def sql() -> dict[str, str]:
     from . import catalog as C
@@ -87,8 +105,8 @@ def sql() -> dict[str, str]:
     norm = f"translate({norm}, '\u00a0\u2009\u2007\u202f–—−«»“”„ёЁ', '    ---\"\"\"\"\"еЕ')"
     norm = f"regexp_replace(regexp_replace(regexp_replace({norm}, '!{{2,}}', '!', 'g'), '[?]{{2,}}', '?', 'g'), '[.]{{3,}}', '...', 'g')"
     norm = strip(f"regexp_replace({norm}, '{SPACE}+', ' ', 'g')")
-    body = f"'[Документ: ' || source || ' | Раздел: ' || lang || ']' || chr(10) || chr(10) || {strip('text')}"
-    ident = "sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('docs|' || doc_id || '|0|' || sha1(body)))"
+    ident = "sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('docs|' || doc_id || '|' || chunk_index || '|' || sha1(text)))"
+    bare = strip(r"regexp_replace({0}, '^```(\w+)?\n?|\n?```$', '', 'g')".format(strip("said")))
     kb, portal = f"{C.PORTAL}/knowledgebase", C.PORTAL
     u = "regexp_replace(regexp_replace(url, '^[''\"<>`]+|[''\"<>`]+$', '', 'g'), '[).,;:]+$', '')"
     u = f"""CASE WHEN coalesce(url, '') = '' THEN '{kb}/main' WHEN contains(u, 'knowledgebase/regulations') OR contains(u, 'knowledgebase/article/regulation') THEN '{kb}/article/regulation/cms'
@@ -119,9 +137,17 @@ def sql() -> dict[str, str]:
         "content_dedup_first": "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id) = 1",
         "basic_normalize": f"SELECT doc_id, length(c)::BIGINT AS n_chars, md5(c) AS md5 FROM (SELECT doc_id, {norm} AS c FROM documents)",
         "split_text_chunks": f"WITH RECURSIVE {_split()} SELECT doc_id, chunk_index, chunk_count, length(chunk)::BIGINT AS n_chars, md5(chunk) AS md5 FROM c",
-        "chunk_prefix_and_ids": f"""WITH b AS (SELECT doc_id, {body} AS body FROM documents), h AS (SELECT doc_id, body, {ident} AS h FROM b)
-          SELECT doc_id, md5(body) AS md5, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS chunk_id FROM h""",
-        "chunk_category_stats": "SELECT source AS category, count(*) AS chunks, count(*) FILTER (regexp_matches(text, '!\\[.*?\\]\\([^\\s)\"'']+\\)|(?i)<img[^>]+src=')) AS with_images, count(*) FILTER (contains(text, '|') AND contains(text, '---')) AS with_tables FROM documents GROUP BY source",
+        "chunk_prefix_and_ids": f"""WITH RECURSIVE {_split()}, {_STRUCTURED}, h AS (SELECT doc_id, chunk_index, text, {ident} AS h FROM sc)
+          SELECT doc_id, chunk_index, md5(text) AS md5, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS chunk_id FROM h""",
+        "structured_chunks": f"""WITH RECURSIVE {_split()}, {_STRUCTURED}
+          SELECT doc_id, chunk_index, chunk_count, section, NULL::VARCHAR AS step_number, 0::BIGINT AS images, length(text)::BIGINT AS n_chars, md5(text) AS md5 FROM sc""",
+        "chunk_category_stats": f"WITH RECURSIVE {_split()} SELECT source AS category, count(*) AS chunks, count(*) FILTER (regexp_matches(chunk, '!\\[.*?\\]\\([^\\s)\"'']+\\)|(?i)<img[^>]+src=')) AS with_images, count(*) FILTER (contains(chunk, '|') AND contains(chunk, '---')) AS with_tables FROM c JOIN documents USING (doc_id) GROUP BY source",
+        "term_expand": f"""WITH k(k, m) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in C.TERMS.items())}),
+          p AS (SELECT conv_id, turn, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '(?i)of [\\p{{L}}\\p{{N}}_]+|[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS x FROM conversations)),
+          q AS (SELECT conv_id, turn, i, CASE WHEN k IS NOT NULL THEN m || ' (' || x || ')' WHEN k2.k2 IS NOT NULL THEN substr(x, 1, 3) || m2 || ' (' || substr(x, 4) || ')' ELSE x END AS x,
+            coalesce(k, k2) AS hit FROM p LEFT JOIN k ON lower(x) = k LEFT JOIN (SELECT k AS k2, m AS m2 FROM k) k2 ON lower(x) = 'of ' || k2 AND lower(x) <> 'of the'),
+          r AS (SELECT conv_id, turn, string_agg(x, '' ORDER BY i) AS t, count(DISTINCT hit) + CASE WHEN bool_or(hit = 'of the') AND NOT bool_or(hit = 'the') THEN 1 ELSE 0 END AS terms FROM q GROUP BY 1, 2)
+          SELECT conv_id, turn, terms::BIGINT AS terms, length(t)::BIGINT AS n_chars, md5(t) AS md5 FROM r""",
         "keyword_route": f"WITH {_best(C.ROUTES)} SELECT conv_id, turn, name AS category, coalesce(score, 0)::BIGINT AS score FROM conversations LEFT JOIN best USING (conv_id, turn)",
         "graph_node_match": f"WITH {nodes} SELECT conv_id, turn, name AS node, score::BIGINT AS score FROM conversations LEFT JOIN best USING (conv_id, turn)",
         "guardrail_flags": f"SELECT conv_id, turn, b AS is_blocked, CASE WHEN b THEN 'toxicity' END AS reason FROM (SELECT conv_id, turn, {_whole(C.OFFENSIVE)} AS b FROM conversations)",
@@ -135,11 +161,12 @@ def sql() -> dict[str, str]:
         "bm25_topk": f"WITH {_TERMS}, {_bm25(5, 0.75, 'r')} SELECT item_id, doc_id, score, rank FROM r",
         "hybrid_rrf_topk": f"WITH {_HYBRID} SELECT item_id, doc_id, score, rank FROM f",
         "hybrid_boost_postfilter_fallback": f"WITH {_FINAL} SELECT item_id, doc_id, score, final_rank, fell_back FROM y",
-        "context_listagg": f"WITH {_FINAL} SELECT item_id, md5(string_agg('### ' || source || ' (' || lang || ')' || chr(10) || substr(text, 1, 500), chr(10) || chr(10) ORDER BY final_rank)) AS md5 FROM y GROUP BY item_id",
+        "context_listagg": f"WITH {_FINAL} SELECT item_id, md5(string_agg('### ' || source || ' (' || lang || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY final_rank)) AS md5 FROM y GROUP BY item_id",
         "citation_dedup": "SELECT query, host, min(page_id) AS page_id FROM (SELECT page_id, regexp_extract(url, 'example[.]([a-z]+)', 1) AS query, regexp_extract(url, '://([^/]+)', 1) AS host FROM pages) WHERE host <> '' GROUP BY 1, 2",
         "recent_history": "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations QUALIFY back BETWEEN 2 AND 5",
         "context_relevance": "WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) SELECT conv_id, turn, coalesce(len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: length(w) > 3 AND contains(lower(before), w))) >= 2, false) AS relevant FROM c",
-        "least_loaded_agent": "SELECT s_suppkey, count(l_suppkey)::BIGINT AS active_chats, row_number() OVER (ORDER BY count(l_suppkey), s_suppkey) AS place FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey",
+        "least_loaded_agent": "SELECT s_suppkey, count(l_suppkey)::BIGINT AS active_chats, false AS created FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey ORDER BY active_chats, s_suppkey LIMIT 1",
+        "agent_loads": "SELECT s_suppkey, count(l_suppkey)::BIGINT AS active_chats FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey",
         "workflow_replay": f"""WITH RECURSIVE {nodes}, {flags},
           m AS (SELECT conv_id, turn, escalate, agree, next, stop, coalesce(name, 'general_guide') AS node, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM fl LEFT JOIN best USING (conv_id, turn)),
           s AS (SELECT conv_id, 0::BIGINT AS k, NULL::BIGINT AS turn, NULL::VARCHAR AS action, NULL::VARCHAR AS active, 0::BIGINT AS step, NULL::VARCHAR AS suggested FROM conversations GROUP BY conv_id
@@ -157,14 +184,22 @@ def sql() -> dict[str, str]:
         "text_category": f"WITH {_best(C.CATEGORIES, table='documents', keys='doc_id')} SELECT doc_id, name AS category FROM documents LEFT JOIN best USING (doc_id)",
         "message_validation": "SELECT conv_id, turn, coalesce(length(text) BETWEEN 1 AND 1000, false) AS valid FROM conversations",
         "state_update": "SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_mktsegment, coalesce(x, round(c_acctbal, 2)) AS c_acctbal FROM customer FULL JOIN (SELECT o_custkey, round(max(o_totalprice), 2) AS x FROM orders GROUP BY 1) ON o_custkey = c_custkey",
-        "upsert_by_id": "SELECT doc_id, lang, CASE WHEN lang = 'fr' THEN 'new' ELSE source END AS source FROM documents",
+        "upsert_by_id": "SELECT doc_id, lang, CASE WHEN lang = 'fr' THEN 'new 2' ELSE source END AS source FROM documents",
         "answer_repair": "WITH a AS (SELECT page_id, url, 'A [' || page_id || '](' || url || ') and x.' AS fixed FROM pages) SELECT page_id, CASE WHEN page_id % 2 = 0 OR length(fixed) < 20 THEN 'a' || chr(10) || url || chr(10) || 'b' || chr(10) || 'c' || chr(10) || 'd' || chr(10) || 'e' ELSE fixed END AS answer FROM a",
-        "model_output_clean": "SELECT item_id, 'search_query: ' || item_id || ' x' AS marked, 'plain ' || item_id AS plain FROM benchmark",
+        "model_output_clean": f"""WITH s AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '```text' || chr(10) || 'noise' || chr(10) || 'Search_Query:  ' || text || ' ' || chr(10) || 'more' || chr(10) || '```' WHEN 1 THEN chr(10) || ' ' || chr(10) || text || chr(10) || 'second line'
+            WHEN 2 THEN '```' || chr(10) || text || chr(10) || '```' WHEN 3 THEN 'search_query: ' || text ELSE ' ' || chr(10) || ' ' END AS said FROM conversations),
+          b AS (SELECT conv_id, turn, {bare} AS bare FROM s), m AS (SELECT *, {strip("regexp_extract(bare, '(?im)^[ \t]*search_query[ \t]*:[ \t]*(.+)$', 1)")} AS marked, {strip("list_filter(string_split(bare, chr(10)), lambda x: " + strip("x") + " <> '')[1]")} AS line FROM b),
+          o AS (SELECT conv_id, turn, CASE WHEN marked <> '' THEN 'search_query: ' || marked WHEN starts_with(lower(line), 'search_query:') THEN line ELSE 'search_query: ' || coalesce(line, '') END AS x FROM m)
+          SELECT conv_id, turn, md5(x) AS marked, md5(regexp_replace(x, '^search_query:\\s*', '')) AS plain FROM o""",
         "first_documents": "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 10",
         "link_rewrite": f"SELECT page_id, 'a [x](' || regexp_replace(url, '^http://{C.PORTAL[8:]}', '{C.PORTAL}') || ') b {C.PORTAL}/knowledgebase/article/details/ais/12 c [y]({C.PORTAL}/q)' AS text FROM pages",
         "prompt_assembly": """WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS past FROM conversations)
-          SELECT conv_id, turn, md5(CASE WHEN past <> '' THEN '### History' || chr(10) || past || chr(10) || chr(10) ELSE '' END || '### Context' || chr(10) || translate(substr(text, 1, 120), chr(10), ' ') || chr(10) || chr(10) || '### Question' || chr(10) || text) AS md5 FROM c""",
+          SELECT conv_id, turn, md5(CASE WHEN past <> '' THEN '### History' || chr(10) || past || chr(10) || chr(10) ELSE '' END || '### Context' || chr(10) || text || chr(10) || chr(10) || '### Question' || chr(10) || text) AS md5 FROM c""",
         "author_roles": "SELECT c_mktsegment, count(*) AS messages FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
-        "hash_embeddings": "SELECT item_id, 32::BIGINT AS dimension, 1.0::DOUBLE AS norm FROM benchmark",
+        "hash_embeddings": f"""WITH {_TERMS}, {_VECTORS}, u AS (SELECT doc_id, b, v / n AS x FROM dv JOIN dn USING (doc_id) WHERE n > 0),
+          g AS (SELECT d.doc_id, i, coalesce(x, 0) AS x FROM documents d, unnest(range(256)) AS r(i) LEFT JOIN u ON u.doc_id = d.doc_id AND u.b = i WHERE text IS NOT NULL)
+          SELECT doc_id, 256::BIGINT AS dimension, round(sqrt(sum(x * x)), 6) AS norm, md5(string_agg(round(x * 1000000)::BIGINT, ',' ORDER BY i)) AS md5 FROM g GROUP BY doc_id""",
+        "index_sparse_weights": f"WITH {_TERMS} SELECT d.doc_id, 256::BIGINT AS dimension, count(term) AS terms, round(coalesce(sum(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 0), 4) AS weight FROM documents d LEFT JOIN dt USING (doc_id), mean WHERE text IS NOT NULL GROUP BY 1",
+        "term_idf": f"WITH {_TERMS} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM (SELECT term, count(*) AS df FROM dt GROUP BY term), mean",
         "preferred_model": "SELECT p_brand FROM (SELECT DISTINCT p_brand, CASE WHEN contains(p_brand, '#9') THEN 0 WHEN contains(p_brand, '#55') THEN 1 WHEN contains(p_brand, '#4') THEN 2 END AS r FROM part) WHERE r IS NOT NULL ORDER BY r, p_brand LIMIT 1",
     }

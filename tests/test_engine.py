@@ -129,3 +129,34 @@ def test_query_equals_sql(spark, name):
     assert sorted(got.columns) == sorted(columns)
     text = lambda v: f"{v:.5f}" if isinstance(v, float) else str(v)
     assert sorted(tuple(map(text, r)) for r in got.select(*columns).collect()) == sorted(tuple(map(text, r)) for r in want.fetchall())
+
+
+def test_lost_upsert_is_recovered(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = spark.createDataFrame([("1", "a", "x", 1), ("1", "b", "x", 2)], "chunk_id string, text string, category string, at int")
+    writers.upsert(spark, rows, path, order="at")  # creates it
+    assert [r.text for r in spark.read.parquet(path).collect()] == ["b"]
+    os.rename(path, path + ".next")  # the driver was lost between two renames
+    writers.upsert(spark, rows.where("at = 1").withColumn("chunk_id", F.lit("2")), path)
+    assert sorted((r.chunk_id, r.text) for r in spark.read.parquet(path).collect()) == [("1", "b"), ("2", "a")]
+    assert sorted(os.listdir(tmp_path)) == ["index"]
+    with pytest.raises(ValueError, match="holds no points"):
+        writers.require_rows(rows.where("false"), "index")
+
+
+def test_rejects_and_other_sources(spark, tmp_path):
+    (tmp_path / "bad.docx").write_bytes(b"no zip")
+    got = readers.rejects(spark, str(tmp_path / "*.docx"), readers.docx_text).collect()
+    assert [r.file_name for r in got] == ["bad.docx"] and "BadZipFile" in got[0].reason
+    if __import__("importlib.util").util.find_spec("pypdf") is None:
+        with pytest.raises(RuntimeError, match="pypdf"):
+            readers.rejects(spark, str(tmp_path / "*.docx"), readers.pdf_text)
+    (tmp_path / "kb.json").write_text(json.dumps([{"text": "t", "title": "T", "url": "u"}, {"text": ""}]), "utf-8")
+    kb = readers.cleaned(spark, str(tmp_path / "kb.json"))
+    assert [(r.title, r.doc_type) for r in kb.collect()] == [("T", "instruction")]
+    assert readers.lookup(kb, "url", "u").count() == 1 and readers.union(kb, readers.inline(spark, [("Закон", "v", "x")])).count() == 2
+
+
+def test_without_agents_one_is_created(spark):
+    agents, chats = spark.createDataFrame([], "id long"), spark.createDataFrame([], "owner long")
+    assert answers.assigned(agents, chats, "id", "owner").collect()[0].asDict() == {"id": 0, "active_chats": 0, "created": True}

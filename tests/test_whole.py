@@ -3,13 +3,14 @@
 import hashlib
 import math
 import os
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import text as X
 from lodestone.functions.chunking import split_text
-from lodestone.operators import answers
+from lodestone.operators import answers, embedding, retrieval
 from lodestone.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -57,13 +58,64 @@ def test_only_cache_items_are_cut(spark):
     assert [(r.title, len(r.text)) for r in got] == [(f"t{k}", 500) for k in range(1, 7)]
 
 
-@pytest.mark.parametrize("name", ["hybrid_rrf_topk", "hybrid_boost_postfilter_fallback"])
-def test_four_times_the_kept_hits_are_fused(spark, name):
-    want = duck(catalog.oracle_sql()[name].replace("rank <= 8", "rank <= 16"))
-    columns = [c[0] for c in want.description]
-    text = lambda v: f"{v:.5f}" if isinstance(v, float) else str(v)
-    got = sorted(tuple(map(text, r)) for r in catalog.queries()[name](spark, SF).select(*columns).collect())
-    assert got == sorted(tuple(map(text, r)) for r in want.fetchall())
+def test_hybrid_fuses_a_dense_and_a_sparse_list_of_four_times_k(spark):
+    docs = [(r.doc_id, r.text or "") for r in catalog.read(spark, SF, "documents").collect()]
+    items = [(r.item_id, r.text or "") for r in catalog.read(spark, SF, "benchmark").collect()][:5]
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+
+    def vector(t):
+        v = [0.0] * 256
+        for w in words(t):
+            h = hashlib.md5(w.encode()).digest()
+            v[int.from_bytes(h[:4], "big") % 256] += 1 if h[4] < 128 else -1
+        return v
+
+    tf = {i: Counter(words(t)) for i, t in docs}
+    mean = sum(sum(c.values()) for c in tf.values()) / len(docs)
+    df = Counter(w for c in tf.values() for w in c)
+    idf = {w: math.log(1 + (len(docs) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    vectors = {i: vector(t) for i, t in docs}
+    got = {}
+    for r in catalog.hybrid_rrf_topk(spark, SF).collect():
+        got.setdefault(r.item_id, {})[r.rank] = r.doc_id
+    for item, text in items:
+        q, v = Counter(words(text)), vector(text)
+        size = lambda x: math.sqrt(sum(a * a for a in x))
+        near = {i: round(sum(a * b for a, b in zip(v, w, strict=True)) / (size(v) * size(w)), 6) for i, w in vectors.items() if size(w)}
+        sparse = {i: round(sum(n * idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w, n in q.items() if c[w]), 6) for i, c in tf.items()}
+        fused = Counter()
+        for scores in (near, {i: s for i, s in sparse.items() if s > 0}):
+            for rank, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i))[:16], 1):
+                fused[i] += 1 / (60 + rank)
+        want = sorted(fused, key=lambda i: (-round(fused[i], 6), i))[:16]
+        assert [got[item][k] for k in sorted(got[item])] == want
+
+
+def test_queries_in_blocks_find_the_same(spark):
+    docs, items = catalog.read(spark, SF, "documents"), catalog.read(spark, SF, "benchmark")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(retrieval.bm25(docs, items, "doc_id", "item_id", k=3, block_bytes=5000)) == rows(retrieval.bm25(docs, items, "doc_id", "item_id", k=3))
+    points = catalog.read(spark, SF, "embeddings")
+    asked = points.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "embedding")
+    assert rows(retrieval.dense(asked, points, "q", "vec_id", "embedding", 3, block_bytes=2000)) == rows(retrieval.dense(asked, points, "q", "vec_id", "embedding", 3))
+
+
+def test_searches_of_awkward_rows(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b a"), (4, "a b a"), (None, "c")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "a"), (8, None), (9, "zzz")], "item_id long, text string")
+    got = retrieval.bm25(docs, items, "doc_id", "item_id").collect()
+    assert [(r.item_id, r.doc_id, r["rank"]) for r in got] == [(7, 3, 1), (7, 4, 2)]
+    assert retrieval.bm25(docs.where("false"), items, "doc_id", "item_id").count() == retrieval.bm25(docs, items.where("false"), "doc_id", "item_id").count() == 0
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [2.0, 0.0]), (6, [1.0])], "id long, v array<double>")
+    got = retrieval.dense(points.withColumnRenamed("id", "q"), points, "q", "id", "v", 5).where("q = 1").collect()
+    assert [(r.id, r.score) for r in got] == [(1, 1.0), (5, 1.0)]
+
+
+def test_a_model_embeds_in_batches(spark):
+    df = spark.createDataFrame([(i, None if i == 3 else "x" * i) for i in range(9)], "id long, text string")
+    got = embedding.embed(df, "text", "v", lambda texts: [[float(len(t)), float(len(texts))] for t in texts], batch_rows=4).collect()
+    assert {r.id: r.v and r.v[0] for r in got} == {i: None if i == 3 else float(i) for i in range(9)}
+    assert all(r.v is None or r.v[1] <= 4 for r in got)
 
 
 def test_chunks_are_counted_by_category(spark):
@@ -79,16 +131,3 @@ def test_images_and_tables_are_counted_by_chunk(spark, tmp_path):
     got = {r.category: (r.chunks, r.with_images, r.with_tables) for r in catalog.chunk_category_stats(spark, str(tmp_path)).collect()}
     whole = sum(len(split_text(t)) for _, t, _, s in rows if s == "s")
     assert got == {"s": (whole, 1, 1), "t": (1, 0, 0)} and whole > 2
-
-
-def test_hash_embeddings_of_all_documents(spark):
-    docs = catalog.read(spark, SF, "documents")
-    words = {r.doc_id: r.h for r in docs.select("doc_id", F.transform(X.tokens("text"), lambda t: F.xxhash64(t)).alias("h")).collect()}
-    want = {}
-    for i, hashes in words.items():
-        v = [0] * 256
-        for h in hashes:
-            v[h % 256] += 1 if (h % 2**64) >> 40 & 1 else -1
-        size = math.sqrt(sum(x * x for x in v))
-        want[i] = (256, 1.0, md5(",".join(str(int(math.copysign(math.floor(abs(x) / size * 1000000 + 0.5), x))) for x in v)))
-    assert {r.doc_id: (r.dimension, r.norm, r.md5) for r in catalog.hash_embeddings(spark, SF).collect()} == want
