@@ -79,7 +79,8 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         column = batch.column("embedding")
         lengths = column.value_lengths().to_numpy()
         begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        flat, ids = np.asarray(column.flatten(), np.float64), batch.column("vec_id").to_numpy()
+        flat = np.asarray(column.flatten(), np.float64)
+        ids = np.stack([batch.column("least").to_numpy(), batch.column("name").to_numpy()], axis=1)
         for d in np.unique(lengths).tolist():
             of = np.flatnonzero(lengths == d)
             turn = turns[d] if d in turns else turns.setdefault(d, rotation(d))
@@ -105,19 +106,19 @@ def _search(shared, k: int, epsilon: float):
         for d, (ids, q) in shared.value.items():
             norm = _norm(q)
             asked[d] = ids, q, norm, Queries((q / norm[:, None]) @ rotation(d))
-            best[d] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+            best[d] = [(np.zeros(0), np.zeros((0, 2), np.int64)) for _ in ids]
         for batch in batches:
             for d, *blobs in zip(*[batch.column(c) for c in ("d", "ids", "code", "scalar", "norm", "numbers")], strict=True):
                 if d.as_py() in asked:
                     block(d.as_py(), *[b.as_buffer() for b in blobs], asked, best)
-        rows = [(int(i), int(w), float(s)) for d, (ids, *_) in asked.items() for i, (score, who) in zip(ids, best[d], strict=True) for s, w in zip(score, who, strict=True)]
+        rows = [(int(i), int(w[0]), int(w[1]), float(s)) for d, (ids, *_) in asked.items() for i, (score, who) in zip(ids, best[d], strict=True) for s, w in zip(score, who, strict=True)]
         for a in range(0, len(rows), 10_000):
             x = list(zip(*rows[a : a + 10_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.int64()), pa.array(x[1], pa.int64()), pa.array(x[2], pa.float64())], ["query", "rep", "score"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in x[:3]], pa.array(x[3], pa.float64())], ["query", "least", "rep", "score"])
 
     def block(d, name, code, scalar, size, numbers, asked, best) -> None:
         ids, q, norm, queries = asked[d]
-        name, scalar, size = np.frombuffer(name, np.int64), np.frombuffer(scalar), np.frombuffer(size)
+        name, scalar, size = np.frombuffer(name, np.int64).reshape(-1, 2), np.frombuffer(scalar), np.frombuffer(size)
         bits, v = np.frombuffer(code, np.uint64).reshape(len(name), -1), np.frombuffer(numbers).reshape(len(name), d)
         exact = lambda i, at: np.einsum("ij,j->i", v[at] / size[at, None], q[i] / norm[i])
         for a in range(0, len(ids), 256):
@@ -139,7 +140,7 @@ def _search(shared, k: int, epsilon: float):
 
 def _merge(score, who, score2, who2, k: int):
     score, who = np.concatenate([score, score2]), np.concatenate([who, who2])
-    order = np.lexsort((who, -score))[:k]
+    order = np.lexsort((who[:, 0], -score))[:k]  # by the smallest id among equals
     return score[order], who[order]
 
 
@@ -167,14 +168,14 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, epsilon: float = 2.5, quer
     each = sound.groupBy("embedding", "vec_id").agg(F.max("asks").alias("asks"))
     few = each.withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     few = B.cut(few.select("embedding", "ids", F.col("ids")[0].alias("least"), F.monotonically_increasing_id().alias("name")))  # the numbers hold once they are written
-    index = B.cut(few.select(F.col("name").alias("vec_id"), "embedding").mapInArrow(_codes, "d int, ids binary, code binary, scalar binary, norm binary, numbers binary"))
+    index = B.cut(few.select("name", "least", "embedding").mapInArrow(_codes, "d int, ids binary, code binary, scalar binary, norm binary, numbers binary"))
     ask = B.cut(each.where("asks").select(F.col("vec_id").alias("query_id"), "embedding").join(few, "embedding").select("query_id", "name"))
     distinct = few.join(ask.select("name").distinct(), "name").select("name", "embedding")
     found, block, room = None, {}, query_bytes
 
     def scan(block: dict[int, tuple[list, list]]) -> DataFrame:
         shared = spark.sparkContext.broadcast({d: (np.array(names), np.array(numbers, np.float64)) for d, (names, numbers) in block.items()})
-        return index.mapInArrow(_search(shared, k + 1, epsilon), "query long, rep long, score double")
+        return index.mapInArrow(_search(shared, k + 1, epsilon), "query long, least long, rep long, score double")
 
     for row in distinct.toLocalIterator():
         size = 8 * len(row.embedding) + 16
@@ -189,8 +190,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, epsilon: float = 2.5, quer
         return spark.createDataFrame([], kinds)
     found = scan(block) if found is None else found.unionByName(scan(block))
     by = Window.partitionBy("query").orderBy(F.desc("score"), "least")
-    top = found.join(few.select(F.col("name").alias("rep"), "least", "ids"), "rep").withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + 1)
-    near = top.select("query", "score", F.explode("ids").alias("vec_id"))
+    top = found.withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + 1)
+    near = top.join(few.select(F.col("name").alias("rep"), "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
     near = near.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("near"))
     near = B.cut(near.select(F.col("query").alias("name"), "near"))
     own = ask.join(near, "name").select("query_id", F.slice(F.expr("filter(near, x -> x.vec_id <> query_id)"), 1, k).alias("near"))
