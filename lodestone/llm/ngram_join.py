@@ -377,30 +377,43 @@ def _rows_of(index: DataFrame, kind: int, *names: str) -> DataFrame:
     return index.where(F.col("kind") == kind).select("blob").mapInArrow(_open(list(names)), ", ".join(f"{c} long" for c in names))
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in B.text_slices(batch.column("text")):
-                key, doc = shingles(data, offsets, width)
-                at = np.searchsorted(doc, np.arange(hi - lo + 1)).tolist()
-                sets = [np.sort(key[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(sets, pa.binary())], ["doc_id", "tokens"])
-
-    return run
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts, compressed: a third of the bytes of their sets of shingles."""
+    import zstandard
 
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = batch.column("text").cast(pa.large_binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([press.compress(t.as_buffer()) if t.is_valid else None for t in texts], pa.binary())], ["doc_id", "text"])
+
+
+def _overlap(width: int, least: int, rows: int = 256):
+    """Pairs of texts whose sets are similar enough; a text that many pairs of a slice share is opened once."""
+
+    def similar(a: list[bytes], b: list[bytes]) -> list[bool]:
+        import zstandard
+
+        place: dict[bytes, int] = {}
+        at = [[place.setdefault(x, len(place)) for x in side] for side in (a, b)]
+        open_ = zstandard.ZstdDecompressor()
+        sets: list[np.ndarray] = []
+        for lo, hi, data, offsets in B.text_slices(pa.array([open_.decompress(x) for x in place], pa.large_binary())):
+            key, doc = shingles(data, offsets, width)
+            edge = np.searchsorted(doc, np.arange(hi - lo + 1)).tolist()
+            sets += [np.sort(key[x:y]) for x, y in zip(edge[:-1], edge[1:], strict=True)]
+        good = []
+        for i, j in zip(*at, strict=True):
+            x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+            good.append(100 * both >= least * (len(x) + len(y) - both) and both > 0)
+        return good
 
-def _overlap(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v, good = batch.column("u"), batch.column("v"), []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), B.U64), np.frombuffer(b.as_buffer(), B.U64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
-                good.append(100 * both >= least * (len(x) + len(y) - both) and both > 0)
-            good = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([u.filter(good), v.filter(good)], ["u", "v"])
+            for lo in range(0, batch.num_rows, rows):
+                part = batch.slice(lo, rows)
+                good = pa.array(similar(part.column("a").to_pylist(), part.column("b").to_pylist()), pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("u").filter(good), part.column("v").filter(good)], ["u", "v"])
 
     return run
 
@@ -420,11 +433,11 @@ def _near(docs: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> DataFrame:
-    """The pairs u, v whose sets are similar enough; only the texts of documents in pairs are read into sets."""
+    """The pairs u, v whose sets are similar enough; only the texts of documents in pairs travel, compressed, and are opened into sets where a pair meets."""
     ends = pairs.select(F.explode(F.array("u", "v")).alias("id"))
-    sets = _near(docs, ends).mapInArrow(_sets(width), "doc_id long, tokens binary")
-    a, b = sets.toDF("u", "a"), sets.toDF("v", "b")
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_overlap(least), "u long, v long")
+    texts = _near(docs, ends).mapInArrow(_squeezed, "doc_id long, text binary")
+    a, b = texts.toDF("u", "a"), texts.toDF("v", "b")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_overlap(width, least), "u long, v long")
 
 
 def _members(runs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -456,7 +469,7 @@ def _histograms(width: int):
                 key, doc = shingles(data, offsets, width)
                 counts = np.bincount(doc * 256 + (key >> B.U64(32)).astype(np.int64) % 256, minlength=(hi - lo) * 256).reshape(-1, 256)
                 counts[counts.max(axis=1) > 65535] = 65535  # bounds nothing, excludes nothing
-                rows = [x.tobytes() for x in counts.astype(np.uint16)]
+                rows = [(x.astype(np.uint8) if x.max() < 256 else x.astype(np.uint16)).tobytes() for x in counts]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(rows, pa.binary())], ["doc_id", "histogram"])
 
     return run
@@ -467,7 +480,9 @@ def _bounded(least: int):
 
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         unit, side, ids, n, comp, major = (rows.column(c).to_numpy() for c in ("unit", "side", "doc_id", "n", "comp", "major"))
-        table = np.frombuffer(b"".join(rows.column("histogram").to_pylist()), np.uint16).reshape(-1, 256)
+        table = rows.column("histogram").to_pylist()
+        small = all(len(x) == 256 for x in table)
+        table = np.frombuffer(b"".join(x if small or len(x) == 512 else np.frombuffer(x, np.uint8).astype(np.uint16).tobytes() for x in table), np.uint8 if small else np.uint16).reshape(-1, 256)
         run, runs = rows.column("run").to_numpy(), rows.column("runs").combine_chunks()
         runs = runs if isinstance(runs, pa.Array) else runs.chunk(0)
         of, start = runs.flatten().to_numpy(), np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy())])
