@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import _bytes as B
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 #: Leaves that a task holds at a time, about; prefixes that may have more are extended.
 GROUP_LEAVES = 1 << 19
 #: Hashes that a task compares at a time, about.
