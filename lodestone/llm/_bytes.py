@@ -179,6 +179,15 @@ def cut(df):
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
+def dealt_once(df):
+    """A frame that ends in an exchange, for two readers: both take the same shuffle files, which are made anew where an executor is lost."""
+    from pyspark.sql import DataFrame
+
+    spark = df.sparkSession
+    frame = df._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(frame.queryExecution().toRdd(), frame.schema(), False), spark)
+
+
 def cut_by(df, n: int, key: str):
     """The frame dealt by ``key`` to n partitions and cut there; joins on the key do not move it again.
 

@@ -360,7 +360,8 @@ def score_documents(docs: DataFrame, held_out, order: int = 6) -> DataFrame:
     in training), train_tokens, base_score (unigram words, 0.1 added to each count) and score.
 
     Null and empty texts are the end alone. Rows without or with equal doc_id are scored like any other,
-    from their own text. Without any training row every byte has probability 1/256. An empty table gives
+    from their own text. The log-probability of a byte travels as a 32-bit float, so a score is exact to about
+    seven digits. Without any training row every byte has probability 1/256. An empty table gives
     no rows. Words are told by 64-bit hashes.
     """
     if not 2 <= order <= 7:
@@ -368,7 +369,7 @@ def score_documents(docs: DataFrame, held_out, order: int = 6) -> DataFrame:
     n = B.parts(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     batches = B.cut(rows.mapInArrow(_batches, "batch long, blob binary"))
-    asked = B.cut(batches.mapInArrow(_ask(order, n), _ASKED).repartitionById(n, F.col("part")))
+    asked = B.dealt_once(batches.mapInArrow(_ask(order, n), _ASKED).repartitionById(n, F.col("part")))
     sums = asked.mapInArrow(_totals, "slice int, blob binary").repartitionById(SLICES + 1, F.col("slice") + 1).mapInArrow(_added, "slice int, blob binary")
     sums = {row.slice: B.unpack(row.blob)[0] for row in sums.collect()}  # SLICES + 1 rows of bounded size
     tokens, distinct, ends = sums.get(-1, np.zeros(3, np.int64)).tolist()
