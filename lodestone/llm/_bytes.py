@@ -7,6 +7,7 @@ document is never divided, so a single very long text makes one larger slice.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,7 @@ _BYTE = splitmix(np.arange(256, dtype=U64) + U64(77))
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+_trim: list = []
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -48,6 +50,15 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that a worker that serves many stages holds what the present one needs."""
+    pa.default_memory_pool().release_unused()
+    if not _trim:
+        _trim.append(getattr(ctypes.CDLL(None), "malloc_trim", None))
+    if _trim[0] is not None:
+        _trim[0](0)
+
+
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets from 0) of consecutive rows of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -66,6 +77,7 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield at, to, raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    release()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = WORD_BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

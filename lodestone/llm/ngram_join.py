@@ -20,6 +20,7 @@ the start, by a 128-bit sum.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ CHUNK_BYTES = 8 << 20
 SKETCH_PARTS = 64
 #: Frequent tokens: counted more than this many times the mean count (and 64).
 FREQUENT = 8
+#: Buckets of the histograms that bound an overlap: by chance, d tokens that two sets do not share meet in about d * d / BUCKETS of them.
+BUCKETS = 1024
 #: Bands of set sizes: powers of 1.25, four to a band.
 BOUNDS = np.array(sorted({-(-(5**k) // 4**k) for k in range(1, 120) if 5**k // 4**k < 2**40}), np.int64)
 
@@ -467,9 +470,14 @@ def _histograms(width: int):
         for batch in batches:
             for lo, hi, data, offsets in B.text_slices(batch.column("text")):
                 key, doc = shingles(data, offsets, width)
-                counts = np.bincount(doc * 256 + (key >> B.U64(32)).astype(np.int64) % 256, minlength=(hi - lo) * 256).reshape(-1, 256)
-                counts[counts.max(axis=1) > 65535] = 65535  # bounds nothing, excludes nothing
-                rows = [(x.astype(np.uint8) if x.max() < 256 else x.astype(np.uint16)).tobytes() for x in counts]
+                bucket = (key >> B.U64(32)).astype(np.int64) % BUCKETS
+                rows = []
+                for a, b in pairwise(np.searchsorted(doc, np.arange(hi - lo + 1)).tolist()):
+                    counts = np.bincount(bucket[a:b], minlength=BUCKETS)
+                    most = counts.max()
+                    if most > 65535:
+                        counts[:] = 65535  # bounds nothing, excludes nothing
+                    rows.append(counts.astype(np.uint8 if most < 256 else np.uint16).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(rows, pa.binary())], ["doc_id", "histogram"])
 
     return run
@@ -481,8 +489,9 @@ def _bounded(least: int):
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         unit, side, ids, n, comp, major = (rows.column(c).to_numpy() for c in ("unit", "side", "doc_id", "n", "comp", "major"))
         table = rows.column("histogram").to_pylist()
-        small = all(len(x) == 256 for x in table)
-        table = np.frombuffer(b"".join(x if small or len(x) == 512 else np.frombuffer(x, np.uint8).astype(np.uint16).tobytes() for x in table), np.uint8 if small else np.uint16).reshape(-1, 256)
+        small = all(len(x) == BUCKETS for x in table)
+        table = np.frombuffer(b"".join(x if small or len(x) == 2 * BUCKETS else np.frombuffer(x, np.uint8).astype(np.uint16).tobytes() for x in table), np.uint8 if small else np.uint16).reshape(-1, BUCKETS)
+        rough = table.reshape(len(table), BUCKETS // 8, 8).sum(axis=2, dtype=np.uint16 if small else np.uint32)
         run, runs = rows.column("run").to_numpy(), rows.column("runs").combine_chunks()
         runs = runs if isinstance(runs, pa.Array) else runs.chunk(0)
         of, start = runs.flatten().to_numpy(), np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy())])
@@ -494,8 +503,9 @@ def _bounded(least: int):
             for x in range(a, m):
                 fit = (comp[ys] != comp[x]) & ((comp[ys] == major[ys]) | (ids[x] > ids[ys])) & (5 * n[ys] >= 4 * n[x]) & (5 * n[x] >= 4 * n[ys])
                 y = ys[fit]
-                most = np.minimum(table[y], table[x]).sum(axis=1, dtype=np.int64)
-                y = y[(100 + least) * most >= least * (n[x] + n[y])]
+                for counts in (rough, table):
+                    most = np.minimum(counts[y], counts[x]).sum(axis=1, dtype=np.int64)
+                    y = y[(100 + least) * most >= least * (n[x] + n[y])]
                 if len(y):  # a pair counts below the first of the runs that it shares
                     mine = set(of[start[x] : start[x + 1]].tolist())
                     y = y[[next(r for r in of[start[k] : start[k + 1]].tolist() if r in mine) == run[x] for k in y.tolist()]]
@@ -503,6 +513,8 @@ def _bounded(least: int):
                 v.append(np.minimum(ids[y], ids[x]))
         u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
         pair = np.unique(np.stack([u, v]), axis=1)
+        del rows, table, rough
+        B.release()
         return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -526,7 +538,7 @@ def _apart(docs: DataFrame, member: DataFrame, width: int, least: int, block: in
 
     The documents outside a run's largest component are its queries, and all its members are the rows;
     both are dealt in blocks, and a unit of work is one block against one block, so that a large run is
-    many units. The bound on an overlap is the sum of the smaller counts of two histograms of 256 buckets.
+    many units. The bound on an overlap is the sum of the smaller counts of two histograms of ``BUCKETS`` buckets, first with eight buckets in one.
     """
     n = B.parts(docs.sparkSession)
     needed = _near(docs, member.select(F.col("doc_id").alias("id"))).mapInArrow(_histograms(width), "doc_id long, histogram binary")
