@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, language, ngram_join, packing, ppm, sharding, substring_dedup, toxicity, url_reputation
+from . import ann, decontaminate, language, ngram_join, packing, ppm, sharding, substring_dedup, token_files, toxicity, url_reputation, vector_codes
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_bounded_ring": sharding.op8_bounded_ring,
         "op9_genetic_packing": packing.op9_genetic_packing,
         "op10_ppm_scoring": ppm.op10_ppm_scoring,
+        "op11_repair_token_files": token_files.op11_repair_token_files,
+        "op12_partial_distance_codes": vector_codes.op12_partial_distance_codes,
     }
 
 
@@ -26,4 +28,5 @@ def oracle_sql() -> dict:
         "op5_host_reputation": url_reputation.OP5_SQL,
         "op6_ngram_jaccard_join": ngram_join.OP6_SQL,
         "op7_wu_manber_decontamination": decontaminate.OP7_SQL,
+        "op12_partial_distance_codes": vector_codes.OP12_SQL,
     }

@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 13))
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert all(isinstance(x, str) for x in registry.oracle_sql().values())
 
