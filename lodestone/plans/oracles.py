@@ -50,6 +50,16 @@ c0 AS (SELECT doc_id, i, {strip("substr(t, a + 1, z - a)")} AS chunk FROM r JOIN
 c AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS chunk_count FROM c0 WHERE chunk <> '')"""
 
 
+def canonical(portal: str) -> str:
+    """The canonical form of ``url``."""
+    kb = f"{portal}/knowledgebase"
+    u = "regexp_replace(regexp_replace(url, '^[''\"<>`]+|[''\"<>`]+$', '', 'g'), '[).,;:]+$', '')"
+    number = f"regexp_extract({u}, 'knowledgebase/article/(?:details/(?:ais/)?)?(\\d+)(?:[/?#]|$)', 1)"
+    return f"""CASE WHEN coalesce(url, '') = '' THEN '{kb}/main' WHEN contains({u}, 'knowledgebase/regulations') OR contains({u}, 'knowledgebase/article/regulation') THEN '{kb}/article/regulation/cms'
+      WHEN {number} <> '' THEN '{kb}/article/details/ais/' || {number}
+      WHEN regexp_matches({u}, '/knowledgebase/?$') OR {u} IN ('{portal}', '{portal}/') THEN '{kb}/main' WHEN starts_with({u}, 'http://{portal[8:]}') THEN 'https://' || substr({u}, 8) ELSE {u} END"""
+
+
 def _bm25(k: int, b: float, name: str) -> str:
     return f"""
 {name}_s AS (SELECT item_id, doc_id, round(sum(qtf * idf * tf * 2.2 / (tf + 1.2 * ({1 - b} + {b} * len / mean))), 6) AS score
@@ -107,12 +117,7 @@ def sql() -> dict[str, str]:
     norm = strip(f"regexp_replace({norm}, '{SPACE}+', ' ', 'g')")
     ident = "sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('docs|' || doc_id || '|' || chunk_index || '|' || sha1(text)))"
     bare = strip(r"regexp_replace({0}, '^```(\w+)?\n?|\n?```$', '', 'g')".format(strip("said")))
-    kb, portal = f"{C.PORTAL}/knowledgebase", C.PORTAL
-    u = "regexp_replace(regexp_replace(url, '^[''\"<>`]+|[''\"<>`]+$', '', 'g'), '[).,;:]+$', '')"
-    u = f"""CASE WHEN coalesce(url, '') = '' THEN '{kb}/main' WHEN contains(u, 'knowledgebase/regulations') OR contains(u, 'knowledgebase/article/regulation') THEN '{kb}/article/regulation/cms'
-      WHEN regexp_extract(u, 'knowledgebase/article/(?:details/(?:ais/)?)?(\\d+)(?:[/?#]|$)', 1) <> '' THEN '{kb}/article/details/ais/' || regexp_extract(u, 'knowledgebase/article/(?:details/(?:ais/)?)?(\\d+)(?:[/?#]|$)', 1)
-      WHEN regexp_matches(u, '/knowledgebase/?$') OR u IN ('{portal}', '{portal}/') THEN '{kb}/main' WHEN starts_with(u, 'http://{portal[8:]}') THEN 'https://' || substr(u, 8) ELSE u END AS url
-      FROM (SELECT page_id, url, {u} AS u FROM pages)"""
+    u = f"{canonical(C.PORTAL)} AS url FROM pages"
     cosine = "round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 6)"
     asked = "q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0)"
     ranked = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank"
