@@ -189,21 +189,20 @@ def dense(queries: DataFrame, points: DataFrame, query_key: str, point_key: str,
     """query_key, point_key, score, rank by exact cosine, rounded to 6 digits; equal scores go to the smaller key.
 
     The queries are a stated set, met by all points in blocks of ``block_bytes`` of vectors, as a product
-    of matrices; the k best of a batch go into the exchange. Vectors that are null, zero, hold a null or
-    have another length than the first query's take no part.
+    of matrices; the k best of a batch go into the exchange. Vectors that are null, zero or hold a null,
+    NaN or infinity take no part; vectors of each length are searched among themselves.
     """
     spark = points.sparkSession
     kinds = points.schema[point_key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
-    sound = lambda df, key: df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where("size(v) > 0 and forall(v, x -> x is not null)")
-    parts, d = [], None
-    for rows in _blocks(sound(queries, query_key).toLocalIterator(), lambda r: 64 + 8 * len(r["v"]), block_bytes):
-        d = d or len(rows[0]["v"])
-        rows = [r for r in rows if len(r["v"]) == d and any(r["v"])]
-        if not rows:
-            continue
-        q = np.array([r["v"] for r in rows], float)
-        shared = spark.sparkContext.broadcast(([r["k"] for r in rows], q / np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]))
-        parts.append(sound(points, point_key).where(F.size("v") == d).mapInArrow(_cosines(shared, d, k, threshold), f"q {kinds[1]}, k {kinds[0]}, score double"))
+    good = "size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) <> double('infinity')) and exists(v, x -> x <> 0)"
+    sound = lambda df, key: df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where(good)
+    parts = []
+    for block in _blocks(sound(queries, query_key).toLocalIterator(), lambda r: 64 + 8 * len(r["v"]), block_bytes):
+        for d in sorted({len(r["v"]) for r in block}):
+            rows = [r for r in block if len(r["v"]) == d]
+            q = np.array([r["v"] for r in rows], float)
+            shared = spark.sparkContext.broadcast(([r["k"] for r in rows], q / np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]))
+            parts.append(sound(points, point_key).where(F.size("v") == d).mapInArrow(_cosines(shared, d, k, threshold), f"q {kinds[1]}, k {kinds[0]}, score double"))
     found = _union(parts, lambda: spark.createDataFrame([], f"q {kinds[1]}, k {kinds[0]}, score double"))
     found = found.select(F.col("q").alias(query_key), F.col("k").alias(point_key), F.round("score", 6).alias("score"))
     return top(found, query_key, "score", point_key, k)
@@ -215,17 +214,34 @@ def hybrid(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, te
     return fuse(lists, query_key, doc_key, 4 * k)
 
 
+def _weights(k1: float, b: float, mean: float, columns: list[str]):
+    """Batches with ``sparse``, a map of each distinct token of ``__t`` to its weight, in the order of first use."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("__t")
+            length = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
+            coded = words.flatten().dictionary_encode()
+            m = max(1, len(coded.dictionary))
+            pair, first, tf = np.unique(np.repeat(np.arange(len(length)), length) * m + coded.indices.to_numpy(), return_index=True, return_counts=True)
+            order = np.argsort(first, kind="stable")
+            row, term, tf = pair[order] // m, pair[order] % m, tf[order]
+            weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / mean))
+            offsets = np.searchsorted(row, np.arange(len(length) + 1)).astype(np.int32)
+            sparse = pa.MapArray.from_arrays(pa.array(offsets), coded.dictionary.take(pa.array(term)), pa.array(weight))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], sparse], [*columns, "sparse"])
+
+    return run
+
+
 def index_rows(chunks: DataFrame, key: str, text: str = "text", model=None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Chunks with what an index keeps of them: vector, sparse (map of term to BM25 weight without idf). See ``idf`` for the rest."""
     from .embedding import embed
 
     words = chunks.withColumn("__t", tokens(text))
     mean = words.agg(F.coalesce(F.avg(F.size("__t")), F.lit(1.0)).alias("m")).first()["m"] or 1.0
-    tf = lambda t: F.size(F.filter("__t", lambda x: x == t))
-    weight = lambda t: tf(t) * (k1 + 1) / (tf(t) + k1 * (1 - b + b * F.size("__t") / F.lit(mean)))
-    terms = F.array_distinct("__t")
-    sparse = F.map_from_arrays(terms, F.transform(terms, weight))
-    return embed(words.withColumn("sparse", F.coalesce(sparse, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))).drop("__t"), text, "vector", model)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema) + ", sparse map<string,double>"
+    return embed(words.mapInArrow(_weights(k1, b, mean, chunks.columns), schema), text, "vector", model)
 
 
 def idf(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -245,6 +261,12 @@ def fuse(lists: list[DataFrame], query_key: str, doc_key: str, k: int, constant:
     return top(summed, query_key, "score", doc_key, k)
 
 
+def with_columns_of(hits: DataFrame, docs: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """Hits joined with columns of their documents. Up to ``most`` hits go to the scan of docs, so that texts stay where they are; hits should be cheap to count."""
+    few = hits.limit(most + 1).count() <= most
+    return docs.join(F.broadcast(hits) if few else hits, key)
+
+
 def boost_and_filter(hits: DataFrame, query_key: str, boost, category: str, wanted: str, k: int, fallback: bool = True) -> DataFrame:
     """After the fused top: keep each query's category (where it has one), add ``boost``, and cut to k, in the fused order among equals.
 

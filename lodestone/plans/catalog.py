@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import chunking, text as X
-from ..operators import answers, dialogue, documents, embedding, retrieval, rules
+from ..operators import answers, dialogue, documents, embedding, index, retrieval, rules
+from ..sources import folders
 from . import fixtures, oracles
 
 # The carriers' lexicons.
@@ -160,9 +161,12 @@ def hybrid_rrf_topk(spark, d):
 
 
 def _final(spark, d):
-    hits = _hybrid(spark, d).join(read(spark, d, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    """The hits that are kept, without texts; they are few, and stored once."""
+    hits = folders.stored(_hybrid(spark, d).select("item_id", "doc_id", "score", "rank"), "hits")
+    told = read(spark, d, "documents").select("doc_id", "lang", "source", F.lower("text").contains("tion").alias("boosted"))
+    hits = retrieval.with_columns_of(hits, told, "doc_id")
     hits = hits.withColumn("wanted", F.when(F.col("item_id") % 3 == 0, "fr").when(F.col("item_id") % 3 == 1, "en"))
-    boost = F.when(F.lower("text").contains("tion"), 0.5).otherwise(0.0)
+    boost = F.when(F.col("boosted"), 0.5).otherwise(0.0)
     return retrieval.boost_and_filter(hits, "item_id", boost, "lang", "wanted", TOP)
 
 
@@ -171,7 +175,10 @@ def hybrid_boost_postfilter_fallback(spark, d):
 
 
 def context_listagg(spark, d):
-    got = answers.context(_final(spark, d), "item_id", "final_rank", "source", "lang", "text")
+    """The texts of the final hits alone are fetched."""
+    hits = folders.stored(_final(spark, d).select("item_id", "doc_id", "final_rank"), "final-hits")
+    hits = retrieval.with_columns_of(hits, read(spark, d, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    got = answers.context(hits, "item_id", "final_rank", "source", "lang", "text")
     return got.select("item_id", F.md5("context").alias("md5"))
 
 
@@ -325,12 +332,39 @@ def term_idf(spark, d):
     return retrieval.idf(read(spark, d, "documents"))
 
 
+def _index(spark, d, **options) -> str:
+    """A new index of the whole documents with the vectors of ``embeddings`` beside it."""
+    path = folders.new_folder(spark, "index")
+    index.build_postings(read(spark, d, "documents"), path, "doc_id", **options)
+    return path
+
+
+def indexed_bm25_topk(spark, d):
+    """As ``bm25_topk``, from a stored index: postings in blocks with their best weights."""
+    hits = index.search_text(spark, _index(spark, d), read(spark, d, "benchmark"), "item_id", "doc_id", k=5)
+    return hits.select("item_id", "doc_id", "score", "rank")
+
+
+def index_terms(spark, d):
+    """What the stored index tells of each term: documents, idf, and the best weight over its blocks."""
+    path = _index(spark, d)
+    best = spark.read.parquet(f"{path}/blocks").where("bucket >= 0").groupBy("term").agg(F.round(F.max(F.col("best")[0]), 6).alias("best"), F.sum("n").cast("long").alias("postings"))
+    return spark.read.parquet(f"{path}/terms").select("term", "df", F.round("idf", 6).alias("idf")).join(best, "term")
+
+
+def celled_dense_topk(spark, d):
+    """As ``dense_topk``, from vectors stored by cell; cells that cannot hold a hit are not read."""
+    path = folders.new_folder(spark, "cells")
+    index.build_vectors(read(spark, d, "embeddings"), path, "vec_id", "embedding", ["label"], cells=32)
+    return index.search_vectors(spark, path, _asked(spark, d), "query_id", "vec_id", "embedding", 5).select("query_id", "vec_id", "score", "rank")
+
+
 _NAMES = [
     "doc_quality_filter", "html_clean", "content_dedup_first", "basic_normalize", "split_text_chunks", "chunk_prefix_and_ids", "chunk_category_stats", "structured_chunks", "keyword_route", "graph_node_match",
     "guardrail_flags", "trigger_flags", "term_expand", "canonical_url", "extract_urls", "image_links", "dense_topk", "dense_threshold_filter", "vector_norms", "bm25_topk", "hybrid_rrf_topk",
     "hybrid_boost_postfilter_fallback", "context_listagg", "citation_dedup", "recent_history", "context_relevance", "least_loaded_agent", "workflow_replay", "token_stream_assemble", "cache_lookup_ttl",
     "dataset_profile", "latency_percentiles", "enum_display", "qa_pass_summary", "text_category", "message_validation", "state_update", "upsert_by_id", "answer_repair", "model_output_clean", "first_documents", "preferred_model",
-    "link_rewrite", "prompt_assembly", "author_roles", "hash_embeddings", "agent_loads", "index_sparse_weights", "term_idf",
+    "link_rewrite", "prompt_assembly", "author_roles", "hash_embeddings", "agent_loads", "index_sparse_weights", "term_idf", "indexed_bm25_topk", "index_terms", "celled_dense_topk",
 ]
 
 

@@ -136,7 +136,7 @@ def sql() -> dict[str, str]:
     images = "'![a](img/' || page_id || '.png) <IMG alt=''x'' src=''' || url || '''> ![b](data:1) <img src=\"img/' || page_id || '.png\">'"
     links = f"list_concat(regexp_extract_all(t, '\\[[^\\]]+\\]\\((https?://[^)\\s]+)\\)', 1), list_transform(regexp_extract_all(t, 'https?://[^\\s)\\]<>\"'']+'), lambda x: regexp_replace(x, '[).,;:]+$', '')))"
     tags = "list_filter(list_concat(regexp_extract_all(t, '!\\[.*?\\]\\(([^\\s)\"'']+)\\)', 1), regexp_extract_all(t, '(?i)<img[^>]+src=[\"'']([^\"''\\s>]+)[\"'']', 1)), lambda x: NOT starts_with(x, 'data:'))"
-    return {
+    found = {
         "doc_quality_filter": f"SELECT page_id, length(c)::BIGINT AS n_chars, {doc_type.format('url')} AS doc_type FROM (SELECT *, {clean} AS c FROM pages) WHERE NOT (contains(lower(html), '.pdf') AND length(c) < 200) AND length(c) >= 50",
         "html_clean": f"SELECT page_id, length(c)::BIGINT AS n_chars, md5(c) AS md5 FROM (SELECT page_id, {clean} AS c FROM pages)",
         "content_dedup_first": "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id) = 1",
@@ -208,3 +208,6 @@ def sql() -> dict[str, str]:
         "term_idf": f"WITH {_TERMS} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM (SELECT term, count(*) AS df FROM dt GROUP BY term), mean",
         "preferred_model": "SELECT p_brand FROM (SELECT DISTINCT p_brand, CASE WHEN contains(p_brand, '#9') THEN 0 WHEN contains(p_brand, '#55') THEN 1 WHEN contains(p_brand, '#4') THEN 2 END AS r FROM part) WHERE r IS NOT NULL ORDER BY r, p_brand LIMIT 1",
     }
+    found["indexed_bm25_topk"], found["celled_dense_topk"] = found["bm25_topk"], found["dense_topk"]
+    found["index_terms"] = f"WITH {_TERMS} SELECT term, count(*) AS df, round(any_value(idf), 6) AS idf, round(max(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS best, count(*)::BIGINT AS postings FROM dt JOIN idf USING (term), mean GROUP BY term"
+    return found
