@@ -230,15 +230,17 @@ def tokens(c) -> Column:
     return F.regexp_extract_all(F.lower(col(c)), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
+def replaced(c, pattern: str, by) -> Column:
+    """The text with each match of the pattern replaced by what ``by`` (a function of Columns) makes of it; nothing is looked at twice."""
+    between, found = F.split(col(c), pattern, -1), F.regexp_extract_all(col(c), F.lit(pattern), 0)
+    return F.array_join(F.zip_with(between, found, lambda x, m: F.when(m.isNull(), x).otherwise(F.concat(x, by(m)))), "")
+
+
 def rewrite_links(c, portal: str) -> Column:
-    """Markdown links and bare knowledge-base addresses in a text, each in its canonical form; null is empty."""
-    text = F.coalesce(col(c), F.lit(""))
-    linked = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\]\((https?://[^)]+)\)"), 1))
-    out = F.aggregate(linked, text, lambda s, u: F.replace(s, F.concat(F.lit("]("), u, F.lit(")")), F.concat(F.lit("]("), canonical_url(u, portal), F.lit(")"))))
-    host = re.escape(portal.split("://")[1])
-    # longer addresses first, so that none is replaced inside another
-    bare = F.array_sort(F.array_distinct(F.regexp_extract_all(out, F.lit(rf"(?<!\]\()https?://{host}/knowledgebase[^\s)\]<>\"']+"), 0)), lambda a, b: F.length(b) - F.length(a))
-    return F.aggregate(bare, out, lambda s, u: F.replace(s, u, canonical_url(u, portal)))
+    """Markdown links, then bare knowledge-base addresses in a text, each in its canonical form; null is empty."""
+    linked, host = r"\[([^\]]+)\]\((https?://[^)]+)\)", re.escape(portal.split("://")[1])
+    link = lambda m: F.concat(F.lit("["), F.regexp_extract(m, linked, 1), F.lit("]("), canonical_url(F.regexp_extract(m, linked, 2), portal), F.lit(")"))
+    return replaced(replaced(F.coalesce(col(c), F.lit("")), linked, link), rf"(?U)https?://{host}/knowledgebase[^\s)\]<>\"']+", lambda m: canonical_url(m, portal))
 
 
 def snippet(c, n: int = 120) -> Column:

@@ -1,4 +1,7 @@
-"""Answer assembly: context, citations, links, fallback text, history, cache."""
+"""Answer assembly: context, citations, links, fallback text, history, cache.
+
+The headings and sentences of node answers, node contexts and fallbacks are fixed values.
+"""
 
 from __future__ import annotations
 
@@ -94,10 +97,17 @@ def offer_once(answer, offer: str) -> Column:
     return F.when(col(answer).contains(offer), col(answer)).otherwise(F.concat(col(answer), F.lit("\n\n" + offer)))
 
 
-def cached(requests: DataFrame, cache: DataFrame, message: str, at: str) -> DataFrame:
-    """Requests with the answer that was cached for the same message and has not expired; cache: cache_key, answer, expires_at."""
-    keyed = requests.withColumn("cache_key", F.md5(F.lower(F.trim(message))))
-    live = keyed.join(cache, "cache_key", "left")
+def cache_key(message) -> Column:
+    return F.md5(X.strip(F.lower(col(message))))
+
+
+def cached(requests: DataFrame, cache: DataFrame, message: str, at: str, order: str = "expires_at") -> DataFrame:
+    """Requests with the answer that was cached for the same message and has not expired; cache: cache_key, answer, expires_at.
+
+    Of several rows of a key the last by ``order`` counts, also where it has expired: it has replaced the others.
+    """
+    last = cache.groupBy("cache_key").agg(F.max(F.struct(F.col(order).alias("o"), "expires_at", "answer")).alias("c")).select("cache_key", "c.answer", "c.expires_at")
+    live = requests.withColumn("cache_key", cache_key(message)).join(last, "cache_key", "left")
     fresh = F.col("expires_at") > F.col(at)
     return live.withColumn("hit", F.coalesce(fresh, F.lit(False))).withColumn("answer", F.when(fresh, F.col("answer"))).drop("expires_at")
 
@@ -116,11 +126,19 @@ def assigned(agents: DataFrame, chats: DataFrame, agent: str, owner: str, spare:
     return both.orderBy("created").limit(1)
 
 
-def updated(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """State after a batch: new rows replace old ones by key, field by field where they are not null."""
-    n = new.select(key, *[F.col(c).alias(f"__{c}") for c in old.columns if c != key and c in new.columns])
+def updated(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """State after a batch of partial updates: a field takes the last value that is not null.
+
+    Updates of one key are applied by ``order``; without it a key must not repeat. Keys that are new are added.
+    """
+    fields = [c for c in old.columns if c != key and c in new.columns]
+    if order is not None:
+        last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("x")))).getField("x").alias(f"__{c}")
+        n = new.groupBy(key).agg(*[last(c) for c in fields])
+    else:
+        n = new.select(key, *[F.col(c).alias(f"__{c}") for c in fields])
     met = old.join(n, key, "full_outer")
-    return met.select(key, *[F.coalesce(f"__{c}", c).alias(c) if c in new.columns else F.col(c) for c in old.columns if c != key])
+    return met.select(key, *[F.coalesce(f"__{c}", c).alias(c) if c in fields else F.col(c) for c in old.columns if c != key])
 
 
 def prompt(question, past, found) -> Column:
@@ -130,11 +148,23 @@ def prompt(question, past, found) -> Column:
 
 
 def node_context(node) -> Column:
-    """A workflow node (struct with title, channel, fee, law_references, deadlines, workflow_steps, effects) as text; empty parts are left out."""
+    """A workflow node (struct with title, law_references, channel, fee, deadlines, workflow_steps, effects) as context for a model; null gives nothing, null effects no line."""
     n = col(node)
-    line = lambda head, f: F.when(F.coalesce(n.getField(f), F.lit("")) != "", F.concat(F.lit(f"{head}: "), n.getField(f)))
-    items = lambda head, f: F.when(F.size(n.getField(f)) > 0, F.concat(F.lit(f"{head}:\n- "), F.array_join(n.getField(f), "\n- ")))
-    return F.concat_ws("\n", F.concat(F.lit("## "), n.getField("title")), line("Channel", "channel"), line("Fee", "fee"), items("Law", "law_references"), items("Deadlines", "deadlines"), items("Steps", "workflow_steps"), line("Effects", "effects"))
+    lines = lambda f, mark: F.transform(n.getField(f), lambda x: F.concat(F.lit(mark), x))
+    parts = F.concat(
+        F.array(
+            F.concat(F.lit("=== ГРАФОВЫЙ БЛОК ЗНАНИЙ: "), n.getField("title"), F.lit(" ===")),
+            F.concat(F.lit("Нормативная база: "), F.array_join(n.getField("law_references"), ", ")),
+            F.concat(F.lit("Способ и канал подачи: "), n.getField("channel")),
+            F.concat(F.lit("Финансовые условия: "), n.getField("fee")),
+            F.lit("Регламентные сроки:"),
+        ),
+        lines("deadlines", "  • "),
+        F.array(F.lit("Пошаговый регламент:")),
+        lines("workflow_steps", "  "),
+        F.array_compact(F.array(F.concat(F.lit("Правовые последствия: "), n.getField("effects")), F.lit("=" * 42))),
+    )
+    return F.when(n.isNotNull(), F.array_join(parts, "\n")).otherwise("")
 
 
 def with_roles(messages: DataFrame, users: DataFrame, author: str, user: str, role: str) -> DataFrame:

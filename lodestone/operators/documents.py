@@ -29,13 +29,28 @@ def profile(df: DataFrame, text: str, group: str) -> DataFrame:
     return df.groupBy(group).agg(F.count("*").alias("rows"), F.count_if(n == 0).alias("empty"), F.count_if((n > 0) & (n < 50)).alias("short"), F.sum(n).cast("long").alias("chars"), F.round(F.avg(n), 6).alias("mean_chars"))
 
 
-def issues(df: DataFrame, key: str, title: str, text: str, raw: str, kinds: str) -> DataFrame:
-    """The data-quality report of articles: rows by issue (no_id, no_title, no_content, pdf_link_only, short), and by section type (array), commonest first."""
+def issues(df: DataFrame, keys: list[str], title: str, text: str, raw: str, kinds: str, category: str, top: int = 10) -> DataFrame:
+    """The data-quality report of articles: name, rows.
+
+    ``articles``, ``valid`` and ``mean_chars`` (of the valid ones, rounded); ``issue:`` only_pdf_link, no_id,
+    no_title, no_text, short_text; ``category:`` the ``top`` commonest, by name among equals; ``section:`` each
+    section type (array). An article that only links to a PDF has that issue alone. ``keys``: the first
+    that is filled is the id. Valid is what has an id, a title and a text, however short. One pass: an
+    article is a few marks, counted where it stands.
+    """
     filled = lambda c: F.coalesce(X.strip(c), F.lit("")) != ""
-    pdf = F.coalesce(F.lower(raw).contains(".pdf"), F.lit(False)) & (F.length(F.coalesce(F.col(text), F.lit(""))) < 200)
-    marks = {"no_id": ~filled(key), "no_title": ~filled(title), "no_content": ~filled(text), "pdf_link_only": pdf, "short": filled(text) & (F.length(text) < 50)}
-    each = F.concat(F.array_compact(F.array(*[F.when(c, F.lit(f"issue:{n}")) for n, c in marks.items()])), F.transform(F.coalesce(F.col(kinds), F.array().cast("array<string>")), lambda t: F.concat(F.lit("section:"), t)))
-    return df.select(F.explode(each).alias("name")).groupBy("name").agg(F.count("*").alias("rows"))
+    n = F.length(F.coalesce(F.col(text), F.lit("")))
+    pdf = F.coalesce(F.lower(raw).contains(".pdf"), F.lit(False)) & (n < 200)
+    sound = {"no_id": X.first_filled(*keys) == "", "no_title": ~filled(title), "no_text": n == 0}
+    valid = ~pdf & ~sound["no_id"] & ~sound["no_title"] & ~sound["no_text"]
+    marks = {"issue:only_pdf_link": pdf, **{f"issue:{k}": ~pdf & c for k, c in sound.items()}, "issue:short_text": ~pdf & (n > 0) & (n < 50), "valid": valid, "articles": F.lit(True)}
+    some = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in marks.items()]))
+    each = F.concat(some, F.array(F.concat(F.lit("category:"), F.coalesce(F.col(category), F.lit("unknown_category")))), F.transform(F.coalesce(F.col(kinds), F.array().cast("array<string>")), lambda t: F.concat(F.lit("section:"), t)))
+    counted = df.select(F.explode(each).alias("name"), F.when(valid, n).alias("n")).groupBy("name").agg(F.count("*").alias("rows"), F.round(F.avg("n")).cast("long").alias("mean"))
+    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy(F.col("name").startswith("category:")).orderBy(F.desc("rows"), "name")))
+    kept = ranked.where(~F.col("name").startswith("category:") | (F.col("r") <= top))
+    both = F.when((F.col("name") == "valid") & F.col("mean").isNotNull(), F.array(F.struct("name", "rows"), F.struct(F.lit("mean_chars").alias("name"), F.col("mean").alias("rows")))).otherwise(F.array(F.struct("name", "rows")))
+    return kept.select(F.explode(both).alias("x")).select("x.name", "x.rows")
 
 
 def largest(df: DataFrame, key: str, text: str, n: int = 10) -> DataFrame:

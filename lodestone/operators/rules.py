@@ -42,15 +42,16 @@ def best(message, lists: dict[str, list[str]], weight=lambda w: 1, extra: dict[s
 def route(message, lists=lexicon.ROUTES, lines=lexicon.LINES) -> Column:
     """struct<line, name, category_filter, badge_color, score> of a message; the legal category is resolved by the statute's number."""
     text = F.lower(F.coalesce(col(message), F.lit("")))
-    top = best(message, lists)
     legal = F.when(text.contains("44"), "44fz").when(text.contains("223"), "223fz").otherwise("legislation")
-    name = top.getField("name")
-    line, badge = F.lit(lines[None][0]), F.lit(lines[None][1])
-    for k, (a, b) in lines.items():
-        if k is not None:
-            line, badge = F.when(name == k, a).otherwise(line), F.when(name == k, b).otherwise(badge)
-    names = F.create_map(*[F.lit(v) for p in lexicon.LINE_NAMES.items() for v in p])
-    return F.struct(line.alias("line"), names[line].alias("name"), F.when(name == "legal", legal).otherwise(name).alias("category_filter"), badge.alias("badge_color"), F.coalesce(top.getField("score"), F.lit(0).cast("long")).alias("score"))
+    pairs = lambda values: F.create_map(*[F.lit(v) for p in values.items() for v in p])
+    by_name, names = {k: v for k, v in lines.items() if k is not None}, pairs(lexicon.LINE_NAMES)
+
+    def told(top: Column) -> Column:
+        name = top.getField("name")
+        line, badge = (F.coalesce(pairs({k: v[i] for k, v in by_name.items()})[name], F.lit(lines[None][i])) for i in (0, 1))
+        return F.struct(line.alias("line"), names[line].alias("name"), F.when(name == "legal", legal).otherwise(name).alias("category_filter"), badge.alias("badge_color"), F.coalesce(top.getField("score"), F.lit(0).cast("long")).alias("score"))
+
+    return F.transform(F.array(best(message, lists)), told)[0]  # so that the best list is found once
 
 
 def graph_node(message, nodes=lexicon.NODES, bonus: dict[str, list[str]] | None = None) -> Column:

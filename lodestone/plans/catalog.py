@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import chunking, text as X
 from ..operators import answers, dialogue, documents, embedding, index, retrieval, rules
 from ..sources import folders
-from . import fixtures, oracles
+from . import derived, oracles
 
 # The carriers' lexicons.
 ROUTES = {"alpha": ["tion", "the and", "ing"], "beta": ["que", "les", "eau"], "gamma": ["sch", "keit", "der "], "delta": ["ción", "ara", "mente"]}
@@ -215,11 +215,11 @@ def token_stream_assemble(spark, d):
 
 
 def cache_lookup_ttl(spark, d):
-    """Events as requests: each type and user asks the same; the first answer of a day is cached for an hour."""
+    """Events as requests: each type and user asks the same. The first and the last answer of each are cached for an hour; the last has replaced the first."""
     e = read(spark, d, "events").withColumn("message", F.concat("event_type", F.lit(" "), F.col("user_id").cast("string")))
-    first = e.groupBy("message").agg(F.min("ts").alias("at"), F.min_by("event_id", "ts").cast("string").alias("answer"))
-    cache = first.select(F.md5(F.lower(F.trim("message"))).alias("cache_key"), "answer", F.expr("at + interval 1 hour").alias("expires_at"))
-    return answers.cached(e, cache, "message", "ts").select("event_id", "hit", "answer")
+    both = e.groupBy("message").agg(F.array(F.min(F.struct("ts", "event_id")), F.max(F.struct("ts", "event_id"))).alias("x")).select("message", F.explode("x").alias("x"))
+    cache = both.select(answers.cache_key("message").alias("cache_key"), F.col("x.event_id").cast("string").alias("answer"), F.expr("x.ts - interval 1 day").alias("written"), F.expr("x.ts - interval 23 hours").alias("expires_at"))
+    return answers.cached(e, cache, "message", "ts", "written").select("event_id", "hit", "answer")
 
 
 def dataset_profile(spark, d):
@@ -250,10 +250,11 @@ def message_validation(spark, d):
 
 
 def state_update(spark, d):
-    """Chats (customers) after a batch of partial updates (their orders' totals)."""
+    """Chats (customers) after their orders as partial updates, by date: each sets the balance, urgent ones the segment."""
     old = read(spark, d, "customer").select("c_custkey", "c_mktsegment", F.round("c_acctbal", 2).alias("c_acctbal"))
-    new = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.max("o_totalprice"), 2).alias("c_acctbal"))
-    return answers.updated(old, new, "c_custkey")
+    urgent = F.when(F.col("o_orderpriority").startswith("1"), F.concat(F.lit("urgent "), F.col("o_orderkey").cast("string")))
+    new = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.round("o_totalprice", 2).alias("c_acctbal"), urgent.alias("c_mktsegment"), F.struct("o_orderdate", "o_orderkey").alias("at"))
+    return answers.updated(old, new, "c_custkey", "at")
 
 
 def upsert_by_id(spark, d):
@@ -298,7 +299,9 @@ def preferred_model(spark, d):
 
 
 def link_rewrite(spark, d):
-    said = F.concat(F.lit("a [x]("), "url", F.lit(f") b {PORTAL}/knowledgebase/article/12?z c [y](http://{PORTAL[8:]}/q)"))
+    """Links of a page, of an article and of the main page, whose address is the beginning of the others."""
+    own = F.col("page_id").cast("string")
+    said = F.concat(F.lit("a [x]("), "url", F.lit(f") b {PORTAL}/knowledgebase/article/12?z c [y](http://{PORTAL[8:]}/q) [m]({PORTAL}/knowledgebase/article/"), own, F.lit(f") {PORTAL}/knowledgebase/ d {PORTAL}/knowledgebase/article/"), own)
     return read(spark, d, "pages").select("page_id", X.rewrite_links(said, PORTAL).alias("text"))
 
 
@@ -376,8 +379,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {n: globals()[n] for n in _NAMES} | fixtures.queries()
+    return {n: globals()[n] for n in _NAMES} | derived.queries()
 
 
 def oracle_sql() -> dict:
-    return oracles.sql() | fixtures.oracle_sql()
+    return oracles.sql() | derived.oracle_sql()

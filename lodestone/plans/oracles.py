@@ -50,6 +50,24 @@ c0 AS (SELECT doc_id, i, {strip("substr(t, a + 1, z - a)")} AS chunk FROM r JOIN
 c AS (SELECT doc_id, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS chunk_count FROM c0 WHERE chunk <> '')"""
 
 
+def normalized(x: str) -> str:
+    """``x`` normalised, but for statutes and compatibility forms."""
+    out = f"translate(replace({x}, '…', '...'), '\u00a0\u2009\u2007\u202f–—−«»“”„ёЁ', '    ---\"\"\"\"\"еЕ')"
+    out = f"regexp_replace(regexp_replace(regexp_replace({out}, '!{{2,}}', '!', 'g'), '[?]{{2,}}', '?', 'g'), '[.]{{3,}}', '...', 'g')"
+    return strip(f"regexp_replace({out}, '{SPACE}+', ' ', 'g')")
+
+
+def expanded(table: str) -> str:
+    """r: conv_id, turn, terms, t of a table's texts, with the carriers' terms expanded."""
+    from . import catalog as C
+
+    return f"""k(k, m) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in C.TERMS.items())}),
+          p AS (SELECT conv_id, turn, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '(?i)of [\\p{{L}}\\p{{N}}_]+|[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS x FROM {table})),
+          q AS (SELECT conv_id, turn, i, CASE WHEN k IS NOT NULL THEN m || ' (' || x || ')' WHEN k2.k2 IS NOT NULL THEN substr(x, 1, 3) || m2 || ' (' || substr(x, 4) || ')' ELSE x END AS x,
+            coalesce(k, k2) AS hit FROM p LEFT JOIN k ON lower(x) = k LEFT JOIN (SELECT k AS k2, m AS m2 FROM k) k2 ON lower(x) = 'of ' || k2 AND lower(x) <> 'of the'),
+          r AS (SELECT conv_id, turn, string_agg(x, '' ORDER BY i) AS t, count(DISTINCT hit) + CASE WHEN bool_or(hit = 'of the') AND NOT bool_or(hit = 'the') THEN 1 ELSE 0 END AS terms FROM q GROUP BY 1, 2)"""
+
+
 def canonical(portal: str) -> str:
     """The canonical form of ``url``."""
     kb = f"{portal}/knowledgebase"
@@ -111,10 +129,7 @@ def sql() -> dict[str, str]:
 
     clean = strip("regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', chr(10), 'g'), chr(10) || '+', chr(10), 'g')")
     doc_type = "CASE WHEN regexp_matches(lower({}), 'закон|регламент|фз') THEN 'legislation' ELSE 'instruction' END"
-    norm = "replace(text, '…', '...')"
-    norm = f"translate({norm}, '\u00a0\u2009\u2007\u202f–—−«»“”„ёЁ', '    ---\"\"\"\"\"еЕ')"
-    norm = f"regexp_replace(regexp_replace(regexp_replace({norm}, '!{{2,}}', '!', 'g'), '[?]{{2,}}', '?', 'g'), '[.]{{3,}}', '...', 'g')"
-    norm = strip(f"regexp_replace({norm}, '{SPACE}+', ' ', 'g')")
+    norm = normalized("text")
     ident = "sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode('docs|' || doc_id || '|' || chunk_index || '|' || sha1(text)))"
     bare = strip(r"regexp_replace({0}, '^```(\w+)?\n?|\n?```$', '', 'g')".format(strip("said")))
     u = f"{canonical(C.PORTAL)} AS url FROM pages"
@@ -147,12 +162,7 @@ def sql() -> dict[str, str]:
         "structured_chunks": f"""WITH RECURSIVE {_split()}, {_STRUCTURED}
           SELECT doc_id, chunk_index, chunk_count, section, NULL::VARCHAR AS step_number, 0::BIGINT AS images, length(text)::BIGINT AS n_chars, md5(text) AS md5 FROM sc""",
         "chunk_category_stats": f"WITH RECURSIVE {_split()} SELECT source AS category, count(*) AS chunks, count(*) FILTER (regexp_matches(chunk, '!\\[.*?\\]\\([^\\s)\"'']+\\)|(?i)<img[^>]+src=')) AS with_images, count(*) FILTER (contains(chunk, '|') AND contains(chunk, '---')) AS with_tables FROM c JOIN documents USING (doc_id) GROUP BY source",
-        "term_expand": f"""WITH k(k, m) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in C.TERMS.items())}),
-          p AS (SELECT conv_id, turn, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '(?i)of [\\p{{L}}\\p{{N}}_]+|[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') AS x FROM conversations)),
-          q AS (SELECT conv_id, turn, i, CASE WHEN k IS NOT NULL THEN m || ' (' || x || ')' WHEN k2.k2 IS NOT NULL THEN substr(x, 1, 3) || m2 || ' (' || substr(x, 4) || ')' ELSE x END AS x,
-            coalesce(k, k2) AS hit FROM p LEFT JOIN k ON lower(x) = k LEFT JOIN (SELECT k AS k2, m AS m2 FROM k) k2 ON lower(x) = 'of ' || k2 AND lower(x) <> 'of the'),
-          r AS (SELECT conv_id, turn, string_agg(x, '' ORDER BY i) AS t, count(DISTINCT hit) + CASE WHEN bool_or(hit = 'of the') AND NOT bool_or(hit = 'the') THEN 1 ELSE 0 END AS terms FROM q GROUP BY 1, 2)
-          SELECT conv_id, turn, terms::BIGINT AS terms, length(t)::BIGINT AS n_chars, md5(t) AS md5 FROM r""",
+        "term_expand": f"WITH {expanded('conversations')} SELECT conv_id, turn, terms::BIGINT AS terms, length(t)::BIGINT AS n_chars, md5(t) AS md5 FROM r",
         "keyword_route": f"WITH {_best(C.ROUTES)} SELECT conv_id, turn, name AS category, coalesce(score, 0)::BIGINT AS score FROM conversations LEFT JOIN best USING (conv_id, turn)",
         "graph_node_match": f"WITH {nodes} SELECT conv_id, turn, name AS node, score::BIGINT AS score FROM conversations LEFT JOIN best USING (conv_id, turn)",
         "guardrail_flags": f"SELECT conv_id, turn, b AS is_blocked, CASE WHEN b THEN 'toxicity' END AS reason FROM (SELECT conv_id, turn, {_whole(C.OFFENSIVE)} AS b FROM conversations)",
@@ -181,14 +191,14 @@ def sql() -> dict[str, str]:
             FROM (SELECT s.conv_id, m.k, m.turn, s.active, s.step, s.suggested, m.node, {opens} AS o, {action} AS a FROM s JOIN m ON m.conv_id = s.conv_id AND m.k = s.k + 1))
           SELECT conv_id, turn AS seq, action, active, step FROM s WHERE k > 0""",
         "token_stream_assemble": "SELECT conv_id, turn, len(regexp_extract_all(text, '\\s|[^\\s]+\\s?'))::BIGINT AS n_tokens, md5(text) AS md5 FROM conversations WHERE text <> ''",
-        "cache_lookup_ttl": "WITH e AS (SELECT *, event_type || ' ' || user_id AS m FROM events), c AS (SELECT m, min(ts) AS t0, arg_min(event_id, ts)::VARCHAR AS answer FROM e GROUP BY m) SELECT event_id, t0 + INTERVAL 1 HOUR > ts AS hit, CASE WHEN t0 + INTERVAL 1 HOUR > ts THEN answer END AS answer FROM e JOIN c USING (m)",
+        "cache_lookup_ttl": "WITH e AS (SELECT *, event_type || ' ' || user_id AS m FROM events), c AS (SELECT m, max(ts) - INTERVAL 23 HOUR AS until, arg_max(event_id, (ts, event_id))::VARCHAR AS answer FROM e GROUP BY m) SELECT event_id, until > ts AS hit, CASE WHEN until > ts THEN answer END AS answer FROM e JOIN c USING (m)",
         "dataset_profile": "SELECT lang, count(*) AS rows, count(*) FILTER (length(coalesce(text, '')) = 0) AS empty, count(*) FILTER (length(text) BETWEEN 1 AND 49) AS short, sum(length(text))::BIGINT AS chars, round(avg(length(coalesce(text, ''))), 6) AS mean_chars FROM documents GROUP BY lang",
         "latency_percentiles": "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(min(value), 6) AS least, count(*) AS n FROM events GROUP BY event_type",
         "enum_display": "SELECT conv_id, turn, CASE role " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.ROLES.items()) + " ELSE role END AS role_display FROM conversations",
         "qa_pass_summary": "WITH p AS (SELECT url, (length(lower(html)) - length(replace(lower(html), 'spam', ''))) // 4 AS n, page_id % 7 = 0 AS missing FROM pages) SELECT count(*) AS total, count(*) FILTER (n = 0 AND NOT missing) AS passed, count(DISTINCT url) AS distinct_urls, count(*) FILTER (NOT starts_with(url, 'http://blog')) AS off_portal, sum(n)::BIGINT AS mentions FROM p",
         "text_category": f"WITH {_best(C.CATEGORIES, table='documents', keys='doc_id')} SELECT doc_id, name AS category FROM documents LEFT JOIN best USING (doc_id)",
         "message_validation": "SELECT conv_id, turn, coalesce(length(text) BETWEEN 1 AND 1000, false) AS valid FROM conversations",
-        "state_update": "SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_mktsegment, coalesce(x, round(c_acctbal, 2)) AS c_acctbal FROM customer FULL JOIN (SELECT o_custkey, round(max(o_totalprice), 2) AS x FROM orders GROUP BY 1) ON o_custkey = c_custkey",
+        "state_update": "WITH n AS (SELECT o_custkey, round(arg_max(o_totalprice, (o_orderdate, o_orderkey)), 2) AS x, 'urgent ' || arg_max(o_orderkey, (o_orderdate, o_orderkey)) FILTER (starts_with(o_orderpriority, '1')) AS seg FROM orders GROUP BY 1) SELECT coalesce(c_custkey, o_custkey) AS c_custkey, coalesce(seg, c_mktsegment) AS c_mktsegment, coalesce(x, round(c_acctbal, 2)) AS c_acctbal FROM customer FULL JOIN n ON o_custkey = c_custkey",
         "upsert_by_id": "SELECT doc_id, lang, CASE WHEN lang = 'fr' THEN 'new 2' ELSE source END AS source FROM documents",
         "answer_repair": "WITH a AS (SELECT page_id, url, 'A [' || page_id || '](' || url || ') and x.' AS fixed FROM pages) SELECT page_id, CASE WHEN page_id % 2 = 0 OR length(fixed) < 20 THEN 'a' || chr(10) || url || chr(10) || 'b' || chr(10) || 'c' || chr(10) || 'd' || chr(10) || 'e' ELSE fixed END AS answer FROM a",
         "model_output_clean": f"""WITH s AS (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN '```text' || chr(10) || 'noise' || chr(10) || 'Search_Query:  ' || text || ' ' || chr(10) || 'more' || chr(10) || '```' WHEN 1 THEN chr(10) || ' ' || chr(10) || text || chr(10) || 'second line'
@@ -197,7 +207,7 @@ def sql() -> dict[str, str]:
           o AS (SELECT conv_id, turn, CASE WHEN marked <> '' THEN 'search_query: ' || marked WHEN starts_with(lower(line), 'search_query:') THEN line ELSE 'search_query: ' || coalesce(line, '') END AS x FROM m)
           SELECT conv_id, turn, md5(x) AS marked, md5(regexp_replace(x, '^search_query:\\s*', '')) AS plain FROM o""",
         "first_documents": "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 10",
-        "link_rewrite": f"SELECT page_id, 'a [x](' || regexp_replace(url, '^http://{C.PORTAL[8:]}', '{C.PORTAL}') || ') b {C.PORTAL}/knowledgebase/article/details/ais/12 c [y]({C.PORTAL}/q)' AS text FROM pages",
+        "link_rewrite": f"SELECT page_id, 'a [x](' || {canonical(C.PORTAL)} || ') b {C.PORTAL}/knowledgebase/article/details/ais/12 c [y]({C.PORTAL}/q) [m]({C.PORTAL}/knowledgebase/article/details/ais/' || page_id || ') {C.PORTAL}/knowledgebase/main d {C.PORTAL}/knowledgebase/article/details/ais/' || page_id AS text FROM pages",
         "prompt_assembly": """WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS past FROM conversations)
           SELECT conv_id, turn, md5(CASE WHEN past <> '' THEN '### History' || chr(10) || past || chr(10) || chr(10) ELSE '' END || '### Context' || chr(10) || text || chr(10) || chr(10) || '### Question' || chr(10) || text) AS md5 FROM c""",
         "author_roles": "SELECT c_mktsegment, count(*) AS messages FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions import text as X
+
 
 def check_vectors(df: DataFrame, column: str, dimension: int) -> DataFrame:
     """The same rows; a vector of another dimension fails the job."""
@@ -74,4 +76,4 @@ def append_feedback(feedback: DataFrame, path: str) -> None:
 
 def cache_rows(answers: DataFrame, now, ttl_seconds: int = 86400) -> DataFrame:
     """Rows of the result cache: key (md5 of the lower-cased, stripped message), answer, expires_at."""
-    return answers.select(F.md5(F.lower(F.trim("message"))).alias("cache_key"), "answer", (now + F.make_interval(secs=F.lit(ttl_seconds))).alias("expires_at"))
+    return answers.select(F.md5(X.strip(F.lower("message"))).alias("cache_key"), "answer", (now + F.make_interval(secs=F.lit(ttl_seconds))).alias("expires_at"))

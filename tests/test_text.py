@@ -133,4 +133,4 @@ def test_node_context(spark):
     from lodestone.operators import answers
 
     node = F.struct(F.lit("T").alias("title"), F.lit("C").alias("channel"), F.lit("").alias("fee"), F.array(F.lit("l")).alias("law_references"), F.array().cast("array<string>").alias("deadlines"), F.array(F.lit("1"), F.lit("2")).alias("workflow_steps"), F.lit(None).cast("string").alias("effects"))
-    assert spark.range(1).select(answers.node_context(node).alias("x")).first().x == "## T\nChannel: C\nLaw:\n- l\nSteps:\n- 1\n- 2"
+    assert spark.range(1).select(answers.node_context(node).alias("x")).first().x == "=== ГРАФОВЫЙ БЛОК ЗНАНИЙ: T ===\nНормативная база: l\nСпособ и канал подачи: C\nФинансовые условия: \nРегламентные сроки:\nПошаговый регламент:\n  1\n  2\n" + "=" * 42
