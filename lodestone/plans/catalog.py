@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import chunking, text as X
 from ..operators import answers, dialogue, documents, embedding, index, retrieval, rules
-from ..sources import folders
+from ..sources import folders, writers
+from ..streaming import cache, chat, replay
 from . import derived, oracles
 
 # The carriers' lexicons.
@@ -97,9 +98,11 @@ def guardrail_flags(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", g.getField("is_blocked").alias("is_blocked"), g.getField("reason").alias("reason"))
 
 
+LEXICONS = {"offensive": ["zzz"], "words": WORDS, "phrases": PHRASES, "agree": AGREE, "next": NEXT, "stop": STOP, "nodes": NODES, "bonus": BONUS}
+
+
 def _flags(spark, d):
-    lex = {"offensive": ["zzz"], "words": WORDS, "phrases": PHRASES, "agree": AGREE, "next": NEXT, "stop": STOP, "nodes": NODES, "bonus": BONUS}
-    return dialogue.flags(read(spark, d, "conversations"), "text", lex)
+    return dialogue.flags(read(spark, d, "conversations"), "text", LEXICONS)
 
 
 def trigger_flags(spark, d):
@@ -362,12 +365,54 @@ def celled_dense_topk(spark, d):
     return index.search_vectors(spark, path, _asked(spark, d), "query_id", "vec_id", "embedding", 5).select("query_id", "vec_id", "score", "rank")
 
 
+def cache_replay_stream(spark, d):
+    """Events as a stream of requests in four batches; an answer is cached for 30 hours of event time, and goes with its number of hits."""
+    at = F.timestamp_millis(F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01', ts)"))
+    e = read(spark, d, "events").select("event_id", F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("message"), at.alias("at"), F.unix_millis(at).alias("ms"))
+    path = folders.new_folder(spark, "cache-stream")
+    replay.deal(e, "ms", 4, f"{path}/in")
+    with cache.keyed_state(spark):
+        replay.run(cache.replayed(replay.arriving(spark, f"{path}/in", e.schema), "message", "event_id", "at", 30 * 3600), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").select("cache_key", "kind", "id", "at_ms", "hit", "answer", "hits")
+
+
+def workflow_stream(spark, d):
+    """As ``workflow_replay``, with the messages as a stream in three batches; a chat's state outlives them."""
+    c = read(spark, d, "conversations").withColumn("seq", F.col("turn")).withColumn("chat_id", F.col("conv_id"))
+    path = folders.new_folder(spark, "workflow-stream")
+    replay.deal(c, "turn", 3, f"{path}/in")
+    flagged = dialogue.flags(replay.arriving(spark, f"{path}/in", c.schema), "text", LEXICONS)
+    replay.run(chat.workflow(flagged, STEPS), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/out").withColumnRenamed("chat_id", "conv_id").select("conv_id", "seq", "action", "active", "step")
+
+
+def last_message_stream(spark, d):
+    """Each chat's last message, merged from a stream in three batches, which then arrives once more."""
+    c = read(spark, d, "conversations").select("conv_id", "turn", "role", F.md5("text").alias("md5"))
+    path = folders.new_folder(spark, "merge-stream")
+    replay.deal(c, "turn", 3, f"{path}/in")
+    for again in range(2):  # a second checkpoint: every epoch is repeated
+        replay.merge(replay.arriving(spark, f"{path}/in", c.schema), f"{path}/out", "conv_id", "turn", f"{path}/checkpoint-{again}")
+    return spark.read.parquet(f"{path}/out").select("conv_id", "turn", "role", "md5")
+
+
+def upsert_touched_buckets(spark, d):
+    """As ``upsert_by_id``, in a table in folders by a hash of the id; only those of changed ids are replaced."""
+    docs = read(spark, d, "documents").select("doc_id", "lang", "source")
+    path = folders.new_folder(spark, "bucketed")
+    writers.upsert_touched(spark, docs, path, "doc_id", buckets=8)
+    new = docs.where("lang = 'fr'").withColumn("at", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("source", F.concat(F.lit("new "), F.col("at").cast("string")))
+    writers.upsert_touched(spark, new, path, "doc_id", "at", buckets=8)
+    return spark.read.parquet(path).select("doc_id", "lang", "source")
+
+
 _NAMES = [
     "doc_quality_filter", "html_clean", "content_dedup_first", "basic_normalize", "split_text_chunks", "chunk_prefix_and_ids", "chunk_category_stats", "structured_chunks", "keyword_route", "graph_node_match",
     "guardrail_flags", "trigger_flags", "term_expand", "canonical_url", "extract_urls", "image_links", "dense_topk", "dense_threshold_filter", "vector_norms", "bm25_topk", "hybrid_rrf_topk",
     "hybrid_boost_postfilter_fallback", "context_listagg", "citation_dedup", "recent_history", "context_relevance", "least_loaded_agent", "workflow_replay", "token_stream_assemble", "cache_lookup_ttl",
     "dataset_profile", "latency_percentiles", "enum_display", "qa_pass_summary", "text_category", "message_validation", "state_update", "upsert_by_id", "answer_repair", "model_output_clean", "first_documents", "preferred_model",
     "link_rewrite", "prompt_assembly", "author_roles", "hash_embeddings", "agent_loads", "index_sparse_weights", "term_idf", "indexed_bm25_topk", "index_terms", "celled_dense_topk",
+    "cache_replay_stream", "workflow_stream", "last_message_stream", "upsert_touched_buckets",
 ]
 
 

@@ -220,4 +220,13 @@ def sql() -> dict[str, str]:
     }
     found["indexed_bm25_topk"], found["celled_dense_topk"] = found["bm25_topk"], found["dense_topk"]
     found["index_terms"] = f"WITH {_TERMS} SELECT term, count(*) AS df, round(any_value(idf), 6) AS idf, round(max(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS best, count(*)::BIGINT AS postings FROM dt JOIN idf USING (term), mean GROUP BY term"
+    found["workflow_stream"], found["upsert_touched_buckets"] = found["workflow_replay"], found["upsert_by_id"]
+    found["last_message_stream"] = "SELECT conv_id, turn, role, md5(text) AS md5 FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1"
+    found["cache_replay_stream"] = """WITH RECURSIVE e AS (SELECT event_type || ' ' || user_id AS m, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY event_type, user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
+      s AS (SELECT m, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::BIGINT AS t, NULL::BOOLEAN AS hit, NULL::BIGINT AS answer, NULL::BIGINT AS until FROM e GROUP BY m
+        UNION ALL SELECT s.m, e.k, e.event_id, e.t, h, CASE WHEN h THEN s.answer ELSE e.event_id END, CASE WHEN h THEN s.until ELSE e.t + 108000000 END
+        FROM (SELECT *, k + 1 AS next FROM s) s JOIN e ON e.m = s.m AND e.k = s.next, LATERAL (SELECT coalesce(e.t < s.until, false) AS h)),
+      r AS (SELECT * FROM s WHERE k > 0)
+      SELECT m AS cache_key, 'request' AS kind, id, t AS at_ms, hit, CASE WHEN hit THEN answer END AS answer, NULL::BIGINT AS hits FROM r
+      UNION ALL SELECT m, 'expired', answer, max(until), NULL, answer, count(*) FILTER (hit) FROM r GROUP BY m, answer HAVING max(until) < (SELECT max(t) FROM e)"""
     return found

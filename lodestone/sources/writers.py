@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X
+from . import folders
 
 
 def check_vectors(df: DataFrame, column: str, dimension: int) -> DataFrame:
@@ -57,6 +58,31 @@ def upsert(spark: SparkSession, chunks: DataFrame, path: str, key: str = "chunk_
     fs.delete(at(path + ".old"), True)
 
 
+def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def upsert_touched(spark: SparkSession, rows: DataFrame, path: str, key: str, order: str | None = None, buckets: int = 64) -> list[int]:
+    """As ``upsert``, for a table in folders by a hash of the key: only folders that get rows are read and replaced. Gives their numbers.
+
+    Creates the table where there is none (``buckets`` must stay as they are then). Columns that the table
+    has not are dropped. The merged rows are stored apart before they replace the folders; as the same call
+    again changes nothing, a run that was lost is simply repeated.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    new = _bucketed(rows, key, buckets)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        first = merged(new.limit(0), new, key, order).drop(*[c for c in [order] if c])
+        first.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        return list(range(buckets))
+    touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())  # at most ``buckets``
+    if touched:
+        old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+        whole = folders.stored(merged(old, new, key, order), "merged")
+        whole.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return touched
+
+
 def require_rows(df: DataFrame, name: str) -> DataFrame:
     """The same rows; an empty index is an error that says so."""
     if df.isEmpty():
