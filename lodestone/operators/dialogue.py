@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lexicon
 from ..functions.text import col
 from . import rules
 
+_Flags = namedtuple("_Flags", ["escalate", "agree", "next", "stop", "node"])
+
 # What a message does: escalate, start, stop, step, finish, missing (the workflow has no steps), answer.
 _STATE = "struct<active:string,step:long,suggested:string,log:array<struct<seq:long,action:string,active:string,step:long>>>"
 _ACTION = """case when x.escalate then 'escalate'
@@ -58,6 +64,32 @@ def replay(messages: DataFrame, chat: str, order: str, steps: dict[str, int]) ->
     return chats.select(chat, F.explode(F.expr(_FOLD).getField("log")).alias("l")).select(chat, "l.*")
 
 
+def replay_sorted(messages: DataFrame, chat: str, order: str, steps: dict[str, int]) -> DataFrame:
+    """As ``replay``, for chats of any length: messages are sorted by chat and order, and a task goes over them once.
+
+    The state of the chat at hand is all that is kept; it is carried from one batch to the next. A chat's
+    messages are in one task, as each needs the state before it, but never in memory together.
+    """
+    names = ["escalate", "agree", "next", "stop", "node"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = object(), (None, 0, None)
+        for batch in batches:
+            out = []
+            for key, seq, *flags in zip(*[batch.column(c).to_pylist() for c in ("__chat", "__seq", *names)], strict=True):
+                if key != at:
+                    at, state = key, (None, 0, None)
+                state, action = advance(state, _Flags(*flags), steps)
+                out.append((seq, action, state[0], state[1]))
+            if out:
+                columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("__chat"), *columns], [chat, "seq", "action", "active", "step"])
+
+    rows = messages.select(F.col(chat).alias("__chat"), F.col(order).cast("long").alias("__seq"), *names)
+    dealt = rows.repartition("__chat").sortWithinPartitions("__chat", "__seq")
+    return dealt.mapInArrow(run, f"{chat} {messages.schema[chat].dataType.simpleString()}, seq long, action string, active string, step long")
+
+
 def step_reply(title, steps, step) -> Column:
     """struct<reply, is_finished, next_step>: the text of the step (from 0) of a workflow with its progress; null steps are an unknown workflow."""
     n, s = F.size(col(steps)), col(step).cast("int")

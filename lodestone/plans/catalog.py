@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import chunking, text as X
-from ..operators import answers, dialogue, documents, embedding, index, retrieval, rules
-from ..sources import folders, writers
+from ..functions import chunking, pages, text as X
+from ..operators import answers, automaton, dialogue, documents, embedding, index, quantiles, retrieval, rules
+from ..sources import folders, readers, writers
 from ..streaming import cache, chat, replay
 from . import derived, oracles
 
@@ -406,6 +406,88 @@ def upsert_touched_buckets(spark, d):
     return spark.read.parquet(path).select("doc_id", "lang", "source")
 
 
+SHARES = [0.0, 0.05, 0.5, 0.95, 0.99, 1.0]
+
+
+def exact_quantiles(spark, d):
+    """Quantiles of order totals by status, by selection in passes of range counts."""
+    q = quantiles.exact(read(spark, d, "orders"), "o_totalprice", "o_orderstatus", SHARES)
+    return q.select("o_orderstatus", "share", F.round("quantile", 4).alias("quantile"), "n")
+
+
+def sketched_quantiles(spark, d):
+    """Quantiles of merged sketches (one for each event type and user), and whether their rank is within 2 percent of the exact one."""
+    e = read(spark, d, "events").withColumn("part", F.concat_ws("/", "event_type", "user_id"))
+    whole = quantiles.sketches(e, "value", "part").groupBy(F.substring_index("part", "/", 1).alias("event_type")).agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
+    q = quantiles.of_sketches(whole, "event_type", [0.05, 0.5, 0.95])
+    met = read(spark, d, "events").join(F.broadcast(q.select("event_type", "share", "quantile")), "event_type").groupBy("event_type", "share")
+    ranks = met.agg(F.count_if(F.col("value") < F.col("quantile")).alias("below"), F.count_if(F.col("value") <= F.col("quantile")).alias("upto"), F.count("*").alias("n"))
+    return ranks.select("event_type", "share", "n", ((F.col("below") - F.col("share") * F.col("n") <= 0.02 * F.col("n")) & (F.col("share") * F.col("n") - F.col("upto") <= 0.02 * F.col("n"))).alias("within"))
+
+
+def workflow_fold(spark, d):
+    """As ``workflow_replay``, in one pass over sorted messages."""
+    return dialogue.replay_sorted(_flags(spark, d), "conv_id", "turn", STEPS)
+
+
+def container_images(spark, d):
+    """Pages with images in and around a container of one kind or none, and tags left open."""
+    i = F.col("page_id").cast("string")
+    inner = F.concat(F.lit("<p>x<br><img src='in/"), i, F.lit(".png'><div><img data-src='/abs/"), i, F.lit(".png'></p><img src='logo.png'/><img src='in/"), i, F.lit(".png'>"))
+    kind = F.col("page_id") % 5
+    body = (
+        F.when(kind == 0, F.concat(F.lit("<article>"), inner, F.lit("</article>")))
+        .when(kind == 1, F.concat(F.lit("<article><img src='art.png'></article><main>"), inner, F.lit("</main>")))
+        .when(kind == 2, F.concat(F.lit("<div class='x content y'>"), inner, F.lit("</div></div>")))
+        .when(kind == 3, F.concat(F.lit("<section class='region-content'><p>"), inner, F.lit("</section>")))
+        .otherwise(inner)
+    )
+    html = F.concat(F.lit("<nav><img src='nav.png'><li>a</nav>"), body, F.lit("<footer><img src='foot.png'></footer>"))
+    p = read(spark, d, "pages").select("page_id", F.concat(F.lit("https://s.example/p/"), i, F.lit("/q?x")).alias("base"), html.alias("html"))
+    return pages.container_images(p, "html", "base").select("page_id", F.array_join("images", " ").alias("images"))
+
+
+def automaton_route(spark, d):
+    """As ``keyword_route``, by one automaton of all entries."""
+    c = read(spark, d, "conversations")
+    top = automaton.best_lists(c, ["conv_id", "turn"], "text", ROUTES)
+    return c.select("conv_id", "turn").join(top, ["conv_id", "turn"], "left").select("conv_id", "turn", F.col("name").alias("category"), F.coalesce("score", F.lit(0)).cast("long").alias("score"))
+
+
+def automaton_nodes(spark, d):
+    """As ``graph_node_match``, by one automaton of all entries."""
+    c = read(spark, d, "conversations")
+    top = automaton.best_lists(c, ["conv_id", "turn"], "text", NODES, lambda w: 3 if " " in w else 1, BONUS, least=2)
+    return c.select("conv_id", "turn").join(top, ["conv_id", "turn"], "left").select("conv_id", "turn", F.col("name").alias("node"), "score")
+
+
+def lexicon_hits(spark, d):
+    """Documents' hits of a lexicon of all words of the benchmark: entries, as whole words, and how often they occur."""
+    words = read(spark, d, "benchmark").select(F.explode(X.tokens("text")).alias("w")).distinct().orderBy("w")
+    entries = [r.w for r in words.collect()]  # a stated lexicon, as large as the benchmark
+    docs = read(spark, d, "documents").select("doc_id", F.lower("text").alias("t"))
+    return automaton.occurrences(docs, "t", entries, whole_words=True).groupBy("doc_id").agg(F.count("*").alias("entries"), F.sum("times").alias("times"))
+
+
+def variant_records(spark, d):
+    """Chats as JSON: an array, an object to a line with noise between, or one object; read back as records."""
+    c = read(spark, d, "conversations").withColumn("o", F.to_json(F.struct("conv_id", "turn", "role", F.struct(F.md5("text").alias("md5"), F.length("text").alias("n")).alias("x"))))
+    chats = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "o"))).alias("s")).select("conv_id", F.transform("s", lambda x: x["o"]).alias("s"))
+    kind = F.col("conv_id") % 3
+    value = F.when(kind == 0, F.concat(F.lit(" [5, "), F.array_join("s", ", "), F.lit(', "x", null]\n'))).when(kind == 1, F.concat(F.lit("noise\n"), F.array_join("s", "\r\n{bad\n"), F.lit("\n7\n"))).otherwise(F.col("s")[0])
+    r = readers.records(chats.select(value.alias("value")), "value")
+    get = lambda path, kind: F.try_variant_get("record", path, kind)
+    return r.select(get("$.conv_id", "long").alias("conv_id"), get("$.turn", "long").alias("turn"), get("$.role", "string").alias("role"), get("$.x.md5", "string").alias("md5"), get("$.x.n", "long").alias("n_chars"))
+
+
+def payload_merge(spark, d):
+    """Payloads (maps) of documents after a partial update: its keys replace, empty values go."""
+    old = F.create_map(F.lit("source"), F.coalesce("source", F.lit("")), F.lit("lang"), F.coalesce("lang", F.lit("")), F.lit("id"), F.col("doc_id").cast("string"))
+    new = F.create_map(F.lit("lang"), F.when(F.col("doc_id") % 2 == 0, "").otherwise("new"), F.lit("n"), F.col("n_chars").cast("string"))
+    kept = writers.merged_payload(old, new)
+    return read(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("payload"))
+
+
 _NAMES = [
     "doc_quality_filter", "html_clean", "content_dedup_first", "basic_normalize", "split_text_chunks", "chunk_prefix_and_ids", "chunk_category_stats", "structured_chunks", "keyword_route", "graph_node_match",
     "guardrail_flags", "trigger_flags", "term_expand", "canonical_url", "extract_urls", "image_links", "dense_topk", "dense_threshold_filter", "vector_norms", "bm25_topk", "hybrid_rrf_topk",
@@ -413,6 +495,7 @@ _NAMES = [
     "dataset_profile", "latency_percentiles", "enum_display", "qa_pass_summary", "text_category", "message_validation", "state_update", "upsert_by_id", "answer_repair", "model_output_clean", "first_documents", "preferred_model",
     "link_rewrite", "prompt_assembly", "author_roles", "hash_embeddings", "agent_loads", "index_sparse_weights", "term_idf", "indexed_bm25_topk", "index_terms", "celled_dense_topk",
     "cache_replay_stream", "workflow_stream", "last_message_stream", "upsert_touched_buckets",
+    "exact_quantiles", "sketched_quantiles", "workflow_fold", "container_images", "automaton_route", "automaton_nodes", "lexicon_hits", "variant_records", "payload_merge",
 ]
 
 

@@ -221,6 +221,14 @@ def sql() -> dict[str, str]:
     found["indexed_bm25_topk"], found["celled_dense_topk"] = found["bm25_topk"], found["dense_topk"]
     found["index_terms"] = f"WITH {_TERMS} SELECT term, count(*) AS df, round(any_value(idf), 6) AS idf, round(max(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS best, count(*)::BIGINT AS postings FROM dt JOIN idf USING (term), mean GROUP BY term"
     found["workflow_stream"], found["upsert_touched_buckets"] = found["workflow_replay"], found["upsert_by_id"]
+    found["workflow_fold"], found["automaton_route"], found["automaton_nodes"] = found["workflow_replay"], found["keyword_route"], found["graph_node_match"]
+    found["exact_quantiles"] = " UNION ALL ".join(f"SELECT o_orderstatus, {p}::DOUBLE AS share, round(quantile_cont(o_totalprice, {p}), 4) AS quantile, count(*) AS n FROM orders GROUP BY o_orderstatus" for p in C.SHARES)
+    found["sketched_quantiles"] = "SELECT event_type, share, count(*) AS n, true AS within FROM events, (VALUES (0.05::DOUBLE), (0.5::DOUBLE), (0.95::DOUBLE)) AS p(share) GROUP BY event_type, share"
+    inner = "'https://s.example/p/' || page_id || '/in/' || page_id || '.png https://s.example/abs/' || page_id || '.png'"
+    found["container_images"] = f"SELECT page_id, CASE WHEN page_id % 5 = 4 THEN 'https://s.example/p/' || page_id || '/nav.png ' ELSE '' END || {inner} || CASE WHEN page_id % 5 = 4 THEN ' https://s.example/p/' || page_id || '/foot.png' ELSE '' END AS images FROM pages"
+    found["lexicon_hits"] = "WITH l AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM benchmark), t AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents) GROUP BY ALL) SELECT doc_id, count(*) AS entries, sum(n)::BIGINT AS times FROM t JOIN l USING (w) GROUP BY doc_id"
+    found["variant_records"] = "SELECT conv_id, turn, role, md5(text) AS md5, length(text)::BIGINT AS n_chars FROM conversations QUALIFY conv_id % 3 <> 2 OR row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1"
+    found["payload_merge"] = "SELECT doc_id, 'id=' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ',lang=new' END || CASE WHEN n_chars IS NULL THEN '' ELSE ',n=' || n_chars END || CASE WHEN coalesce(source, '') = '' THEN '' ELSE ',source=' || source END AS payload FROM documents"
     found["last_message_stream"] = "SELECT conv_id, turn, role, md5(text) AS md5 FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1"
     found["cache_replay_stream"] = """WITH RECURSIVE e AS (SELECT event_type || ' ' || user_id AS m, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY event_type, user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k FROM events),
       s AS (SELECT m, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::BIGINT AS t, NULL::BOOLEAN AS hit, NULL::BIGINT AS answer, NULL::BIGINT AS until FROM e GROUP BY m

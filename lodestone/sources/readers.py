@@ -107,16 +107,38 @@ def union(*sources: DataFrame) -> DataFrame:
     return out
 
 
+def records(df: DataFrame, value: str) -> DataFrame:
+    """df's other columns with ``record``, a VARIANT: the objects of a string that is a JSON document, an array of them, or one to a line.
+
+    The string is parsed once; elements of an array are taken from the parsed value, not printed and parsed
+    again. Lines that are no JSON, and what is no object, give nothing.
+    """
+    others = [c for c in df.columns if c not in (value, "record")]
+    rows = df.withColumn("__s", X.strip(value)).withColumn("__l", F.filter(F.split("__s", r"\r?\n"), lambda x: X.strip(x) != ""))
+    # the parser stops at the end of the first value, so a line counts as one by its last character too
+    alone = lambda x: ((x.startswith("{") & x.endswith("}")) | (x.startswith("[") & x.endswith("]"))) & F.try_parse_json(x).isNotNull()
+    ends = X.strip(F.try_element_at("__l", F.lit(1))), X.strip(F.try_element_at("__l", F.lit(-1)))
+    by_line = F.coalesce((F.size("__l") > 1) & (alone(ends[0]) | alone(ends[1])), F.lit(False))
+    rows = rows.withColumn("__v", F.when(~by_line, F.try_parse_json("__s")))
+    lines = F.transform("__l", lambda x: F.try_parse_json(x))
+    listed = F.when(F.schema_of_variant("__v").startswith("ARRAY"), F.try_variant_get("__v", "$", "array<variant>"))
+    each = F.coalesce(listed, F.when(F.col("__v").isNotNull(), F.array("__v")).otherwise(lines))
+    found = rows.select(*others, F.explode(each).alias("record"))
+    return found.where(F.coalesce(F.schema_of_variant("record").startswith("OBJECT"), F.lit(False)))
+
+
 def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of files that are a JSON document, an array of them, or one to a line; what is no object is dropped."""
-    whole = spark.read.text(path, wholetext=True).select(X.strip("value").alias("v"))
-    array = F.from_json("v", "array<string>")
-    lines = F.split("v", r"\r?\n")
-    whole_line = lambda x: x.startswith("{") & F.try_parse_json(x).isNotNull()
-    by_line = F.coalesce(whole_line(F.element_at(lines, 1)) | whole_line(F.element_at(lines, -1)), F.lit(False))
-    one = F.when(F.col("v").startswith("["), array).when(by_line, lines).otherwise(F.array("v"))
-    rows = whole.select(F.explode(one).alias("r")).where(X.strip("r").startswith("{"))
-    return rows.select(F.from_json("r", schema).alias("r")).where("r is not null").select("r.*")
+    """Records of files that are a JSON document, an array of them, or one to a line; what is no object is dropped. Files are read in the order of their names where the result is sorted by ``file``."""
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    found = records(whole, "value")
+    return found.select(F.from_json(F.to_json("record"), schema).alias("r")).where("r is not null").select("r.*")
+
+
+def directory_records(spark: SparkSession, path: str, pattern: str = "*.json*") -> DataFrame:
+    """file (name), place and record (VARIANT) of all files below a folder, numbered in the order of names and of records within them."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).withColumn("path", F.col("_metadata.file_path"))
+    rows = records(files, "value").select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), "path", "record", F.monotonically_increasing_id().alias("__i"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("path").orderBy("__i")).cast("long")).select("file", "place", "record")
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:

@@ -83,6 +83,14 @@ def upsert_touched(spark: SparkSession, rows: DataFrame, path: str, key: str, or
     return touched
 
 
+def merged_payload(old, new):
+    """A map after a partial update: the new keys replace the old ones, and keys whose value is null or empty go. Null maps are empty."""
+    none = F.create_map().cast("map<string,string>")
+    o, n = (F.coalesce(F.col(c) if isinstance(c, str) else c, none) for c in (old, new))
+    kept = F.map_filter(o, lambda k, v: ~F.map_contains_key(n, k))
+    return F.map_filter(F.map_concat(kept, n), lambda k, v: F.coalesce(v, F.lit("")) != "")
+
+
 def require_rows(df: DataFrame, name: str) -> DataFrame:
     """The same rows; an empty index is an error that says so."""
     if df.isEmpty():
