@@ -139,3 +139,17 @@ def test_toxicity_held_out(spark):
     rank, ones = rows["score"].rank(), rows["toxic"] == 1
     auc = (rank[ones].sum() - ones.sum() * (ones.sum() + 1) / 2) / (ones.sum() * (~ones).sum())
     assert auc > 0.93
+
+
+def test_url_sql_of_rows_without_id(spark, tmp_path):
+    import duckdb
+
+    urls = ["http://b.net/de/1", "http://example.net/de/8", "http://c.org/x", None, "http://b.net/de/1"]
+    pages = spark.createDataFrame([(None, u) for u in urls] + [(1, urls[0]), (2, urls[2])], "page_id long, url string")
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    con = duckdb.connect()
+    for name, df in (("pages", pages), ("labels", labels)):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}/*.parquet'")
+    got = url_reputation.filter_urls(pages, labels).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(url_reputation.OP5_SQL).fetchall()))
