@@ -153,3 +153,36 @@ def test_url_sql_of_rows_without_id(spark, tmp_path):
         con.execute(f"create view {name} as select * from '{tmp_path}/{name}/*.parquet'")
     got = url_reputation.filter_urls(pages, labels).select("page_id", "host", "path", "rule", "verdict").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(url_reputation.OP5_SQL).fetchall()))
+
+
+def test_learning_takes_one_text_of_an_id_and_keeps_its_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 40, f"text {i} you fool!" if i % 2 else f"plain words {i}") for i in range(4000)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(0, None), (None, 1)], "doc_id long, toxic int")
+    seen = []
+    kept = toxicity.B.cut
+    monkeypatch.setattr(toxicity.B, "cut", lambda df: seen.append(x := kept(df)) or x)
+    toxicity.fit(docs, labels)
+    texts = [x for x in seen if "text" in x.columns][0].collect()
+    assert len(texts) == 40 and {r.doc_id for r in texts} == set(range(40))
+    seen.clear()
+    toxicity.fit(spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text")), spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic")), fit_rows=900)
+    assert 600 < [x for x in seen if "text" in x.columns][0].count() <= 900
+
+
+def test_a_tree_takes_the_best_split():
+    """The first split against all splits of all features, by their gain."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x, y = np.round(r.normal(size=(300, 4)), 1), (r.random(300) < 0.4).astype(float)
+    y[x[:, 2] > 0.3] = 1
+    b = toxicity.Boosted(trees=1, depth=1, bins=400).fit(x, y)
+    p = np.full(300, y.mean())
+    g, h = p - y, p * (1 - p)
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + b.ridge)
+    gains = {(f, c): score(x[:, f] < c) + score(x[:, f] >= c) - score(np.ones(300, bool)) for f in range(4) for c in b.cuts[f] if min(h[x[:, f] < c].sum(), h[x[:, f] >= c].sum()) >= 2}
+    (feature, cut), most = max(gains.items(), key=lambda kv: kv[1])
+    f, k, value = b.model[0]
+    assert f[1] == feature == 2 and gains[f[1], b.cuts[2][k[1]]] == pytest.approx(most)
+    side = x[:, 2] >= b.cuts[2][k[1]]
+    assert b.decide(x)[side][0] == pytest.approx(b.base - b.rate * g[side].sum() / (h[side].sum() + b.ridge))
