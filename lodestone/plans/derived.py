@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking, lexicon, text as X
 from ..operators import answers, dialogue, documents, rules
+from ..sources import folders, readers, writers
+from ..streaming import chat
 
 PORTAL = "https://p.example"
 STATUTE_NUMBERS, STATUTE_GAPS, STATUTE_ENDS = ["44", "223", "63", "135", "149", "1444"], [" ", "", "–", " - "], ["фз", "ФЗ", "фзыв"]
@@ -180,11 +182,6 @@ def cache_items(spark, d):
     return got.select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("md5"))
 
 
-def deobfuscated(spark, d):
-    """Look-alike letters of messages, with letters apart."""
-    return _said(spark, d).select("conv_id", "turn", F.md5(X.deobfuscate(F.concat("text", F.lit(" x 0 m@t")))).alias("md5"))
-
-
 def embedding_report(spark, d):
     """Questions with what the search gets of them: normalised text, vector's length and norm."""
     from ..operators import embedding
@@ -195,6 +192,54 @@ def embedding_report(spark, d):
     return v.select("item_id", F.md5("normalized").alias("normalized_md5"), F.size("vector").cast("long").alias("dimension"), F.round(X.norm("vector"), 6).alias("norm"))
 
 
+def _article_files(spark, d) -> str:
+    """The articles as files of JSON arrays, some hundred to a file."""
+    a = _articles(spark, d).join(_read(spark, d, "pages").select(F.col("page_id").cast("string").alias("p"), "url"), F.coalesce(F.nullif("staticId", F.lit("")), F.regexp_extract("id", "[0-9]+", 0)) == F.col("p"), "left")
+    one = F.to_json(F.struct("staticId", "id", F.col("title").alias("largeName"), F.col("category").alias("serviceName"), F.when(F.length("raw") % 2 == 0, F.col("raw")).alias("detailText"), F.when(F.length("raw") % 2 == 1, F.col("raw")).alias("previewText"), F.when(F.length("raw") % 3 > 0, F.col("url")).alias("url")))
+    files = a.select(one.alias("o"), F.pmod(F.xxhash64("raw", "title"), F.lit(64)).alias("file"))  # about a 64th of the pages each
+    path = folders.new_folder(spark, "articles")
+    arrays = files.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("o"), ", "), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("file").text(path)
+    return path
+
+
+def article_scan(spark, d):
+    """Articles read from JSON files that were written from the pages: cleaned, without stubs, with ids, titles, types and addresses."""
+    got = readers.articles(spark, _article_files(spark, d), PORTAL)
+    return got.select("doc_id", "title", "url", "category", "doc_type", F.md5("text").alias("md5"))
+
+
+def feedback_log(spark, d):
+    """Likes and dislikes of messages, appended in two runs and read back; other kinds are not kept."""
+    path = folders.new_folder(spark, "feedback")
+    rows = _said(spark, d).select(_one_of(["like", "dislike", "other"], F.col("turn")).alias("type"), F.md5("text").alias("question"), F.concat("role", F.lit(" "), F.col("conv_id").cast("string")).alias("answer"), "conv_id")
+    for k in range(2):
+        writers.append_feedback(rows.where(F.col("conv_id") % 2 == k), path)
+    return spark.read.schema("type string, question string, answer string").json(path)
+
+
+def cache_written(spark, d):
+    """Rows of the result cache for answered messages."""
+    rows = _said(spark, d).select(F.concat(F.lit(" \t"), "text", F.lit("\n")).alias("message"), F.concat_ws("/", "conv_id", "turn").alias("answer"))
+    cache = writers.cache_rows(rows, F.lit("2024-05-01 12:00:00").cast("timestamp"), 3600)
+    return cache.select("cache_key", "answer", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
+
+
+def token_lines(spark, d):
+    """Lines of a model's stream: words of messages, the end, errors and noise."""
+    i = F.col("turn")
+    line = F.when(i % 4 == 0, F.to_json(F.struct(F.col("text").alias("response")))).when(i % 4 == 1, F.concat(F.lit('{"done": true, "response": "'), "role", F.lit('"}'))).when(i % 4 == 2, F.concat(F.lit('{"error": "e'), i.cast("string"), F.lit('"}'))).otherwise(F.when(F.col("conv_id") % 2 == 0, F.lit('{"response": ""}')).otherwise(F.concat(F.lit("noise "), "role")))
+    return chat.ndjson_tokens(_said(spark, d).select(line.alias("value"))).select("kind", F.md5("data").alias("md5"))
+
+
+def parsed_envelopes(spark, d):
+    """Messages in envelopes, as they come from a topic; other events, long texts and noise are rejected."""
+    data = F.struct(F.col("conv_id").cast("string").alias("chat_id"), F.when(F.col("turn") % 5 == 0, F.repeat("text", F.lit(9))).otherwise(F.col("text")).alias("text"), "role", F.col("turn").alias("answered_to"))
+    body = F.to_json(F.struct(F.when(F.col("turn") % 3 == 2, "NEW_TOKEN").otherwise("NEW_MESSAGE").alias("event"), F.create_map(F.lit("k"), F.col("role")).alias("meta"), data.alias("data")))
+    good, _bad = chat.parse(_said(spark, d).select(F.when(F.col("conv_id") % 7 == 0, F.concat(F.lit("noise "), body)).otherwise(body).alias("value")))
+    return good.select(F.col("chat_id").cast("long").alias("conv_id"), F.col("answered_to").alias("turn"), "role", F.element_at("meta", "k").alias("meta"), F.md5("text").alias("md5"))
+
+
 def _values(rows, names: str) -> str:
     text = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
     return f"(VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS v({names})"
@@ -249,6 +294,7 @@ def oracle_sql() -> dict[str, str]:
     main = f"{PORTAL}/knowledgebase/main"
     raw = "CASE WHEN page_id % 11 = 0 THEN '<a href=''x.PDF''>' || page_id || '</a>' WHEN page_id % 13 = 0 THEN '' WHEN page_id % 17 = 0 THEN '<p>кратко ' || page_id || '</p>' ELSE html END"
     clean = O.strip("regexp_replace(regexp_replace(raw, '<[^>]+>', chr(10), 'g'), chr(10) || '+', chr(10), 'g')")
+    art = "raw IS NOT NULL AND NOT (contains(lower(raw), '.pdf') AND length(t) < 200) AND length(t) >= 50"
     return {
         "statute_forms": f"SELECT conv_id, turn, {statute(numbers)} AS out FROM conversations",
         "step_numbers": f"SELECT conv_id, turn, upper(substr(x, 1, 1)) || lower(substr(x, 2)) AS out FROM (SELECT conv_id, turn, nullif(regexp_extract({steps}, '(?i){edge}(Шаг\\s+\\d+(?:\\.\\d+)?|Этап\\s+\\d+)', 2), '') AS x FROM conversations)",
@@ -287,6 +333,13 @@ def oracle_sql() -> dict[str, str]:
         "guide_and_law_chunks": _chunk_sql(),
         "message_snippets": "SELECT conv_id, turn, replace(substr('a' || chr(10) || 'b ' || text, 1, 120), chr(10), ' ') AS line FROM conversations",
         "cache_items": f"SELECT conv_id, turn, role, length(t)::BIGINT AS n_chars, md5(t) AS md5 FROM (SELECT conv_id, turn, role, substr({' || chr(32) || '.join(['text'] * 6)}, 1, 500) AS t FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 6)",
+        "article_scan": f"""WITH a AS (SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN page_id::VARCHAR WHEN page_id % 10 = 0 THEN NULL ELSE 'i' || page_id END AS key, {raw} AS raw, regexp_extract(url, '://([^/]+)', 1) AS host, url AS u FROM pages),
+          b AS (SELECT *, {clean} AS t, coalesce(key, 'unknown') AS k FROM a), c AS (SELECT *, CASE WHEN length(raw) % 3 > 0 AND page_id % 10 <> 0 AND coalesce(u, '') <> '' THEN u ELSE '{PORTAL}/knowledgebase/article/details/ais/' || k END AS url FROM b WHERE {art})
+          SELECT 'art_' || k AS doc_id, CASE WHEN page_id % 7 = 0 THEN '' ELSE host END AS title, {O.canonical(PORTAL)} AS url, host AS category, 'instruction' AS doc_type, md5(t) AS md5 FROM c""",
+        "feedback_log": "SELECT CASE turn % 3 WHEN 0 THEN 'like' ELSE 'dislike' END AS type, md5(text) AS question, role || ' ' || conv_id AS answer FROM conversations WHERE turn % 3 < 2",
+        "cache_written": f"SELECT md5({O.strip('lower(text)')}) AS cache_key, conv_id || '/' || turn AS answer, '2024-05-01 13:00:00' AS expires_at FROM conversations",
+        "token_lines": "SELECT CASE turn % 4 WHEN 0 THEN 'token' WHEN 1 THEN 'done' ELSE 'error' END AS kind, md5(CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN role ELSE 'e' || turn END) AS md5 FROM conversations WHERE turn % 4 < 3 AND NOT (turn % 4 = 0 AND coalesce(text, '') = '')",
+        "parsed_envelopes": "SELECT conv_id, turn, role, role AS meta, md5(t) AS md5 FROM (SELECT *, CASE WHEN turn % 5 = 0 THEN repeat(text, 9) ELSE text END AS t FROM conversations) WHERE turn % 3 <> 2 AND conv_id % 7 <> 0 AND length(t) BETWEEN 1 AND 1000",
         "embedding_report": f"""WITH z AS (SELECT item_id AS conv_id, 0 AS turn, {norm("text")} AS text FROM benchmark), {O.expanded("z")}, said AS (SELECT conv_id AS item_id, 'search_query: ' || t AS t FROM r)
           SELECT item_id, md5(t) AS normalized_md5, 256::BIGINT AS dimension, 1.0::DOUBLE AS norm FROM said""",
     }
