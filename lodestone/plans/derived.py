@@ -133,7 +133,7 @@ def _articles(spark, d):
     p, i = _read(spark, d, "pages"), F.col("page_id")
     raw = F.when(i % 11 == 0, F.concat(F.lit("<a href='x.PDF'>"), i.cast("string"), F.lit("</a>"))).when(i % 13 == 0, "").when(i % 17 == 0, F.concat(F.lit("<p>кратко "), i.cast("string"), F.lit("</p>"))).otherwise(F.col("html"))
     host = F.regexp_extract("url", "://([^/]+)", 1)
-    return p.select(F.when(i % 5 != 0, i.cast("string")).alias("staticId"), F.when(i % 10 == 0, "").when(i % 5 == 0, F.concat(F.lit("i"), i.cast("string"))).alias("id"), F.when(i % 7 == 0, " ").otherwise(host).alias("title"), raw.alias("raw"), X.clean_html(raw).alias("text"), F.when(i % 4 != 0, F.array(F.concat(F.lit("s"), (i % 3).cast("string")), host)).alias("kinds"), host.alias("category"))
+    return p.select(F.when(i % 5 != 0, i.cast("string")).alias("staticId"), F.when(i % 10 == 0, "").when(i % 5 == 0, F.concat(F.lit("i"), i.cast("string"))).alias("id"), F.when(i % 7 == 0, " ").otherwise(host).alias("title"), "page_id", "url", raw.alias("raw"), X.clean_html(raw).alias("text"), F.when(i % 4 != 0, F.array(F.concat(F.lit("s"), (i % 3).cast("string")), host)).alias("kinds"), host.alias("category"))
 
 
 def article_issues(spark, d):
@@ -193,12 +193,11 @@ def embedding_report(spark, d):
 
 
 def _article_files(spark, d) -> str:
-    """The articles as files of JSON arrays, some hundred to a file."""
-    a = _articles(spark, d).join(_read(spark, d, "pages").select(F.col("page_id").cast("string").alias("p"), "url"), F.coalesce(F.nullif("staticId", F.lit("")), F.regexp_extract("id", "[0-9]+", 0)) == F.col("p"), "left")
-    one = F.to_json(F.struct("staticId", "id", F.col("title").alias("largeName"), F.col("category").alias("serviceName"), F.when(F.length("raw") % 2 == 0, F.col("raw")).alias("detailText"), F.when(F.length("raw") % 2 == 1, F.col("raw")).alias("previewText"), F.when(F.length("raw") % 3 > 0, F.col("url")).alias("url")))
-    files = a.select(one.alias("o"), F.pmod(F.xxhash64("raw", "title"), F.lit(64)).alias("file"))  # about a 64th of the pages each
+    """The articles as files of JSON arrays, 100 to a file."""
+    n = F.length("raw")
+    one = F.to_json(F.struct("staticId", "id", F.col("title").alias("largeName"), F.col("category").alias("serviceName"), F.when(n % 2 == 0, F.col("raw")).alias("detailText"), F.when(n % 2 == 1, F.col("raw")).alias("previewText"), F.when((n % 3 > 0) & (F.col("page_id") % 10 != 0), F.col("url")).alias("url")))
     path = folders.new_folder(spark, "articles")
-    arrays = files.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("o"), ", "), F.lit("]")).alias("value"))
+    arrays = _articles(spark, d).groupBy(F.expr("page_id div 100").alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ", "), F.lit("]")).alias("value"))
     arrays.write.partitionBy("file").text(path)
     return path
 
@@ -209,6 +208,49 @@ def article_scan(spark, d):
     return got.select("doc_id", "title", "url", "category", "doc_type", F.md5("text").alias("md5"))
 
 
+def _regulation_files(spark, d) -> str:
+    """Pages as files of regulations, each an object with a list of pages; some without an id."""
+    p, i = _read(spark, d, "pages"), F.col("page_id")
+    one = F.struct(F.when(i % 6 != 0, F.concat(F.lit("r"), i.cast("string"))).otherwise("").alias("contentItemId"), F.regexp_extract("url", "://([^/]+)", 1).alias("displayText"), F.when(i % 4 != 0, F.col("url")).alias("url"), F.struct("html").alias("content"))
+    files = p.groupBy(F.expr("page_id div 100").alias("file")).agg(F.to_json(F.struct(F.collect_list(one).alias("pages"))).alias("value"))
+    path = folders.new_folder(spark, "regulations")
+    files.write.partitionBy("file").text(path)
+    return path
+
+
+def _cleaned_files(spark, d) -> str:
+    """Documents as files of a cleaned knowledge base: 500 ids to a file, an array in the order of ids."""
+    one = F.struct("doc_id", F.to_json(F.struct("text", F.col("source").alias("title"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.col("lang").alias("category"))).alias("o"))
+    rows = _read(spark, d, "documents").groupBy(F.expr("doc_id div 500").alias("file")).agg(F.array_sort(F.collect_list(one)).alias("s"))
+    path = folders.new_folder(spark, "cleaned")
+    rows.select("file", F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: x["o"]), ",\n"), F.lit("]")).alias("value")).write.partitionBy("file").text(path)
+    return path
+
+
+def regulation_scan(spark, d):
+    """Regulations read from JSON files that were written from the pages."""
+    got = readers.regulations(spark, _regulation_files(spark, d), PORTAL)
+    return got.select("doc_id", "title", "url", "doc_type", "file_name", F.md5("text").alias("md5"))
+
+
+def document_union(spark, d):
+    """All documents of three kinds of files, in the order of their sources."""
+    parts = [readers.articles(spark, _article_files(spark, d), PORTAL), readers.regulations(spark, _regulation_files(spark, d), PORTAL), readers.cleaned(spark, _cleaned_files(spark, d))]
+    return readers.union(*parts).groupBy("source_ord", "doc_type").agg(F.count("*").alias("documents"), F.sum(F.length("text")).alias("chars"), F.countDistinct("doc_id").alias("ids"))
+
+
+def directory_ingest(spark, d):
+    """Records of a folder of files, numbered within their files."""
+    got = readers.directory_records(spark, _cleaned_files(spark, d), "*.txt")
+    get = lambda name: F.try_variant_get("record", f"$.{name}", "string")
+    return got.select("place", get("url").alias("url"), F.md5(get("text")).alias("md5"))
+
+
+def file_inventory(spark, d):
+    """Files below a folder by extension."""
+    return readers.inventory(spark, _cleaned_files(spark, d)).where("ext = 'txt'").select("ext", "files")
+
+
 def feedback_log(spark, d):
     """Likes and dislikes of messages, appended in two runs and read back; other kinds are not kept."""
     path = folders.new_folder(spark, "feedback")
@@ -336,6 +378,15 @@ def oracle_sql() -> dict[str, str]:
         "article_scan": f"""WITH a AS (SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN page_id::VARCHAR WHEN page_id % 10 = 0 THEN NULL ELSE 'i' || page_id END AS key, {raw} AS raw, regexp_extract(url, '://([^/]+)', 1) AS host, url AS u FROM pages),
           b AS (SELECT *, {clean} AS t, coalesce(key, 'unknown') AS k FROM a), c AS (SELECT *, CASE WHEN length(raw) % 3 > 0 AND page_id % 10 <> 0 AND coalesce(u, '') <> '' THEN u ELSE '{PORTAL}/knowledgebase/article/details/ais/' || k END AS url FROM b WHERE {art})
           SELECT 'art_' || k AS doc_id, CASE WHEN page_id % 7 = 0 THEN '' ELSE host END AS title, {O.canonical(PORTAL)} AS url, host AS category, 'instruction' AS doc_type, md5(t) AS md5 FROM c""",
+        "regulation_scan": f"""WITH a AS (SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS host, CASE WHEN page_id % 4 <> 0 AND coalesce(url, '') <> '' THEN url ELSE '{PORTAL}/knowledgebase/article/details/cms/r' || page_id END AS url, coalesce(html, '') AS raw FROM pages WHERE page_id % 6 <> 0), b AS (SELECT *, {clean} AS t FROM a)
+          SELECT 'reg_r' || page_id AS doc_id, host AS title, CASE WHEN page_id % 4 = 0 AND length('r' || page_id) < 20 THEN url ELSE {O.canonical(PORTAL)} END AS url, 'legislation' AS doc_type, 'r' || page_id || '.html' AS file_name, md5(t) AS md5 FROM b WHERE length(t) >= 50""",
+        "document_union": f"""WITH a AS (SELECT page_id, CASE WHEN page_id % 5 <> 0 THEN page_id::VARCHAR WHEN page_id % 10 = 0 THEN 'unknown' ELSE 'i' || page_id END AS k, {raw} AS raw FROM pages), b AS (SELECT *, {clean} AS t FROM a),
+          r AS (SELECT page_id, coalesce(html, '') AS raw FROM pages WHERE page_id % 6 <> 0), q AS (SELECT *, {clean} AS t FROM r)
+          SELECT 0 AS source_ord, 'instruction' AS doc_type, count(*) AS documents, sum(length(t))::BIGINT AS chars, count(DISTINCT k) AS ids FROM b WHERE {art} HAVING count(*) > 0
+          UNION ALL SELECT 1, 'legislation', count(*), sum(length(t))::BIGINT, count(DISTINCT page_id) FROM q WHERE length(t) >= 50 HAVING count(*) > 0
+          UNION ALL SELECT 2, 'instruction', count(*), sum(length(text))::BIGINT, count(DISTINCT (doc_id, text)) FROM documents WHERE coalesce(text, '') <> '' HAVING count(*) > 0""",
+        "directory_ingest": "SELECT row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) AS place, 'u' || doc_id AS url, md5(text) AS md5 FROM documents",
+        "file_inventory": "SELECT 'txt' AS ext, count(DISTINCT doc_id // 500) AS files FROM documents",
         "feedback_log": "SELECT CASE turn % 3 WHEN 0 THEN 'like' ELSE 'dislike' END AS type, md5(text) AS question, role || ' ' || conv_id AS answer FROM conversations WHERE turn % 3 < 2",
         "cache_written": f"SELECT md5({O.strip('lower(text)')}) AS cache_key, conv_id || '/' || turn AS answer, '2024-05-01 13:00:00' AS expires_at FROM conversations",
         "token_lines": "SELECT CASE turn % 4 WHEN 0 THEN 'token' WHEN 1 THEN 'done' ELSE 'error' END AS kind, md5(CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN role ELSE 'e' || turn END) AS md5 FROM conversations WHERE turn % 4 < 3 AND NOT (turn % 4 = 0 AND coalesce(text, '') = '')",
