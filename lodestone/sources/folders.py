@@ -13,7 +13,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        if not sc.master.startswith("local["):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lodestone-")  # one process, as in tests
     return f"{base}/{name}-{uuid.uuid4().hex}"
