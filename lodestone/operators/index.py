@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import tokens
 from ..sources import folders
@@ -157,7 +157,7 @@ def build_postings(docs: DataFrame, path: str, key: str, text: str = "text", k1:
     kind = docs.schema[key].dataType
     ddl = _ddl(kind.simpleString())
     made = words.mapInArrow(_postings(k1, b, mean, segment_rows, to_arrow_type(kind)), ddl).withColumn("bucket", _buckets(buckets))
-    spread = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets))
+    spread = -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets)  # several keys a partition, so that they are even
     dealt = made.repartition("bucket", F.pmod(F.col("segment") % 1_000_003, F.lit(spread))).sortWithinPartitions("bucket", "term", "segment")
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
     blocks = spark.read.schema(ddl + ", bucket int").parquet(f"{path}/blocks").where("bucket >= 0")
@@ -276,10 +276,12 @@ def search_text(spark: SparkSession, path: str, queries: DataFrame, query_key: s
         found = _block_hits(spark, path, rows, meta, blocks, k, first)
         if found is not None:
             hits, keys = found
+            by = Window.partitionBy("q").orderBy(F.desc("score"))  # equal scores all stay until their keys are known
+            hits = hits.select("q", "segment", "ord", F.round("score", 6).alias("score")).withColumn("r", F.rank().over(by)).where(F.col("r") <= k)
             names = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(keys))), "name": pa.array(keys)})).select(F.col("q").alias("__q"), F.col("name").cast(kinds[1]).alias(query_key))
             parts.append(hits.join(segments, "segment").select(F.col("q").alias("__q"), F.element_at("keys", F.col("ord") + 1).alias(doc_key), "score").join(F.broadcast(names), "__q"))
     found = retrieval._union(parts, lambda: spark.createDataFrame([], f"{query_key} {kinds[1]}, {doc_key} {kinds[0]}, score double"))
-    return retrieval.top(found.select(query_key, doc_key, F.round("score", 6).alias("score")), query_key, "score", doc_key, k)
+    return retrieval.top(found.select(query_key, doc_key, "score"), query_key, "score", doc_key, k)
 
 
 def _block_hits(spark: SparkSession, path: str, rows: list, meta, blocks: DataFrame, k: int, first: int) -> tuple[DataFrame, list] | None:
@@ -312,11 +314,25 @@ def _block_hits(spark: SparkSession, path: str, rows: list, meta, blocks: DataFr
     return one.unionByName(score(late)), asked.keys
 
 
-def _near(shared, d: int, k: int, threshold: float | None):
-    """The k best of each batch for the queries that are held against its cells."""
+def _best_of(parts: list[pa.RecordBatch], k: int) -> list[pa.RecordBatch]:
+    """The k best of each query among (q, key, score, rough); equal scores, to 6 digits, go to the smaller key."""
+    if not parts:
+        return []
+    table = pa.Table.from_batches(parts)
+    table = table.take(pc.sort_indices(table, sort_keys=[("q", "ascending"), ("rough", "descending"), ("key", "ascending")]))
+    q = table.column("q").to_numpy()
+    first = np.flatnonzero(np.diff(q, prepend=-1))
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return table.filter(pa.array(place < k)).combine_chunks().to_batches()
+
+
+def _near(shared, d: int, k: int, threshold: float | None, held_rows: int = 200_000):
+    """The k best of a task for the queries that are held against its cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, need, gap, reach = shared.value  # unit queries, (queries x cells), distances to the centres, distance of the k-th best so far
+        found: list[pa.RecordBatch] = []
+        held = 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
@@ -338,7 +354,14 @@ def _near(shared, d: int, k: int, threshold: float | None):
                         if threshold is not None:
                             hit = hit & (np.floor(score * 1e6 + 0.5) / 1e6 >= threshold)
                         i, r = retrieval._best(score, hit, order[live], k)
-                        yield pa.RecordBatch.from_arrays([pa.array(some[i]), part.column("key").take(pa.array(live[r])), pa.array(score[i, r])], ["q", "key", "score"])
+                        best = score[i, r]
+                        found.append(pa.RecordBatch.from_arrays([pa.array(some[i]), part.column("key").take(pa.array(live[r])), pa.array(best), pa.array(np.floor(best * 1e6 + 0.5))], ["q", "key", "score", "rough"]))
+                        held += len(i)
+                        if held > held_rows:
+                            found = _best_of(found, k)
+                            held = 0  # what is kept is at most k a query
+        for x in _best_of(found, k):
+            yield x.select(["q", "key", "score"])
 
     return run
 
@@ -383,6 +406,6 @@ def search_vectors(spark: SparkSession, path: str, queries: DataFrame, query_key
             seen.append((int((need | late).sum()), int(np.isfinite(least).sum())))
         found = one.unionByName(hits(late, reach)) if late.any() else one
         names = spark.createDataFrame(pa.table({"q": pa.array(np.arange(len(rows))), "name": pa.array([r["k"] for r in rows])})).select(F.col("q").alias("__q"), F.col("name").cast(kinds[1]).alias(query_key))
-        parts.append(found.withColumnRenamed("q", "__q").join(F.broadcast(names), "__q").select(query_key, F.col("key").alias(point_key), "score"))
-    found = retrieval._union(parts, lambda: spark.createDataFrame([], f"{query_key} {kinds[1]}, {point_key} {kinds[0]}, score double"))
-    return retrieval.top(found, query_key, "score", point_key, k)
+        best = retrieval.top(found, "q", "score", "key", k).withColumnRenamed("q", "__q")
+        parts.append(best.join(F.broadcast(names), "__q").select(query_key, F.col("key").alias(point_key), "score", "rank"))
+    return retrieval._union(parts, lambda: spark.createDataFrame([], f"{query_key} {kinds[1]}, {point_key} {kinds[0]}, score double, rank long"))
