@@ -12,9 +12,9 @@ therefore leaves every partner at least one signature in common:
 Candidates are verified exactly, on whole sets. Groups are never expanded into all pairs: every
 document is first paired with one leader (the smallest it meets of about its size), then with a few
 drawn leaders of other components. After that, all pairs below a signature that are in different
-components are bounded by histograms, in blocks, and verified where the bound allows the similarity.
-Skipping pairs inside a component loses nothing. Sets that are equal are one node from
-the start, by a 128-bit sum.
+components are bounded by histograms, in blocks, and verified where the bound allows the similarity: in
+rounds of two pairs a component where they are many, as pairs inside a component need no look. Sets
+that are equal are one node from the start, by a 128-bit sum.
 """
 
 from __future__ import annotations
@@ -495,7 +495,7 @@ def _bounded(least: int):
         run, runs = rows.column("run").to_numpy(), rows.column("runs").combine_chunks()
         runs = runs if isinstance(runs, pa.Array) else runs.chunk(0)
         of, start = runs.flatten().to_numpy(), np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy())])
-        u, v = [], []
+        u, v, cu, cv, bound = [], [], [], [], []
         edge = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1], [True]]))
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             m = a + int((side[a:b] == 0).sum())
@@ -505,17 +505,23 @@ def _bounded(least: int):
                 y = ys[fit]
                 for counts in (rough, table):
                     most = np.minimum(counts[y], counts[x]).sum(axis=1, dtype=np.int64)
-                    y = y[(100 + least) * most >= least * (n[x] + n[y])]
+                    may = (100 + least) * most >= least * (n[x] + n[y])
+                    y, most = y[may], most[may]
                 if len(y):  # a pair counts below the first of the runs that it shares
                     mine = set(of[start[x] : start[x + 1]].tolist())
-                    y = y[[next(r for r in of[start[k] : start[k + 1]].tolist() if r in mine) == run[x] for k in y.tolist()]]
+                    own = np.array([next(r for r in of[start[k] : start[k + 1]].tolist() if r in mine) == run[x] for k in y.tolist()])
+                    y, most = y[own], most[own]
+                up = ids[y] > ids[x]
                 u.append(np.maximum(ids[y], ids[x]))
                 v.append(np.minimum(ids[y], ids[x]))
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
-        pair = np.unique(np.stack([u, v]), axis=1)
+                cu.append(np.where(up, comp[y], comp[x]))
+                cv.append(np.where(up, comp[x], comp[y]))
+                bound.append(1000 * most // (n[x] + n[y] - most))
+        found = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v, cu, cv, bound)]
+        pair = np.unique(np.stack(found), axis=1)
         del rows, table, rough
         B.release()
-        return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pair], ["u", "v", "cu", "cv", "bound"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -534,7 +540,7 @@ def _bounded(least: int):
 
 
 def _apart(docs: DataFrame, member: DataFrame, width: int, least: int, block: int = 1024) -> DataFrame:
-    """All pairs below a signature in different components, but those that an exact bound excludes.
+    """All pairs below a signature in different components (cu, cv), but those that an exact bound excludes; bound: the most that the similarity can be, in thousandths.
 
     The documents outside a run's largest component are its queries, and all its members are the rows;
     both are dealt in blocks, and a unit of work is one block against one block, so that a large run is
@@ -551,7 +557,32 @@ def _apart(docs: DataFrame, member: DataFrame, width: int, least: int, block: in
     y = rows.withColumn("j", dealt("ys")).withColumn("i", spread("xs")).withColumn("side", F.lit(1))
     unit = x.unionByName(y).select(F.xxhash64("run", "i", "j").alias("unit"), "side", "run", "runs", "doc_id", "n", "comp", "major", "histogram")
     unit = unit.repartition(n, "unit").sortWithinPartitions("unit", "side", "doc_id")
-    return unit.mapInArrow(_bounded(least), "u long, v long").distinct()
+    return unit.mapInArrow(_bounded(least), "u long, v long, cu long, cv long, bound long").distinct()
+
+
+def _joined(named: DataFrame, open_: DataFrame, comp: DataFrame, width: int, least: int, rounds: int = 4) -> DataFrame:
+    """The components after all pairs (u, v, cu, cv, bound) are decided.
+
+    While there are many more pairs than components, a round verifies two pairs of each component, the one
+    of the largest bound and one drawn by hash; pairs that the links put into one component need no look
+    any more. What is left after that is verified whole.
+    """
+    for k in range(rounds):
+        sides = open_.select(F.col("cu").alias("c"), "u", "v", "bound").unionByName(open_.select(F.col("cv").alias("c"), "u", "v", "bound"))
+        pair = F.struct("u", "v")
+        best = B.cut_small(sides.groupBy("c").agg(F.max_by(pair, F.struct("bound", F.xxhash64("u", "v"))).alias("p"), F.min_by(pair, F.xxhash64("u", "v", F.lit(k))).alias("q")))
+        if open_.count() <= 4 * best.count():
+            break
+        some = B.cut_small(best.select("p.u", "p.v").unionByName(best.select("q.u", "q.v")).distinct())
+        links = B.cut_small(_verified(named, some, width, least))
+        if links.isEmpty():
+            break
+        comp = B.cut_small(connected(links.unionByName(comp.toDF("u", "v"))))
+        left = open_.join(some, ["u", "v"], "left_anti").select("u", "v", "bound")
+        left = left.join(comp.toDF("u", "cu"), "u", "left").join(comp.toDF("v", "cv"), "v", "left")
+        left = left.select("u", "v", F.coalesce("cu", "u").alias("cu"), F.coalesce("cv", "v").alias("cv"), "bound")
+        open_ = B.cut_small(left.where("cu <> cv"))
+    return B.cut_small(connected(_verified(named, open_.select("u", "v"), width, least).unionByName(comp.toDF("u", "v"))))
 
 
 def _linked(named: DataFrame, width: int, least: int, sketch_bits: int, heavy: int, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
@@ -571,13 +602,11 @@ def _linked(named: DataFrame, width: int, least: int, sketch_bits: int, heavy: i
     led = B.cut_small(dealt(2).mapInArrow(_first_leaders, "u long, v long").distinct())
     links = _verified(named, led, width, least).unionByName(equal)
     comp = B.cut_small(connected(links))
-    tried = led
     runs = B.cut_small(dealt(3).mapInArrow(_runs, "run long, doc_id long, n long").unionByName(_rows_of(index, 6, "run", "doc_id", "n").distinct()))
     pairs = B.cut_small(_leading(_members(runs, comp)).join(led, ["u", "v"], "left_anti"))
     comp = B.cut_small(connected(_verified(named, pairs, width, least).unionByName(comp.toDF("u", "v"))))
-    rest = _apart(named, _members(runs, comp), width, least).join(led, ["u", "v"], "left_anti")
-    rest = B.cut_small(rest.join(pairs, ["u", "v"], "left_anti"))
-    comp = B.cut_small(connected(_verified(named, rest, width, least).unionByName(comp.toDF("u", "v"))))
+    rest = B.cut_small(_apart(named, _members(runs, comp), width, least).join(led.unionByName(pairs), ["u", "v"], "left_anti"))
+    comp = _joined(named, rest, comp, width, least)
 
     return meta.select("doc_id", F.col("n").alias("n_shingles")), comp
 

@@ -101,3 +101,25 @@ def test_decontamination_is_its_sql(spark, tmp_path):
     want = duckdb.sql(f"SELECT {', '.join(got.columns)} FROM ({decontaminate.OP7_SQL})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert [r[3] for r in sorted(want)] == [3, 2, 0, 0, 2]
+
+
+def test_ngram_join_in_rounds(spark):
+    """Many pairs near the threshold: what rounds decide is what all pairs decide."""
+    import random
+
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(70):
+        words = base.copy()
+        for k in r.sample(range(200), r.choice([2, 3, 4, 5, 6])):
+            words[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(words)))
+    want = {k[0]: k[2] for k in map(tuple, brute.components(rows, 5, 80))}
+    docs = corpus.frame(spark, rows).select("doc_id", "text")
+    pairs = [(max(a, b), min(a, b)) for a in range(70) for b in range(a)]
+    open_ = spark.createDataFrame([(u, v, u, v, 900 - (u * 7 + v) % 300) for u, v in pairs], "u long, v long, cu long, cv long, bound long")
+    none = spark.createDataFrame([], "node long, component long")
+    for rounds in (0, 1, 4):
+        got = {x.node: x.component for x in ngram_join._joined(docs, open_, none, 5, 80, rounds).collect()}
+        assert {i: got.get(i, i) for i in range(70)} == want
