@@ -23,9 +23,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id goes on; all without doc_id do."""
+    """Of each group of linked documents the one with the smallest doc_id goes on; of rows that share that id, the first in order.
+
+    Rows without doc_id have no links; of equal ones one goes on.
+    """
     found = ngram_join.similar_components(docs)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    again = _bytes.cut_small(docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    met = kept.join(again.withColumnRenamed("doc_id", "again"), same, "left_semi")
+    others = F.struct(*[F.col(c) for c in COLUMNS if c != "doc_id"])
+    own = F.when(F.col("doc_id").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256))  # rows without id are told apart by their texts
+    one = met.groupBy("doc_id", own.alias("own")).agg(F.min(others).alias("x")).select("doc_id", "x.*").select(*COLUMNS)
+    return kept.join(again.withColumnRenamed("doc_id", "again"), same, "left_anti").unionByName(one)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +72,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's folder is removed when the next one has been written from it; the last is read by the result and stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{_bytes.shared_dir(spark)}/corpus_pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
@@ -67,4 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return docs
