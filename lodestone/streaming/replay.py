@@ -16,7 +16,7 @@ def deal(df: DataFrame, by: str, batches: int, path: str) -> None:
     for high in [*cuts, None]:
         some = df if low is None else df.where(F.col(by) > low)
         some = some if high is None else some.where(F.col(by) <= high)
-        some.coalesce(1).write.mode("append").parquet(path)
+        some.repartition(1).write.mode("append").parquet(path)
         low = high
 
 
