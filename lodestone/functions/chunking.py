@@ -9,10 +9,13 @@ from html.parser import HTMLParser
 from itertools import pairwise
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from .batches import parts
+
 SIZE, OVERLAP = 750, 120
 # Where a text may be cut, best first.
 SEPARATORS = ["\n\n", "\n- ", "\n* ", "\n1. ", "\n2. ", "\n3. ", "\n4. ", "\n5. ", "\n", ". ", ";\n", "; ", ", ", " "]
@@ -182,6 +185,7 @@ def chunk_statute(doc: dict, size: int = SIZE, overlap: int = OVERLAP) -> list[d
 
 
 _SHAPE = "array<struct<section:string,step_number:string,images:array<string>,text:string>>"
+_ARROW = pa.list_(pa.struct([("section", pa.string()), ("step_number", pa.string()), ("images", pa.list_(pa.string())), ("text", pa.string())]))
 
 
 def split(text, size: int = SIZE, overlap: int = OVERLAP) -> Column:
@@ -194,25 +198,28 @@ def split(text, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     return run(F.col(text) if isinstance(text, str) else text)
 
 
-def chunks(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+def chunks(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP, part_bytes: int = 1 << 20) -> DataFrame:
     """One row for each chunk of documents (doc_id, title, url, category, doc_type, text).
 
     Statutes (doc_type legislation) and instructions are divided each in their way; chunk_index counts
     from 0 in each document, chunk_count is the document's number of chunks. Documents without text have
-    none.
+    none. A task divides about ``part_bytes`` of texts at a time (or one document).
     """
-
-    @pandas_udf(_SHAPE)
-    def run(title: pd.Series, category: pd.Series, kind: pd.Series, text: pd.Series) -> pd.Series:
-        out = []
-        for t, c, k, x in zip(title, category, kind, text, strict=True):
-            doc = {"title": t or "", "category": c or "", "text": x or ""}
-            out.append(chunk_statute(doc, size, overlap) if k == "legislation" else chunk_article(doc, size, overlap))
-        return pd.Series(out)
-
-    made = documents.withColumn("__c", run("title", "category", "doc_type", "text"))
-    made = made.select("doc_id", "title", "url", "category", "doc_type", F.size("__c").cast("long").alias("chunk_count"), F.posexplode("__c").alias("chunk_index", "c"))
-    return made.select("doc_id", "title", "url", "category", "doc_type", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_count", "c.section", "c.step_number", "c.images", "c.text")
+    columns = ["doc_id", "title", "url", "category", "doc_type"]
+    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in columns) + f", __c {_SHAPE}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, "text", part_bytes):
+                out = []
+                for t, c, k, x in zip(*(part.column(n).to_pylist() for n in ("title", "category", "doc_type", "text")), strict=True):
+                    doc = {"title": t or "", "category": c or "", "text": x or ""}
+                    out.append(chunk_statute(doc, size, overlap) if k == "legislation" else chunk_article(doc, size, overlap))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(out, _ARROW)], [*columns, "__c"])
+
+    made = documents.select(*columns, "text").mapInArrow(run, schema)
+    made = made.select(*columns, F.size("__c").cast("long").alias("chunk_count"), F.posexplode("__c").alias("chunk_index", "c"))
+    return made.select(*columns, F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_count", "c.section", "c.step_number", "c.images", "c.text")
 
 
 @pandas_udf(StringType())
