@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import batches as parted
 from ..functions.text import tokens
 
 DIMENSION = 256
@@ -41,8 +42,7 @@ def embed(df: DataFrame, text: str, out: str, model: Callable[[list[str]], np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, batch_rows if model else 1024):
-                part = batch.slice(lo, batch_rows if model else 1024)
+            for part in parted.parts(batch, text if model else "__tokens", 1 << 62 if model else 1 << 17, batch_rows if model else 1024):
                 null = part.column(text).is_null().to_numpy(zero_copy_only=False)
                 v = np.asarray(model(part.column(text).fill_null("").to_pylist()), float) if model else hashed_tokens(part.column("__tokens"))
                 keep = np.ascontiguousarray(v[~null]).ravel()

@@ -11,8 +11,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import batches as parted
 from ..functions.text import tokens
 
+#: Tokens of documents that a task has in hand at a time (or those of one document), and pairs of a token and a query.
+PART_TOKENS, PART_PAIRS = 1 << 17, 1 << 20
+
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, tf."""
@@ -40,6 +44,18 @@ def _best(score: np.ndarray, hit: np.ndarray, order: np.ndarray, k: int) -> tupl
     return np.concatenate(found_q), np.concatenate(found_r)
 
 
+def _best_of(parts: list[pa.RecordBatch], k: int) -> list[pa.RecordBatch]:
+    """The k best of each query among (q, key, score, rough); equal scores, to 6 digits, go to the smaller key."""
+    if not parts:
+        return []
+    table = pa.Table.from_batches(parts)
+    table = table.take(pc.sort_indices(table, sort_keys=[("q", "ascending"), ("rough", "descending"), ("key", "ascending")]))
+    q = table.column("q").to_numpy()
+    first = np.flatnonzero(np.diff(q, prepend=-1))
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return table.filter(pa.array(place < k)).combine_chunks().to_batches()
+
+
 def _in_order(keys: pa.Array) -> np.ndarray:
     """Each row's place among the keys."""
     out = np.empty(len(keys), np.int64)
@@ -98,33 +114,50 @@ def _statistics(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
         for batch in batches:
-            _row, term, _tf, length = asked.postings(batch.column("t"))
-            at, n = np.unique(term, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2]]).astype(np.int32)), pa.array(np.concatenate([n, [len(length), length.sum()]]).astype(np.int64))], ["term", "n"])
+            df, rows, total = np.zeros(len(asked.terms), np.int64), 0, 0
+            for part in parted.parts(batch, "t", PART_TOKENS):
+                _row, term, _tf, length = asked.postings(part.column("t"))
+                df += np.bincount(term, minlength=len(df))
+                rows, total = rows + len(length), total + int(length.sum())
+            at = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2]]).astype(np.int32)), pa.array(np.concatenate([df[at], [rows, total]]).astype(np.int64))], ["term", "n"])
 
     return run
 
 
-def _scored(shared, k: int, k1: float, b: float, rows: int = 2048, queries: int = 512):
+def _scored(shared, k: int, k1: float, b: float, queries: int = 512, held_rows: int = 200_000):
+    """The k best of a task for each query."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, idf, mean = shared.value
         names = pa.array(asked.keys)
+        found: list[pa.RecordBatch] = []
+        held = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, rows):
-                part = batch.slice(lo, rows)
-                row, term, tf, length = asked.postings(part.column("t"))
-                weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / mean))
-                row, term, weight = row[weight > 0], term[weight > 0], weight[weight > 0]
+            for part in parted.parts(batch, "t", PART_TOKENS):
+                every, term, tf, length = asked.postings(part.column("t"))
+                weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[every] / mean))
+                every, term, weight = every[weight > 0], term[weight > 0], weight[weight > 0]
+                many = asked.begin[term + 1] - asked.begin[term]
                 order = _in_order(part.column("k"))
-                n = asked.begin[term + 1] - asked.begin[term]
-                at = np.arange(int(n.sum())) + np.repeat(asked.begin[term] - np.cumsum(n) + n, n)
-                query, of, value = asked.query[at], np.repeat(row, n), np.repeat(weight, n) * asked.times[at]
-                for a in range(0, len(asked.keys), queries):
-                    some = (query >= a) & (query < a + queries)
-                    many = min(queries, len(asked.keys) - a)
-                    score = np.bincount((query[some] - a) * part.num_rows + of[some], weights=value[some], minlength=many * part.num_rows).reshape(many, -1)
-                    q, r = _best(score, score > 0, order, k)
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q + a)), part.column("k").take(pa.array(r)), pa.array(score[q, r])], ["q", "k", "score"])
+                for lo, hi in parted.runs(np.bincount(every, weights=many, minlength=part.num_rows).astype(np.int64), PART_PAIRS, part.num_rows):
+                    own = slice(*np.searchsorted(every, [lo, hi]))
+                    row, n, first = every[own] - lo, many[own], asked.begin[term[own]]
+                    at = np.arange(int(n.sum())) + np.repeat(first - np.cumsum(n) + n, n)
+                    query, of, value = asked.query[at], np.repeat(row, n), np.repeat(weight[own], n) * asked.times[at]
+                    for a in range(0, len(asked.keys), queries):
+                        some = slice(None) if len(asked.keys) <= queries else (query >= a) & (query < a + queries)
+                        block = min(queries, len(asked.keys) - a)
+                        score = np.bincount((query[some] - a) * (hi - lo) + of[some], weights=value[some], minlength=block * (hi - lo)).reshape(block, -1)
+                        q, r = _best(score, score > 0, order[lo:hi], k)
+                        best = score[q, r]
+                        found.append(pa.RecordBatch.from_arrays([pa.array(q + a), part.column("k").take(pa.array(lo + r)), pa.array(best), pa.array(np.floor(best * 1e6 + 0.5))], ["q", "key", "score", "rough"]))
+                        held += len(q)
+                        if held > held_rows:
+                            found = _best_of(found, k)
+                            held = 0  # what is kept is at most k a query
+        for x in _best_of(found, k):
+            yield pa.RecordBatch.from_arrays([names.take(x.column("q")), x.column("key"), x.column("score")], ["q", "k", "score"])
 
     return run
 
@@ -137,7 +170,7 @@ def bm25(
     The queries are a stated set, taken to all documents in blocks of ``block_bytes`` of tokens. For each
     block the documents are read twice: once for the statistics of the block's terms (a number a term goes
     to the driver), once to score every document where it stands, against all queries. Only the k best of
-    a batch of rows go into an exchange, so the postings of a common word are never in one place.
+    a task go into an exchange, so the postings of a common word are never in one place.
     Scores are rounded to 6 digits before they are ranked; equal scores go to the smaller key.
     ``stop_share`` leaves out terms in more than that share of documents. Documents and queries without
     tokens find nothing.
@@ -208,40 +241,54 @@ def dense(queries: DataFrame, points: DataFrame, query_key: str, point_key: str,
     return top(found, query_key, "score", point_key, k)
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, text: str = "text", vector: str = "vector", k: int = 4) -> DataFrame:
-    """Dense and sparse lists of four times the k hits that are kept in the end, fused to as many."""
-    lists = [dense(queries, docs, query_key, doc_key, vector, 4 * k), bm25(docs, queries, doc_key, query_key, text, 4 * k)]
+def hybrid(docs: DataFrame, queries: DataFrame, doc_key: str, query_key: str, text: str = "text", vector: str = "vector", k: int = 4, texts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Dense and sparse lists of four times the k hits that are kept in the end, fused to as many.
+
+    ``texts`` are the same documents and queries where they need no vector: the sparse search reads its
+    documents twice, and would make vectors each time that it reads docs whose vectors are made on the way.
+    """
+    lists = [dense(queries, docs, query_key, doc_key, vector, 4 * k), bm25(*(texts or (docs, queries)), doc_key, query_key, text, 4 * k)]
     return fuse(lists, query_key, doc_key, 4 * k)
 
 
-def _weights(k1: float, b: float, mean: float, columns: list[str]):
-    """Batches with ``sparse``, a map of each distinct token of ``__t`` to its weight, in the order of first use."""
+def _weights(k1: float, b: float, mean: float, columns: list[str], vector: bool):
+    """Batches with ``sparse``, a map of each distinct token of ``__t`` to its weight, in the order of first use, and the hashed ``vector``."""
+    from .embedding import hashed_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column("__t")
-            length = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
-            coded = words.flatten().dictionary_encode()
-            m = max(1, len(coded.dictionary))
-            pair, first, tf = np.unique(np.repeat(np.arange(len(length)), length) * m + coded.indices.to_numpy(), return_index=True, return_counts=True)
-            order = np.argsort(first, kind="stable")
-            row, term, tf = pair[order] // m, pair[order] % m, tf[order]
-            weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / mean))
-            offsets = np.searchsorted(row, np.arange(len(length) + 1)).astype(np.int32)
-            sparse = pa.MapArray.from_arrays(pa.array(offsets), coded.dictionary.take(pa.array(term)), pa.array(weight))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], sparse], [*columns, "sparse"])
+            for part in parted.parts(batch, "__t", PART_TOKENS):
+                words = part.column("__t")
+                length = parted.lengths(words)
+                coded = words.flatten().dictionary_encode()
+                m = max(1, len(coded.dictionary))
+                pair, first, tf = np.unique(np.repeat(np.arange(len(length)), length) * m + coded.indices.to_numpy(), return_index=True, return_counts=True)
+                order = np.argsort(first, kind="stable")
+                row, term, tf = pair[order] // m, pair[order] % m, tf[order]
+                weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / mean))
+                offsets = np.searchsorted(row, np.arange(len(length) + 1)).astype(np.int32)
+                made = [pa.MapArray.from_arrays(pa.array(offsets), coded.dictionary.take(pa.array(term)), pa.array(weight))]
+                if vector:
+                    null = words.is_null().to_numpy(zero_copy_only=False)
+                    v = hashed_tokens(words)
+                    ends = np.concatenate([[0], np.cumsum(np.where(null, 0, v.shape[1]))]).astype(np.int32)
+                    made.append(pa.ListArray.from_arrays(pa.array(ends, mask=np.append(null, False)), pa.array(np.ascontiguousarray(v[~null]).ravel())))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], *made], [*columns, "sparse", "vector"][: len(columns) + len(made)])
 
     return run
 
 
 def index_rows(chunks: DataFrame, key: str, text: str = "text", model=None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Chunks with what an index keeps of them: vector, sparse (map of term to BM25 weight without idf). See ``idf`` for the rest."""
+    """Chunks with what an index keeps of them: sparse (map of term to BM25 weight without idf), vector. See ``idf`` for the rest."""
     from .embedding import embed
 
     words = chunks.withColumn("__t", tokens(text))
     mean = words.agg(F.coalesce(F.avg(F.size("__t")), F.lit(1.0)).alias("m")).first()["m"] or 1.0
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema) + ", sparse map<string,double>"
-    return embed(words.mapInArrow(_weights(k1, b, mean, chunks.columns), schema), text, "vector", model)
+    columns = [c for c in chunks.columns if c != "vector"]
+    schema = ", ".join(f"`{c}` {chunks.schema[c].dataType.simpleString()}" for c in columns) + ", sparse map<string,double>"
+    if model is None:  # the vectors are made of the same tokens
+        return words.mapInArrow(_weights(k1, b, mean, columns, True), schema + ", vector array<double>")
+    return embed(words.mapInArrow(_weights(k1, b, mean, columns, False), schema), text, "vector", model)
 
 
 def idf(chunks: DataFrame, text: str = "text") -> DataFrame:

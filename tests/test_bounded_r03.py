@@ -52,3 +52,29 @@ def test_chunks_are_made_in_parts(spark):
 
 def asked(terms: int = 100, queries: int = 100):
     return retrieval._Asked([Row(k=q, t=[f"w{t}" for t in range(terms)]) for q in range(queries)])
+
+
+@pytest.mark.parametrize("part_tokens", [1 << 17, 1 << 12])
+def test_common_words_of_many_queries_are_met_in_parts(monkeypatch, part_tokens):
+    a = asked()
+    batch = pa.RecordBatch.from_pydict({"k": list(range(1000)), "t": [[f"w{t}" for t in range(100)] * (1 + i % 3) for i in range(1000)]})
+    shared = SimpleNamespace(value=(a, np.ones(100), 200.0))
+    run = retrieval._scored(shared, 3, 1.2, 0.75)
+    whole, most = peak(lambda: run(iter([batch])))
+    assert most < 120  # 10,000,000 pairs of a token and a query took 472
+    monkeypatch.setattr(retrieval, "PART_TOKENS", part_tokens, raising=False)
+    monkeypatch.setattr(retrieval, "PART_PAIRS", 1 << 14, raising=False)
+    rows = lambda xs: sorted((r["q"], r["k"], round(r["score"], 9)) for x in xs for r in x.to_pylist())
+    assert rows(run(iter([batch]))) == rows(whole) and len(rows(whole)) == 300  # the k best of the task
+
+
+def test_index_rows_are_made_in_parts_of_the_same_tokens(spark, monkeypatch):
+    texts = [(i, " ".join(f"w{i * j % 97}" for j in range(50)) if i % 9 else None) for i in range(300)]
+    df = spark.createDataFrame(texts, "id long, text string").coalesce(1)
+    seen = retrieval.index_rows(df, "id")
+    assert seen._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # weights and vectors in one pass
+    from lodestone.operators.embedding import embed as by_hand
+
+    want = {r.id: r.v for r in by_hand(df, "text", "v").collect()}
+    got = {r.id: r for r in seen.collect()}
+    assert {i: r.vector for i, r in got.items()} == want and got[9].sparse == {} and got[1].sparse.keys() == {f"w{j}" for j in range(50)}
