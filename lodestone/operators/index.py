@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions import batches as parted
 from ..functions.text import tokens
 from ..sources import folders
 from . import retrieval
@@ -49,11 +50,18 @@ def _postings(k1: float, b: float, mean: float, segment_rows: int, key_type: pa.
 
     def segment(table: pa.Table, number: int) -> Iterator[pa.RecordBatch]:
         table = table.take(pc.sort_indices(table, sort_keys=[("k", "ascending")]))
-        words = table.column("t").combine_chunks()
-        length = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)
-        coded = words.flatten().dictionary_encode()
-        row, m = np.repeat(np.arange(len(length)), length), max(1, len(length))
-        pair, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * m + row, return_counts=True)
+        length, m = parted.lengths(table.column("t").combine_chunks()), max(1, table.num_rows)
+        names: dict[str, int] = {}
+        pairs, tfs = [], []
+        for lo, hi in parted.runs(length, retrieval.PART_TOKENS, m):  # few tokens in hand at a time; each pair of term and row is in one part
+            coded = table.column("t").slice(lo, hi - lo).combine_chunks().flatten().dictionary_encode()
+            at = np.fromiter((names.setdefault(t, len(names)) for t in coded.dictionary.to_pylist()), np.int64)
+            pair, tf = np.unique(at[coded.indices.to_numpy()] * m + np.repeat(np.arange(lo, hi), length[lo:hi]), return_counts=True)
+            pairs.append(pair)
+            tfs.append(tf.astype(np.int32))
+        pair, tf = np.concatenate([np.zeros(0, np.int64), *pairs]), np.concatenate([np.zeros(0, np.int32), *tfs])
+        order = np.argsort(pair, kind="stable")
+        pair, tf = pair[order], tf[order]
         term, row = pair // m, pair % m
         weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / mean))
         begin = np.append(np.flatnonzero(np.diff(term, prepend=-1)), len(term)).astype(np.int32)
@@ -67,7 +75,7 @@ def _postings(k1: float, b: float, mean: float, segment_rows: int, key_type: pa.
         yield pa.RecordBatch.from_arrays([none, pa.nulls(1, pa.string()), pa.array([len(length)], pa.int32()), *[pa.nulls(1, f.type) for f in list(schema)[3:6]], pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)], schema=schema)
         if many:
             best = lists(np.append(0, np.cumsum(head)), weight[down][at], pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(many, number)), coded.dictionary.take(pa.array(term[begin[:-1]])), pa.array(n, pa.int32()), best, lists(begin, row, pa.int32()), lists(begin, weight, pa.float64()), pa.nulls(many, pa.list_(key_type))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(many, number)), pa.array(list(names), pa.string()).take(pa.array(term[begin[:-1]])), pa.array(n, pa.int32()), best, lists(begin, row, pa.int32()), lists(begin, weight, pa.float64()), pa.nulls(many, pa.list_(key_type))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, number = [], 0, TaskContext.get().partitionId() << 32
@@ -77,6 +85,7 @@ def _postings(k1: float, b: float, mean: float, segment_rows: int, key_type: pa.
                 if rows and rows + part.num_rows > segment_rows:
                     yield from segment(pa.Table.from_batches(held), number)
                     held, rows, number = [], 0, number + 1
+                    parted.release()
                 held.append(part)
                 rows += part.num_rows
         if rows:
@@ -228,12 +237,13 @@ def _scores(shared, k: int):
         use = np.flatnonzero(wanted[w.query] & (rows[w.term] > 0))
         query, term, factor = w.query[use], w.term[use], w.factor[use]
         asked = np.unique(query)
-        for lo in range(0, len(asked), 256):  # queries at a time
-            own = (query >= asked[lo]) & (query <= asked[min(lo + 255, len(asked) - 1)])
-            q, t, f = np.searchsorted(asked[lo : lo + 256], query[own]), term[own], factor[own]
+        load = np.bincount(np.searchsorted(asked, query), weights=rows[term], minlength=len(asked)).astype(np.int64)
+        for lo, hi in parted.runs(np.maximum(load, m), retrieval.PART_PAIRS, 256):  # queries at a time
+            own = (query >= asked[lo]) & (query <= asked[hi - 1])
+            q, t, f = np.searchsorted(asked[lo:hi], query[own]), term[own], factor[own]
             many = rows[t]
             place = np.arange(int(many.sum())) + np.repeat(begin[t] - np.cumsum(many) + many, many)
-            score = np.bincount(np.repeat(q, many) * m + ord_[place], weights=np.repeat(f, many) * weight[place], minlength=min(256, len(asked) - lo) * m).reshape(-1, m)
+            score = np.bincount(np.repeat(q, many) * m + ord_[place], weights=np.repeat(f, many) * weight[place], minlength=(hi - lo) * m).reshape(-1, m)
             best_q, best_o = retrieval._best(score, score > 0, np.arange(m), k)
             out_q.append(asked[lo + best_q])
             out_o.append(best_o)
@@ -314,18 +324,6 @@ def _block_hits(spark: SparkSession, path: str, rows: list, meta, blocks: DataFr
     return one.unionByName(score(late)), asked.keys
 
 
-def _best_of(parts: list[pa.RecordBatch], k: int) -> list[pa.RecordBatch]:
-    """The k best of each query among (q, key, score, rough); equal scores, to 6 digits, go to the smaller key."""
-    if not parts:
-        return []
-    table = pa.Table.from_batches(parts)
-    table = table.take(pc.sort_indices(table, sort_keys=[("q", "ascending"), ("rough", "descending"), ("key", "ascending")]))
-    q = table.column("q").to_numpy()
-    first = np.flatnonzero(np.diff(q, prepend=-1))
-    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-    return table.filter(pa.array(place < k)).combine_chunks().to_batches()
-
-
 def _near(shared, d: int, k: int, threshold: float | None, held_rows: int = 200_000):
     """The k best of a task for the queries that are held against its cells."""
 
@@ -358,9 +356,9 @@ def _near(shared, d: int, k: int, threshold: float | None, held_rows: int = 200_
                         found.append(pa.RecordBatch.from_arrays([pa.array(some[i]), part.column("key").take(pa.array(live[r])), pa.array(best), pa.array(np.floor(best * 1e6 + 0.5))], ["q", "key", "score", "rough"]))
                         held += len(i)
                         if held > held_rows:
-                            found = _best_of(found, k)
+                            found = retrieval._best_of(found, k)
                             held = 0  # what is kept is at most k a query
-        for x in _best_of(found, k):
+        for x in retrieval._best_of(found, k):
             yield x.select(["q", "key", "score"])
 
     return run

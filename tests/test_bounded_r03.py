@@ -68,6 +68,15 @@ def test_common_words_of_many_queries_are_met_in_parts(monkeypatch, part_tokens)
     assert rows(run(iter([batch]))) == rows(whole) and len(rows(whole)) == 300  # the k best of the task
 
 
+def test_a_segment_is_scored_in_parts():
+    weighted = index._Weighted(asked(), np.ones(100))
+    ords = list(range(1000))
+    blocks = pa.table({"segment": [1] * 100, "at": pa.array(range(100), pa.int32()), "ords": pa.array([ords] * 100, pa.list_(pa.int32())), "weights": [[1.0 + o % 7 for o in ords]] * 100, "qs": [list(range(100))] * 100})
+    (found,), most = peak(lambda: [index._scores(SimpleNamespace(value=weighted), 3)((pa.scalar(1),), blocks)])
+    assert most < 120 and found.num_rows == 300
+    assert set(found.column("ord").to_pylist()) == {6, 13, 20} and set(found.column("score").to_pylist()) == {700.0}
+
+
 def test_index_rows_are_made_in_parts_of_the_same_tokens(spark, monkeypatch):
     texts = [(i, " ".join(f"w{i * j % 97}" for j in range(50)) if i % 9 else None) for i in range(300)]
     df = spark.createDataFrame(texts, "id long, text string").coalesce(1)
