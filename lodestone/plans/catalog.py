@@ -154,8 +154,9 @@ def bm25_topk(spark, d):
 
 def _hybrid(spark, d):
     """Dense and sparse; each list and the fused one hold four times the hits that are kept in the end."""
-    docs, items = (embedding.embed(read(spark, d, t).select(k, "text"), "text", "vector") for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
-    return retrieval.hybrid(docs, items, "doc_id", "item_id", "text", "vector", TOP)
+    texts = tuple(read(spark, d, t).select(k, "text") for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    docs, items = (embedding.embed(x, "text", "vector") for x in texts)
+    return retrieval.hybrid(docs, items, "doc_id", "item_id", "text", "vector", TOP, texts)
 
 
 def hybrid_rrf_topk(spark, d):

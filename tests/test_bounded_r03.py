@@ -87,3 +87,11 @@ def test_index_rows_are_made_in_parts_of_the_same_tokens(spark, monkeypatch):
     want = {r.id: r.v for r in by_hand(df, "text", "v").collect()}
     got = {r.id: r for r in seen.collect()}
     assert {i: r.vector for i, r in got.items()} == want and got[9].sparse == {} and got[1].sparse.keys() == {f"w{j}" for j in range(50)}
+
+
+def test_texts_of_the_sparse_search_get_no_vectors(spark, tmp_path):
+    for name, key in (("documents", "doc_id"), ("benchmark", "item_id")):
+        spark.createDataFrame([(i, f"a b{i % 3} c{i}") for i in range(20)], f"{key} long, text string").write.parquet(str(tmp_path / f"{name}.parquet"))
+    hits = catalog.hybrid_rrf_topk(spark, str(tmp_path))
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3  # vectors, cosines, scores
+    assert hits.where("rank = 1 and item_id = doc_id").count() == 20
