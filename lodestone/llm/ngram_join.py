@@ -445,12 +445,26 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> Data
 
 def _members(runs: DataFrame, comp: DataFrame) -> DataFrame:
     """The members, with their components, of runs that hold more than one component; major: the component with most."""
-    member = B.cut_small(runs.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("run", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp")))
+    return _mixed(B.cut_small(runs.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("run", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))))
+
+
+def _mixed(member: DataFrame) -> DataFrame:
     sized = member.groupBy("run", "comp").agg(F.count("*").alias("c"))
     major = B.cut_small(sized.groupBy("run").agg(F.count("*").alias("k"), F.max_by("comp", F.struct("c", "comp")).alias("major")).where("k > 1"))
     return B.cut_small(member.join(major, "run").select("run", "doc_id", "n", "comp", "major"))
 
 
+def _merged(member: DataFrame) -> DataFrame:
+    """Runs whose members of the smallest and of the largest hash are the same, as one run of all their members.
+
+    The copies of one text meet below hundreds of signatures, each time nearly all of them. Whoever meets
+    below one of the runs meets in the merged one as well, which never has more members than they have in all.
+    """
+    h = F.xxhash64("doc_id")
+    of = B.cut_small(member.groupBy("run").agg(F.xxhash64(F.min(h), F.max(h)).alias("merged")))
+    return _mixed(B.cut_small(member.join(of, "run").select(F.col("merged").alias("run"), "doc_id", "n", "comp").distinct()))
+
+
 _CLOSE = "5 * x.n >= 4 * y.n and 5 * y.n >= 4 * x.n and x.comp <> y.comp"
 _ENDS = ["greatest(x.doc_id, y.doc_id) as u", "least(x.doc_id, y.doc_id) as v"]
 
@@ -605,7 +619,7 @@ def _linked(named: DataFrame, width: int, least: int, sketch_bits: int, heavy: i
     runs = B.cut_small(dealt(3).mapInArrow(_runs, "run long, doc_id long, n long").unionByName(_rows_of(index, 6, "run", "doc_id", "n").distinct()))
     pairs = B.cut_small(_leading(_members(runs, comp)).join(led, ["u", "v"], "left_anti"))
     comp = B.cut_small(connected(_verified(named, pairs, width, least).unionByName(comp.toDF("u", "v"))))
-    rest = B.cut_small(_apart(named, _members(runs, comp), width, least).join(led.unionByName(pairs), ["u", "v"], "left_anti"))
+    rest = B.cut_small(_apart(named, _merged(_members(runs, comp)), width, least).join(led.unionByName(pairs), ["u", "v"], "left_anti"))
     comp = _joined(named, rest, comp, width, least)
 
     return meta.select("doc_id", F.col("n").alias("n_shingles")), comp
