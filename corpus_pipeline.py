@@ -18,6 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in some language go on; those without a letter (``und``) go."""
+    _bytes.small_batches(spark)
     found = language.identify(docs, docs, keep=("text", "lang", "source", "n_chars"))
     return found.where("lang_pred <> 'und'").select(*COLUMNS)
 
@@ -27,8 +28,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without doc_id have no links; of equal ones one goes on.
     """
+    _bytes.small_batches(spark)
     found = ngram_join.similar_components(docs)
-    kept = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    gone = _bytes.cut_small(found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct())
+    kept = ngram_join.without(docs.select(*COLUMNS), gone)
     again = _bytes.cut_small(docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
     if again.isEmpty():
         return kept
@@ -42,6 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that start in an earlier document are cut out; documents of which nothing is left go."""
+    _bytes.small_batches(spark)
     found = substring_dedup.remove_repeats(docs, keep=("lang", "source", "n_chars"), with_text=True)
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
     return found.where("n_removed = 0 or n_removed < n_words").select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
@@ -49,6 +53,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    _bytes.small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.benchmark_hits(docs, items, keep=("text", "lang", "source", "n_chars")).where("not contaminated").select(*COLUMNS)
 
@@ -57,6 +62,7 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Sequences of 4096 token ids."""
     import public_tokenizers
 
+    _bytes.small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

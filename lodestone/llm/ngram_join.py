@@ -427,12 +427,26 @@ def _near(docs: DataFrame, ends: DataFrame) -> DataFrame:
     Which documents those are goes to the scan as a bitmap of at most 2**20 words of 64 bits, a bound
     that holds whatever the input; a join on ids decides exactly afterwards.
     """
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 26))
-    one = F.expr("shiftleft(1L, cast(pmod(s, 64) as int))")
-    words = ends.select(spot("id").alias("s")).groupBy(F.expr("s div 64").alias("word")).agg(F.bit_or(one).alias("bits"))
-    near = docs.select("doc_id", "text").withColumn("s", spot("doc_id")).withColumn("w", F.expr("s div 64"))
-    near = near.join(F.broadcast(words), F.col("w") == F.col("word")).where(F.col("bits").bitwiseAND(one) != 0)
-    return near.select("doc_id", "text")
+    near = docs.select("doc_id", "text").join(F.broadcast(_marks(ends)), F.expr(f"({_SPOT.format('doc_id')}) div 64 = word"))
+    return near.where(_MARKED).select("doc_id", "text")
+
+
+_SPOT = "pmod(xxhash64(cast({} as long)), 67108864L)"
+_BIT = "shiftleft(1L, cast(pmod({}, 64) as int))"
+_MARKED = f"(bits & {_BIT.format(_SPOT.format('doc_id'))}) <> 0"
+
+
+def _marks(ends: DataFrame) -> DataFrame:
+    """The bitmap (word, bits) of the ids in ends."""
+    return ends.selectExpr(f"{_SPOT.format('id')} as s").groupBy(F.expr("s div 64").alias("word")).agg(F.bit_or(F.expr(_BIT.format("s"))).alias("bits"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in gone (id). Only rows that the bitmap of those ids marks are moved, to be joined; the others stay where they are read."""
+    columns = [F.col(c) for c in docs.columns]
+    met = docs.join(F.broadcast(_marks(gone)), F.expr(f"({_SPOT.format('doc_id')}) div 64 = word"), "left")
+    rest = met.where(f"not coalesce({_MARKED}, false)").select(*columns)
+    return rest.unionByName(met.where(_MARKED).select(*columns).join(gone, F.col("doc_id") == F.col("id"), "left_anti"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> DataFrame:

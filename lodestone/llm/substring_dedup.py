@@ -214,6 +214,8 @@ def _pack(width: int, share: float, chunk_bytes: int):
             blob = _close(held)
             chunk = Chunk(blob, width)
             columns = [pa.array([name]), pa.array([len(chunk.at)]), *[pa.array([x], pa.binary()) for x in (heavy(chunk), common(chunk), blob)]]
+            del chunk
+            B.release()
             return pa.RecordBatch.from_arrays(columns, ["chunk", "n", "counts", "words", "blob"])
 
         for batch in batches:
@@ -277,6 +279,8 @@ def _ask(width: int, bits: int, n: int, subs: int):
                 chunk = Chunk(blob.as_py(), width)
                 chunk.nodes()
                 rows = [(g % n, g // n, name, _bundle(_steps(short))) for g, _at, short in chunk.asked(bits, n * subs)]
+                del chunk  # before the next one is opened
+                B.release()
                 if rows:
                     yield _rows(rows)
 
@@ -302,16 +306,19 @@ def _reply(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sub, held in _groups(batches, lambda b: np.cumsum(_unbundle(b)[0])):
-            every = np.sort(np.concatenate([x for _, x in held]))
+            every = np.concatenate([x for _, x in held])
+            every.sort()
             twice = np.unique(every[1:][every[1:] == every[:-1]])
-            if not len(twice):
-                continue
+            del every
             rows = []
-            for chunk, own in held:
+            for chunk, own in held if len(twice) else ():
                 hit = twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own
                 if hit.any():
                     rows.append((chunk, sub * n + part, int(hit.sum()), B.pack(np.packbits(hit))))
-            yield _rows(rows, ("chunk", "sub", "kept", "blob"))
+            held.clear()  # before the next group is gathered
+            B.release()
+            if rows:
+                yield _rows(rows, ("chunk", "sub", "kept", "blob"))
 
     return run
 
@@ -334,6 +341,8 @@ def _leaves(width: int, bits: int, hash_groups: int, n: int, subs: int, shared):
                         kept[at] = np.unpackbits(B.unpack(answers[g])[0], count=len(at)).astype(bool)
                 coded = pc.index_in(chunk.dictionary, book).fill_null(-1).to_numpy(zero_copy_only=False)
                 yield from dealt(name, chunk, np.flatnonzero(kept), split, coded, len(book))
+                del chunk, kept, coded
+                B.release()
 
     def dealt(name: int, chunk: Chunk, node: np.ndarray, split: list[np.ndarray], coded: np.ndarray, common: int) -> Iterator[pa.RecordBatch]:
         head = chunk.head[node]
@@ -396,15 +405,20 @@ def _trees(width: int, common: int):
                 at += x[2].shape[1]
             words = words.T
             least = np.concatenate([x[1] for _, x in held])
+            nodes = [(chunk, x[0]) for chunk, x in held]
+            del code, own, x
+            held.clear()  # the group's words are in one array now
             order, begin = subtree(words, width)
             late = np.zeros(len(order), bool)
             late[order] = least[order] > np.repeat(np.minimum.reduceat(least[order], begin), np.diff(np.append(begin, len(order))))
             rows, at = [], 0
-            for chunk, (node, *_rest) in held:
+            for chunk, node in nodes:
                 mine = node[late[at : at + len(node)]]
                 at += len(node)
                 if len(mine):
                     rows.append((chunk, _bundle(_steps(mine))))
+            del words, least, order, begin, late, nodes, node, mine
+            B.release()
             if rows:
                 yield _rows(rows, ("chunk", "blob"))
 
@@ -424,9 +438,12 @@ def _remove(width: int, keep: list[str], with_text: bool, with_spans: bool, name
                 at = chunk.at[chunk.order[leaf]]
                 n = len(chunk.starts) + 1
                 gone = np.cumsum(np.bincount(at, minlength=n) - np.bincount(at + width, minlength=n))[:-1] > 0
-                yield _kept(chunk.rows, chunk.data, chunk.offsets, chunk.starts, chunk.ends, chunk.first, gone)
+                found = _kept(chunk.rows, chunk.data, chunk.starts, chunk.ends, chunk.first, gone)
+                del chunk, late, leaf, at, gone
+                B.release()
+                yield found
 
-    def _kept(rows, data, offsets, starts, ends, first, gone) -> pa.RecordBatch:
+    def _kept(rows, data, starts, ends, first, gone) -> pa.RecordBatch:
         stay = np.flatnonzero(~gone)
         per = np.searchsorted(stay, first)  # each document's kept words
         change = np.zeros(len(data) + 1, np.int8)
@@ -439,7 +456,7 @@ def _remove(width: int, keep: list[str], with_text: bool, with_spans: bool, name
         mask[blank] = True
         data = data.copy()
         data[blank] = 0x20
-        size = np.concatenate([[0], np.cumsum(mask)])[offsets]
+        size = np.concatenate([[0], np.cumsum(ends[stay] - starts[stay] + ~last)])[per]
         text = data[mask].tobytes()
         pieces = [text[a:b] for a, b in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)]
         total = np.concatenate([[0], np.cumsum(gone)])
