@@ -446,7 +446,9 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     columns = [F.col(c) for c in docs.columns]
     met = docs.join(F.broadcast(_marks(gone)), F.expr(f"({_SPOT.format('doc_id')}) div 64 = word"), "left")
     rest = met.where(f"not coalesce({_MARKED}, false)").select(*columns)
-    return rest.unionByName(met.where(_MARKED).select(*columns).join(gone, F.col("doc_id") == F.col("id"), "left_anti"))
+    # no anti-join: Spark would push it below the join with the bitmap, and move every row
+    there = gone.distinct().select("id", F.lit(True).alias("there"))
+    return rest.unionByName(met.where(_MARKED).select(*columns).join(there, F.col("doc_id") == F.col("id"), "left").where("there is null").select(*columns))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, least: int) -> DataFrame:
