@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import _bytes as B
 
 END_ID = 1
-CACHE_WORDS = 2_000_000
+#: Words that a worker remembers: about 50 MB.
+CACHE_WORDS = 1_000_000
 _PUNCT = np.zeros(256, bool)
 _PUNCT[list(b".,;:!?")] = True
 #: Words of lower-case letters a-z and U+00DF-U+00FF.
@@ -57,8 +58,8 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.table, self.bits = np.zeros(1 << 16, B.U64), 16
-        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.pool, self.used, self.count = np.zeros(1 << 16, np.uint32), 0, 0
+        self.at, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint32)
+        self.pool, self.used, self.count = np.zeros(1 << 16, np.uint16 if len(self.ends) <= 1 << 16 else np.uint32), 0, 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Each key's slot in the table of open addresses, or -1."""
@@ -81,9 +82,9 @@ class WordEncoder:
         if 2 * (self.count + len(keys)) > len(self.table):
             held = np.flatnonzero(self.table)
             old = self.table[held], self.at[held], self.size[held]
-            self.bits = int(4 * (self.count + len(keys))).bit_length()
+            self.bits = int(2 * (self.count + len(keys))).bit_length()
             self.table = np.zeros(1 << self.bits, B.U64)
-            self.at, self.size, self.count = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.int64), 0
+            self.at, self.size, self.count = np.zeros(1 << self.bits, np.uint32), np.zeros(1 << self.bits, np.uint32), 0
             self.put(*old)
         self.count += len(keys)
         mask, step, left = B.U64((1 << self.bits) - 1), 0, np.arange(len(keys))
@@ -118,7 +119,7 @@ class WordEncoder:
     def learn(self, keys: np.ndarray, spelt: list[bytes]) -> None:
         flat, size = self._ids(spelt)
         if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * len(flat), np.uint32)])
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used // 2 + 2 * len(flat), self.pool.dtype)])
         self.pool[self.used : self.used + len(flat)] = flat
         self.put(keys, self.used + np.cumsum(size) - size, size)
         self.used += len(flat)
@@ -151,9 +152,9 @@ class WordEncoder:
             raw, low = data.tobytes(), B.LOWER[data].tobytes()
             self.learn(unique, [(raw if s else low)[a:b] for a, b, s in zip(starts[chosen].tolist(), ends[chosen].tolist(), special[chosen].tolist(), strict=True)])
             slot = self.find(keys)
-        at, size = self.at[slot], self.size[slot]
+        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
         end = np.cumsum(size)
-        ids = self.pool[np.arange(int(end[-1])) + np.repeat(at - end + size, size)]
+        ids = self.pool[np.arange(int(end[-1])) + np.repeat(at - end + size, size)].astype(np.uint32)
         return ids, np.concatenate([[0], end])[first]
 
 

@@ -102,21 +102,23 @@ class Chunk:
     def __init__(self, blob: bytes, width: int):
         self.rows = pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
         self.width = width
+        text = self.rows.column("text")
+        kind = np.int32 if text.nbytes < 1 << 31 else np.int64  # of places in the chunk
         data, offsets, starts, ends, first, hashes, byte, word = [], [np.zeros(1, np.int64)], [], [], [np.zeros(1, np.int64)], [], 0, 0
-        for _lo, _hi, part, offs in B.text_slices(self.rows.column("text")):
+        for _lo, _hi, part, offs in B.text_slices(text):
             s, e, f = B.words(part, offs)
             hashes.append(_hash(part, s, e))
             data.append(part)
-            starts.append(s + byte)
-            ends.append(e + byte)
+            starts.append((s + byte).astype(kind))
+            ends.append((e + byte).astype(kind))
             offsets.append(offs[1:] + byte)
             first.append(f[1:] + word)
             byte, word = byte + len(part), word + len(s)
         self.data, self.offsets, self.starts, self.ends, self.first, self.hashes = (np.concatenate(x) for x in (data, offsets, starts, ends, first, hashes))
         counts = np.diff(self.first)
         known = self.rows.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-        doc = np.repeat(np.arange(len(counts)), counts)
-        at = np.arange(len(doc))
+        doc = np.repeat(np.arange(len(counts), dtype=kind), counts)
+        at = np.arange(len(doc), dtype=kind)
         at = at[(at + width <= self.first[1:][doc]) & known[doc]]
         self.at, self.ids = at, self.rows.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[doc[at]]
 
@@ -142,7 +144,7 @@ class Chunk:
         """The suffixes in order of ``key``; equal ones, by their words, are a node of the chunk's own."""
         self.spell()
         key = self.whole()
-        order = np.argsort(key)
+        order = np.argsort(key).astype(self.at.dtype)
         key = key[order]
         same = key[1:] == key[:-1]
         unlike = self._unlike(order, same)
@@ -153,7 +155,7 @@ class Chunk:
             order[mixed] = own[np.lexsort((*[self.words[self.at[own] + j] for j in range(self.width - 1, -1, -1)], key[mixed]))]
             unlike = self._unlike(order, same)
         begin = np.concatenate([[True], ~same | unlike]) if len(key) else np.zeros(0, bool)
-        self.order, self.of = order, np.cumsum(begin) - 1
+        self.order, self.of = order, np.cumsum(begin, dtype=order.dtype) - 1
         begin = np.flatnonzero(begin)
         self.key, self.head = key[begin], self.at[order[begin]]
         self.least = np.minimum.reduceat(self.ids[order], begin) if len(begin) else np.zeros(0, np.int64)
@@ -212,6 +214,7 @@ def _pack(width: int, share: float, chunk_bytes: int):
 
         def out() -> pa.RecordBatch:
             blob = _close(held)
+            held.clear()  # the chunk is opened from the blob
             chunk = Chunk(blob, width)
             columns = [pa.array([name]), pa.array([len(chunk.at)]), *[pa.array([x], pa.binary()) for x in (heavy(chunk), common(chunk), blob)]]
             del chunk
@@ -224,7 +227,7 @@ def _pack(width: int, share: float, chunk_bytes: int):
                 size += len(data)
                 if size >= chunk_bytes:
                     yield out()
-                    held, size, name = [], 0, name + 1
+                    size, name = 0, name + 1
         if held:
             yield out()
 
@@ -358,7 +361,7 @@ def _leaves(width: int, bits: int, hash_groups: int, n: int, subs: int, shared):
         number, rare, rows = coded.astype(np.uint32), coded < 0, []
         for g in np.flatnonzero(np.diff(edge)).tolist():
             at = order[edge[g] : edge[g + 1]]
-            words = chunk.words[head[at][None, :] + np.arange(chunk.width)[:, None]]  # a row for each depth
+            words = chunk.words[head[at][None, :] + np.arange(chunk.width, dtype=head.dtype)[:, None]]  # a row for each depth
             used = np.unique(words[rare[words]])
             number[used] = common + np.arange(len(used), dtype=np.uint32)
             least = chunk.least[node[at]]
@@ -397,17 +400,20 @@ def _trees(width: int, common: int):
         for _part, _sub, held in _groups(batches, opened):
             code = pa.chunked_array([x[3] for _, x in held]).combine_chunks().dictionary_encode().indices.to_numpy()
             base = np.cumsum([0] + [len(x[3]) for _, x in held]).tolist()
-            words = np.concatenate([x[2] for _, x in held], axis=1)
-            at = 0
-            for b, (_, x) in zip(base[:-1], held, strict=True):
-                own = words[:, at : at + x[2].shape[1]]
-                own[own >= common] = common + code[b + own[own >= common] - common]
-                at += x[2].shape[1]
-            words = words.T
             least = np.concatenate([x[1] for _, x in held])
-            nodes = [(chunk, x[0]) for chunk, x in held]
-            del code, own, x
-            held.clear()  # the group's words are in one array now
+            words = np.empty((width, len(least)), np.int32)
+            nodes, at = [], 0
+            held.reverse()
+            for b in base[:-1]:  # a chunk's words go as they are put into the group's array
+                chunk, x = held.pop()
+                own = x[2]
+                rare = own >= common
+                own[rare] = common + code[b + own[rare] - common]
+                words[:, at : at + own.shape[1]] = own
+                at += own.shape[1]
+                nodes.append((chunk, x[0]))
+            words = words.T
+            del code, own, rare, x
             order, begin = subtree(words, width)
             late = np.zeros(len(order), bool)
             late[order] = least[order] > np.repeat(np.minimum.reduceat(least[order], begin), np.diff(np.append(begin, len(order))))
@@ -437,7 +443,9 @@ def _remove(width: int, keep: list[str], with_text: bool, with_spans: bool, name
                 leaf = late[chunk.of] | (chunk.ids[chunk.order] > chunk.least[chunk.of])
                 at = chunk.at[chunk.order[leaf]]
                 n = len(chunk.starts) + 1
-                gone = np.cumsum(np.bincount(at, minlength=n) - np.bincount(at + width, minlength=n))[:-1] > 0
+                gone = np.bincount(at, minlength=n)
+                gone -= np.bincount(at + width, minlength=n)
+                gone = np.cumsum(gone, out=gone)[:-1] > 0
                 found = _kept(chunk.rows, chunk.data, chunk.starts, chunk.ends, chunk.first, gone)
                 del chunk, late, leaf, at, gone
                 B.release()
