@@ -45,6 +45,8 @@ class WordEncoder:
     ``<|``, which may begin a special token, are kept as they are spelt.
     """
 
+    kind = np.uint32  # of remembered ids
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -54,12 +56,13 @@ class WordEncoder:
         self.bare.normalizer = None
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        self.kind = np.uint16 if len(self.ends) <= 1 << 16 else np.uint32
         self.forget()
 
     def forget(self) -> None:
         self.table, self.bits = np.zeros(1 << 16, B.U64), 16
         self.at, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint32)
-        self.pool, self.used, self.count = np.zeros(1 << 16, np.uint16 if len(self.ends) <= 1 << 16 else np.uint32), 0, 0
+        self.pool, self.used, self.count = np.zeros(1 << 16, self.kind), 0, 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Each key's slot in the table of open addresses, or -1."""
@@ -119,7 +122,7 @@ class WordEncoder:
     def learn(self, keys: np.ndarray, spelt: list[bytes]) -> None:
         flat, size = self._ids(spelt)
         if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used // 2 + 2 * len(flat), self.pool.dtype)])
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used // 2 + 2 * len(flat), self.kind)])
         self.pool[self.used : self.used + len(flat)] = flat
         self.put(keys, self.used + np.cumsum(size) - size, size)
         self.used += len(flat)
